@@ -64,7 +64,7 @@ class Scratch:
 
 def input_bytes(df: DataFrame, text: str) -> int:
     """Bytes of the input as its files have it; where Spark does not know that, the bytes of the text."""
-    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if known < UNKNOWN_BYTES:
         return known
     return int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)

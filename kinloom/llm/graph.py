@@ -1,0 +1,40 @@
+"""Connected components by alternating large and small stars, every round a table in the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Scratch
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
+    """(node, component) for every node of edges (a, b): the smallest node that can be reached.
+
+    Each round links every node's larger neighbours to its least neighbour (large star), then each node's smaller
+    neighbours and itself to the least (small star); rounds are logarithmic in number. Least neighbours come from
+    aggregations with partial sums, and a node with very many neighbours is split by the join, not gathered. The
+    loop ends when the edges are stars: then the edges, counted and summed, no longer change. Only those two numbers reach the driver.
+    """
+    now = scratch.write(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
+    seen, k = state(now), 0
+    while seen[0]:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = scratch.write(large, f"{name}-large-{k}")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
+        k += 1
+        now, before = scratch.write(small, f"{name}-{k}"), seen
+        scratch.drop(f"{name}-large-{k - 1}")
+        scratch.drop(f"{name}-{k - 1}")
+        seen = state(now)
+        if seen == before:
+            break
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

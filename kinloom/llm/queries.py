@@ -5,9 +5,11 @@ from __future__ import annotations
 from .bpe import op7_bpe
 from .lengths import op2_token_counts
 from .mixing import OP1_SQL, op1_mixing
+from .neardup import op10_neardup
 from .private import op3_pseudonyms
 from .quality import op5_quality
+from .substring import op4_substring
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_pseudonyms, op5_quality, op7_bpe)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_pseudonyms, op4_substring, op5_quality, op7_bpe, op10_neardup)}
 
 ORACLE_SQL = {"op1_mixing": OP1_SQL}
