@@ -13,9 +13,8 @@ from math import log2
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, Scratch, documents, words
+from .common import WORD, Scratch, documents, words
 
-SYMBOLS = "#*$%&|<>"
 #: Words of a window whose repetition counts.
 WINDOW = 5
 #: Thresholds tried for a statistic: quantiles of its values among the labelled rows.
@@ -42,22 +41,26 @@ RATIOS = {
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def without(text: Column, chars: str) -> Column:
-    """How many characters of the text are among chars (ASCII, so that none is lost to translate)."""
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+def occurring(text: Column, characters: str) -> Column:
+    """How many characters of the text are of a class; only runs of them are touched."""
+    return (F.length(text) - F.length(F.regexp_replace(text, f"[{characters}]+", ""))).cast("long")
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(row, then the statistics): row is the whole row of docs as a struct. A null text counts as empty.
+    """(row, the statistics, seq): row is the whole row of docs as a struct. A null text counts as empty.
 
-    n_repeat_words is found by sorting the hashes of a text's windows with their places; equal neighbours are windows
-    that occur twice. Texts whose windows all differ skip that.
+    Words are hashed once; a window's hash is made of those of its words. n_repeat_words is found by sorting the hashes of
+    a text's windows with their places; equal neighbours are windows that occur twice. Texts whose windows all differ skip
+    that. seq is a number without meaning: as it is not deterministic, a filter on the statistics stays above them, where Spark
+    would otherwise compute all of them again inside the filter.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.struct("*").alias("row"), text.alias("text"), words(text).alias("w"))
-    base = base.withColumn("n_words", F.size("w").cast("long"))
+    base = base.withColumns({"h": F.transform("w", lambda x: F.xxhash64(x)), "word_chars": F.length(F.array_join("w", "")).cast("long")}).drop("w")
+    base = base.withColumn("n_words", F.size("h").cast("long"))
+    heads = F.slice(F.col("h"), F.lit(1), F.greatest(F.size("h") - (WINDOW - 1), F.lit(0)))
+    win = F.when(F.col("n_words") > WINDOW, F.transform(heads, lambda x, i: F.xxhash64(x, *(F.get("h", i + k) for k in range(1, WINDOW)))))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
-    win = F.when(F.col("n_words") > WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (WINDOW - 1))), lambda i: F.xxhash64(F.slice(F.col("w"), i, WINDOW))))
     base = base.withColumns({"lines": lines, "win": win})
     again = F.size(F.array_distinct("win")) < F.size("win")
     base = base.withColumn("sorted", F.when(again, F.array_sort(F.transform("win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -70,16 +73,16 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     later = F.slice(F.col("places"), 2, F.greatest(F.size("places") - 1, F.lit(0)))
     covered = F.aggregate(F.zip_with(F.col("places"), later, lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW)))), F.lit(0), lambda s, x: s + x)
     return base.select(
-        "row", "n_words",
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        without(F.col("text"), SYMBOLS).alias("n_symbols"),
+        "row", "n_words", "word_chars",
+        occurring(F.col("text"), "#*$%&|<>").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
-        without(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
-        without(F.col("text"), "!?").alias("n_marks"),
-        without(F.col("text"), "0123456789").alias("n_digits"),
-        F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
+        occurring(F.col("text"), "A-Z").alias("n_upper"),
+        occurring(F.col("text"), "!?").alias("n_marks"),
+        occurring(F.col("text"), "0-9").alias("n_digits"),
+        F.size(F.array_distinct("h")).cast("long").alias("n_distinct"),
+        F.monotonically_increasing_id().alias("seq"),
     )
 
 
@@ -188,8 +191,8 @@ def base_failed() -> Column:
 def labelled(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Statistics of the labelled rows that the base test passes: `bad` is quality 0. A third, by hash of the id, is held back."""
     marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg((F.min("quality") == 0).alias("bad"))
-    rows = stats.filter(~base_failed()).join(marks, stats[f"row.{id_col}"] == F.col("label_id"))
-    return rows.withColumn("hold", F.pmod(F.xxhash64("label_id"), F.lit(3)) == 0).drop("row", "label_id")
+    rows = stats.filter(~base_failed() & (F.col("seq") >= 0)).join(marks, stats[f"row.{id_col}"] == F.col("label_id"))
+    return rows.withColumn("hold", F.pmod(F.xxhash64("label_id"), F.lit(3)) == 0).drop("row", "label_id", "seq")
 
 
 def judged(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[Rule]]:
@@ -202,7 +205,8 @@ def judged(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "
     """
     slim = statistics(docs.select(id_col, text_col), text_col)
     rules = learn(scratch.write(labelled(slim, labels, id_col), "labelled"))
-    return statistics(docs, text_col).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules)), rules
+    stats = statistics(docs, text_col)
+    return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules) & (F.col("seq") >= 0)).drop("seq"), rules
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
