@@ -13,7 +13,7 @@ def encoded(value: Column) -> Column:
     """A value in tenths, rounded half to even and clamped; missing, NaN and infinite values become ABSENT."""
     v = value.cast("double")
     bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    return F.when(bad, ABSENT).otherwise(F.least(F.lit(LARGEST), F.greatest(F.lit(0), F.rint(F.when(~bad, v) * SCALE).cast("int"))))
+    return F.when(bad, ABSENT).otherwise(F.least(F.lit(float(LARGEST)), F.greatest(F.lit(0.0), F.rint(F.when(~bad, v) * SCALE))).cast("int"))
 
 
 def decoded(code: Column) -> Column:
