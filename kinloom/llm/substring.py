@@ -77,8 +77,8 @@ class Run:
         self.starts = np.flatnonzero(doc[:n] == doc[size - 1 : size - 1 + n]) if n else np.zeros(0, "i8")
         self.doc = doc[self.starts]
         self.size, self.h = size, h
-        span = size - gram + 1
-        least, width = rolled(packing.mixed(h), gram, _BASES[2]), 1
+        span, width = size - gram + 1, 1
+        least = rolled(packing.mixed(h), gram, _BASES[2]) if n else np.zeros(span, "u8")
         while 2 * width <= span:
             least, width = np.minimum(least[: len(least) - width], least[width:]), 2 * width
         if span > width:
@@ -184,19 +184,18 @@ def anchor_runs(rows: DataFrame, bits: int, size: int = WINDOW, gram: int = GRAM
     return rows.groupBy("run").applyInPandas(entries, BLOBS)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, gram: int = GRAM, index: DataFrame | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for each row of docs.
 
     A word goes if a window that covers it starts earlier too: in a smaller id, or earlier in the same document. Texts
     are shuffled once: the three steps read the same exchange. A null or empty text has no words, keeps nothing and has the hash of
     the empty string. Rows of one id are taken in order of their texts, as one log: of equal rows the first is the
     original. Rows without an id come after all others. An empty table gives no rows, and other columns of docs are not read.
-    index: sorted runs of anchors of documents that docs also holds (see FingerprintIndex), used instead of making them again.
     """
     runs = run_count(docs, text_col)
     bits = packing.bucket_bits(runs)
     rows = keyed(docs, runs, id_col, text_col)
-    anchors = index if index is not None else anchor_runs(rows, bits, size, gram)
+    anchors = anchor_runs(rows, bits, size, gram)
     shared = anchors.groupBy("bucket").applyInPandas(shared_anchors, BITS)
 
     def windows(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -216,5 +215,70 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.groupBy("run").cogroup(told.groupBy("run")).applyInPandas(cleaned, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+class FingerprintIndex:
+    """Anchors of all documents seen, in generations of sorted runs in a folder.
+
+    add() dedups a batch against all before and appends its runs; documents are expected in order of id, batch after batch. Only
+    documents of earlier runs that share an anchor with the batch are read again, to verify and to place the originals.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, size: int = WINDOW, gram: int = GRAM, bits: int = 8):
+        self.spark, self.folder, self.size, self.gram, self.bits, self._next = spark, folder, size, gram, bits, 0
+        self._names: list[str] = []
+
+    def generations(self) -> list[str]:
+        return list(self._names)
+
+    def _write(self, rows: DataFrame) -> None:
+        name = f"{self.folder}/generation-{self._next}"
+        rows.repartitionByRange("bucket").sortWithinPartitions("bucket", "run").write.parquet(name)
+        self._next += 1
+        self._names.append(name)
+
+    def _entries(self) -> DataFrame:
+        return self.spark.read.parquet(*self._names)
+
+    def add(self, new: DataFrame, history: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The rows of deduplicated() for the new documents, as a table in the index's folder; history holds the documents of earlier calls."""
+        bits, size, gram = self.bits, self.size, self.gram
+        runs = 1 << bits
+        rows = keyed(new, runs, id_col, text_col)
+        fresh = anchor_runs(rows, bits, size, gram)
+        both = new.select(id_col, text_col)
+        if self._names:
+
+            def shared(key: tuple, ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+                if not len(ours) or not len(theirs):
+                    return pd.DataFrame({"run": np.zeros(0, "i8")})
+                mine = np.unique(np.concatenate([packing.unpacked_sorted(k) for k in ours["keys"]]))
+                hit = [r for r, k in zip(theirs["run"], theirs["keys"], strict=True) if np.isin(packing.unpacked_sorted(k), mine).any()]
+                return pd.DataFrame({"run": np.array(hit, "i8")})
+
+            met = fresh.groupBy("bucket").cogroup(self._entries().groupBy("bucket")).applyInPandas(shared, "run long").distinct()
+            old = keyed(history, runs, id_col, text_col).join(met, "run", "left_semi")
+            both = both.unionByName(old.select(F.col("doc_id").alias(id_col), F.col("text").alias(text_col)))
+        marked = deduplicated(both, id_col, text_col, size, gram).join(new.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        result = f"{self.folder}/result-{self._next}"
+        marked.write.parquet(result)
+        self._write(fresh)
+        if len(self._names) >= FANOUT:
+            self.compact()
+        return self.spark.read.parquet(result)
+
+    def compact(self) -> None:
+        """Merges all generations into one: the sorted entries of each run and bucket become one."""
+
+        def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            keys = np.unique(np.concatenate([packing.unpacked_sorted(k) for k in pdf["keys"]]))
+            return pd.DataFrame([(key[0], key[1], len(keys), packing.packed_sorted(keys), None, None)], columns=["bucket", "run", "n", "keys", "others", "ids"])
+
+        old = self._names
+        merged = self._entries().groupBy("bucket", "run").applyInPandas(merge, BLOBS)
+        self._names = []
+        self._write(merged)
+        for name in old:
+            drop(self.spark, name)
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(documents(spark, sf_dir))
