@@ -10,25 +10,25 @@ from kinloom.functions.scratch import Workspace
 from kinloom.operators.pick import pick
 
 
-def components(edges: DataFrame, workspace: Workspace) -> DataFrame:
+def components(edges: DataFrame, workspace: Workspace, name: str = "edges") -> DataFrame:
     """(node, component) for each node of edges (a, b): the least node that can be reached.
 
     Large and small stars in turn: first every node ties its larger neighbours to its least one, then its smaller ones and itself. The
     rounds are logarithmic in number. Each is written to the shared folder; a count and a checksum, which stop changing when
     all edges are stars, are all that the driver sees.
     """
-    now = workspace.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges-0")
+    now = workspace.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     seen, k = _state(now), 0
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = workspace.write(both.join(least, "a").filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"large-{k}")
+        large = workspace.write(both.join(least, "a").filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"{name}-large-{k}")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         ties = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b"))))
         k += 1
-        now, before = workspace.write(large.join(low, "a").select(ties.alias("e")).select("e.*").filter("a <> b").distinct(), f"edges-{k}"), seen
-        workspace.drop(f"large-{k - 1}")
-        workspace.drop(f"edges-{k - 1}")
+        now, before = workspace.write(large.join(low, "a").select(ties.alias("e")).select("e.*").filter("a <> b").distinct(), f"{name}-{k}"), seen
+        workspace.drop(f"{name}-large-{k - 1}")
+        workspace.drop(f"{name}-{k - 1}")
         seen = _state(now)
         if seen == before:
             break
