@@ -9,11 +9,12 @@ Links are never taken from signatures: the full sets are compared. To do that wi
 
 1. texts with equal sets form a class, and one document stands for it from then on;
 2. each bucket links its members to its least document (a star), and links that hold on the full sets merge components;
-3. in buckets that still hold more than one component, every pair across components is compared. Two conditions that a true link
-   cannot break, or breaks with a probability below 1e-9, come first: the ratio of the set sizes, and the distance of
-   256-bit sketches (one bit of each signature value).
+3. documents of buckets that still hold more than one component are compared across components. Their sets are ordered by how rare
+   shingles are, and pairs meet on a shared shingle of their prefixes if its places leave room for enough others: an exact
+   filter, so no link between components is passed over, and no bucket is capped.
 
-So no bucket is capped and no link between components is passed over.
+Before links are confirmed a star's pairs pass two conditions that a true link cannot break, or breaks with a probability below 1e-9: the
+ratio of the set sizes, and the distance of 256-bit sketches (one bit of each signature value).
 """
 
 from __future__ import annotations
@@ -136,6 +137,39 @@ def alike(n_a: Column, n_b: Column, a: Column, b: Column, threshold: int) -> Col
     return (100 * F.least(n_a, n_b) >= threshold * F.greatest(n_a, n_b)) & (far <= MOST_BITS)
 
 
+def prefixes(rest: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(shingle, at, doc_id, label, n): the rarest shingles of each document of rest (doc_id, label), with their places in the order of rarity.
+
+    Two sets that are similar enough share a shingle among the first n - threshold * n + 1 of either, in any common order; in that of
+    rarity most documents' first shingles are their own, and those meet nothing.
+    """
+    one = sets.join(rest, "doc_id").select("doc_id", "label", F.xxhash64("shingles").alias("text"), F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = one.groupBy("shingle").agg(F.count("*").alias("df"))
+    order = F.array_sort(F.collect_list(F.struct("df", "shingle")))
+    ranked = one.join(often, "shingle").groupBy("doc_id", "text", "label", "n").agg(order.alias("order"))
+    n = F.col("n")
+    first = F.slice("order", F.lit(1), (n - F.ceil(n * threshold / 100) + 1).cast("int"))
+    return ranked.select("doc_id", "label", "n", F.posexplode(first).alias("at", "s")).filter("s.df > 1").select(F.col("s.shingle").alias("shingle"), "at", "doc_id", "label", "n")
+
+
+def across(first: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of documents with different labels that can still be similar enough, by sizes and by the places of a shared shingle.
+
+    If the first shared shingle has places i and j, the sets share at most 1 + min(n_a - i - 1, n_b - j - 1) shingles. Of the
+    documents with a shingle those of its most frequent label are not compared with each other, so a large component
+    costs each other document one comparison a member, and itself none.
+    """
+    counts = first.groupBy("shingle", "label").agg(F.count("*").alias("c"))
+    main = counts.groupBy("shingle").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
+    marked = first.join(main.select("shingle", "main"), "shingle").withColumn("minor", F.col("label") != F.col("main")).drop("main")
+    x, y = marked.filter("minor").alias("x"), marked.alias("y")
+    c = lambda name: F.col(name)
+    sizes = 100 * F.least(c("x.n"), c("y.n")) >= threshold * F.greatest(c("x.n"), c("y.n"))
+    room = (100 + threshold) * F.least(c("x.n") - c("x.at"), c("y.n") - c("y.at")) >= threshold * (c("x.n") + c("y.n"))
+    on = (c("x.shingle") == c("y.shingle")) & (c("x.label") != c("y.label")) & (~c("y.minor") | (c("x.doc_id") < c("y.doc_id"))) & sizes & room
+    return x.join(y, on).select(c("x.doc_id").alias("a"), c("y.doc_id").alias("b")).distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
@@ -178,11 +212,8 @@ def linked(docs: DataFrame, scratch: Scratch, k: int = 5, threshold: int = 80, i
 
     labelled = members.select("band", "doc_id").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
     split = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band")
-    rest = labelled.join(split, "band", "left_semi").join(slim, "doc_id").select("band", "doc_id", "label", "n", "sketch")
-    rest = scratch.write(rest, "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.label") != F.col("y.label")) & alike(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), threshold))
-    pairs = scratch.write(across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "pairs")
+    rest = scratch.write(labelled.join(split, "band", "left_semi").select("doc_id", "label").distinct(), "rest")
+    pairs = scratch.write(across(scratch.write(prefixes(rest, sets, threshold), "prefixes"), threshold), "pairs")
     more = scratch.write(confirmed(pairs, sets, threshold), "edges-2")
     if more.isEmpty():
         final = found
