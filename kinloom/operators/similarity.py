@@ -217,3 +217,24 @@ def layout(newick: str) -> list[tuple[str, float, float]]:
 
     place(parsed(newick), 0.0)
     return out
+
+
+def layouts(trees: DataFrame) -> DataFrame:
+    """(tree, name, x, y): places of the nodes of (tree, newick), rooted in the middle of the longest path."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(t, *node) for t, n in zip(pdf["tree"], pdf["newick"], strict=True) for node in layout(midpoint(n or ""))]
+            yield pd.DataFrame(out, columns=["tree", "name", "x", "y"])
+
+    return trees.select("tree", "newick").mapInPandas(rows, "tree string, name string, x double, y double")
+
+
+def most_similar(rows: DataFrame, references: DataFrame) -> DataFrame:
+    """Of each group's members in each accession the one most like the group's reference (grp, ref), the least id of equals."""
+    pairs = distances(rows)
+    both = pairs.unionByName(pairs.select("grp", F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    from kinloom.operators.pick import pick
+
+    near = both.join(references, (both["grp"] == references["grp"]) & (both["a"] == references["ref"])).select(both["grp"], F.col("b").alias("gene_id"), "distance")
+    return pick(near.join(rows.select("grp", "gene_id", "accession"), ["grp", "gene_id"]), ["grp", "accession"], [F.col("distance"), F.col("gene_id")])
