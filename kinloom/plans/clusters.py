@@ -9,14 +9,13 @@ from kinloom.operators import coords, members
 from kinloom.operators.pick import prioritised_lookup
 from kinloom.plans.registry import query
 
-ORDER = [F.col("src"), F.col("pangene"), F.col("accession")]
 GENES = "genes AS (SELECT gene_id, pangene, accession FROM (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY src, pangene, accession) AS k FROM member) WHERE k = 1)"
 PLACED = r"""placed AS (SELECT gene_id, accession, regexp_replace(chr, '^chr', '') AS chr, begin_pos, end_pos, strand, nullif(regexp_extract(chr, '^chr[0-9]+([ABCD])$', 1), '') AS subgenome
   FROM (SELECT *, row_number() OVER (PARTITION BY gene_id, accession ORDER BY src DESC, begin_pos DESC, end_pos DESC, chr DESC, strand DESC) AS k FROM coord) WHERE k = 1)"""
 
 
 def genes(i):
-    return members.genes(i.member, ORDER).select("gene_id", "pangene", "accession")
+    return members.genes(i.member, [F.col("src"), F.col("pangene"), F.col("accession")]).select("gene_id", "pangene", "accession")
 
 
 def placed(i):
