@@ -22,14 +22,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinloom.operators.graph import components
+
 from . import packing
 from .common import Scratch, documents
-from .graph import components
 
 PERMUTATIONS, ROWS, BANDS = 128, 6, 42
 #: Of the 256 bits of two sketches so many differ at most: at similarity 0.8 the mean is 25.6 and 55 lies six deviations off.
@@ -37,6 +39,9 @@ MOST_BITS = 55
 _MUL = packing.mixed(np.arange(1, PERMUTATIONS + 1, dtype="u8")) | np.uint64(1)
 _ADD = packing.mixed(np.arange(1001, 1001 + PERMUTATIONS, dtype="u8"))
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
+_SALTS = packing.mixed(np.arange(2001, 2004, dtype="u8"))
+#: Bits of the filter of ids, as a power of two (4 MB).
+FILTER_BITS = 25
 #: Shingles hashed at a time.
 BLOCK = 2_048
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -118,8 +123,46 @@ def signed(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, SIGNED)
 
 
+def filter_places(ids: np.ndarray) -> np.ndarray:
+    """The bits of each id in the filter."""
+    return (packing.mixed(ids.view("u8")[None] ^ _SALTS[:, None]) >> np.uint64(64 - FILTER_BITS)).reshape(-1).astype("i8")
+
+
+def id_filter(nodes: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids (doc_id), of fixed size: 2^FILTER_BITS bits. Parts are joined block by block before they go to the driver."""
+    block = 1 << 12
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            bits[filter_places(np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False)))] = True
+        data = np.packbits(bits).reshape(-1, block)
+        some = np.flatnonzero(data.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([packing.compressed(data[i].tobytes()) for i in some], pa.binary())], names=["block", "data"])
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        all_ = np.bitwise_or.reduce([np.frombuffer(packing.decompressed(x), "u1") for x in pdf["data"]])
+        return pd.DataFrame({"block": [key[0]], "data": [packing.compressed(all_.tobytes())]})
+
+    out = np.zeros((1 << FILTER_BITS) // 8, "u1").reshape(-1, block)
+    for row in nodes.mapInArrow(part, "block long, data binary").groupBy("block").applyInPandas(merge, "block long, data binary").toLocalIterator():
+        out[row.block] = np.frombuffer(packing.decompressed(bytes(row.data)), "u1")
+    return out.reshape(-1)
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, shingles) of the documents in nodes."""
+    """(doc_id, shingles) of the documents in nodes (doc_id).
+
+    Texts that the filter of nodes excludes do not move; the join decides about the rest. The filter spares most texts the shuffle as
+    long as the nodes are fewer than its bits, and changes nothing else.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(nodes))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            at = filter_places(np.ascontiguousarray(ids)).reshape(3, -1)
+            yield batch.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)) & 1).all(0)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
@@ -127,8 +170,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: st
             sets = [shingles(t.as_py(), k, cache).view("i8") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(nodes, "doc_id", "left_semi")
-    return texts.mapInArrow(work, "doc_id long, shingles array<long>")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(likely, "doc_id long, text string")
+    return texts.join(nodes, "doc_id", "left_semi").mapInArrow(work, "doc_id long, shingles array<long>")
 
 
 def alike(n_a: Column, n_b: Column, a: Column, b: Column, threshold: int) -> Column:
@@ -227,3 +270,27 @@ def linked(docs: DataFrame, scratch: Scratch, k: int = 5, threshold: int = 80, i
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(documents(spark, sf_dir), Scratch(spark, "neardup"), k=2)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, w[i] || ' ' || w[i + 1] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w) UNION ALL SELECT doc_id, w[1] FROM w WHERE len(w) = 1
+  )
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, node) AS (
+  SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, e.b FROM reach r JOIN ways e ON r.node = e.a
+), least AS (
+  SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT l.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, l.component_id, l.doc_id = l.component_id AS kept FROM least l LEFT JOIN n ON n.doc_id = l.doc_id
+"""
