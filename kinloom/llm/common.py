@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinloom.functions.scratch import Workspace as Scratch
+from kinloom.functions.scratch import delete as drop
+
+__all__ = ["RUN_BYTES", "SPACES", "WORD", "Scratch", "documents", "drop", "input_bytes", "run_count", "words"]
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The six characters themselves, for translate().
@@ -24,44 +25,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinloom-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes a folder through Hadoop's file system, so in any store."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).delete(where, True)
-
-
-class Scratch:
-    """Tables written to the shared folder. They cut lineage and outlive lost executors; they go when the driver ends, or earlier by drop()."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/kinloom-{name}-{uuid.uuid4().hex}"
-        atexit.register(self._end)
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        drop(self.spark, f"{self.root}/{name}")
-
-    def _end(self) -> None:
-        try:
-            drop(self.spark, self.root)
-        except Exception:  # noqa: BLE001 - the session may have ended already; the folder is scratch
-            pass
-
-
 def input_bytes(df: DataFrame, text: str) -> int:
     """Bytes of the input as its files have it; where Spark does not know that, the bytes of the text."""
     known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -6,13 +6,13 @@ from .bpe import op7_bpe
 from .chat import op8_chat
 from .lengths import op2_token_counts
 from .mixing import OP1_SQL, op1_mixing
-from .neardup import op10_neardup
+from .neardup import OP10_SQL, op10_neardup
 from .neighbours import OP6_SQL, op6_neighbours
 from .private import op3_pseudonyms
 from .quality import op5_quality
 from .scoring import op9_scoring
-from .substring import op4_substring
+from .substring import OP4_SQL, op4_substring
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_pseudonyms, op4_substring, op5_quality, op6_neighbours, op7_bpe, op8_chat, op9_scoring, op10_neardup)}
 
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op6_neighbours": OP6_SQL}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op4_substring": OP4_SQL, "op6_neighbours": OP6_SQL, "op10_neardup": OP10_SQL}
