@@ -117,52 +117,76 @@ def holds(rule: Rule) -> Column:
     return out
 
 
-def counts(rows: DataFrame, tests: list[Column]) -> list[tuple[int, int]]:
-    """(bad, good) rows for which each test holds, in one aggregation."""
-    aggs = [F.count_if(t & F.col("bad")) for t in tests] + [F.count_if(t & ~F.col("bad")) for t in tests]
+def counts(rows: DataFrame, rules: list[Rule]) -> list[tuple[int, int]]:
+    """(bad, good) rows that each rule covers, in one aggregation."""
+    aggs = [F.count_if(holds(r) & F.col("bad")) for r in rules] + [F.count_if(holds(r) & ~F.col("bad")) for r in rules]
     got = rows.agg(*[a.alias(f"c{i}") for i, a in enumerate(aggs)]).first()
-    return list(zip(got[: len(tests)], got[len(tests) :], strict=True))
+    return list(zip(got[: len(rules)], got[len(rules) :], strict=True))
+
+
+def spread(rows: DataFrame, thresholds: dict[str, list[float]]) -> dict[Condition, tuple[int, int]]:
+    """(bad, good) rows beyond every threshold, on either side.
+
+    Each row says of each statistic how many thresholds it reaches and how many it passes; one small aggregation counts that, and sums of
+    its few rows give all conditions.
+    """
+
+    def place(name: str, ts: list[float]) -> Column:
+        v, every = feature(name), F.array(*map(F.lit, ts))
+        return F.struct(F.lit(name).alias("name"), F.size(F.filter(every, lambda t: t <= v)).alias("reached"), F.size(F.filter(every, lambda t: t < v)).alias("passed"))
+
+    places = [place(name, ts) for name, ts in thresholds.items()]
+    got = rows.select("bad", F.explode(F.array(*places)).alias("p")).groupBy("p.name", "p.reached", "p.passed").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")).collect()
+    out = {}
+    for name, ts in thresholds.items():
+        own = [r for r in got if r["name"] == name]
+        for i, t in enumerate(ts):
+            for above in (True, False):
+                hit = [r for r in own if (r["reached"] > i if above else r["passed"] <= i)]
+                out[Condition(name, above, t)] = sum(r["bad"] for r in hit), sum(r["good"] for r in hit)
+    return out
 
 
 def learn(rows: DataFrame, max_rules: int = MAX_RULES, min_precision: float = MIN_PRECISION, min_bad: int = MIN_BAD) -> list[Rule]:
     """The decision list for rows of statistics with `bad` (boolean) and `hold` (boolean: held back for pruning)."""
-    quantiles = rows.agg(*[F.percentile_approx(feature(n), [(i + 0.5) / THRESHOLDS for i in range(THRESHOLDS)], 1000).alias(n) for n in RATIOS], *[F.percentile_approx(F.when(F.col("bad"), feature(n)), [(i + 0.5) / THRESHOLDS for i in range(THRESHOLDS)], 1000).alias(f"bad_{n}") for n in RATIOS]).first()
+    cuts = [(i + 0.5) / THRESHOLDS for i in range(THRESHOLDS)]
+    quantiles = rows.agg(*[F.percentile_approx(feature(n), cuts, 1000).alias(n) for n in RATIOS], *[F.percentile_approx(F.when(F.col("bad"), feature(n)), cuts, 1000).alias(f"bad_{n}") for n in RATIOS]).first()
     if quantiles is None or quantiles["n_words"] is None:
         return []
-    tests = [Condition(n, above, float(f"{t:.4g}")) for n in RATIOS for t in sorted({*(quantiles[n] or ()), *(quantiles[f"bad_{n}"] or ())}) for above in (True, False)]
-    tests = list(dict.fromkeys(tests))
+    thresholds = {n: sorted({float(f"{t:.4g}") for t in (*quantiles[n], *(quantiles[f"bad_{n}"] or ()))}) for n in RATIOS}
     rules: list[Rule] = []
     for _ in range(max_rules):
         left = rows.filter(~holds_any(rules))
-        rule = grow(left.filter(~F.col("hold")), tests)
+        rule = grow(left.filter(~F.col("hold")), thresholds)
         if not rule:
             break
         rule = prune(left.filter(F.col("hold")), rule)
-        (bad, good), (all_bad, _) = counts(left.filter(F.col("hold")), [holds(rule)])[0], counts(left, [holds(rule)])[0]
+        (bad, good), (all_bad, _) = counts(left.filter(F.col("hold")), [rule])[0], counts(left, [rule])[0]
         if all_bad < min_bad or bad < min_precision * (bad + good) or not bad:
             break
         rules.append(rule)
     return rules
 
 
-def grow(rows: DataFrame, tests: list[Condition]) -> Rule:
+def grow(rows: DataFrame, thresholds: dict[str, list[float]]) -> Rule:
     """Adds the condition of most gain until no good row is covered."""
     rule: Rule = ()
-    (bad, good), = counts(rows, [F.lit(True)])
+    bad, good = counts(rows, [rule])[0]
     while good and bad and len(rule) < MAX_CONDITIONS:
         before = log2(bad / (bad + good))
-        found = counts(rows.filter(holds(rule)), [t.column() for t in tests])
-        gain, best = max(((p * (log2(p / (p + n)) - before), -i) for i, (p, n) in enumerate(found) if p), default=(0, 0))
-        if gain <= 1e-9:
+        found = spread(rows.filter(holds(rule)), thresholds)
+        gains = {c: p * (log2(p / (p + n)) - before) for c, (p, n) in found.items() if p}
+        best = max(gains, key=gains.get, default=None)
+        if best is None or gains[best] <= 1e-9:
             break
-        rule = (*rule, tests[-best])
-        bad, good = found[-best]
+        rule = (*rule, best)
+        bad, good = found[best]
     return rule if bad else ()
 
 
 def prune(rows: DataFrame, rule: Rule) -> Rule:
     """The start of the rule that separates the rows held back best: most (bad - good) / (bad + good), the shorter if equal."""
-    found = counts(rows, [holds(rule[:k]) for k in range(1, len(rule) + 1)])
+    found = counts(rows, [rule[:k] for k in range(1, len(rule) + 1)])
     scores = [((p - n) / (p + n) if p + n else -1.0, -k) for k, (p, n) in enumerate(found)]
     return rule[: 1 - max(scores)[1]]
 
