@@ -113,3 +113,36 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted by (conv_id, root_turn, turn), the rows of a conversation are its dialogue in reply order."""
     out = linked(spark.read.parquet(f"{sf_dir}/conversations.parquet"), Scratch(spark, "chat"))
     return out.select("row.conv_id", "row.turn", "row.role", "body", "parent_turn", "root_turn", "depth", "n_linked", "formatted")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE m AS (
+  SELECT conv_id AS conv, turn, role, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS lines FROM conversations
+), k AS (
+  SELECT conv, turn, length(regexp_replace(regexp_extract(line, '^(?:[\x20\x09]*>)+[\x20\x09]?'), '[^>]', '', 'g')) AS level, regexp_replace(line, '^(?:[\x20\x09]*>)+[\x20\x09]?', '') AS line
+  FROM (SELECT conv, turn, unnest(lines) AS line FROM m WHERE conv IS NOT NULL AND turn IS NOT NULL)
+), h AS (
+  SELECT conv, turn, level, sha256(array_to_string(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'), ' ')) AS key FROM k WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), q AS (
+  SELECT conv, turn, level, key, count(*) AS n FROM h WHERE level > 0 GROUP BY ALL
+), o AS (
+  SELECT q.conv, q.turn, q.level, q.key, q.n, max(w.turn) AS origin FROM q JOIN h w ON w.conv = q.conv AND w.key = q.key AND w.level = 0 AND w.turn < q.turn GROUP BY ALL
+), v AS (
+  SELECT conv, turn, level, origin, sum(n) AS n FROM o GROUP BY ALL
+), p AS (
+  SELECT conv, turn, origin AS parent, linked FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv, turn ORDER BY level, n DESC, origin DESC) AS k, sum(n) OVER (PARTITION BY conv, turn) AS linked FROM v
+  ) WHERE k = 1
+), r AS (
+  SELECT conv, turn, parent AS root, 1 AS depth FROM p UNION ALL SELECT r.conv, r.turn, p.parent, r.depth + 1 FROM r JOIN p ON p.conv = r.conv AND p.turn = r.root
+), t AS (
+  SELECT conv, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM r GROUP BY ALL
+), b AS (
+  SELECT conv, turn, role, CASE WHEN len(list_filter(lines, lambda x: regexp_matches(x, '^(?:[\x20\x09]*>)+'))) = 0 THEN array_to_string(lines, chr(10)) ELSE
+    regexp_replace(array_to_string(list_filter(lines, lambda x: NOT regexp_matches(x, '^(?:[\x20\x09]*>)+') AND NOT regexp_matches(x, '^(?i:on\b.{0,200}\bwrote|.{0,120}\b(?:wrote|schrieb|escribió|a écrit)) ?:\s*$')), chr(10)), '^\s+|\s+$', '', 'g') END AS body
+  FROM m
+)
+SELECT b.conv AS conv_id, b.turn, b.role, b.body, p.parent AS parent_turn, coalesce(t.root, b.turn) AS root_turn, coalesce(t.depth, 0)::BIGINT AS depth, coalesce(p.linked, 0)::BIGINT AS n_linked,
+  '<|im_start|>' || coalesce(b.role, 'unknown') || chr(10) || coalesce(b.body, '') || '<|im_end|>' || chr(10) AS formatted
+FROM b LEFT JOIN p ON p.conv = b.conv AND p.turn = b.turn LEFT JOIN t ON t.conv = b.conv AND t.turn = b.turn
+"""

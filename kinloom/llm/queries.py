@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
-from .chat import op8_chat
+from .chat import OP8_SQL, op8_chat
 from .lengths import op2_token_counts
 from .mixing import OP1_SQL, op1_mixing
 from .neardup import OP10_SQL, op10_neardup
@@ -15,4 +15,4 @@ from .substring import OP4_SQL, op4_substring
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_pseudonyms, op4_substring, op5_quality, op6_neighbours, op7_bpe, op8_chat, op9_scoring, op10_neardup)}
 
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op4_substring": OP4_SQL, "op6_neighbours": OP6_SQL, "op10_neardup": OP10_SQL}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op4_substring": OP4_SQL, "op6_neighbours": OP6_SQL, "op8_chat": OP8_SQL, "op10_neardup": OP10_SQL}

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import public_tokenizers
@@ -314,7 +315,7 @@ def test_bounds_hold(dim, seed):
     assert (low <= x @ y.T).all() and (x @ y.T <= high).all()
 
 
-def test_chat(spark, scratch):
+def test_chat(spark, scratch, tmp_path):
     m = spark.createDataFrame(
         [
             (1, 0, "user", "Hello there\nHow are you?", "x"), (1, 1, "assistant", "> How are you?\nFine.  And you?", "x"), (1, 2, "user", "On Monday, Bob wrote:\n> fine. and  YOU?\n>> How are you?\nGreat", "x"),
@@ -326,6 +327,11 @@ def test_chat(spark, scratch):
     assert got[1, 1] == ("Fine.  And you?", 0, 0, 1) and got[1, 2] == ("Great", 1, 0, 2) and got[1, 3] == ("new topic", None, 3, 0)
     assert got[1, 4] == ("reply", 0, 0, 1) and got[1, 5] == ("last", 4, 0, 2) and got[2, 0] == (None, None, 0, 0) and got[2, 1] == ("", None, 1, 0)
     assert got[2, 2] == ("other", None, 2, 0) and got[None, 1] == ("", None, 1, 0)
+    m.drop("depth").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = Counter(map(repr, con.execute(chat.OP8_SQL).fetchall()))
+    assert Counter(repr(tuple(r)) for r in chat.op8_chat(spark, str(tmp_path)).collect()) == want
     assert chat.linked(m, scratch).count() == 12 and chat.linked(m.limit(0), scratch).count() == 0
 
 
@@ -346,17 +352,16 @@ def test_scores(spark, docs, rows, scratch, empty):
 
 def test_scores_are_probabilities():
     """All words of one byte and what they go on with share what the model gives to a first byte: sums stay at most 1, and a bit's two sides add up to 1."""
-    words_ = [b"the", b"then", b"they", b"a", b"\n"]
+    words_ = [b"\x80" + w for w in (b"the", b"then", b"they", b"a", b"\n")]
     counts = np.array([50, 20, 10, 30, 9])
-    tables = np.zeros((scoring.ORDERS + 1, 2 << scoring.SLOT_BITS))
+    tables = np.zeros((scoring.PREDICTORS, 2 << scoring.SLOT_BITS))
     scoring.added_tables(tables, words_, counts)
     size = scoring.GATES * scoring.CELLS
     model = scoring.Model(tables.astype("i4"), scoring.first_weights(), np.tile(scoring.squashed((np.arange(scoring.CELLS) - scoring.CELLS // 2) / 2), scoring.GATES))
     assert model.refined.shape == (size,)
-    known = scoring.Beginnings(words_, counts)
-    every = [bytes([a]) for a in range(256) if a not in (32, *range(9, 14))] + [b"\n", b"the", b"then", b"they"]
-    p = 10 ** model.scores(every, known)
-    assert p.sum() < 1 and p[-1] > p[every.index(b"q")]
+    every = [b"\x80" + w for w in [bytes([a]) for a in range(256) if a not in (32, *range(9, 14))] + [b"\n", b"the", b"then", b"they"]]
+    p = 10 ** model.scores(every, np.array([dict(zip(words_, counts.tolist(), strict=True)).get(w, 0) for w in every]))
+    assert p.sum() < 1 and p[-1] > p[every.index(b"\x80q")]
 
 
 def test_held_out_text_is_predicted(spark, scratch):
