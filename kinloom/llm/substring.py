@@ -6,7 +6,7 @@ GRAM + WINDOW words): sorted, unique, never changed. They are stored by the top
 the same key range of every run.
 
 1. Merge-join: in each bucket the sorted runs are merged; an anchor of more than one run makes its windows candidates.
-2. Verification: candidates send two independent 64-bit fingerprints of all their words and their document; in each
+2. Verification: candidates send two 64-bit fingerprints, each of its own hashes of all their words, and their document; in each
    bucket of fingerprints the earliest document holds the window, and the others learn that theirs is a copy.
 3. Each run removes what is covered by copies, whether found there or inside the run.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
@@ -43,12 +43,19 @@ BITS = "run long, step int, bucket int, bits binary"
 
 
 class _Words(dict):
-    """The hash of each word, computed once a run."""
+    """A number for each word of a run, and the words' 128-bit hashes in order of number."""
+
+    def __init__(self):
+        self.digests: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        out = self[word] = len(self.digests)
+        self.digests.append(xxhash.xxh3_128_digest(word))
         return out
 
+    def hashes(self) -> np.ndarray:
+        return np.frombuffer(b"".join(self.digests), "<u8").reshape(-1, 2)
+
 
 def rolled(h: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
     """A hash of each width neighbours: their sum by powers of the base, mixed."""
@@ -71,7 +78,9 @@ class Run:
         self.counts = np.fromiter(map(len, self.words), "i8", len(self.words))
         ends = np.cumsum(self.counts)
         known = _Words()
-        h = np.fromiter((known[w] for ws in self.words for w in ws), "u8", int(ends[-1]) if len(ends) else 0)
+        at = np.fromiter(map(known.__getitem__, chain.from_iterable(self.words)), "i4", int(ends[-1]) if len(ends) else 0)
+        h, self.other = known.hashes()[at].T
+        h = np.ascontiguousarray(h)
         n = max(0, len(h) - size + 1)
         doc = np.repeat(np.arange(len(self.words)), self.counts)
         self.starts = np.flatnonzero(doc[:n] == doc[size - 1 : size - 1 + n]) if n else np.zeros(0, "i8")
@@ -89,7 +98,7 @@ class Run:
         return np.unique(self.anchor)
 
     def prints(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(rolled(self.h, self.size, b)[self.starts] for b in _BASES[:2])
+        return tuple(rolled(h, self.size, b)[self.starts] for h, b in zip((self.h, self.other), _BASES, strict=False))
 
     def firsts(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The windows in order of their fingerprints, then of place; and which of them have no equal before."""
