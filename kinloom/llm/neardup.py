@@ -64,7 +64,7 @@ class _Hashes(dict):
     """Hashes of words; forgets all when it has grown too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
