@@ -22,13 +22,46 @@ HINT = "[0-9@=:]|AKIA|ASIA"
 SECRET = r"(?i:(?<![a-z0-9_])(?:password|passwd|pwd|secret|token|api[_-]?key)) ?[=:] ?[\"']?[A-Za-z0-9+/_-]{8,}"
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-])(?!\.[0-9])"
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: After two check digits, in groups of four; a following word does not belong to the IBAN. Countries without a known length: as far as it goes.
+_KNOWN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+IBAN = rf"(?<![A-Za-z0-9])(?:(?:{_KNOWN})|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])"
+DATE = (
+    r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}"
+    r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}"
+    r"|[0-9]{2}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{2}|[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9/-])(?!\.[0-9])"
+)
+#: Names of months in English, French, German and Spanish, and their abbreviations.
+MONTHS = {
+    lang: [names.split() for names in lists]
+    for lang, lists in {
+        "en": ("january february march april may june july august september october november december", "jan feb mar apr may jun jul aug sep oct nov dec", "jan feb mar apr may jun jul aug sept oct nov dec"),
+        "fr": ("janvier février mars avril mai juin juillet août septembre octobre novembre décembre", "janv févr mars avr mai juin juil août sept oct nov déc"),
+        "de": ("januar februar märz april mai juni juli august september oktober november dezember", "jan feb mär apr mai jun jul aug sep okt nov dez"),
+        "es": ("enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre", "ene feb mar abr may jun jul ago sep oct nov dic"),
+    }.items()
+}
+MONTH = f"(?iu:{'|'.join(sorted({n for lists in MONTHS.values() for names in lists for n in names}, key=lambda n: (-len(n), n)))})"
+NAMED_DATE = (
+    rf"(?:(?<![\p{{L}}0-9./-])[0-9]{{1,2}}(?:st|nd|rd|th|er|\.)?(?: de | of |[ -]){MONTH}\.?(?:, | del? |[ -])[0-9]{{4}}"
+    rf"|(?<![\p{{L}}0-9]){MONTH}\.? [0-9]{{1,2}}(?:st|nd|rd|th)?,? [0-9]{{4}})(?![0-9])"
+)
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])"
 PHONE = r"(?<![0-9])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+#: Codes of countries: one or two digits, else three.
+COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2}"
+INTERNATIONAL = r"(?<![0-9A-Za-z+])(?:\+[1-9]|00[1-9](?=[0-9]{0,2}[ .-]))(?:[ .()/-]{0,2}[0-9]){7,14}(?![0-9])"
+#: North American without separators, and French.
+UNSEPARATED = r"(?<![\p{L}0-9_.,/+-])[2-9][0-9]{2}[2-9][0-9]{6}(?![\p{L}0-9_/-])(?![.,][0-9])"
+FRENCH = r"(?<![0-9.-])0[1-9](?:[ .-]?[0-9]{2}){4}(?![0-9-])(?!\.[0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
-CANDIDATE = "|".join((SECRET, ACCESS_KEY, MAIL, IBAN, DATE, ADDRESS, PHONE, SOCIAL, CARD))
+CANDIDATE = "|".join((SECRET, ACCESS_KEY, MAIL, IBAN, DATE, NAMED_DATE, ADDRESS, PHONE, INTERNATIONAL, UNSEPARATED, FRENCH, SOCIAL, CARD))
 
 
 def keyed(key: str, kind: str, turn: Column, half: Column) -> Column:
@@ -119,18 +152,8 @@ def iban(key: str, m: Column) -> Column:
     return F.when(valid, filled(m, whole))
 
 
-def date_parts(m: Column) -> tuple[Column, Column, Column, Column]:
-    """Year, month, day and whether the day stands first. Slashes: month first unless only the second number can be a month's day."""
-    p = F.split(m, "[-/.]")
-    a, b, c = (F.element_at(p, i).cast("int") for i in (1, 2, 3))
-    iso, dots = m.contains("-"), m.contains(".")
-    day_first = dots | (~iso & (a > 12))
-    return F.when(iso, a).otherwise(c), F.when(iso, b).when(day_first, b).otherwise(a), F.when(iso, c).when(day_first, a).otherwise(b), day_first
-
-
-def date(key: str, m: Column) -> Column:
+def moved_date(key: str, year: Column, month: Column, day: Column, shape) -> Column:
     """A day of 1900-2099 becomes another day of its century: 36,524 = 92 x 397 and 36,525 = 75 x 487 days."""
-    year, month, day, day_first = date_parts(m)
     leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
     last = F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
     valid = year.between(1900, 2099) & month.between(1, 12) & (day >= 1) & (day <= last)
@@ -141,10 +164,57 @@ def date(key: str, m: Column) -> Column:
     number = F.datediff(F.make_date(year, month, day), start).cast("long")
     moved = feistel(key, "date", F.floor(number / size_b), F.pmod(number, size_b), size_a, size_b)
     new = joined(moved, lambda s: F.date_add(start, (s["a"] * size_b + s["b"]).cast("int")))
-    shape = lambda x: F.when(m.contains("-"), F.date_format(x, "yyyy-MM-dd")).when(m.contains("."), F.date_format(x, "dd.MM.yyyy")).when(day_first, F.date_format(x, "dd/MM/yyyy")).otherwise(F.date_format(x, "MM/dd/yyyy"))
     return F.when(valid, joined(new, shape))
 
 
+def date(key: str, m: Column) -> Column:
+    """Slashes after a day or month: month first unless only the second number can be a month's day. Years of two digits count as 2000 to 2099."""
+    p = F.split(m, "[-/.]")
+    a, b, c = (F.element_at(p, i).cast("int") for i in (1, 2, 3))
+    year_first, short = m.rlike("^[0-9]{4}"), F.length(F.element_at(p, 3)) == 2
+    day_first = ~year_first & (~m.contains("/") | (a > 12))
+    year = F.when(year_first, a).when(short, c + 2000).otherwise(c)
+    month, day = F.when(year_first | day_first, b).otherwise(a), F.when(year_first, c).when(day_first, a).otherwise(b)
+    mark = F.regexp_extract(m, "[-/.]", 0)
+
+    def shape(x: Column) -> Column:
+        y, mm, dd = F.date_format(x, "yyyy"), F.date_format(x, "MM"), F.date_format(x, "dd")
+        end = F.when(short, F.substring(y, 3, 2)).otherwise(y)
+        return F.when(year_first, F.concat_ws("-", y, mm, dd)).when(day_first, F.concat_ws("-", dd, mm, end)).otherwise(F.concat_ws("-", mm, dd, end))
+
+    return F.replace(moved_date(key, year, month, day, shape), F.lit("-"), mark)
+
+
+def month_names(name: Column, m: Column) -> Column:
+    """The list of months that the name is from; a dot after the day speaks for German, a `de` for Spanish."""
+
+    def first(*langs: str) -> Column:
+        lists = [F.array(*map(F.lit, names)) for lang in langs for names in MONTHS[lang]]
+        return F.coalesce(*[F.when(F.array_contains(x, name), x) for x in lists])
+
+    return F.when(m.rlike(r"^[0-9]+\."), first("de", "en", "fr", "es")).when(m.contains(" de "), first("es", "fr", "en", "de")).otherwise(first("en", "fr", "de", "es"))
+
+
+def named_date(key: str, m: Column) -> Column:
+    """Day, name and year are replaced where they stand; ordinals follow the day, names keep their language and case."""
+    found = F.regexp_extract(m, MONTH, 0)
+    names = month_names(F.lower(found), m)
+    day, year = F.regexp_extract(m, "(?<![0-9])([0-9]{1,2})(?![0-9])", 1).cast("int"), F.regexp_extract(m, "[0-9]{4}", 0).cast("int")
+    ordinal = F.regexp_extract(m, "(?<=[0-9])(?:st|nd|rd|th|er)", 0)
+
+    def shape(x: Column) -> Column:
+        d = F.dayofmonth(x)
+        low = F.element_at(names, F.month(x))
+        name = F.when(found == F.lower(found), low).when(found == F.upper(found), F.upper(low)).otherwise(F.initcap(low))
+        nth = F.when(d.isin(1, 21, 31), "st").when(d.isin(2, 22), "nd").when(d.isin(3, 23), "rd").otherwise("th")
+        end = F.when(ordinal == "", "").when(ordinal == "er", F.when(d == 1, "er").otherwise("")).otherwise(nth)
+        dated = F.regexp_replace(m, F.lit("[0-9]{4}"), F.date_format(x, "yyyy"))
+        dated = F.regexp_replace(dated, F.lit("(?<![0-9])[0-9]{1,2}(?![0-9])(?:st|nd|rd|th|er)?"), F.concat(d.cast("string"), end))
+        return F.regexp_replace(dated, F.lit(MONTH), name)
+
+    return moved_date(key, year, F.array_position(names, F.lower(found)).cast("int"), day, shape)
+
+
 def address(key: str, m: Column) -> Column:
     p = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
     at = lambda i: F.element_at(p, i)
@@ -164,6 +234,20 @@ def phone(key: str, m: Column) -> Column:
     return filled(m, F.when(F.length(digits(m)) > 10, F.concat(F.lit("1"), new)).otherwise(new))
 
 
+def other_phone(key: str, m: Column) -> Column:
+    """International numbers keep their country's code, French ones their 0; +1 is moved as without separators."""
+    d = F.regexp_replace(digits(m), "^00", "")
+    code = F.regexp_extract(d, f"^(?:{COUNTRY})", 0)
+    rest = F.substring(d, F.length(code) + 1, F.length(d))
+    prefix = F.regexp_extract(digits(m), "^00", 0)
+    return (
+        F.when(m.rlike(f"^(?:{FRENCH})$"), filled(m, F.concat(F.lit("0"), permuted_digits(key, "french", F.substring(digits(m), 2, 9)))))
+        .when(m.rlike(f"^(?:{UNSEPARATED})$"), phone(key, m))
+        .when((code == "1") & (F.length(d) == 11), filled(m, F.concat(prefix, digits(phone(key, F.concat(F.lit("+"), d))))))
+        .otherwise(filled(m, F.concat(prefix, code, permuted_digits(key, "international", rest))))
+    )
+
+
 def social(key: str, m: Column) -> Column:
     area, group, serial = (F.substring(m, i, n).cast("long") for i, n in ((1, 3), (5, 2), (8, 4)))
     valid = area.between(1, 899) & (area != 666) & (group >= 1) & (serial >= 1)
@@ -222,8 +306,8 @@ def access_key(key: str, m: Column) -> Column:
 
 
 KINDS = (
-    ("secret", SECRET, secret), ("access_key", ACCESS_KEY, access_key), ("mail", MAIL, mail), ("iban", IBAN, iban), ("date", DATE, date),
-    ("address", ADDRESS, address), ("phone", PHONE, phone), ("social", SOCIAL, social), ("card", CARD, card),
+    ("secret", SECRET, secret), ("access_key", ACCESS_KEY, access_key), ("mail", MAIL, mail), ("iban", IBAN, iban), ("date", DATE, date), ("date", NAMED_DATE, named_date),
+    ("address", ADDRESS, address), ("phone", PHONE, phone), ("phone", f"{INTERNATIONAL}|{UNSEPARATED}|{FRENCH}", other_phone), ("social", SOCIAL, social), ("card", CARD, card),
 )
 
 

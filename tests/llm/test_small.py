@@ -213,6 +213,28 @@ def test_secrets_of_letters_only(spark):
     assert got[texts[3]] == texts[3]
 
 
+def test_usual_formats_of_dates_phones_and_ibans(spark):
+    """Each is found, keeps its shape, and another one with the same digits in a usual form gets the same digits."""
+    dates = ["31-12-1999", "1999/12/31", "1999.12.31", "31.12.99", "12/31/99", "31 December 1999", "Dec. 31st, 1999", "31. Dezember 1999", "1er février 1999", "31 de diciembre de 1999", "31 DÉCEMBRE 1999"]
+    phones = ["+49 30 12345678", "+33 6 12 34 56 78", "+15551234567", "5552345678", "0049 30 12345678", "06 12 34 56 78", "+1 555 234 5678"]
+    ibans = ["BE68 5390 0754 7034 PAID", "ES91 2100 0418 4502 0005 1332 A"]
+    other = ["at 4.0.12", "99.99.99", "the 31 marches 1999", "id_5552345678", "1700000000", "31 Februar 1999"]
+    d = spark.createDataFrame([(x, f"x {x}, y") for x in dates + phones + ibans + other], "doc_id string, text string")
+    got = {r.row.doc_id: (r.text[2:-3], [f.kind for f in r.found]) for r in private.pseudonymised(d, "k").collect()}
+    mask = lambda x: re.sub(r"\d+", "9", x)
+    for x in dates + phones + ibans:
+        assert got[x][0] != x and got[x][1] == ["date" if x in dates else "phone" if x in phones else "iban"], (x, got[x])
+    for x in (*dates[:5], *phones, *ibans):
+        assert mask(got[x][0]) == mask(x), (x, got[x])
+    assert got[phones[0]][0].startswith("+49 ") and got[phones[4]][0] == "00" + got[phones[0]][0][1:]
+    assert re.sub(r"\D", "", got[phones[6]][0]) == "1" + got[phones[3]][0]
+    assert got[ibans[0]][0].endswith(" PAID") and got[ibans[1]][0].endswith(" A")
+    for x in ibans:
+        n = re.sub(" |PAID|A$", "", got[x][0])
+        assert int("".join(str(int(c, 36)) for c in n[4:] + n[:4])) % 97 == 1
+    assert all(got[x] == (x, []) for x in other), [got[x] for x in other]
+
+
 def removed(rows, size=20):
     seen, out = set(), Counter()
     for d, t in sorted(((r[0], r[1] or "") for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1].encode())):
