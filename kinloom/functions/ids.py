@@ -36,6 +36,14 @@ def cluster_id(species: Column, c: Column) -> Column:
     return out
 
 
+def species_tab(species: Column) -> Column:
+    """The place of a species among the tabs: those with a prefix in their order, then all others (by name, among themselves)."""
+    out = F.lit(len(CLUSTER_PREFIXES))
+    for k, name in enumerate(CLUSTER_PREFIXES):
+        out = F.when(F.lower(species) == name, k).otherwise(out)
+    return out
+
+
 def chromosome(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), "(?i)^chr", "")
 

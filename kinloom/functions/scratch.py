@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir; where that is unset, a folder of our own, which only a local session can share with its tasks."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinloom-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
@@ -25,7 +27,8 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Workspace:
-    """A folder for tables that cut lineage and survive lost executors; it goes when the driver ends."""
+    """A folder for tables that cut lineage and survive lost executors. It goes when the driver ends, or before by close(), once
+    nothing reads its tables any more."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/kinloom-{name}-{uuid.uuid4().hex}"
@@ -41,6 +44,10 @@ class Workspace:
     def drop(self, name: str) -> None:
         delete(self.spark, self.path(name))
 
+    def close(self) -> None:
+        atexit.unregister(self._end)
+        self._end()
+
     def _end(self) -> None:
         try:
             delete(self.spark, self.root)

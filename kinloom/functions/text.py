@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from unicodedata import combining, normalize
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What queries lose.
+#: What queries lose, and what a token of a query is. Fixed values.
 UNSAFE = r"[;:{}()*<>'\"`\\|?%#=\[\]^$@!~/&+]"
 TOKEN = r"([A-Za-z0-9]{2,})"
+#: A term of an indexed text: letters and digits of any script.
+TERM = r"([\p{L}\p{N}\p{Co}]+)"
 #: Words for a missing value in annotation files. Fixed values.
 MISSING = ("null", "none", "na", "n/a", ".")
 #: Words for a missing number in expression files, in upper case. Fixed values.
@@ -22,6 +26,30 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(1))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Accented letters, and the letters that they are without their marks, by the canonical decompositions of Unicode."""
+    pairs = {}
+    for code in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
+        whole = chr(code)
+        base = "".join(x for x in normalize("NFD", whole) if not combining(x))
+        if base != whole and len(base) == 1:
+            pairs[whole] = base
+    return "".join(pairs), "".join(pairs.values())
+
+
+ACCENTED, PLAIN = _plain_letters()
+
+
+def folded(c: Column) -> Column:
+    """Lower case without diacritics."""
+    return F.translate(F.regexp_replace(F.lower(c), r"\p{Mn}+", ""), ACCENTED, PLAIN)
+
+
+def terms(c: Column) -> Column:
+    """The terms under which a text is indexed, in order: runs of letters and digits, lower case, without diacritics."""
+    return F.regexp_extract_all(folded(F.coalesce(c, F.lit(""))), F.lit(TERM), F.lit(1))
+
+
 def alias_terms(c: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(F.array(F.lower(F.trim(c))), F.transform(tokens(c), F.lower))), lambda x: x != "")
 
@@ -58,14 +86,18 @@ def sentences(*parts: Column) -> Column:
     return F.aggregate(full, F.lit(""), glue)
 
 
-def snippet(text: Column, token: Column, width: int = 140, before: int = 46) -> Column:
-    """The part of the text around the token's first place."""
-    at = F.instr(F.lower(text), F.lower(token))
-    begin = F.greatest(F.lit(1), at - before)
-    cut = F.substring(text, begin, F.lit(width))
-    return F.when(F.length(text) <= width, text).otherwise(
-        F.concat(F.when(begin > 1, F.lit("…")).otherwise(""), F.trim(cut), F.when(begin + width - 1 < F.length(text), F.lit("…")).otherwise(""))
-    )
+def snippet(text: Column, tokens: list[str], width: int = 140) -> Column:
+    """The text from a third of the width before the first token that it has to a width after its start; dots for what is cut off at
+    either side. The tokens are tried in order; a text without any shows its beginning."""
+    n = F.length(text)
+    dots = lambda more: F.when(more, "...").otherwise("")
+    out = F.concat(F.substring(text, 1, width), dots(n > width))
+    for t in reversed(tokens):
+        at = F.instr(F.lower(text), F.lit(t.lower()))
+        begin = F.greatest(F.lit(0), at - 1 - width // 3)
+        end = F.least(n, at - 1 + width)
+        out = F.when(at > 0, F.concat(dots(begin > 0), F.substring(text, begin + 1, end - begin), dots(end < n))).otherwise(out)
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "").otherwise(out)
 
 
 def like_escaped(c: Column) -> Column:
@@ -110,12 +142,46 @@ def content_id(seq: Column) -> Column:
     return F.concat(F.lit("u"), F.substring(F.sha2(hashable(seq).cast("binary"), 256), 1, 16))
 
 
+def significant(x: Column, digits: int = 4) -> Column:
+    """A number of 0.01 or more with so many significant digits, without zeros at its end; powers of ten beyond them as an exponent."""
+    whole = F.format_string(f"%.{digits - 1}e", x)
+    power = F.regexp_extract(whole, "e(.*)$", 1).cast("int")
+    plain = F.lit(None).cast("string")
+    for p in range(-2, digits):
+        plain = F.when(power == p, F.format_string(f"%.{digits - 1 - p}f", x)).otherwise(plain)
+    short = lambda s: F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
+    return F.when(power >= digits, F.concat(short(F.regexp_extract(whole, "^(.*)e", 1)), F.regexp_extract(whole, "(e.*)$", 1))).otherwise(short(plain))
+
+
 def evalue_label(e: Column) -> Column:
-    return F.when(e.isNull(), "").when(e == 0, "0").when(e < 0.001, F.format_string("%.2e", e)).otherwise(F.format_string("%.4f", e))
+    """A dash for none, 0, two decimals and an exponent below a hundredth (one decimal at the end of the range), four digits above."""
+    size = F.abs(e)
+    small = F.when(size < 1e-300, F.format_string("%.1e", e)).otherwise(F.format_string("%.2e", e))
+    return F.when(e.isNull(), "—").when(e == 0, "0").when(size >= 0.01, significant(e)).otherwise(small)
 
 
 def identity_label(p: Column) -> Column:
-    return F.when(p.isNull(), "").otherwise(F.format_string("%.1f%%", p))
+    return F.when(p.isNull(), "—").otherwise(F.format_string("%.1f%%", p))
+
+
+def fdr_label(q: Column) -> Column:
+    """Two decimals and a short exponent below a hundredth, three decimals below one, two above; empty for none."""
+    power = F.regexp_replace(F.format_string("%.2e", q), r"e([+-])0(\d)$", "e$1$2")
+    return F.when(q.isNull() | F.isnan(q), "").when(q < 0.01, power).when(q < 1, F.format_string("%.3f", q)).otherwise(F.format_string("%.2f", q))
+
+
+def quoted_cell(c: Column) -> Column:
+    """A cell of an export: in quotes, those inside doubled, if it has a tab, a quote or a line end; empty for null."""
+    s = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(s.rlike('[\t"\r\n]'), F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
+
+
+def templated(template: str, values: dict[str, Column]) -> Column:
+    """A template with {name} replaced by each value; empty for a missing one."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit(f"{{{name}}}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
 
 
 def palette_slot(key: Column, size: int = 77) -> Column:

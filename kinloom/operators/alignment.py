@@ -23,6 +23,11 @@ def long_form(rows: DataFrame) -> DataFrame:
     return full.select("grp", "gene_id", F.posexplode(F.split("seq", "")).alias("col", "aa")).withColumn("col", F.col("col") + 1)
 
 
+def sane(rows: DataFrame) -> DataFrame:
+    """Rows of (gene_id, seq) that a client may send: ids of up to 256 characters, sequences of 1 to 120,000 of the alphabet."""
+    return rows.filter(F.length("gene_id").between(1, 256) & F.length("seq").between(1, 120_000) & F.col("seq").rlike(r"^[A-Z.*-]+$"))
+
+
 def residue_counts(aln: DataFrame) -> DataFrame:
     return aln.filter("aa <> '-'").groupBy("grp", "col", "aa").agg(F.count("*").alias("n"), F.min("gene_id").alias("first"))
 
@@ -95,13 +100,14 @@ def codon_errors(aln: DataFrame, cds: DataFrame) -> DataFrame:
     return need.join(cds, "gene_id", "left").select("grp", "gene_id", error.alias("error"))
 
 
-def substitutions(coded: DataFrame, table: DataFrame) -> DataFrame:
-    """(grp, gene_id, col, s, n, sd, nd): sites and differences of each column against the group's first sequence.
+def substitutions(coded: DataFrame, table: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """(grp, gene_id, col, s, n, sd, nd): sites and differences of each column against the group's reference: its sequence in
+    references (grp, gene_id), or its first one without. A group whose reference has no codons gives no rows.
 
     A column counts if both codons are amino acids. Sites are the mean of both codons'; a differing codon is one difference, of the same
     amino acid a synonymous one.
     """
-    first = coded.groupBy("grp").agg(F.min("gene_id").alias("gene_id"))
+    first = coded.groupBy("grp").agg(F.min("gene_id").alias("gene_id")) if references is None else references.select("grp", "gene_id")
     side = lambda df, n: df.join(F.broadcast(table.select(F.col("codon"), F.col("aa").alias(f"aa{n}"), F.col("syn").alias(f"syn{n}"))), "codon", "left").withColumnRenamed("codon", f"codon{n}")
     ref = side(coded.join(first, ["grp", "gene_id"]).select("grp", "col", "codon"), 1)
     rest = side(coded.join(first, ["grp", "gene_id"], "left_anti"), 2)

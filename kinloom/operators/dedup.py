@@ -16,6 +16,11 @@ def distinct_sequences(rows: DataFrame, order: list[Column]) -> tuple[DataFrame,
     return uniq.select("uniq_id", "seq"), keyed.select("id", "uniq_id")
 
 
+def stored(mapping: DataFrame, uniq: DataFrame) -> DataFrame:
+    """(id, uniq_id, seq): each row's sequence as it is stored, that of the first row with the same normalised one."""
+    return mapping.join(uniq, "uniq_id").select("id", "uniq_id", "seq")
+
+
 def recombined(mapping: DataFrame, predictions: DataFrame, order: list[Column]) -> DataFrame:
     """Every original row with the prediction of its sequence, the first of several; null without."""
     return mapping.join(pick(predictions, ["uniq_id"], order), "uniq_id", "left")

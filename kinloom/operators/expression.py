@@ -29,14 +29,25 @@ def by_position(values: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def tissue_stats(rows: DataFrame) -> DataFrame:
-    """n, mean, sample deviation (0 for one sample) and the first sample of each gene, organ, experiment and group."""
+    """n, mean and sample deviation (0 for one sample) of each gene, experiment and group, with the organ and genome of the group's
+    first sample. Samples without a value do not count; a group without any value has no row."""
     s = F.coalesce(F.stddev_samp("value"), F.lit(0.0))
-    return rows.groupBy("gene", "organ", "experiment", "grp").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(s, 6).alias("sd"), F.min("sample_idx").alias("first_sample"))
+    first = F.min(F.struct("sample_idx", "organ", "genome"))
+    per = rows.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("gene", "experiment", "grp").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(s, 6).alias("sd"), first.alias("f"))
+    return per.select("gene", "f.organ", "f.genome", "experiment", "grp", "n", "mean", "sd", F.col("f.sample_idx").alias("first_sample"))
+
+
+def summary(genes: DataFrame, stats: DataFrame) -> DataFrame:
+    """Of each gene asked: experiments, samples and organs with values, and whether there is something to show."""
+    per = stats.groupBy("gene").agg(F.count_distinct("experiment").alias("experiments"), F.sum("n").alias("samples"), F.count_distinct("organ").alias("organs"))
+    none = F.lit(0).cast("long")
+    out = genes.join(per, "gene", "left").select("gene", *[F.coalesce(c, none).alias(c) for c in ("experiments", "samples", "organs")])
+    return out.withColumn("status", F.when(F.col("samples") > 0, "ok").otherwise("no_data"))
 
 
 def organ_means(stats: DataFrame) -> DataFrame:
     """Mean of the groups' means by organ, and the organs' order of first appearance."""
-    return stats.groupBy("gene", "organ").agg(F.round(F.avg("mean"), 6).alias("mean"), F.min("first_sample").alias("first_sample"))
+    return stats.groupBy("gene", "organ").agg(F.avg("mean").alias("mean"), F.min("first_sample").alias("first_sample"))
 
 
 def normalised_groups(stats: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import ids
 from kinloom.functions.scratch import Workspace
-from kinloom.operators.pick import pick
+from kinloom.operators.pick import pick, ranked
 
 
 def components(edges: DataFrame, workspace: Workspace, name: str = "edges") -> DataFrame:
@@ -47,16 +47,9 @@ def with_singletons(found: DataFrame, universe: DataFrame) -> DataFrame:
 
 
 def numbered(found: DataFrame, prefix: str, workspace: Workspace) -> DataFrame:
-    """(node, cluster): names by rank of the components' first members.
-
-    Components are dealt by range and ranked inside each part; the parts' sizes, one row a part, give the offsets. No task ranks all.
-    """
+    """(node, cluster): names by rank of the components' first members."""
     per = found.groupBy("component").agg(F.min("node").alias("first"))
-    dealt = workspace.write(per.repartitionByRange(F.col("first")).sortWithinPartitions("first").withColumn("seq", F.monotonically_increasing_id()), "first-members")
-    part, inside = F.shiftright("seq", 33), F.col("seq").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    below = sizes.alias("x").join(F.broadcast(sizes.select(F.col("part").alias("p2"), F.col("n").alias("n2"))), F.col("p2") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("n2"), F.lit(0)).alias("offset"))
-    names = dealt.withColumn("part", part).join(F.broadcast(below), "part").select("component", F.format_string(f"{prefix}_%06d", F.col("offset") + inside + 1).alias("cluster"))
+    names = ranked(per, ["first"], workspace, "first-members").select("component", F.format_string(f"{prefix}_%06d", "rank").alias("cluster"))
     return found.join(names, "component").select("node", "cluster")
 
 

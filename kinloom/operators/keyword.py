@@ -38,30 +38,58 @@ def alias_rows(refs: DataFrame, names: dict[str, Column]) -> DataFrame:
     return one.select(F.lower(F.trim("alias")).alias("alias_norm"), "ref_id", "kind").filter("alias_norm <> ''").distinct()
 
 
-def postings(refs: DataFrame, key: str, body: Column) -> DataFrame:
-    """(term, key, tf, length) with terms in lower case and the length of each text in terms."""
-    terms = refs.select(key, F.transform(text.tokens(body), F.lower).alias("terms"))
-    one = terms.select(key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
+def postings(refs: DataFrame, key: str, *bodies: Column) -> DataFrame:
+    """(term, key, tf, length): terms of all the given text columns, without case and diacritics, and the terms of a row in all."""
+    every = F.flatten(F.array(*map(text.terms, bodies)))
+    one = refs.select(key, every.alias("terms")).select(key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
     return one.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
-def retrieved(posts: DataFrame, key: str, tokens: list[str], limit: int) -> DataFrame:
+def stored_postings(posts: DataFrame, path: str, force: bool = False) -> None:
+    """Postings dealt and sorted by term, so that a search reads the row groups of its prefixes only."""
+    posts.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite" if force else "errorifexists").option("compression", "zstd").parquet(path)
+
+
+def matching(posts: DataFrame, key: str, tokens: list[str]) -> DataFrame:
+    """(key, token, tf, length): how often a term that starts with the token stands in each text; the prefixes are filters of the scan."""
+    tokens = [t.lower() for t in tokens]
+    some = F.lit(False)
+    for t in tokens:
+        some = some | F.startswith(F.col("term"), F.lit(t))
+    query = F.array(*[F.lit(t) for t in tokens])
+    hit = posts.filter(some).withColumn("token", F.explode(F.filter(query, lambda t: F.startswith(F.col("term"), t))))
+    return hit.groupBy("token", key, "length").agg(F.sum("tf").alias("tf"))
+
+
+def retrieved(posts: DataFrame, key: str, tokens: list[str], limit: int, whole: DataFrame | None = None) -> DataFrame:
     """Texts that have, for each token, a term that starts with it, by BM25, the first `limit`; ties by key.
 
-    Corpus numbers are one row and join as a broadcast of that row.
+    Corpus numbers (n, mean) are one row, which may be given, and join as a broadcast of that row. A token that more than
+    half of all texts have counts next to nothing, as its idf is kept above 0.
     """
-    query = F.array(*[F.lit(t.lower()) for t in tokens])
-    hit = posts.withColumn("token", F.explode(F.filter(query, lambda t: F.startswith(F.col("term"), t))))
-    tf = hit.groupBy("token", key, "length").agg(F.sum("tf").alias("tf"))
+    tokens = list(dict.fromkeys(t.lower() for t in tokens))
+    tf = matching(posts, key, tokens)
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    whole = posts.select(key, "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    if whole is None:
+        whole = corpus_numbers(posts, key)
     s = tf.join(df, "token").crossJoin(F.broadcast(whole))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    plain = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(plain > 0, plain).otherwise(1e-6)
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     ranked = s.groupBy(key).agg(F.sum(score).alias("score"), F.count("*").alias("tokens")).filter(F.col("tokens") == len(tokens))
     return ranked.select(key, F.round("score", 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
+def corpus_numbers(posts: DataFrame, key: str) -> DataFrame:
+    """One row: texts with a term, and their mean length."""
+    return posts.select(key, "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+
+
+def candidate_cap(ref_limit: int) -> int:
+    """How many texts a search ranks before it looks for those with hits."""
+    return max(4 * ref_limit, 50)
+
+
 def matched_refs(alias_hits: DataFrame, text_hits: DataFrame, hits: DataFrame, limit: int = 25, selected: DataFrame | None = None) -> DataFrame:
     """(ref_id, kind, rank): alias matches, then text matches in order; only those with a hit; the first `limit`, and selected ones beyond."""
     a = alias_hits.select("ref_id", F.lit(0).alias("tier"), F.lit(0.0).alias("score"))
@@ -127,8 +155,21 @@ def hits_by_genome(hits: DataFrame) -> DataFrame:
     return n.groupBy("pangene").agg(F.array_join(F.transform(listed, lambda x: F.concat(x["accession"], F.lit(":"), x["n"].cast("string"))), "|").alias("by_genome"))
 
 
-def cards(refs: DataFrame, token: str) -> DataFrame:
-    """What a reference gene's card shows: all names, the whole description and the part of it around the token."""
+def cards(refs: DataFrame, tokens: list[str]) -> DataFrame:
+    """What a reference gene's card shows: all names, the whole description and the part of it around the first token found."""
     whole = F.when(F.lower("species") == "arabidopsis", text.sentences(F.col("short"), F.col("curator"), F.col("computed"))).otherwise(F.trim("description"))
     names = text.piped(F.concat(F.split("symbols", r"\|"), F.split("full_name", r"\|")))
-    return refs.select("ref_id", "species", names.alias("names"), whole.alias("whole")).withColumn("snippet", text.snippet(F.col("whole"), F.lit(token)))
+    return refs.select("ref_id", "species", names.alias("names"), whole.alias("whole")).withColumn("snippet", text.snippet(F.col("whole"), tokens))
+
+
+def selected_groups(hits: DataFrame, chosen: list[str], genes: DataFrame | None, sizes: DataFrame, max_evalue: float = MAX_EVALUE, limit: int = 100) -> DataFrame:
+    """Clusters ranked by their hits of the chosen references (in any case): cutoff, cluster of each gene in the active set (genes; the
+    hits' own without), rollup, rank and labels, in one."""
+    names = [c.upper() for c in chosen]
+    used = usable_hits(hits.filter(F.upper("ref_id").isin(*names)), max_evalue)
+    used = used if genes is None else remapped(used, genes)
+    used = used.filter(F.coalesce("pangene", F.lit("")) != "")
+    groups = ranked(rollup(used, sizes), limit).withColumn("density_pct", F.round("density_pct", 2))
+    groups = groups.join(hits_by_genome(used), "pangene")
+    out = groups.withColumn("min_evalue_label", text.evalue_label(F.col("min_evalue"))).withColumn("max_pident_label", text.identity_label(F.col("max_pident")))
+    return out.orderBy(F.coalesce("min_evalue", F.lit(1.0)), F.desc(F.col("matched_genes") / F.coalesce(F.when(F.col("size") > 0, F.col("size")), F.greatest("matched_genes", F.lit(1)))), F.desc("matched_genes"), "pangene")

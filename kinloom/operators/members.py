@@ -49,8 +49,13 @@ def with_size(genes: DataFrame, info: DataFrame) -> DataFrame:
     return genes.join(info, "pangene", "left").join(counted, "pangene").withColumn("size", F.coalesce("gene_count", "counted")).drop("gene_count", "counted")
 
 
+def with_places(genes: DataFrame, placed: DataFrame) -> DataFrame:
+    """Members with the coordinates of their accession; null for members without coordinates, which stay."""
+    return genes.join(placed, ["gene_id", "accession"], "left")
+
+
 def subgenome_counts(placed: DataFrame) -> DataFrame:
-    """Members of each cluster on A, B, D and elsewhere, and the subgenome with most, A before B before D; ? if all are 0."""
+    """Members of each cluster on A, B, D and elsewhere or without coordinates, and the subgenome with most, A before B before D; ? if all are 0."""
     sg = F.coalesce("subgenome", F.lit("?"))
     counts = placed.groupBy("pangene").agg(*[F.count_if(sg == s).alias(f"n_{s.lower()}") for s in "ABD"], F.count_if(~sg.isin("A", "B", "D")).alias("n_other"))
     top = F.greatest("n_a", "n_b", "n_d")
@@ -64,12 +69,20 @@ def triads(counts: DataFrame, family: str) -> DataFrame:
 
 
 def partitioned(placed: DataFrame, limit: int = 600) -> DataFrame:
-    """Members of a cluster by subgenome, in order of id, the first `limit` of the cluster, and whether there were more."""
-    order = Window.partitionBy("pangene").orderBy("gene_id", "accession")
-    ranked = placed.withColumn("rank", F.row_number().over(order))
-    sizes = placed.groupBy("pangene").agg((F.count("*") > limit).alias("truncated"))
-    kept = ranked.filter(F.col("rank") <= limit).groupBy("pangene", F.coalesce("subgenome", F.lit("?")).alias("bucket")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "gene_id"))), lambda x: x["gene_id"]), "|").alias("genes"), F.count("*").alias("n"))
-    return kept.join(sizes, "pangene")
+    """Members of a cluster by subgenome (? for others and those without coordinates), in order of accession and id: the first `limit` of
+    the cluster; which of those shown lack coordinates; how many there are and are shown, and whether there were more.
+
+    Members are ranked within one cluster; what is aggregated is bounded by the limit.
+    """
+    order = Window.partitionBy("pangene").orderBy("accession", "gene_id")
+    ranked = placed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    sizes = placed.groupBy("pangene").agg(F.count("*").alias("total"))
+    named = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "gene_id"))), lambda x: x["gene_id"]), "|").alias(c)
+    bucket = F.when(F.upper("subgenome").isin("A", "B", "D"), F.upper("subgenome")).otherwise("?")
+    missing = ranked.filter("chr IS NULL").groupBy("pangene").agg(F.array_join(F.array_sort(F.collect_set("gene_id")), "|").alias("missing"))
+    kept = ranked.groupBy("pangene", bucket.alias("bucket")).agg(named("genes"), F.count("*").alias("n"))
+    out = kept.join(sizes, "pangene").join(missing, "pangene", "left")
+    return out.select("pangene", "bucket", "genes", "n", F.coalesce("missing", F.lit("")).alias("missing"), "total", F.least("total", F.lit(limit).cast("long")).alias("shown"), (F.col("total") > limit).alias("truncated"))
 
 
 def accession_counts(placed: DataFrame) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions import text
+from kinloom.functions.scratch import Workspace
+from kinloom.operators.pick import ranked
+
+#: Layout of an index; a reader refuses older ones. Fixed value.
+SCHEMA_VERSION = 3
 
 
 def table(df: DataFrame, path: str, force: bool = False, by: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> None:
@@ -45,6 +50,23 @@ def merged_statistics(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("species"), "species", "left_anti").unionByName(new).orderBy("species")
 
 
-def numbered(df: DataFrame, order: list[str], size: int) -> DataFrame:
-    """Job lists in batches of `size`, by one global order; for lists that a driver could hold."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size))
+def checksums(spark: SparkSession, path: str) -> dict[str, str]:
+    """The sha1 of each file of a folder or of a file, by name; files are hashed where they are read."""
+    rows = spark.read.format("binaryFile").load(path).filter("length > 0")
+    return {r["name"]: r["sha1"] for r in rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha1("content").alias("sha1")).orderBy("name").collect()}
+
+
+def metadata(spark: SparkSession, path: str, values: dict[str, object], force: bool = False) -> None:
+    """(k, v) of an index: version, counts, checksums of its sources."""
+    rows = [(k, str(v)) for k, v in sorted(values.items())]
+    spark.createDataFrame(rows, "k string, v string").coalesce(1).write.mode("overwrite" if force else "errorifexists").parquet(path)
+
+
+def numbered(df: DataFrame, order: list[str], size: int, workspace: Workspace) -> DataFrame:
+    """Job lists in batches of `size`, by one order over all."""
+    return ranked(df, order, workspace, "jobs").withColumn("batch", F.floor((F.col("rank") - 1) / size)).drop("rank")
+
+
+def round_robin(df: DataFrame, order: list[str], batches: int, workspace: Workspace) -> DataFrame:
+    """Rows dealt in turn to so many batches, by one order over all."""
+    return ranked(df, order, workspace, "turns").withColumn("batch", ((F.col("rank") - 1) % batches).cast("int")).drop("rank")

@@ -58,8 +58,17 @@ def coded(i):
     return alignment.codons(aln(i), i.cds)
 
 
-def subs(i):
-    return alignment.substitutions(coded(i), alignment.codon_table(i.spark))
+def subs(i, references=None):
+    return alignment.substitutions(coded(i), alignment.codon_table(i.spark), references)
+
+
+def last_ones(i):
+    """A reference that the caller chooses: the group's last sequence."""
+    return i.aln.groupBy("grp").agg(F.max("gene_id").alias("gene_id"))
+
+
+CHOSEN = SUBS.replace("lead AS (SELECT grp, min(gene_id) AS gene_id FROM coded GROUP BY grp)", "lead AS (SELECT grp, max(gene_id) AS gene_id FROM aln GROUP BY grp)")
+TOTALS = "t AS (SELECT grp, gene_id, sum(s) AS s, sum(n) AS n, sum(sd)::BIGINT AS sd, sum(nd)::BIGINT AS nd FROM subs GROUP BY 1, 2) SELECT grp, gene_id, round(s, 6) AS s_sites, round(n, 6) AS n_sites, sd, nd, round(CASE WHEN n > 0 THEN nd / n END, 6) AS ka, round(CASE WHEN s > 0 THEN sd / s END, 6) AS ks, round(CASE WHEN s > 0 AND sd > 0 AND n > 0 THEN (nd / n) / (sd / s) END, 6) AS omega, CASE WHEN s <= 0 AND n <= 0 THEN 'no_valid_sites' END AS error FROM t"
 
 
 @query(f"WITH {CODED} SELECT * FROM coded", "aln", "cds")
@@ -72,21 +81,34 @@ def m04_substitutions(i):
     return subs(i).select("grp", "gene_id", "col", F.round("s", 6).alias("s"), F.round("n", 6).alias("n"), "sd", "nd")
 
 
-@query(f"WITH {SUBS}, t AS (SELECT grp, gene_id, sum(s) AS s, sum(n) AS n, sum(sd)::BIGINT AS sd, sum(nd)::BIGINT AS nd FROM subs GROUP BY 1, 2) SELECT grp, gene_id, round(s, 6) AS s_sites, round(n, 6) AS n_sites, sd, nd, round(CASE WHEN n > 0 THEN nd / n END, 6) AS ka, round(CASE WHEN s > 0 THEN sd / s END, 6) AS ks, round(CASE WHEN s > 0 AND sd > 0 AND n > 0 THEN (nd / n) / (sd / s) END, 6) AS omega, CASE WHEN s <= 0 AND n <= 0 THEN 'no_valid_sites' END AS error FROM t", "aln", "cds")
+@query(f"WITH {SUBS}, {TOTALS}", "aln", "cds")
 def m05_pairwise_rates(i):
     return alignment.pairwise(subs(i))
 
 
+@query(f"WITH {CHOSEN}, {TOTALS}", "aln", "cds")
+def m05_rates_against_a_chosen_gene(i):
+    return alignment.pairwise(subs(i, last_ones(i)))
+
+
 @query(f"WITH {LONG}, need AS (SELECT grp, gene_id, count(*) FILTER (aa <> '-') AS need FROM long GROUP BY 1, 2) SELECT n.grp, n.gene_id, CASE WHEN c.cds IS NULL OR c.cds = '' THEN 'no_cds' WHEN need = 0 OR length(regexp_replace(upper(c.cds), '[^ATCG]', '', 'g')) < 3 * need THEN 'cds_length_mismatch' END AS error FROM need n LEFT JOIN cds c ON n.gene_id = c.gene_id", "aln", "cds")
 def m05_codon_errors(i):
     return alignment.codon_errors(aln(i), i.cds)
 
 
-@query(f"WITH {SUBS}, frames AS (SELECT grp, gene_id, col, ref_gap, sum(s) OVER f AS s, sum(n) OVER f AS n, sum(sd) OVER f AS sd, sum(nd) OVER f AS nd FROM subs WINDOW f AS (PARTITION BY grp, gene_id ORDER BY col ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) SELECT grp, col, round(round(avg(CASE WHEN NOT ref_gap AND n > 0 AND s > 0 AND sd > 0 THEN (nd / n) / (sd / s) END), 6) + 1e-7, 4) AS omega FROM frames GROUP BY 1, 2", "aln", "cds")
+FRAMES = "frames AS (SELECT grp, gene_id, col, ref_gap, sum(s) OVER f AS s, sum(n) OVER f AS n, sum(sd) OVER f AS sd, sum(nd) OVER f AS nd FROM subs WINDOW f AS (PARTITION BY grp, gene_id ORDER BY col ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) SELECT grp, col, round(round(avg(CASE WHEN NOT ref_gap AND n > 0 AND s > 0 AND sd > 0 THEN (nd / n) / (sd / s) END), 6) + 1e-7, 4) AS omega FROM frames GROUP BY 1, 2"
+
+
+@query(f"WITH {SUBS}, {FRAMES}", "aln", "cds")
 def w05_m08_sliding_ratio(i):
     return alignment.sliding(subs(i)).withColumn("omega", F.round(F.col("omega") + 1e-7, 4))
 
 
+@query(f"WITH {CHOSEN}, {FRAMES}", "aln", "cds")
+def m08_ratio_along_a_chosen_gene(i):
+    return alignment.sliding(subs(i, last_ones(i))).withColumn("omega", F.round(F.col("omega") + 1e-7, 4))
+
+
 KMERS = "letters AS (SELECT grp, gene_id, regexp_replace(upper(seq), '[^A-Z]', '', 'g') AS s FROM aln), k AS (SELECT grp, gene_id, list_sort(list_distinct(list_transform(range(1, CAST(length(s) - 3 AS BIGINT)), lambda j: CAST((1 + ascii(substr(s, j, 1)) + ascii(substr(s, j + 1, 1)) + ascii(substr(s, j + 2, 1)) + ascii(substr(s, j + 3, 1)) + ascii(substr(s, j + 4, 1))) % 4096 AS INT)))) AS k FROM letters)"
 
 
@@ -105,10 +127,25 @@ def h04_h05_track_order(i):
     return similarity.track_order(i.aln)
 
 
-@query()
+#: A tree for each group: a chain of its members, each leaf as long as its part is large, each inner branch 1.
+TREES = "tip AS (SELECT 'c' || CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS STRING) AS tree, CAST(p_partkey AS STRING) AS name, p_size + 1 AS len, row_number() OVER (PARTITION BY CAST(floor(p_partkey / 50) AS BIGINT) ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY CAST(floor(p_partkey / 50) AS BIGINT)) AS n FROM part)"
+
+
+def trees(i, chain: bool):
+    """(tree, newick): flat trees, or ((((a:1,b:1):1,c:1):1,...): chains."""
+    name, size = F.col("p_partkey").cast("string"), (F.col("p_size") + 1).cast("string")
+    grp = F.concat(F.lit("c"), F.floor(F.col("p_partkey") / 50).cast("string"))
+    tips = i.part.groupBy(grp.alias("tree")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.concat_ws(":", name, size).alias("tip")))), lambda x: x["tip"]).alias("tips"))
+    if not chain:
+        return tips.select("tree", F.concat(F.lit("("), F.array_join("tips", ","), F.lit(");")).alias("newick"))
+    rest = F.slice("tips", F.lit(2), F.greatest(F.size("tips") - 1, F.lit(0)))
+    grown = F.aggregate(rest, F.concat(F.lit("("), F.element_at("tips", 1), F.lit(")")), lambda acc, t: F.concat(F.lit("("), acc, F.lit(":1,"), t, F.lit(")")))
+    return tips.select("tree", F.concat(grown, F.lit(";")).alias("newick"))
+
+
+@query(f"WITH {TREES} SELECT tree, CAST(k - 1 AS INT) AS rank, name AS leaf, (len + n - greatest(k, 1))::DOUBLE AS depth FROM tip")
 def h11_leaf_order(i):
-    t = i.part.filter("p_partkey < 2000").groupBy(F.col("p_brand").alias("tree")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.col("p_partkey").cast("string"), F.lit(":1")))), ",").alias("leaves"))
-    return similarity.leaf_order(t.select("tree", F.concat(F.lit("("), "leaves", F.lit(");")).alias("newick")))
+    return similarity.leaf_order(trees(i, chain=True))
 
 
 @query("SELECT gene_id, replace(replace(seq, '.', ''), '-', '') AS plain, rpad(substr('HHEECC', 1, length(replace(seq, '-', ''))::INTEGER), length(replace(seq, '-', ''))::INTEGER, '-') AS fitted, translate(upper('he-C. b'), 'EC-. ', 'SLLLL') AS states FROM aln", "aln")

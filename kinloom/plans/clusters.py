@@ -24,7 +24,9 @@ def placed(i):
 
 
 def member_places(i):
-    return genes(i).drop("accession").join(placed(i), "gene_id")
+    """Members with the places of their accession; about half have none under the accession that they go by here."""
+    g = genes(i).withColumn("accession", F.concat(F.lit("acc"), (F.substring("accession", 4, 10).cast("int") % 20).cast("string")))
+    return members.with_places(g, placed(i))
 
 
 @query("SELECT DISTINCT m.gene_id, m.pangene, c.accession FROM member m JOIN (SELECT DISTINCT gene_id, accession FROM coord) c ON m.gene_id = c.gene_id", "member", "coord")
@@ -71,13 +73,13 @@ def j02_members_with_places(i):
     return out.select(g["gene_id"], "pangene", F.col("acc2").alias("accession"), "chr", "begin_pos", "end_pos")
 
 
-ASKED = "asked AS (SELECT DISTINCT CASE l_linenumber % 3 WHEN 0 THEN 'LI' || CAST(l_orderkey AS STRING) WHEN 1 THEN 'LI' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING) ELSE 'LI' || CAST(l_orderkey AS STRING) || '.77' END AS asked FROM lineitem WHERE l_orderkey % 7 = 0)"
+ASKED = "asked AS (SELECT DISTINCT CASE l_linenumber % 3 WHEN 0 THEN 'LI' || CAST(l_orderkey AS STRING) WHEN 1 THEN 'LI' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING) ELSE 'LI' || CAST(l_orderkey AS STRING) || '.77' END AS asked FROM lineitem)"
 
 
 def asked(i):
     k, n = F.col("l_orderkey").cast("string"), F.col("l_linenumber")
     name = F.when(n % 3 == 0, F.concat(F.lit("LI"), k)).when(n % 3 == 1, F.concat(F.lit("LI"), k, F.lit("."), n.cast("string"))).otherwise(F.concat(F.lit("LI"), k, F.lit(".77")))
-    return i.lineitem.filter("l_orderkey % 7 = 0").select(name.alias("asked")).distinct()
+    return i.lineitem.select(name.alias("asked")).distinct()
 
 
 @query(f"""WITH {GENES}, {ASKED}, v AS (SELECT asked, 0 AS pos, asked AS key FROM asked UNION ALL SELECT asked, 1, CASE WHEN regexp_matches(asked, '\\.[0-9]+$') THEN regexp_replace(asked, '\\.[0-9]+$', '') ELSE asked || '.1' END FROM asked),
@@ -112,8 +114,9 @@ def t04_suggestions(i):
     return members.suggestions(genes(i), "Li12").select("gene_id", "pangene")
 
 
-COUNTS = f"""{GENES}, {PLACED}, counts AS (SELECT g.pangene, count(*) FILTER (p.subgenome = 'A') AS n_a, count(*) FILTER (p.subgenome = 'B') AS n_b, count(*) FILTER (p.subgenome = 'D') AS n_d, count(*) FILTER (coalesce(p.subgenome, '?') NOT IN ('A', 'B', 'D')) AS n_other
-  FROM genes g JOIN placed p ON g.gene_id = p.gene_id GROUP BY g.pangene), dom AS (SELECT *, CASE WHEN greatest(n_a, n_b, n_d) = 0 THEN '?' WHEN n_a >= n_b AND n_a >= n_d THEN 'A' WHEN n_b >= n_d THEN 'B' ELSE 'D' END AS dominant FROM counts)"""
+WITH_PLACES = f"{GENES}, {PLACED}, held AS (SELECT gene_id, pangene, 'acc' || CAST(CAST(substr(accession, 4) AS INT) % 20 AS STRING) AS accession FROM genes)"
+COUNTS = f"""{WITH_PLACES}, counts AS (SELECT g.pangene, count(*) FILTER (p.subgenome = 'A') AS n_a, count(*) FILTER (p.subgenome = 'B') AS n_b, count(*) FILTER (p.subgenome = 'D') AS n_d, count(*) FILTER (coalesce(p.subgenome, '?') NOT IN ('A', 'B', 'D')) AS n_other
+  FROM held g LEFT JOIN placed p ON g.gene_id = p.gene_id AND g.accession = p.accession GROUP BY g.pangene), dom AS (SELECT *, CASE WHEN greatest(n_a, n_b, n_d) = 0 THEN '?' WHEN n_a >= n_b AND n_a >= n_d THEN 'A' WHEN n_b >= n_d THEN 'B' ELSE 'D' END AS dominant FROM counts)"""
 
 
 @query(f"WITH {COUNTS} SELECT * FROM dom", "member", "coord")
@@ -127,16 +130,17 @@ def a06_triads(i):
     return members.triads(counts, "family").select("family", "triad", "clusters")
 
 
-@query(f"""WITH {GENES}, {PLACED}, r AS (SELECT g.pangene, g.gene_id, coalesce(p.subgenome, '?') AS bucket, row_number() OVER (PARTITION BY g.pangene ORDER BY g.gene_id, p.accession) AS k, count(*) OVER (PARTITION BY g.pangene) > 12 AS truncated FROM genes g JOIN placed p ON g.gene_id = p.gene_id)
-SELECT pangene, bucket, string_agg(gene_id, '|' ORDER BY k) AS genes, count(*)::BIGINT AS n, bool_or(truncated) AS truncated FROM r WHERE k <= 12 GROUP BY pangene, bucket""", "member", "coord")
+@query(f"""WITH {WITH_PLACES}, r AS (SELECT g.pangene, g.gene_id, p.chr, coalesce(p.subgenome, '?') AS bucket, row_number() OVER (PARTITION BY g.pangene ORDER BY g.accession, g.gene_id) AS k, count(*) OVER (PARTITION BY g.pangene) AS total FROM held g LEFT JOIN placed p ON g.gene_id = p.gene_id AND g.accession = p.accession),
+m AS (SELECT pangene, string_agg(gene_id, '|' ORDER BY gene_id) AS missing FROM r WHERE k <= 600 AND chr IS NULL GROUP BY pangene)
+SELECT r.pangene, bucket, string_agg(gene_id, '|' ORDER BY k) AS genes, count(*)::BIGINT AS n, coalesce(any_value(m.missing), '') AS missing, any_value(total)::BIGINT AS total, least(600, any_value(total))::BIGINT AS shown, any_value(total) > 600 AS truncated FROM r LEFT JOIN m ON r.pangene = m.pangene WHERE k <= 600 GROUP BY r.pangene, bucket""", "member", "coord")
 def a07_partitioned_members(i):
-    return members.partitioned(member_places(i), 12)
+    return members.partitioned(member_places(i))
 
 
-@query(f"WITH {COUNTS} SELECT pangene, dominant, n_a, n_b, n_d, pangene = 'pan00007' AS is_current FROM dom ORDER BY is_current DESC, pangene LIMIT 50", "member", "coord")
+@query(f"WITH {COUNTS} SELECT pangene, dominant, n_a, n_b, n_d, n_other, pangene = 'pan00007' AS is_current FROM dom", "member", "coord")
 def a08_cluster_picker(i):
     now = F.col("pangene") == "pan00007"
-    return members.subgenome_counts(member_places(i)).select("pangene", "dominant", "n_a", "n_b", "n_d", now.alias("is_current")).orderBy(F.desc("is_current"), "pangene").limit(50)
+    return members.subgenome_counts(member_places(i)).select("pangene", "dominant", "n_a", "n_b", "n_d", "n_other", now.alias("is_current")).orderBy(F.desc("is_current"), "pangene")
 
 
 @query(f"WITH {PLACED} SELECT accession, count(*)::BIGINT AS genes, count(*) FILTER (subgenome = 'A') AS genes_a, count(*) FILTER (subgenome = 'B') AS genes_b, count(*) FILTER (subgenome = 'D') AS genes_d, count(*) FILTER (subgenome IS NULL) AS genes_unplaced FROM placed GROUP BY accession", "coord")
@@ -144,13 +148,9 @@ def a19_accession_counts(i):
     return members.accession_counts(placed(i))
 
 
-@query(f"WITH {GENES}, r AS (SELECT *, row_number() OVER (PARTITION BY pangene ORDER BY CASE WHEN lower(gene_id) = 'li7.2' THEN 0 WHEN contains(lower(gene_id), 'li7') THEN 1 ELSE 2 END, gene_id, accession) AS k FROM (SELECT gene_id, pangene, accession FROM genes)) SELECT pangene, gene_id, accession FROM r WHERE k = 1", "member")
+@query(f"WITH {GENES}, r AS (SELECT *, row_number() OVER (PARTITION BY pangene ORDER BY CASE WHEN lower(gene_id) = 'li7.2' THEN 0 WHEN contains(lower(gene_id), 'li7.2') THEN 1 ELSE 2 END, gene_id, accession) AS k FROM (SELECT gene_id, pangene, accession FROM genes)) SELECT pangene, gene_id, accession FROM r WHERE k = 1", "member")
 def g11_focal_gene(i):
-    q = F.lower("gene_id")
-    from kinloom.operators.pick import pick
-
-    tier = F.when(q == "li7.2", 0).when(F.contains(q, F.lit("li7")), 1).otherwise(2)
-    return pick(genes(i), ["pangene"], [tier, F.col("gene_id"), F.col("accession")]).select("pangene", "gene_id", "accession")
+    return members.focal(genes(i), "Li7.2").select("pangene", "gene_id", "accession")
 
 
 @query(f"WITH {GENES} SELECT pangene, min(gene_id) AS gene_id FROM genes WHERE gene_id IN (SELECT gene_id FROM coord WHERE accession = 'acc3') GROUP BY pangene", "member", "coord")
@@ -169,9 +169,9 @@ def j32_requested_in_order(i):
     return members.restricted(genes(i), want).select("pos", "gene_id", "accession")
 
 
-@query(f"WITH {GENES}, {PLACED} SELECT g.gene_id || chr(9) || g.accession || chr(9) || coalesce(p.chr, '') || chr(9) || coalesce(CAST(p.begin_pos AS STRING), '') || chr(9) || coalesce(CAST(p.end_pos AS STRING), '') AS line FROM genes g LEFT JOIN placed p ON g.gene_id = p.gene_id AND g.accession = p.accession WHERE g.pangene < 'pan00100'", "member", "coord")
+@query(f"WITH {GENES}, {PLACED} SELECT g.gene_id || chr(9) || g.accession || chr(9) || coalesce(p.chr, '') || chr(9) || coalesce(CAST(p.begin_pos AS STRING), '') || chr(9) || coalesce(CAST(p.end_pos AS STRING), '') AS line FROM genes g LEFT JOIN placed p ON g.gene_id = p.gene_id AND g.accession = p.accession", "member", "coord")
 def k02_gene_list(i):
-    return members.gene_list(genes(i).filter("pangene < 'pan00100'"), placed(i))
+    return members.gene_list(genes(i), placed(i))
 
 
 @query(f"WITH {GENES} SELECT gene_id, pangene, accession FROM genes WHERE pangene = 'pan00011' ORDER BY accession, gene_id", "member")
@@ -179,8 +179,8 @@ def t06_members_in_order(i):
     return genes(i).filter("pangene = 'pan00011'").orderBy("accession", "gene_id")
 
 
-@query(f"WITH {GENES}, {PLACED} SELECT g.gene_id, p.accession, CASE p.subgenome WHEN 'A' THEN 0 WHEN 'B' THEN 1 WHEN 'D' THEN 2 ELSE 3 END AS ordinal FROM genes g JOIN placed p ON g.gene_id = p.gene_id WHERE g.pangene < 'pan00050' ORDER BY ordinal, g.gene_id", "member", "coord")
+@query(f"WITH {WITH_PLACES} SELECT g.gene_id, g.accession, CASE p.subgenome WHEN 'A' THEN 0 WHEN 'B' THEN 1 WHEN 'D' THEN 2 ELSE 3 END AS ordinal FROM held g LEFT JOIN placed p ON g.gene_id = p.gene_id AND g.accession = p.accession", "member", "coord")
 def t07_by_subgenome(i):
     sg = F.col("subgenome")
     o = F.when(sg == "A", 0).when(sg == "B", 1).when(sg == "D", 2).otherwise(3)
-    return member_places(i).filter("pangene < 'pan00050'").select("gene_id", "accession", o.alias("ordinal")).orderBy("ordinal", "gene_id")
+    return member_places(i).select("gene_id", "accession", o.alias("ordinal")).orderBy("ordinal", "gene_id")

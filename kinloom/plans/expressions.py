@@ -8,7 +8,7 @@ from kinloom.functions import numbers
 from kinloom.operators import expression
 from kinloom.plans.registry import query
 
-STATS = "stats AS (SELECT gene, organ, experiment, grp, count(value)::BIGINT AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd, min(sample_idx) AS first_sample FROM expr GROUP BY 1, 2, 3, 4)"
+STATS = "stats AS (SELECT gene, arg_min(organ, sample_idx) AS organ, arg_min(genome, sample_idx) AS genome, experiment, grp, count(value)::BIGINT AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd, min(sample_idx) AS first_sample FROM expr WHERE value IS NOT NULL GROUP BY gene, experiment, grp)"
 
 
 def stats(i):
@@ -20,9 +20,9 @@ def a11_e02_tissue_stats(i):
     return stats(i)
 
 
-@query(f"WITH {STATS} SELECT gene, organ, round(round(avg(mean), 6) + 1e-7, 5) AS mean, min(first_sample) AS first_sample FROM stats GROUP BY 1, 2", "expr")
+@query(f"WITH {STATS} SELECT gene, organ, round(avg(mean) + 1.2345e-9, 5) AS mean, min(first_sample) AS first_sample FROM stats GROUP BY 1, 2", "expr")
 def a17_organ_means(i):
-    return expression.organ_means(stats(i)).withColumn("mean", F.round(F.col("mean") + 1e-7, 5))
+    return expression.organ_means(stats(i)).withColumn("mean", F.round(F.col("mean") + 1.2345e-9, 5))
 
 
 @query(f"WITH {STATS}, n AS (SELECT gene, organ, count(DISTINCT experiment || grp) AS g FROM stats GROUP BY 1, 2) SELECT s.gene, CASE WHEN g = 1 THEN s.organ ELSE s.organ || ' / ' || experiment || ' / ' || grp END AS label, mean, s.n FROM stats s JOIN n ON s.gene = n.gene AND s.organ = n.organ", "expr")
@@ -51,12 +51,12 @@ def s21_majority_genome(i):
     return expression.majority_genome(i.expr)
 
 
-TITLES = "rows AS (SELECT gene, experiment, organ AS category, value, sample_idx AS line, CASE WHEN sample_idx % 7 = 0 THEN '' ELSE 't ' || grp END AS short_title, '' AS title FROM expr WHERE sample_idx % 3 = 0), titles AS (SELECT experiment, short_title AS title FROM (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY short_title = '', line) AS k FROM rows) WHERE k = 1 AND experiment <> 'e4')"
+TITLES = "rows AS (SELECT gene, experiment, organ AS category, value, sample_idx AS line, CASE WHEN sample_idx % 7 = 0 THEN '' ELSE 't ' || grp END AS short_title, '' AS title FROM expr), titles AS (SELECT experiment, short_title AS title FROM (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY short_title = '', line) AS k FROM rows) WHERE k = 1 AND experiment <> 'e4')"
 
 
 def records(i):
     short = F.when(F.col("sample_idx") % 7 == 0, "").otherwise(F.concat(F.lit("t "), "grp"))
-    return i.expr.filter("sample_idx % 3 = 0").select("gene", "experiment", F.col("organ").alias("category"), "value", F.col("sample_idx").alias("line"), short.alias("short_title"), F.lit("").alias("title"))
+    return i.expr.select("gene", "experiment", F.col("organ").alias("category"), "value", F.col("sample_idx").alias("line"), short.alias("short_title"), F.lit("").alias("title"))
 
 
 @query(f"WITH {TITLES} SELECT * FROM titles", "expr")

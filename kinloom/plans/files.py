@@ -41,12 +41,12 @@ def s04_k03_fasta(i):
     return genomes.fasta(i.spark, where).select("name", "seq")
 
 
-@query("SELECT 'g' || CAST(p_partkey AS STRING) AS gene_id, replace(p_name, ' ', '') AS seq FROM part WHERE p_partkey % 5 <> 0")
+@query("SELECT 'g' || CAST(p_partkey AS STRING) AS gene_id, replace(p_name, ' ', '')  AS seq FROM part WHERE p_size > 10")
 def s05_resolved_headers(i):
     name = F.concat(F.lit("g"), F.col("p_partkey").cast("string"))
-    rec = F.concat(F.lit(">t"), F.col("p_partkey").cast("string"), F.lit(" cds x|"), name, F.lit(" g1\n"), F.replace("p_name", F.lit(" "), F.lit("\n")))
-    known = i.part.filter("p_partkey % 5 <> 0").select(name.alias("gene_id"))
-    rows = i.part.filter("p_partkey % 5 <> 0").select(rec.alias("value"))
+    rec = F.concat(F.lit(">t"), F.col("p_partkey").cast("string"), F.lit(" cds x|"), name, F.lit(" none\n"), F.replace("p_name", F.lit(" "), F.lit("\n")))
+    known = i.part.filter("p_size > 10").select(name.alias("gene_id"))
+    rows = i.part.select(rec.alias("value"))
     return genomes.resolved(genomes.fasta(i.spark, path(i, "h.fa", rows)), known).select("gene_id", "seq")
 
 
@@ -70,7 +70,7 @@ def s22_edges(i):
 
 @query("SELECT a, b FROM edge", "edge")
 def s24_collinear_pairs(i):
-    per = i.edge.withColumn("k", F.substring("a", -1, 1)).groupBy("k").agg(F.array_join(F.collect_list(F.concat_ws(",", "a", "b")), ";").alias("pairs"))
+    per = i.edge.withColumn("k", F.col("b")).groupBy("k").agg(F.array_join(F.collect_list(F.concat_ws(",", "a", "b")), ";").alias("pairs"))
     return annotations.collinear_pairs(i.spark, path(i, "c.info", per.select(F.concat_ws("\t", "k", "k", "k", "k", "k", "pairs").alias("value"))))
 
 
@@ -99,10 +99,11 @@ def s29_orthogroup_table(i):
     return annotations.orthogroup_cells(i.spark, path(i, "N0.tsv", o, sinks.tsv))
 
 
-@query("SELECT species, n FROM (VALUES ('barley', 2), ('oat', 9), ('wheat', 5)) t(species, n)")
+@query("SELECT species, n FROM (SELECT 'n' || CAST(s_nationkey AS STRING) AS species, count(*)::BIGINT AS n FROM supplier WHERE s_acctbal > 0 GROUP BY 1) UNION ALL SELECT 'n' || CAST(c_nationkey AS STRING), count(*) FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1")
 def k05_u08_merged_statistics(i):
-    old = i.spark.createDataFrame([("wheat", 1), ("barley", 2)], "species string, n int")
-    return sinks.merged_statistics(old, i.spark.createDataFrame([("wheat", 5), ("oat", 9)], "species string, n int"))
+    name = lambda c: F.concat(F.lit("n"), F.col(c).cast("string")).alias("species")
+    old = i.customer.groupBy(name("c_nationkey")).agg(F.count("*").alias("n"))
+    return sinks.merged_statistics(old, i.supplier.filter("s_acctbal > 0").groupBy(name("s_nationkey")).agg(F.count("*").alias("n")))
 
 
 @query("SELECT gene_id, accession, species FROM (SELECT gene_id, accession, species, row_number() OVER (PARTITION BY gene_id ORDER BY accession, species, ref_id) AS k FROM hit) WHERE k = 1", "hit")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinloom.functions.scratch import Workspace
-from kinloom.operators import dedup, graph
+from kinloom.operators import dedup, graph, sinks
 from kinloom.operators.pick import pick
 from kinloom.plans.clusters import PLACED, placed
 from kinloom.plans.registry import query
@@ -106,9 +106,9 @@ def j22_member_pairs(i):
     return graph.member_pairs(reps(i), allowed)
 
 
-@query("SELECT * FROM (VALUES ('c0', 'c1'), ('c1', 'c0'), ('c2', 'c2'), ('c3', 'c4'), ('c4', 'c3')) t(a, b)")
+@query("SELECT l_partkey % 97 AS a, l_suppkey % 89 AS b FROM lineitem UNION SELECT l_suppkey % 89, l_partkey % 97 FROM lineitem")
 def s27_u03_symmetric_pairs(i):
-    return graph.symmetric(i.spark.createDataFrame([("c0", "c1"), ("c2", "c2"), ("c3", "c4")], "a string, b string"), "a", "b")
+    return graph.symmetric(i.lineitem.selectExpr("l_partkey % 97 a", "l_suppkey % 89 b"), "a", "b")
 
 
 @query("SELECT x.n_name AS a, y.n_name AS b FROM nation x JOIN nation y ON x.n_name < y.n_name")
@@ -144,7 +144,7 @@ def j14_paired_structures(i):
     return x.join(y, "k", "full").select("k", F.coalesce("q3", F.lit("")).alias("q3"), F.coalesce("q8", F.lit("")).alias("q8"))
 
 
-KEYED = "keyed AS (SELECT id, seq, 'u' || substr(sha256(replace(replace(upper(seq), ' ', ''), chr(10), '')), 1, 16) AS uniq_id FROM doc)"
+KEYED = "keyed AS (SELECT id, seq, 'u' || substr(sha256(replace(replace(upper(replace(seq, 'ß', 'ss')), ' ', ''), chr(10), '')), 1, 16) AS uniq_id FROM doc)"
 
 
 def sequences(i):
@@ -173,11 +173,11 @@ def g10_s37_first_prediction(i):
     return pick(i.events.selectExpr("user_id id", "event_type q3", "event_id line"), ["id"], [F.col("line")]).select("id", "q3")
 
 
-CELLS = "cells AS (SELECT p_brand AS cluster, p_type AS genome, string_agg(replace(p_name, ' ', '_') || '.' || CAST(p_size % 3 AS STRING), ', ' ORDER BY p_partkey) AS cell FROM part WHERE p_partkey < 300 GROUP BY 1, 2)"
+CELLS = "cells AS (SELECT p_brand AS cluster, p_type AS genome, string_agg(replace(p_name, ' ', '_') || '.' || CAST(p_size % 3 AS STRING), ', ' ORDER BY p_partkey) AS cell FROM part GROUP BY 1, 2)"
 
 
 def cells(i):
-    p = i.part.filter("p_partkey < 300").select(F.col("p_brand").alias("cluster"), F.col("p_type").alias("genome"), F.struct("p_partkey", F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("."), (F.col("p_size") % 3).cast("string")).alias("g")).alias("x"))
+    p = i.part.select(F.col("p_brand").alias("cluster"), F.col("p_type").alias("genome"), F.struct("p_partkey", F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("."), (F.col("p_size") % 3).cast("string")).alias("g")).alias("x"))
     return p.groupBy("cluster", "genome").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["g"]), ", ").alias("cell"))
 
 
@@ -193,7 +193,4 @@ def a12_s34_matrix_summary(i):
 
 @query("SELECT event_id, CAST((row_number() OVER (ORDER BY event_id) - 1) % 40 AS INT) AS batch FROM events")
 def w06_round_robin(i):
-    from pyspark.sql import Window
-
-    # driver-sized lists of jobs only: one global order
-    return i.events.select("event_id", ((F.row_number().over(Window.orderBy("event_id")) - 1) % 40).alias("batch"))
+    return sinks.round_robin(i.events.select("event_id"), ["event_id"], 40, Workspace(i.spark, "turns")).select("event_id", "batch")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinloom.functions import text
+from kinloom.functions.scratch import Workspace
 from kinloom.operators import keyword
 from kinloom.operators.pick import pick
 from kinloom.plans.clusters import GENES, genes
@@ -14,7 +15,8 @@ BEST = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gene_i
 ROLLED = """usable AS (SELECT * FROM hit WHERE evalue IS NULL OR evalue <= 1e-5), sizes AS (SELECT pangene, count(DISTINCT gene_id) AS size FROM member GROUP BY pangene),
 rolled AS (SELECT u.pangene, count(DISTINCT u.gene_id || ' ' || u.accession)::BIGINT AS matched_genes, count(DISTINCT u.ref_id)::BIGINT AS matched_refs, count(*)::BIGINT AS hit_rows, count(DISTINCT u.accession)::BIGINT AS genomes, min(u.evalue) AS min_evalue, max(u.pident) AS max_pident, any_value(s.size)::BIGINT AS size,
   round(100.0 * count(DISTINCT u.gene_id || ' ' || u.accession) / any_value(s.size), 6)::DOUBLE AS density_pct FROM usable u JOIN sizes s ON u.pangene = s.pangene GROUP BY u.pangene)"""
-TERMS = "terms AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]{2,}'), lambda x: lower(x)) AS t FROM documents), posts AS (SELECT term, doc_id, length, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(t)::INTEGER AS length, unnest(t) AS term FROM terms) GROUP BY ALL)"
+FOLDED = r"regexp_extract_all(strip_accents(lower(coalesce({}, ''))), '[\p{{L}}\p{{N}}]+')"
+TERMS = f"terms AS (SELECT doc_id, {FOLDED.format('text')} AS t FROM documents), posts AS (SELECT term, doc_id, length, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(t)::INTEGER AS length, unnest(t) AS term FROM terms) GROUP BY ALL)"
 
 
 def rolled(i):
@@ -58,17 +60,17 @@ def j11_j15_hits_in_active_clusters(i):
     return keyword.remapped(i.hit, genes(i)).select("gene_id", "accession", "ref_id", "pangene")
 
 
-@query(f"""WITH {BEST}, d AS (SELECT p_name AS ref_id, min(p_brand || ' ' || p_type) AS description FROM part GROUP BY p_name), asked AS (SELECT DISTINCT 'LI' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber + 1 AS STRING) AS gene_id FROM lineitem WHERE l_orderkey % 9 = 0), b AS (SELECT best.*, d.description FROM best JOIN d ON best.ref_id = d.ref_id)
+@query(f"""WITH {BEST}, d AS (SELECT p_name AS ref_id, min(p_brand || ' ' || p_type) AS description FROM part GROUP BY p_name), asked AS (SELECT DISTINCT 'LI' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber + 1 AS STRING) AS gene_id FROM lineitem), b AS (SELECT best.*, d.description FROM best JOIN d ON best.ref_id = d.ref_id)
 SELECT a.gene_id, max(ref_id) FILTER (species = 'arabidopsis') AS arabidopsis_ref, max(ref_id) FILTER (species = 'rice') AS rice_ref, max(description) FILTER (species = 'arabidopsis') AS arabidopsis_description, max(description) FILTER (species = 'rice') AS rice_description FROM asked a LEFT JOIN b ON a.gene_id = b.gene_id GROUP BY a.gene_id""", "hit")
 def x09_j10_annotations(i):
     refs = i.part.groupBy(F.col("p_name").alias("ref_id")).agg(F.min(F.concat_ws(" ", "p_brand", "p_type")).alias("description"))
-    want = i.lineitem.filter("l_orderkey % 9 = 0").select(F.concat(F.lit("LI"), F.col("l_orderkey").cast("string"), F.lit("."), (F.col("l_linenumber") + 1).cast("string")).alias("gene_id"))
+    want = i.lineitem.select(F.concat(F.lit("LI"), F.col("l_orderkey").cast("string"), F.lit("."), (F.col("l_linenumber") + 1).cast("string")).alias("gene_id"))
     return keyword.annotations(want, i.hit, refs, ("arabidopsis", "rice"))
 
 
-@query("SELECT DISTINCT p_name AS ref_id FROM part WHERE p_name IN (SELECT ref_id FROM hit WHERE pangene < 'pan00300')", "hit")
+@query("SELECT DISTINCT p_name AS ref_id FROM part WHERE p_name IN (SELECT ref_id FROM hit WHERE species = 'rice')", "hit")
 def j12_actionable_refs(i):
-    hits = i.hit.filter("pangene < 'pan00300'")
+    hits = i.hit.filter("species = 'rice'")
     return i.part.select(F.col("p_name").alias("ref_id")).distinct().join(hits.select("ref_id").distinct(), "ref_id", "left_semi")
 
 
@@ -78,12 +80,34 @@ def x02_postings(i):
 
 
 BM25 = f"""{TERMS}, q AS (SELECT unnest(['th', 'er']) AS token), h AS (SELECT token, doc_id, length, sum(tf) AS tf FROM posts JOIN q ON starts_with(term, token) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM h GROUP BY token), w AS (SELECT count(*) AS n, avg(length) AS mean FROM (SELECT DISTINCT doc_id, length FROM posts)),
-s AS (SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM h JOIN df USING (token), w GROUP BY doc_id HAVING count(*) = 2)"""
+s AS (SELECT doc_id, round(sum(CASE WHEN df < n - df THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM h JOIN df USING (token), w GROUP BY doc_id HAVING count(*) = 2)"""
 
 
 @query(f"WITH {BM25} SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 100")
 def x03_t02_ranked_retrieval(i):
-    return keyword.retrieved(keyword.postings(i.documents, "doc_id", F.col("text")), "doc_id", ["th", "er"], 100)
+    return keyword.retrieved(keyword.postings(i.documents, "doc_id", F.col("text")), "doc_id", ["th", "er"], keyword.candidate_cap(25))
+
+
+#: The columns of a reference gene that are searched, in order.
+SEARCHED = ("symbols", "full_name", "description", "synonyms", "short", "curator", "computed")
+REF_TERMS = "rt AS (SELECT ref_id, " + " || ".join(f"list_value({FOLDED.format(c)})" for c in SEARCHED) + " AS t FROM (SELECT *, ref_id || ' ' || symbols || ' Ünïted' AS synonyms FROM ref))"
+
+
+def searched_refs(i):
+    refs = i.ref.withColumn("synonyms", F.concat("ref_id", F.lit(" "), "symbols", F.lit(" Ünïted")))
+    return keyword.postings(refs, "ref_id", *map(F.col, SEARCHED))
+
+
+@query(f"WITH {REF_TERMS} SELECT term, ref_id, length, count(*)::BIGINT AS tf FROM (SELECT ref_id, len(flatten(t))::INTEGER AS length, unnest(flatten(t)) AS term FROM rt) GROUP BY ALL", "ref")
+def x02_reference_postings(i):
+    return searched_refs(i).select("term", "ref_id", "length", "tf")
+
+
+@query(f"WITH {REF_TERMS}, p AS (SELECT DISTINCT ref_id, unnest(flatten(t)) AS term FROM rt) SELECT ref_id FROM p WHERE starts_with(term, 'widg') INTERSECT SELECT ref_id FROM p WHERE starts_with(term, 'uni')", "ref")
+def x03_stored_index_search(i):
+    work = Workspace(i.spark, "postings")
+    keyword.stored_postings(searched_refs(i), work.path("postings"))
+    return keyword.retrieved(i.spark.read.parquet(work.path("postings")), "ref_id", ["WIDG", "uni"], 2**31 - 1).select("ref_id")
 
 
 def alias_kinds(i):
@@ -115,10 +139,25 @@ def t03_x06_matched_refs(i):
     return keyword.matched_refs(alias_hits, text_hits, hits, 25, chosen)
 
 
-@query("""WITH c AS (SELECT ref_id, species, CASE WHEN symbols = full_name THEN symbols ELSE symbols || '|' || full_name END AS names, CASE WHEN species = 'arabidopsis' THEN symbols || '. ' || CASE WHEN curator = '' THEN computed ELSE curator || '. ' || computed END ELSE trim(description) END AS whole FROM ref)
-SELECT ref_id, species, names, whole, whole AS snippet FROM c""", "ref")
+@query("""WITH c AS (SELECT ref_id, species, CASE WHEN symbols = full_name THEN symbols ELSE symbols || '|' || full_name END AS names, CASE WHEN species = 'arabidopsis' THEN symbols || '. ' || CASE WHEN curator = '' THEN computed ELSE curator || '. ' || computed END ELSE trim(description) END AS whole FROM long),
+f AS (SELECT *, CASE WHEN strpos(lower(whole), 'of br') > 0 THEN strpos(lower(whole), 'of br') ELSE strpos(lower(whole), 'widget') END AS spot FROM c), e AS (SELECT *, greatest(0, spot - 47) AS b, least(length(whole), spot + 139) AS e FROM f)
+SELECT ref_id, species, names, whole, CASE WHEN spot = 0 THEN left(whole, 140) || CASE WHEN length(whole) > 140 THEN '...' ELSE '' END ELSE CASE WHEN b > 0 THEN '...' ELSE '' END || substr(whole, b + 1, e - b) || CASE WHEN e < length(whole) THEN '...' ELSE '' END END AS snippet FROM e""".replace("FROM long)", "FROM (SELECT ref_id, species, symbols, full_name, description || repeat(' ' || full_name, 9) AS description, curator, computed || repeat(' ' || symbols, 12) AS computed FROM ref))"), "ref")
 def x07_p09_p10_reference_cards(i):
-    return keyword.cards(i.ref, "widget")
+    refs = i.ref.withColumn("description", F.concat("description", F.repeat(F.concat(F.lit(" "), "full_name"), F.lit(9)))).withColumn("computed", F.concat("computed", F.repeat(F.concat(F.lit(" "), "symbols"), F.lit(12))))
+    return keyword.cards(refs, ["of br", "Widget"])
+
+
+SELECTED = """chosen AS (SELECT * FROM hit WHERE upper(ref_id) IN (SELECT DISTINCT upper(p_name) FROM part WHERE p_partkey IN (3, 5, 11)) AND (evalue IS NULL OR evalue <= 1e-5)), mapped AS (SELECT c.* EXCLUDE (pangene), g.pangene FROM chosen c JOIN genes g ON c.gene_id = g.gene_id AND c.accession = g.accession),
+sizes AS (SELECT pangene, count(*) AS size FROM member GROUP BY pangene), per AS (SELECT pangene, count(DISTINCT gene_id || ' ' || accession)::BIGINT AS matched_genes, count(DISTINCT ref_id)::BIGINT AS matched_refs, count(*)::BIGINT AS hit_rows, min(evalue) AS min_evalue FROM mapped GROUP BY pangene), n AS (SELECT pangene, accession, count(*) AS n FROM mapped GROUP BY 1, 2),
+b AS (SELECT pangene, string_agg(accession || ':' || CAST(n AS STRING), '|' ORDER BY n DESC, accession) AS by_genome FROM n GROUP BY pangene)"""
+
+
+@query(f"WITH {GENES}, {SELECTED} SELECT per.pangene, matched_genes, matched_refs, hit_rows, size::BIGINT AS size, round(100.0 * matched_genes / size, 2)::DOUBLE AS density_pct, by_genome, CASE WHEN min_evalue IS NULL THEN '—' WHEN min_evalue = 0 THEN '0' WHEN min_evalue >= 0.01 THEN printf('%.4g', min_evalue) ELSE printf('%.2e', min_evalue) END AS min_evalue_label FROM per JOIN sizes USING (pangene) JOIN b USING (pangene) ORDER BY coalesce(min_evalue, 1.0), matched_genes / size DESC, matched_genes DESC, per.pangene LIMIT 100", "hit", "member")
+def x08_selected_groups(i):
+    chosen = [r.p_name for r in i.part.filter("p_partkey IN (3, 5, 11)").select("p_name").distinct().collect()]
+    sizes = i.member.groupBy("pangene").agg(F.count("*").alias("size"))
+    out = keyword.selected_groups(i.hit, [c.upper() for c in chosen], genes(i), sizes)
+    return out.select("pangene", "matched_genes", "matched_refs", "hit_rows", "size", "density_pct", "by_genome", "min_evalue_label")
 
 
 @query("SELECT d.p_brand AS brand, max(len(d.p_name))::INTEGER AS longest, first(d.p_name ORDER BY len(d.p_name) DESC, d.p_partkey) AS p_name FROM part d GROUP BY 1")

@@ -8,27 +8,28 @@ from kinloom.functions import ids, text
 from kinloom.functions.scratch import Workspace
 from kinloom.operators import alignment, dedup, expression, keyword, similarity, sinks
 from kinloom.operators.pick import pick, prioritised_lookup
+from kinloom.plans.alignments import KMERS, TREES, trees
+from kinloom.plans.expressions import STATS
 from kinloom.plans.files import path
+from kinloom.plans.graphs import KEYED
+from kinloom.plans.keywords import FOLDED
 from kinloom.plans.registry import query
 from kinloom.sources import annotations, genomes, lines
 
 
-@query("SELECT id, seq FROM doc WHERE id % 3 = 0", "doc")
+@query(f"WITH {KEYED}, r AS (SELECT uniq_id, seq, row_number() OVER (PARTITION BY uniq_id ORDER BY id) AS k FROM keyed) SELECT k.id, r.seq FROM keyed k JOIN r ON k.uniq_id = r.uniq_id AND r.k = 1", "doc")
 def j06_sequences_through_the_map(i):
     uniq, mapping = dedup.distinct_sequences(i.doc, [F.col("id")])
-    # the stored sequence is its first row's; spelling may differ in case and blanks, so the row's own is compared
-    found = mapping.filter("id % 3 = 0").join(uniq.select("uniq_id", F.col("seq").alias("stored")), "uniq_id")
-    same = found.join(i.doc, "id").filter(text.hashable(F.col("stored")) == text.hashable(F.col("seq")))
-    return same.select("id", "seq")
+    return dedup.stored(mapping, uniq).select("id", "seq")
 
 
-CDS_ASKED = "asked AS (SELECT 'g' || lpad(CAST(p_partkey AS STRING), 7, '0') || CASE WHEN p_partkey % 2 = 0 THEN '.3' ELSE '' END AS asked FROM part WHERE p_partkey % 5 = 0)"
+CDS_ASKED = "asked AS (SELECT 'g' || lpad(CAST(p_partkey AS STRING), 7, '0') || CASE WHEN p_partkey % 2 = 0 THEN '.3' ELSE '' END AS asked FROM part)"
 
 
 @query(f"WITH {CDS_ASKED} SELECT a.asked, c.cds FROM asked a LEFT JOIN cds c ON c.gene_id = regexp_replace(a.asked, '\\.3$', '')", "cds")
 def j07_coding_sequences_by_variants(i):
     name = F.concat(F.lit("g"), F.lpad(F.col("p_partkey").cast("string"), 7, "0"), F.when(F.col("p_partkey") % 2 == 0, ".3").otherwise(""))
-    asked = i.part.filter("p_partkey % 5 = 0").select(name.alias("asked"))
+    asked = i.part.select(name.alias("asked"))
     return prioritised_lookup(asked, i.cds, ids.id_variants(F.col("asked")), F.col("gene_id")).select("asked", "cds")
 
 
@@ -41,7 +42,7 @@ def j08_structures_by_variants(i):
     return found.select("asked", F.coalesce("q3", F.repeat(F.lit("-"), F.col("n").cast("int"))).alias("q3"))
 
 
-@query("SELECT r.ref_id, r.species, count(*)::BIGINT AS terms FROM (SELECT ref_id, species, unnest(list_distinct(list_transform(regexp_extract_all(description, '[A-Za-z0-9]{2,}'), lambda x: lower(x)))) AS t FROM ref) r GROUP BY 1, 2", "ref")
+@query(f"SELECT r.ref_id, r.species, count(*)::BIGINT AS terms FROM (SELECT ref_id, species, unnest(list_distinct({FOLDED.format('description')})) AS t FROM ref) r GROUP BY 1, 2", "ref")
 def j27_postings_with_references(i):
     posts = keyword.postings(i.ref, "ref_id", F.col("description"))
     return posts.join(i.ref.select("ref_id", "species"), "ref_id").groupBy("ref_id", "species").agg(F.count("*").alias("terms"))
@@ -58,22 +59,22 @@ def j31_accessions_by_variants(i):
     return i.lineitem.select(F.explode(ids.id_variants(k)).alias("key"), "l_suppkey").groupBy("key").agg(F.max("l_suppkey").alias("acc"))
 
 
-@query("SELECT doc_id FROM documents WHERE len(list_filter(regexp_extract_all(text, '[A-Za-z0-9]{2,}'), lambda x: starts_with(lower(x), 'tion'))) > 0 AND len(list_filter(regexp_extract_all(text, '[A-Za-z0-9]{2,}'), lambda x: starts_with(lower(x), 'an'))) > 0")
+@query(f"SELECT doc_id FROM documents WHERE len(list_filter({FOLDED.format('text')}, lambda x: starts_with(x, 'tion'))) > 0 AND len(list_filter({FOLDED.format('text')}, lambda x: starts_with(x, 'an'))) > 0")
 def p07_prefix_and_match(i):
     posts = keyword.postings(i.documents, "doc_id", F.col("text"))
     return keyword.retrieved(posts, "doc_id", ["tion", "an"], 2**31 - 1).select("doc_id")
 
 
-@query("SELECT gene_id, seq FROM aln WHERE length(gene_id) <= 256 AND length(seq) BETWEEN 1 AND 14 AND regexp_full_match(seq, '[A-Z.*-]+')", "aln")
+@query("SELECT gene_id, seq FROM (SELECT gene_id, CASE WHEN ascii(right(gene_id, 1)) % 3 = 0 THEN seq || '1' WHEN ascii(right(gene_id, 1)) % 3 = 1 THEN repeat(seq, 20000) ELSE seq END AS seq FROM aln) WHERE length(gene_id) <= 256 AND length(seq) BETWEEN 1 AND 120000 AND regexp_full_match(seq, '[A-Z.*-]+')", "aln")
 def p25_sane_alignments(i):
-    return i.aln.filter((F.length("gene_id") <= 256) & F.length("seq").between(1, 14) & F.col("seq").rlike(r"^[A-Z.*-]+$")).select("gene_id", "seq")
+    last = F.ascii(F.substring("gene_id", -1, 1)) % 3
+    rows = i.aln.withColumn("seq", F.when(last == 0, F.concat("seq", F.lit("1"))).when(last == 1, F.repeat("seq", F.lit(20_000))).otherwise(F.col("seq")))
+    return alignment.sane(rows).select("gene_id", "seq")
 
 
 @query("SELECT p_partkey, 'https://x.org/' || p_name || '?c=1A&s=' || CAST(p_size AS STRING) AS url FROM part")
 def p30_links(i):
-    out = F.lit("https://x.org/{gene_id}?c={chr}&s={start}")
-    for name, value in (("gene_id", F.col("p_name")), ("chr", F.lit("1A")), ("start", F.col("p_size").cast("string"))):
-        out = F.replace(out, F.lit(f"{{{name}}}"), value)
+    out = text.templated("https://x.org/{gene_id}?c={chr}&s={start}", {"gene_id": F.col("p_name"), "chr": F.lit("1A"), "start": F.col("p_size")})
     return i.part.select("p_partkey", out.alias("url"))
 
 
@@ -168,25 +169,33 @@ def m11_single_sequences(i):
     return alignment.columns(alignment.long_form(one)).select("grp", "col", "conservation")
 
 
-@query("WITH s AS (SELECT gene, count(DISTINCT experiment)::BIGINT AS experiments, count(*)::BIGINT AS samples, count(DISTINCT organ)::BIGINT AS organs FROM expr GROUP BY gene) SELECT *, 'ok' AS status FROM s", "expr")
+@query(f"WITH {STATS} SELECT gene, count(DISTINCT experiment)::BIGINT AS experiments, sum(n)::BIGINT AS samples, count(DISTINCT organ)::BIGINT AS organs, 'ok' AS status FROM stats GROUP BY gene", "expr")
 def e04_response_summary(i):
-    stats = expression.tissue_stats(i.expr)
-    return stats.groupBy("gene").agg(F.count_distinct("experiment").alias("experiments"), F.sum("n").alias("samples"), F.count_distinct("organ").alias("organs")).withColumn("status", F.when(F.col("samples") > 0, "ok").otherwise("no_data"))
+    return expression.summary(i.expr.select("gene").distinct(), expression.tissue_stats(i.expr)).filter("status = 'ok'")
 
 
-@query("SELECT p_partkey, sha1(p_name) AS checksum, 3 AS schema_version FROM part")
-def x10_checksums(i):
-    return i.part.select("p_partkey", F.sha1(F.col("p_name").cast("binary")).alias("checksum"), F.lit(3).alias("schema_version"))
+@query("SELECT k, v FROM (SELECT 'genes' AS k, CAST(count(*) AS STRING) AS v FROM part UNION ALL SELECT 'schema_version', '3' UNION ALL SELECT 'source_sha1', sha1(string_agg(CAST(p_partkey AS STRING), chr(10) ORDER BY p_partkey) || chr(10)) FROM part)")
+def x10_index_metadata(i):
+    """Checksum of a source file, counts and version, written beside the index and read again; another run over the same files gives the same."""
+    work = Workspace(i.spark, "meta")
+    rows = i.part.select("p_partkey").coalesce(1).sortWithinPartitions("p_partkey").select(F.col("p_partkey").cast("string").alias("value"))
+    sinks.lines(rows, work.path("source"))
+    sums = sinks.checksums(i.spark, work.path("source"))
+    sinks.metadata(i.spark, work.path("meta"), {"schema_version": sinks.SCHEMA_VERSION, "genes": i.part.count(), "source_sha1": "".join(sums.values())})
+    return i.spark.read.parquet(work.path("meta"))
 
 
-@query()
+NEAR = f"{KMERS}, ref AS (SELECT grp, min(gene_id) AS ref FROM aln GROUP BY grp), d AS (SELECT y.grp, y.gene_id, 'a' || right(y.gene_id, 1) AS accession, round(1 - CASE WHEN len(x.k) = 0 AND len(y.k) = 0 THEN 1.0 ELSE len(list_intersect(x.k, y.k)) / greatest(1, len(x.k) + len(y.k) - len(list_intersect(x.k, y.k))) END, 6) AS distance FROM ref JOIN k x ON x.grp = ref.grp AND x.gene_id = ref.ref JOIN k y ON y.grp = ref.grp AND y.gene_id <> ref.ref)"
+
+
+@query(f"WITH {NEAR} SELECT grp, accession, gene_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY grp, accession ORDER BY distance, gene_id) AS n FROM d) WHERE n = 1", "aln")
 def g13_most_similar_member(i):
     rows = i.aln.withColumn("accession", F.concat(F.lit("a"), F.substring("gene_id", -1, 1)))
-    return similarity.most_similar(rows, i.aln.groupBy("grp").agg(F.min("gene_id").alias("ref")))
+    return similarity.most_similar(rows, i.aln.groupBy("grp").agg(F.min("gene_id").alias("ref"))).select("grp", "accession", "gene_id", "distance")
 
 
-@query()
+@query(f"""WITH {TREES}, two AS (SELECT tree, arg_max(name, (len, -CAST(name AS BIGINT))) AS far, max(len) AS far_len, max(n) AS n FROM tip GROUP BY tree), next AS (SELECT t.tree, max(t.len) AS second FROM tip t JOIN two ON t.tree = two.tree AND t.name <> two.far GROUP BY t.tree)
+SELECT t.tree, t.name, CASE WHEN next.second IS NULL THEN t.len::DOUBLE WHEN t.name = two.far THEN (two.far_len + next.second) / 2.0 ELSE t.len + (two.far_len - next.second) / 2.0 END AS x FROM tip t JOIN two ON t.tree = two.tree LEFT JOIN next ON next.tree = t.tree""")
 def h12_h13_tree_layouts(i):
-    leaf = F.concat(F.col("p_partkey").cast("string"), F.lit(":"), (F.col("p_size") + 1).cast("string"))
-    t = i.part.filter("p_partkey < 500").groupBy(F.col("p_brand").alias("tree")).agg(F.array_join(F.array_sort(F.collect_list(leaf)), ",").alias("leaves"))
-    return similarity.layouts(t.select("tree", F.concat(F.lit("("), "leaves", F.lit(");")).alias("newick")))
+    """Of a flat tree: the root lies on the longest leaf's branch, half the longest path from its tip."""
+    return similarity.layouts(trees(i, chain=False)).filter("name <> ''").select("tree", "name", "x")

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kinloom.functions.scratch import Workspace
 from kinloom.operators import coords
+from kinloom.operators.pick import ranked
 from kinloom.plans.clusters import GENES, PLACED, genes, placed
 from kinloom.plans.registry import query
 
-INDEXED = f"{PLACED}, indexed AS (SELECT *, CAST(row_number() OVER (PARTITION BY accession, chr ORDER BY begin_pos, end_pos, gene_id) - 1 AS INT) AS chrom_index FROM placed)"
-SLOTS = f"""{INDEXED}, focal AS (SELECT gene_id AS focal, accession, chr, chrom_index AS spot, CASE WHEN strand = '-' THEN 1 ELSE 3 END AS low, CASE WHEN strand = '-' THEN 3 ELSE 1 END AS high FROM indexed WHERE gene_id IN (SELECT DISTINCT 'LI' || CAST(l_orderkey AS STRING) || '.1' FROM lineitem WHERE l_orderkey % 100 = 0)),
-slot AS (SELECT focal, accession, chr, spot, low, unnest(range(0, low + high + 1)) AS slot FROM focal),
-strips AS (SELECT s.focal, s.accession, s.chr, CAST(s.slot AS INT) AS slot, s.slot = s.low AS is_focal, i.gene_id, i.begin_pos, i.end_pos, i.strand FROM slot s LEFT JOIN indexed i ON i.accession = s.accession AND i.chr = s.chr AND i.chrom_index = s.spot - s.low + s.slot)"""
+INDEXED = f"{PLACED}, indexed AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY accession, chr ORDER BY begin_pos, end_pos, gene_id) - 1 AS INT) AS chrom_index FROM placed)"
+SLOTS = f"""{GENES}, {INDEXED}, lead AS (SELECT pangene, min(gene_id) AS gene_id FROM genes GROUP BY pangene), focal AS (SELECT i.gene_id AS focal, accession, chr, chrom_index AS spot, CASE WHEN strand = '-' THEN 1 ELSE 3 END AS low, CASE WHEN strand = '-' THEN 3 ELSE 1 END AS high FROM indexed i JOIN lead l ON i.gene_id = l.gene_id),
+slot AS (SELECT focal, accession, chr, spot, low, unnest(range(0, low + high + 1)) AS slot FROM focal), asked AS MATERIALIZED (SELECT focal, accession, chr, low, slot, CAST(spot - low + slot AS INT) AS at_index FROM slot),
+strips AS MATERIALIZED (SELECT s.focal, s.accession, s.chr, CAST(s.slot AS INT) AS slot, s.slot = s.low AS is_focal, i.gene_id, i.begin_pos, i.end_pos, i.strand FROM asked s LEFT JOIN indexed i ON i.accession = s.accession AND i.chr = s.chr AND i.chrom_index = s.at_index)"""
 
 
 def indexed(i):
@@ -19,9 +21,10 @@ def indexed(i):
 
 
 def strips(i):
-    f = i.lineitem.filter("l_orderkey % 100 = 0").select(F.concat(F.lit("LI"), F.col("l_orderkey").cast("string"), F.lit(".1")).alias("gene_id")).distinct()
+    """Neighbourhoods of the first gene of each cluster."""
+    lead = genes(i).groupBy("pangene").agg(F.min("gene_id").alias("gene_id")).select("gene_id")
     at = indexed(i)
-    return coords.neighbourhoods(at, at.join(f, "gene_id", "left_semi").select("gene_id", "accession"), 3, 1)
+    return coords.neighbourhoods(at, at.join(lead, "gene_id", "left_semi").select("gene_id", "accession"), 3, 1)
 
 
 @query(f"WITH {INDEXED} SELECT gene_id, accession, chr, chrom_index FROM indexed", "coord")
@@ -29,33 +32,31 @@ def w01_w04_chrom_index(i):
     return indexed(i).select("gene_id", "accession", "chr", "chrom_index")
 
 
-@query(f"WITH {SLOTS} SELECT * FROM strips", "coord")
+@query(f"WITH {SLOTS} SELECT * FROM strips", "coord", "member")
 def w02_neighbourhoods(i):
     return strips(i)
 
 
-@query(f"WITH {SLOTS} SELECT focal, accession, min(begin_pos) AS low, max(end_pos) AS high, count(gene_id)::BIGINT AS filled, count(*)::BIGINT AS slots FROM strips GROUP BY focal, accession", "coord")
+@query(f"WITH {SLOTS} SELECT focal, accession, min(begin_pos) AS low, max(end_pos) AS high, count(gene_id)::BIGINT AS filled, count(*)::BIGINT AS slots FROM strips GROUP BY focal, accession", "coord", "member")
 def a16_strip_span(i):
     return coords.span(strips(i))
 
 
-@query(f"WITH {SLOTS}, {GENES}, f AS (SELECT s.focal, s.accession, g.pangene, min(s.slot) AS first FROM strips s JOIN genes g ON s.gene_id = g.gene_id GROUP BY 1, 2, 3) SELECT focal, accession, string_agg(pangene, '|' ORDER BY first, pangene) AS legend FROM f GROUP BY 1, 2", "coord", "member")
+@query(f"WITH {SLOTS}, f AS (SELECT s.focal, s.accession, g.pangene, min(s.slot) AS first FROM strips s JOIN genes g ON s.gene_id = g.gene_id GROUP BY 1, 2, 3) SELECT focal, accession, string_agg(pangene, '|' ORDER BY first, pangene) AS legend FROM f GROUP BY 1, 2", "coord", "member")
 def a16_strip_legend(i):
     return coords.legend(strips(i), genes(i))
 
 
-@query(f"WITH {SLOTS}, {GENES}, n AS (SELECT count(*) AS strips FROM (SELECT DISTINCT focal, accession FROM strips)), f AS (SELECT g.pangene, count(DISTINCT s.focal || ' ' || s.accession)::BIGINT AS present, bool_or(s.is_focal) AS has_focal FROM strips s JOIN genes g ON s.gene_id = g.gene_id GROUP BY 1) SELECT pangene, present, has_focal FROM f, n WHERE has_focal OR present >= 0.02 * strips", "coord", "member")
+@query(f"WITH {SLOTS}, n AS (SELECT count(*) AS strips FROM (SELECT DISTINCT focal, accession FROM strips)), f AS (SELECT g.pangene, count(DISTINCT s.focal || ' ' || s.accession)::BIGINT AS present, bool_or(s.is_focal) AS has_focal FROM strips s JOIN genes g ON s.gene_id = g.gene_id GROUP BY 1) SELECT pangene, present, has_focal FROM f, n WHERE has_focal OR present >= 0.02 * strips", "coord", "member")
 def w09_presence(i):
     return coords.presence(strips(i), genes(i), 0.02)
 
 
-@query(f"""WITH {SLOTS}, {GENES}, t AS (SELECT focal, accession, CAST(rank() OVER (ORDER BY focal, accession) AS INT) AS track FROM (SELECT DISTINCT focal, accession FROM strips)), o AS (SELECT DISTINCT t.track, g.pangene, s.gene_id FROM strips s JOIN genes g ON s.gene_id = g.gene_id JOIN t ON t.focal = s.focal AND t.accession = s.accession)
+@query(f"""WITH {SLOTS}, t AS (SELECT focal, accession, CAST(rank() OVER (ORDER BY focal, accession) AS INT) AS track FROM (SELECT DISTINCT focal, accession FROM strips)), o AS (SELECT DISTINCT t.track, g.pangene, s.gene_id FROM strips s JOIN genes g ON s.gene_id = g.gene_id JOIN t ON t.focal = s.focal AND t.accession = s.accession)
 SELECT a.track, a.pangene, a.gene_id, b.gene_id AS gene_below FROM o a JOIN o b ON b.track = a.track + 1 AND a.pangene = b.pangene""", "coord", "member")
 def w10_track_links(i):
-    from pyspark.sql import Window
-
     s = strips(i)
-    tracks = s.select("focal", "accession").distinct().withColumn("track", F.rank().over(Window.orderBy("focal", "accession")))
+    tracks = ranked(s.select("focal", "accession").distinct(), ["focal", "accession"], Workspace(i.spark, "tracks"), "tracks").select("focal", "accession", F.col("rank").cast("int").alias("track"))
     return coords.track_links(s, genes(i), tracks)
 
 
@@ -69,13 +70,13 @@ def a20_mean_gap(i):
     return coords.average_gap(placed(i))
 
 
-BLOCKS = "raw AS (SELECT 'c' || CAST(o_custkey % 5 AS STRING) AS chr1, o_orderkey % 50000 * 100 AS s1, o_orderkey % 50000 * 100 + CAST(o_totalprice AS BIGINT) % 9000 - 3000 AS e1, 'c' || CAST(o_orderkey % 5 AS STRING) AS chr2, o_custkey * 300 AS s2, o_custkey * 300 + 200000 AS e2 FROM orders WHERE o_orderkey % 40 = 0)"
+BLOCKS = "raw AS (SELECT 'c' || CAST(o_custkey % 5 AS STRING) AS chr1, o_orderkey % 50000 * 100 AS s1, o_orderkey % 50000 * 100 + CAST(o_totalprice AS BIGINT) % 9000 - 3000 AS e1, 'c' || CAST(o_orderkey % 5 AS STRING) AS chr2, o_custkey * 300 AS s2, o_custkey * 300 + 200000 AS e2 FROM orders)"
 TURNED = f"{BLOCKS}, b AS (SELECT chr1, least(s1, e1) AS s1, greatest(s1, e1) AS e1, chr2, least(s2, e2) AS s2, greatest(s2, e2) AS e2 FROM raw), blocks AS (SELECT * FROM b UNION ALL SELECT chr2, s2, e2, chr1, s1, e1 FROM b)"
 EDGES = "e AS (SELECT l_orderkey AS a, l_partkey AS b, l_linenumber AS k, 'c' || CAST(l_suppkey % 5 AS STRING) AS chr1, l_orderkey % 50000 * 100 + l_linenumber AS mid1, 'c' || CAST(l_partkey % 5 AS STRING) AS chr2, l_partkey * 200 AS mid2 FROM lineitem)"
 
 
 def blocks(i):
-    o = i.orders.filter("o_orderkey % 40 = 0")
+    o = i.orders
     return o.selectExpr("concat('c', o_custkey % 5) chr1", "o_orderkey % 50000 * 100 s1", "o_orderkey % 50000 * 100 + cast(floor(o_totalprice + 0.5) as bigint) % 9000 - 3000 e1", "concat('c', o_orderkey % 5) chr2", "o_custkey * 300 s2", "o_custkey * 300 + 200000 e2")
 
 

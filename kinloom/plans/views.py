@@ -10,10 +10,10 @@ VIEWS = {
     "hit": "SELECT 'LI' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING) AS gene_id, 'acc' || CAST(l_suppkey AS STRING) AS accession, 'pan' || lpad(CAST(l_partkey AS STRING), 5, '0') AS pangene, CASE l_returnflag WHEN 'A' THEN 'arabidopsis' ELSE 'rice' END AS species, p_name AS ref_id, CASE WHEN l_returnflag = 'N' THEN CAST(NULL AS DOUBLE) ELSE l_discount / 1000 END AS evalue, CASE WHEN l_linenumber = 1 THEN CAST(NULL AS DOUBLE) ELSE l_tax * 100 END AS pident FROM {lineitem} JOIN {part} ON l_partkey = p_partkey",
     "ref": "SELECT CAST(p_partkey AS STRING) AS ref_id, CASE WHEN p_partkey % 2 = 0 THEN 'arabidopsis' ELSE 'rice' END AS species, p_name AS symbols, p_type AS full_name, p_name || ' of ' || p_brand AS description, p_name || '.' AS short, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS curator, p_type AS computed FROM {part}",
     "expr": "SELECT 'g' || CAST(user_id AS STRING) AS gene, event_type AS organ, 'e' || CAST(event_id % 5 AS STRING) AS experiment, 't' || CAST(event_id % 2 AS STRING) AS grp, event_id AS sample_idx, value, 'ds' || CAST(event_id % 3 AS STRING) AS dataset_id, 'genome' || CAST(user_id % 4 AS STRING) AS genome FROM {events}",
-    "edge": "SELECT DISTINCT 'O' || CAST(l_orderkey AS STRING) AS a, 'P' || CAST(l_partkey AS STRING) AS b FROM {lineitem} WHERE l_quantity <= 1 AND l_discount < 0.03",
-    "aln": "SELECT p_brand AS grp, 'g' || lpad(CAST(p_partkey AS STRING), 7, '0') AS gene_id, upper(replace(p_name, ' ', '-')) AS seq FROM {part} WHERE p_partkey < 2000",
-    "cds": "SELECT 'g' || lpad(CAST(p_partkey AS STRING), 7, '0') AS gene_id, CASE WHEN p_partkey % 11 = 0 THEN CAST(NULL AS STRING) WHEN p_partkey % 13 = 0 THEN 'ACG' ELSE translate(md5(CAST(p_partkey % 97 AS STRING)) || md5(p_name), '0123456789abcdef', 'ACGTACGTACGTACGT') END AS cds FROM {part} WHERE p_partkey < 2000",
-    "doc": "SELECT doc_id AS id, source AS genome, text AS seq FROM {documents} WHERE instr(text, 'ß') = 0",
+    "edge": "SELECT DISTINCT 'O' || CAST(l_orderkey AS STRING) AS a, 'P' || CAST(CAST(floor(l_orderkey / 8) AS BIGINT) + CASE WHEN l_partkey % 25 = 0 THEN 1 ELSE 0 END AS STRING) AS b FROM {lineitem}",
+    "aln": "SELECT 'c' || CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS STRING) AS grp, 'g' || lpad(CAST(p_partkey AS STRING), 7, '0') AS gene_id, upper(replace(p_name, ' ', '-')) AS seq FROM {part}",
+    "cds": "SELECT 'g' || lpad(CAST(p_partkey AS STRING), 7, '0') AS gene_id, CASE WHEN p_partkey % 11 = 0 THEN CAST(NULL AS STRING) WHEN p_partkey % 13 = 0 THEN 'ACG' ELSE translate(md5(CAST(p_partkey % 97 AS STRING)) || md5(p_name), '0123456789abcdef', 'ACGTACGTACGTACGT') END AS cds FROM {part}",
+    "doc": "SELECT doc_id AS id, source AS genome, text AS seq FROM {documents}",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import ids, numbers, text
 from kinloom.functions.scratch import Workspace
-from kinloom.operators import alignment, coords, graph, keyword, members, similarity, sinks
-from kinloom.operators.pick import pick, prioritised_lookup
+from kinloom.operators import alignment, coords, expression, graph, keyword, members, similarity, sinks
+from kinloom.operators.pick import pick, prioritised_lookup, ranked
 from kinloom.sources import annotations, genomes
 
 
@@ -181,3 +181,60 @@ def test_tables_are_not_overwritten_unasked(spark, tmp_path):
 def test_catalogue():
     c = annotations.catalogue('{"oat": {"variants": {"v1": {"db": "x"}, "v2": {"label": "L"}}}}')
     assert c["oat"]["default"] == "v1" and c["oat"]["variants"]["v2"]["label"] == "L" and c["oat"]["label"] == "Oat"
+
+
+def test_snippets_as_the_search_shows_them(spark):
+    words = "alpha " * 20
+    long = words + "target here " + words
+    show = lambda v, tokens: column(spark, [v], lambda c: text.snippet(c, tokens))[0]
+    at = long.index("target")
+    assert show(long, ["zz", "Target"]) == "..." + long[at - 46 : at + 140] + "..." * (at + 140 < len(long))
+    short = "x" * 60 + " target and the rest of a text"
+    assert show(short, ["target"]) == "..." + short[61 - 46 :]
+    assert show(short, ["zz"]) == short and show("y" * 150, ["zz"]) == "y" * 140 + "..." and show(None, ["a"]) == "" and show("y" * 150, []) == "y" * 140 + "..."
+    assert show("b target a", ["a", "target"]) == "b target a"
+
+
+def test_labels(spark):
+    assert column(spark, [None, 0.0, 0.005, 0.5, 15.0, 1e-300, 2e-310, 1234.4, 12340.0, 0.01, 100.0, 0.012345, 1000.0], text.evalue_label, "double") == ["—", "0", "5.00e-03", "0.5", "15", "1.00e-300", "2.0e-310", "1234", "1.234e+04", "0.01", "100", "0.01235", "1000"]
+    assert column(spark, [None, 33.333, 100.0], text.identity_label, "double") == ["—", "33.3%", "100.0%"]
+    assert column(spark, [None, 0.0, 0.004, 1e-12, 0.05, 1.0], text.fdr_label, "double") == ["", "0.00e+0", "4.00e-3", "1.00e-12", "0.050", "1.00"]
+    assert column(spark, ["a", 'b"c', "d\te", None], text.quoted_cell) == ["a", '"b""c"', '"d\te"', ""]
+
+
+def test_terms_lose_case_and_diacritics(spark):
+    assert column(spark, ["Müller naïve éte x-1", "Łódź ß 日本", None], text.terms) == [["muller", "naive", "ete", "x", "1"], ["łodz", "ß", "日本"], []]
+
+
+def test_tissue_stats_by_experiment_and_group(spark):
+    rows = [("g", "leaf", "e", "t", 2, 4.0, "A"), ("g", "root", "e", "t", 1, None, "B"), ("g", "stem", "e", "t", 3, 8.0, "C"), ("g", "seed", "e", "u", 4, None, "C"), ("g", "seed", "f", "t", 5, 1.0, "C")]
+    got = {(r.experiment, r.grp): (r.organ, r.genome, r.n, r["mean"], r.first_sample) for r in expression.tissue_stats(spark.createDataFrame(rows, "gene string, organ string, experiment string, grp string, sample_idx int, value double, genome string")).collect()}
+    assert got == {("e", "t"): ("leaf", "A", 2, 6.0, 2), ("f", "t"): ("seed", "C", 1, 1.0, 5)}
+
+
+def test_members_without_coordinates_count_as_unknown(spark):
+    genes = spark.createDataFrame([("g1", "p", "x"), ("g2", "p", "x"), ("g3", "p", "y"), ("g4", "q", "x")], "gene_id string, pangene string, accession string")
+    places = coords.placed(spark.createDataFrame([("g1", "x", "1B", 1, 2, "+"), ("g3", "z", "1A", 1, 2, "+")], "gene_id string, accession string, chr string, begin_pos int, end_pos int, strand string"), [F.col("begin_pos")])
+    held = members.with_places(genes, places)
+    assert {r.pangene: (r.n_a, r.n_b, r.n_d, r.n_other, r.dominant) for r in members.subgenome_counts(held).collect()} == {"p": (0, 1, 0, 2, "B"), "q": (0, 0, 0, 1, "?")}
+    got = {(r.pangene, r.bucket): (r.genes, r.missing, r.total, r.shown, r.truncated) for r in members.partitioned(held, 2).collect()}
+    assert got == {("p", "B"): ("g1", "g2", 3, 2, True), ("p", "?"): ("g2", "g2", 3, 2, True), ("q", "?"): ("g4", "g4", 1, 1, False)}
+
+
+def test_most_similar_member_of_each_accession(spark):
+    rows = spark.createDataFrame([("p", "r", "a", "MKVLAADEF"), ("p", "s", "b", "MKVLAADEF"), ("p", "t", "b", "MKVLAADEG"), ("p", "u", "c", "QQQQQQ")], "grp string, gene_id string, accession string, seq string")
+    got = {r.accession: (r.gene_id, r.distance) for r in similarity.most_similar(rows, spark.createDataFrame([("p", "r")], "grp string, ref string")).collect()}
+    assert got["b"] == ("s", 0.0) and got["c"] == ("u", 1.0)
+
+
+def test_ranks_over_all(spark):
+    df = spark.range(500).select(((F.col("id") * 7919) % 500).alias("k")).repartition(5)
+    got = ranked(df, ["k"], Workspace(spark, "t"), "r").collect()
+    assert all(r["rank"] == r.k + 1 for r in got) and len(got) == 500
+
+
+def test_retrieval_needs_every_token(spark):
+    refs = spark.createDataFrame([("a", "Red widget", "small"), ("b", "red thing", "Widgets here"), ("c", "red", None)], "ref_id string, x string, y string")
+    posts = keyword.postings(refs, "ref_id", F.col("x"), F.col("y"))
+    assert [r.ref_id for r in keyword.retrieved(posts, "ref_id", ["widg", "RED"], 9).collect()] == ["a", "b"]
+    assert keyword.candidate_cap(25) == 100 and keyword.candidate_cap(3) == 50
