@@ -26,6 +26,16 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def listed(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
+    """(name, path, is a folder) of what a folder holds, by name; nothing for what is no folder. Hidden names are left out."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(where) or not store.getFileStatus(where).isDirectory():
+        return []
+    found = [(s.getPath().getName(), s.getPath().toString(), s.isDirectory()) for s in store.listStatus(where)]
+    return sorted(f for f in found if not f[0].startswith((".", "_")))
+
+
 class Workspace:
     """A folder for tables that cut lineage and survive lost executors. It goes when the driver ends, or before by close(), once
     nothing reads its tables any more."""

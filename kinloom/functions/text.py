@@ -71,8 +71,8 @@ def measurement(c: Column) -> Column:
 
 
 def listed(c: Column) -> Column:
-    """Parts between commas, semicolons, bars and slashes, without blanks and repetitions, in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(present(c), r"[,;|/]"), lambda x: F.trim(x)), lambda x: x != ""))
+    """Parts between commas, semicolons, bars and slashes, without blanks, words for missing values and repetitions, in order."""
+    return F.array_distinct(F.filter(F.transform(F.split(present(c), r"[,;|/]"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.lower(x).isin(*MISSING)))
 
 
 def piped(a: Column) -> Column:

@@ -58,7 +58,7 @@ def s08_long_clusters(i):
 @query(f"WITH {GENES} SELECT pangene, gene_id FROM genes", "member")
 def s08_k06_wide_clusters(i):
     wide = graph.wide(genes(i).select(F.col("gene_id").alias("node"), F.col("pangene").alias("cluster"))).select(F.col("line").alias("value"))
-    return genomes.cluster_members(i.spark, path(i, "a.clust.tsv", wide)).select("pangene", "gene_id")
+    return genomes.cluster_members(i.spark, path(i, "a.clust.tsv", wide), "wide").select("pangene", "gene_id")
 
 
 @query("SELECT * FROM edge", "edge")

@@ -55,11 +55,8 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
     blank, twice = t.agg(F.count_if(F.coalesce("sample_acc", F.lit("")) == ""), F.count("*") - F.count_distinct("sample_acc")).first()
     if blank or twice:
         raise ValueError(f"samples: {blank} blank and {twice} repeated sample_acc")
-    ranked = t.withColumn("seq", F.monotonically_increasing_id())
-    from pyspark.sql import Window
-
-    # samples of one data set: a driver-sized list
-    return ranked.withColumn("sample_idx", F.row_number().over(Window.orderBy("seq")) - 1).drop("seq")
+    # samples of one data set are a driver-sized list: one task reads the file from its start
+    return t.coalesce(1).withColumn("sample_idx", F.monotonically_increasing_id().cast("int"))
 
 
 def matrix(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
@@ -93,6 +90,26 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return t.withColumn("gene_id", ids.canonical_id(F.col("gene_id"))).withColumn("line", F.monotonically_increasing_id())
 
 
+def statistics(spark: SparkSession, path: str) -> DataFrame:
+    """(species, accessions, pan_genes, genes) of a statistics table, in lower case. A file without a species column is of the old
+    layout: its first row is wheat's. Rows that lack one of the three numbers go; optional numbers are 0 where they are missing."""
+    t = table(spark, path)
+    t = t.toDF(*[c.strip().lower() for c in t.columns])
+    if "species" not in t.columns:
+        t = t.limit(1).withColumn("species", F.lit("wheat"))
+    need = ("accessions", "pan_genes", "genes")
+    required(t, need, "statistics")
+    number = lambda c: F.trim(F.col(c)).try_cast("long")
+    rest = [F.coalesce(number(c), F.lit(0).cast("long")).alias(c) for c in t.columns if c not in (*need, "species")]
+    out = t.select(F.lower(F.trim("species")).alias("species"), *[number(c).alias(c) for c in need], *rest)
+    return out.filter(" AND ".join(f"{c} IS NOT NULL" for c in need))
+
+
+def catalogue_of_folder(stems: list[str]) -> dict[str, dict]:
+    """Without a configuration each index in the folder is a species with itself as its only variant."""
+    return catalogue(json.dumps({s.lower(): {"variants": {s.lower(): {"label": s[:1].upper() + s[1:]}}} for s in sorted(stems)}))
+
+
 def catalogue(text_of_config: str) -> dict[str, dict]:
     """Species and their variants from a configuration in JSON, in its order; the first variant is the default. Labels default to names."""
     out = {}

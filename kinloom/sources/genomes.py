@@ -23,6 +23,15 @@ def bed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return p.filter(F.col("begin_pos").isNotNull() & F.col("end_pos").isNotNull()).withColumn("subgenome", ids.subgenome(F.col("chr")))
 
 
+def gene_universe(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(gene_id): the distinct ids in the fourth field; a line of fewer fields is an error."""
+    rows = content(lines(spark, path)).select(F.col("line"), fields(F.trim("line")).alias("f"))
+    bad = rows.filter(F.size("f") < 4).select("line").first()
+    if bad:
+        raise ValueError(f"fewer than 4 fields: {bad.line[:80]!r}")
+    return rows.select(F.trim(F.col("f")[3]).alias("gene_id")).filter("gene_id <> ''").distinct()
+
+
 def bed7(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(line) in six fields, the id from the seventh field where there is one."""
     f = F.col("f")
@@ -59,12 +68,12 @@ def resolved(records: DataFrame, genes: DataFrame) -> DataFrame:
 def cluster_members(spark: SparkSession, path: str | list[str], layout: str | None = None) -> DataFrame:
     """(pangene, gene_id, src, pos): members of clusters in wide form (a line a cluster) or long form (a line a member).
 
-    Without a layout each file's widest line decides: more than two fields make the file wide.
+    Without a layout each file's first line decides: more than two fields make the file wide.
     """
     rows = content(lines(spark, path)).select(fields(F.col("line")).alias("f"), "file", "src").filter(F.size("f") >= 2)
     if layout is None:
-        widest = rows.groupBy("file").agg((F.max(F.size("f")) > 2).alias("wide"))
-        rows = rows.join(widest, "file")
+        first = rows.groupBy("file").agg(F.min(F.struct("src", F.size("f").alias("n"))).alias("first"))
+        rows = rows.join(first.select("file", (F.col("first.n") > 2).alias("wide")), "file")
     else:
         rows = rows.withColumn("wide", F.lit(layout == "wide"))
     last = F.when(F.col("wide"), F.size("f") - 1).otherwise(1)
@@ -72,6 +81,30 @@ def cluster_members(spark: SparkSession, path: str | list[str], layout: str | No
     return out.filter(F.trim("gene") != "").select("pangene", ids.canonical_id(F.col("gene")).alias("gene_id"), "src", "pos")
 
 
+def is_packed(spark: SparkSession, path: str | list[str], sample: int = 50) -> bool:
+    """Whether both names of each of the first lines (rep, member) are packed with their places."""
+    f = F.col("f")
+    some = lines(spark, path).filter(F.trim("line") != "").select(fields(F.col("line")).alias("f")).filter(F.size(f) >= 2).limit(sample)
+    n, plain = some.agg(F.count("*"), F.count_if(~(F.contains(f[0], F.lit("__")) & F.contains(f[1], F.lit("__"))))).first()
+    return n > 0 and plain == 0
+
+
+def representatives(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(rep, member) of clusters with their representatives, each of a cluster's genes once, the representative among them."""
+    f = F.col("f")
+    rows = lines(spark, path).filter(F.trim("line") != "").select(fields(F.col("line")).alias("f")).filter(F.size(f) >= 2)
+    return rows.select(f[0].alias("rep"), F.explode(F.array(f[0], f[1])).alias("member")).distinct()
+
+
+def match_rows(pairs: DataFrame) -> DataFrame:
+    """Eight columns, the places of both genes, of pairs (a, b) of packed genes; one row for each two genes, whatever their order; pairs that cannot be unpacked go."""
+    x, y = ids.packed_gene(F.col("a")), ids.packed_gene(F.col("b"))
+    both = pairs.select(x.alias("x"), y.alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    cols = [F.col(f"{s}.{c}").alias(f"{c}{i}") for i, s in ((1, "x"), (2, "y")) for c in ("chr", "gene_id", "begin_pos", "end_pos")]
+    key = lambda s: F.struct(*[F.col(f"{s}.{c}") for c in ("chr", "gene_id", "begin_pos", "end_pos")])
+    return both.withColumn("turned", key("x") > key("y")).select(F.when(F.col("turned"), F.col("y")).otherwise(F.col("x")).alias("x"), F.when(F.col("turned"), F.col("x")).otherwise(F.col("y")).alias("y")).select(*cols).distinct()
+
+
 def structures(spark: SparkSession, q3: str | list[str], q8: str | list[str]) -> DataFrame:
     """(gene_id, q3, q8) from two kinds of files, blank where one has none; rows blank in both go."""
     a = table(spark, q3, ",").select(ids.canonical_id(F.col("id")).alias("gene_id"), F.trim("q3_decoded").alias("q3"))

@@ -150,7 +150,10 @@ def test_readers(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">t1 d > x|g1\nAC\nGT\n>t2\n\n")
     assert [(x.name, x.seq) for x in genomes.fasta(spark, str(tmp_path / "a.fa")).orderBy("src").collect()] == [("t1", "ACGT"), ("t2", "")]
     (tmp_path / "c.clust.tsv").write_text("p0\tg0\np1\tg1\tg2\n")
-    assert genomes.cluster_members(spark, str(tmp_path / "c.clust.tsv")).count() == 3
+    assert genomes.cluster_members(spark, str(tmp_path / "c.clust.tsv")).count() == 2
+    assert genomes.cluster_members(spark, str(tmp_path / "c.clust.tsv"), "wide").count() == 3
+    (tmp_path / "d.clust.tsv").write_text("p0\tg0\tg1\np1\tg2\n")
+    assert genomes.cluster_members(spark, str(tmp_path / "d.clust.tsv")).count() == 3
 
 
 def test_reader_errors(spark, tmp_path):
