@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 
-#: Texts of up to so many characters, and pieces of up to so many bytes, are leaves.
-LEAF_CHARS, LEAF_BYTES = 16_384, 1_024
+#: Texts of up to so many characters, and pieces of up to so many bytes, are leaves; most documents have several.
+LEAF_CHARS, LEAF_BYTES = 1_024, 256
 #: Pieces whose tokens are remembered by a worker, and the longest of them in characters.
 CACHE_PIECES, CACHE_CHARS = 200_000, 24
 

@@ -5,7 +5,7 @@ for IBANs, the calendar for dates, ranges for the rest), mapped into the product
 Feistel network on it: halves take turns to be shifted, modulo their range, by a keyed hash of the other half. A shift can be
 undone, so each kind's map is a permutation of its valid values: equal values get equal pseudonyms in every document,
 different ones different pseudonyms, and the format, separators and check digits stay valid. Mail addresses and secrets are
-permuted character by character within lower-case letters, upper-case letters and digits.
+permuted character by character within lower-case letters, upper-case letters and digits; whether letters are capitals does not matter in addresses.
 """
 
 from __future__ import annotations
@@ -256,16 +256,15 @@ def social(key: str, m: Column) -> Column:
     return F.when(valid, joined(moved, lambda s: F.concat_ws("-", F.lpad(number(s).cast("string"), 3, "0"), F.lpad((F.floor(s["b"] / 9_999) + 1).cast("string"), 2, "0"), F.lpad((F.pmod(s["b"], F.lit(9_999)) + 1).cast("string"), 4, "0"))))
 
 
-def shifted(chars: Column, stream: Column, hexadecimal: Column) -> Column:
+def shifted(chars: Column, stream: Column) -> Column:
     """Each letter or digit moves within its class by a byte of the stream (64 hexadecimal digits)."""
-    letters = F.when(hexadecimal, 6).otherwise(26)
 
     def move(c: Column, i: Column) -> Column:
         by = F.conv(F.substring(stream, 2 * (i % 32) + 1, F.lit(2)), 16, 10).cast("int")
         code = F.ascii(c)
         return (
             F.when(c.rlike("[0-9]"), F.char((code - 48 + by) % 10 + 48))
-            .when(c.rlike("[a-z]"), F.char((code - 97 + by) % letters + 97))
+            .when(c.rlike("[a-z]"), F.char((code - 97 + by) % 26 + 97))
             .when(c.rlike("[A-Z]"), F.char((code - 65 + by) % 26 + 65))
             .otherwise(c)
         )
@@ -274,26 +273,36 @@ def shifted(chars: Column, stream: Column, hexadecimal: Column) -> Column:
 
 
 def permuted_text(key: str, kind: str, value: Column) -> Column:
-    """A string permuted among those with the same kinds of characters in the same places."""
+    """A string permuted among those with the same kinds of characters in the same places: digits, lower-case and upper-case letters.
+    The classes follow from the format alone, never from which letters a value happens to have, so no two values meet."""
     chars = F.split(value, "")
     left = F.floor(F.size(chars) / 2).cast("int")
-    hexadecimal = value.rlike("^[0-9a-f]+$")
 
     def stream(r: Column, other: Column) -> Column:
         return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), F.array_join(other, "")).cast("binary"), 256)
 
     def turn(s: Column, r: Column) -> Column:
-        odd = F.struct(joined(stream(r, s["b"]), lambda x: shifted(s["a"], x, hexadecimal)).alias("a"), s["b"].alias("b"))
-        even = F.struct(s["a"].alias("a"), joined(stream(r, s["a"]), lambda x: shifted(s["b"], x, hexadecimal)).alias("b"))
+        odd = F.struct(joined(stream(r, s["b"]), lambda x: shifted(s["a"], x)).alias("a"), s["b"].alias("b"))
+        even = F.struct(s["a"].alias("a"), joined(stream(r, s["a"]), lambda x: shifted(s["b"], x)).alias("b"))
         return F.when(r % 2 == 1, odd).otherwise(even)
 
     start = F.struct(F.slice(chars, F.lit(1), left).alias("a"), F.slice(chars, left + 1, F.size(chars) - left).alias("b"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.array_join(F.concat(s["a"], s["b"]), ""))
 
 
+def caseless(key: str, kind: str, value: Column) -> Column:
+    """Permuted as if in lower case; capitals stay where they were, so spellings of one value that differ in case have pseudonyms that do as well."""
+    old = F.split(value, "")
+    new = F.split(permuted_text(key, kind, F.lower(value)), "")
+    return F.array_join(F.zip_with(old, new, lambda o, n: F.when(o.rlike("[A-Z]"), F.upper(n)).otherwise(n)), "")
+
+
 def mail(key: str, m: Column) -> Column:
-    """The local part moves, the domain stays."""
-    return F.concat(permuted_text(key, "mail", F.substring_index(m, "@", 1)), F.lit("@"), F.substring_index(m, "@", -1))
+    """The local part and the domain move each by itself, so addresses of one domain still share one; the last label of the domain stays."""
+    local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    last = F.substring_index(domain, ".", -1)
+    name = F.substring(domain, F.lit(1), F.length(domain) - F.length(last) - 1)
+    return F.concat(caseless(key, "mail", local), F.lit("@"), caseless(key, "domain", name), F.lit("."), last)
 
 
 def secret(key: str, m: Column) -> Column:
