@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, read_ranks
-from .common import documents
+from .common import Scratch, documents
 
 #: Lengths are summed in blocks of so many, so that no task ever orders all lengths.
 BLOCK = 1_024
@@ -36,7 +36,8 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     """For each length that occurs: documents and tokens of that length or more, the tokens left if every document is cut
     there, the documents and tokens in all, and the share of documents of that length or less.
 
-    Sums run within blocks of lengths and over the blocks' totals, which are BLOCK times fewer.
+    Sums run within blocks of lengths and over the blocks' totals, which are BLOCK times fewer. The histogram is read twice, so
+    give one that is written, not one that would count all texts again.
     """
     block = F.floor(F.col("n_tokens") / BLOCK)
     h = histogram.withColumn("block", block).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
@@ -74,6 +75,8 @@ def quantile(sums: DataFrame, q: float) -> int | None:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram, a row a length, is written once; texts are encoded once."""
     import public_tokenizers
 
-    return suffix_sums(length_histogram(documents(spark, sf_dir), read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN))
+    histogram = length_histogram(documents(spark, sf_dir), read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    return suffix_sums(Scratch(spark, "lengths").write(histogram, "histogram"))

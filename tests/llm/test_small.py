@@ -368,24 +368,106 @@ def test_bounds_hold(dim, seed):
     assert (low <= x @ y.T).all() and (x @ y.T <= high).all()
 
 
-def test_chat(spark, scratch, tmp_path):
-    m = spark.createDataFrame(
-        [
-            (1, 0, "user", "Hello there\nHow are you?", "x"), (1, 1, "assistant", "> How are you?\nFine.  And you?", "x"), (1, 2, "user", "On Monday, Bob wrote:\n> fine. and  YOU?\n>> How are you?\nGreat", "x"),
-            (1, 3, "user", "new topic", "x"), (1, 4, "assistant", ">hello there\n\nreply", "x"), (1, 5, "user", "> reply\n> unknown\nlast", "x"), (2, 0, "user", None, "x"), (2, 1, None, "", "x"), (2, 2, "a", "> Hello there\nother", "x"), (None, 1, "u", "> x", "x"), (1, None, "u", "y", "x"), (1, 3, "user", "new topic", "x"),
-        ],
-        "conv_id long, turn long, role string, text string, depth string",
-    )
-    got = {(r.row.conv_id, r.row.turn): (r.body, r.parent_turn, r.root_turn, r.depth) for r in chat.linked(m, scratch).collect()}
-    assert got[1, 1] == ("Fine.  And you?", 0, 0, 1) and got[1, 2] == ("Great", 1, 0, 2) and got[1, 3] == ("new topic", None, 3, 0)
-    assert got[1, 4] == ("reply", 0, 0, 1) and got[1, 5] == ("last", 4, 0, 2) and got[2, 0] == (None, None, 0, 0) and got[2, 1] == ("", None, 1, 0)
-    assert got[2, 2] == ("other", None, 2, 0) and got[None, 1] == ("", None, 1, 0)
-    m.drop("depth").write.parquet(f"{tmp_path}/conversations.parquet")
+def chat_by_hand(rows):
+    """Parent, root, depth, links and body of each (conv, turn, text), from the definitions."""
+    marks = re.compile("^(?:[ \t]*>)+[ \t]?")
+
+    def parts(text):
+        lines = re.sub("\r\n?", "\n", text).split("\n")
+        level = [m.group().count(">") if (m := marks.match(x)) else 0 for x in lines]
+        norm = [" ".join(words(marks.sub("", x).lower())) for x in lines]
+        segs, at = [], 0
+        while at < len(lines):
+            end = at
+            while end < len(lines) and level[end] == level[at] and (norm[end] == "") == (norm[at] == ""):
+                end += 1
+            if norm[at]:
+                segs.append((at, end))
+            at = end
+        return lines, level, norm, segs
+
+    every = {(c, t, x): parts(x) for c, t, x in rows if None not in (c, t, x)}
+    found, out = {}, {}
+    for (c, t, x), (lines, level, norm, segs) in every.items():
+        for s, e in segs:
+            if level[s]:
+                want = norm[s:e]
+                from_ = [t2 for (c2, t2, _), (_, l2, n2, segs2) in every.items() if c2 == c and t2 < t for s2, e2 in segs2 if l2[s2] == 0 and any(n2[i : i + e - s] == want for i in range(s2, e2 - (e - s) + 1))]
+                if from_:
+                    found.setdefault((c, t), []).append((x, s, e, level[s], max(from_)))
+    parent = {}
+    for key, links in found.items():
+        least = min(k[3] for k in links)
+        votes = Counter()
+        for _, s, e, lv, o in links:
+            if lv == least:
+                votes[o] += e - s
+        parent[key] = max(votes, key=lambda o: (votes[o], o))
+    for c, t, x in rows:
+        root, depth = t, 0
+        while (c, root) in parent and None not in (c, root):
+            root, depth = parent[c, root], depth + 1
+        body, own = x, [k for k in found.get((c, t), ()) if k[0] == x]
+        if own:
+            lines, level, norm, _ = every[c, t, x]
+            gone = {i for i in range(len(lines)) if level[i] and not norm[i]}
+            for _, s, e, _, _ in own:
+                gone.update(range(s, e))
+                i = s - 1 if s and norm[s - 1] else s - 2
+                if i >= 0 and not level[i] and re.match(r"^(?i:on\b.{0,200}\bwrote|.{0,120}\b(?:wrote|schrieb|escribió|a écrit)) ?:\s*$", lines[i]):
+                    gone.add(i)
+            body = re.sub(r"^\s+|\s+$", "", "\n".join(x for i, x in enumerate(lines) if i not in gone))
+        out[c, t, x] = (body, parent.get((c, t)), root, depth, len(found.get((c, t), ())))
+    return out
+
+
+def check_chat(spark, scratch, rows, folder):
+    m = spark.createDataFrame([(c, t, "user", x, "x") for c, t, x in rows], "conv_id long, turn long, role string, text string, depth string")
+    got = Counter((r.row.conv_id, r.row.turn, r.row.text, r.body, r.parent_turn, r.root_turn, r.depth, r.n_linked) for r in chat.linked(m, scratch).collect())
+    by_hand = chat_by_hand(rows)
+    want = Counter((*k, *by_hand[k]) for k in rows)
+    assert got == want, (list((got - want).items())[:5], list((want - got).items())[:5])
+    m.drop("depth").write.parquet(f"{folder}/conversations.parquet")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
-    want = Counter(map(repr, con.execute(chat.OP8_SQL).fetchall()))
-    assert Counter(repr(tuple(r)) for r in chat.op8_chat(spark, str(tmp_path)).collect()) == want
-    assert chat.linked(m, scratch).count() == 12 and chat.linked(m.limit(0), scratch).count() == 0
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet/*.parquet'")
+    assert Counter(repr(tuple(r)) for r in chat.op8_chat(spark, str(folder)).collect()) == Counter(map(repr, con.execute(chat.OP8_SQL).fetchall()))
+
+
+def test_chat(spark, scratch, tmp_path):
+    rows = [
+        (1, 0, "Hello there\nHow are you?"), (1, 1, "> How are you?\nFine.  And you?"), (1, 2, "On Monday, Bob wrote:\n> fine. and  YOU?\n>> How are you?\nGreat"), (1, 3, "new topic"), (1, 4, ">hello there\n\nreply"),
+        (1, 5, "> reply\n> unknown\nlast"), (1, 6, "Ann wrote:\n\n> hello there\n> how are you?\n>\n> reply\nall"), (2, 0, None), (2, 1, ""), (2, 2, "> Hello there\nother"), (None, 1, "> x"), (1, None, "y"), (1, 3, "new topic"), (1, 3, "> reply\nmore"),
+        (3, 0, "a line"), (3, 1, "> a line\nShakespeare wrote:\nTo be"), (3, 2, "try:\n>>> print(1)\n1"), (3, 3, "> a line\n> a line\nx"), (3, 4, "a line\r\na line\r\n"), (3, 5, " > a line\n> A LINE\ny"), (3, 6, "> To be\n> or not\nz\n" + "long " * 5000), (3, 7, ">\n> To be"),
+    ]
+    check_chat(spark, scratch, rows, tmp_path)
+    got = {(r.row.conv_id, r.row.turn, r.row.text): (r.body, r.parent_turn) for r in chat.linked(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string"), scratch).collect()}
+    assert got[rows[15]] == ("Shakespeare wrote:\nTo be", 0) and got[rows[16]] == ("try:\n>>> print(1)\n1", None) and got[rows[5]] == (rows[5][2], None) and got[rows[6]] == ("all", 0)
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.linked(empty, scratch).count() == 0
+
+
+def test_chat_of_many_quotes(spark, scratch, tmp_path):
+    """Hundreds of messages that quote whole, partial, nested, changed and unknown passages, some of them often; turns over several blocks."""
+    rnd = random.Random(9)
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(0, 45):
+            at = turn * (300 if conv % 3 == 0 else 1)
+            own = [" ".join(rnd.choice(["yes", "no", "Ok", "why", "maybe  so"]) for _ in range(rnd.randrange(1, 4))) for _ in range(rnd.randrange(1, 5))]
+            text = []
+            for _ in range(rnd.randrange(0, 3)):
+                if said:
+                    lines = rnd.choice(said)
+                    i = rnd.randrange(len(lines))
+                    part = lines[i : i + rnd.randrange(1, 4)]
+                    if rnd.random() < 0.2:
+                        part = [*part[:-1], "unknown words"]
+                    mark = rnd.choice(["> ", ">", ">> ", "> > "])
+                    text += rnd.choice([[], ["Bob wrote:"], ["On x, y wrote:", ""]]) + [mark + (x.upper() if rnd.random() < 0.2 else x) for x in part] + rnd.choice([[], [">"], [""]])
+            said.append([x for x in own if x])
+            rows.append((conv, at, "\n".join(text + own)))
+    check_chat(spark, scratch, rows, tmp_path)
 
 
 def test_scores(spark, docs, rows, scratch, empty):
