@@ -344,19 +344,42 @@ def test_chains_and_near_misses(spark, scratch):
     assert got == components(rows, 2)
 
 
-def test_neighbours(spark):
+def by_products(vectors):
+    def product(x, y):
+        s = 0.0
+        for a, b in zip(x, y, strict=True):
+            s += a * b
+        return s
+
+    real = {}
+    for i, v in vectors:
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            real[i] = min(real.get(i, v), v)
+    want = []
+    for q in (i for i in real if i % 20 == 0):
+        near = [(product(real[q], v), i) for i, v in real.items() if i != q and len(v) == len(real[q])]
+        near = sorted(near, key=lambda p: (math.isnan(p[0]), 0 if math.isnan(p[0]) else -p[0], p[1]))[:20]
+        want += [(q, k + 1, i, repr(s)) for k, (s, i) in enumerate(near)]
+    return sorted(want)
+
+
+def test_neighbours(spark, scratch):
     rnd = np.random.default_rng(2)
     vectors = [(i, [float(x) for x in rnd.normal(size=8)]) for i in range(300)]
     vectors += [(301, vectors[40][1]), (302, vectors[40][1]), (340, None), (360, []), (380, [0.0] * 8), (400, [float("nan")] * 8), (420, [1.0, None] * 4), (440, [float("inf")] * 8), (None, [1.0] * 8), (460, [1.0] * 3), (40, vectors[40][1])]
+    vectors += [(1000 + i, vectors[60][1]) for i in range(90)]
     d = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("block", F.lit(1))
-    got = sorted(tuple(r) for r in neighbours.nearest(d, block=32, lane=2).collect())
-    real = {i: v for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
-    want = []
-    for q in (i for i in real if i % 20 == 0):
-        near = sorted((-neighbours.exact(np.array([real[q]]), np.array([v]))[0], i) for i, v in real.items() if i != q and len(v) == len(real[q]))[:20]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(near)]
-    assert got == sorted(want)
-    assert neighbours.nearest(d.limit(0)).count() == 0
+    got = sorted((*tuple(r)[:3], repr(r.score)) for r in neighbours.nearest(d, scratch, block=32, lane=2, group=1).collect())
+    assert got == by_products(vectors)
+    assert neighbours.nearest(d.limit(0), scratch).count() == 0
+
+
+def test_neighbours_of_great_and_small_numbers(spark, scratch):
+    """Products that overflow to infinity or to no number, and those too small for the bounds, are still ranked, and none is lost."""
+    rnd = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in rnd.normal(size=4) * 10.0 ** float(rnd.choice([200, 160, 0, -170, -310]))]) for i in range(120)]
+    got = sorted((*tuple(r)[:3], repr(r.score)) for r in neighbours.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), scratch, block=16, lane=3, group=2).collect())
+    assert got == by_products(vectors)
 
 
 @settings(max_examples=30, deadline=None)
