@@ -23,9 +23,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: that of the smallest id.
     Rows that repeat the id of one that stays are one document, of which the first text in order stays; rows without an id all stay."""
     scratch = Scratch(spark, "stage-neardup")
-    gone = scratch.write(neardup.linked(docs, scratch, k=5, threshold=80).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    base = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
-    return base.join(gone, base["id"].cast("long") == gone["gone"], "left_anti").select("row.*")
+    found = scratch.write(neardup.linked(docs, scratch, k=5, threshold=80), "linked")
+    marks = found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("mark_id")).agg(F.bool_and("kept").alias("stays"), F.count("*").alias("n"))
+    marks = scratch.write(marks.filter("NOT stays OR n > 1"), "marks")
+    base = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    once = base.join(marks, base["id"] == marks["mark_id"], "left_anti").select("row.*")
+    again = base.join(marks.filter("stays"), base["id"] == marks["mark_id"])
+    order = F.struct(F.col("row.text").isNull(), F.col("row.text"), F.xxhash64("row"))
+    first = again.groupBy("id").agg(F.min_by("row", order).alias("row")).select("row.*")
+    return once if marks.filter("stays").isEmpty() else once.unionByName(first)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +49,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and round trip of every text."""
-    return bpe.round_trip(docs, bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    """The ids of every text, to train on, and the hashes of its round trip."""
+    return bpe.round_trip(docs, bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES = [("quality", quality_rules), ("near_dedup", near_dedup), ("pii", pseudonyms), ("mixing", mix), ("bpe", encode)]

@@ -141,7 +141,7 @@ def round_trip(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "d
     empty table gives none, and columns of docs other than the two named are not read, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * with_ids
+    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(rank_file, pattern)
@@ -153,11 +153,11 @@ def round_trip(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "d
                 coded.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 plain.append(hashlib.sha256(enc.decode(ids)).hexdigest())
                 if with_ids:
-                    kept.append(ids.astype("i8"))
+                    kept.append(ids.astype("i4"))
             out = [batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                out, names = [*out, pa.array(kept, pa.list_(pa.int64()))], [*names, "ids"]
+                out, names = [*out, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     return docs.select(id_col, text_col).mapInArrow(work, schema)

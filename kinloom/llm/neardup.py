@@ -71,7 +71,8 @@ class _Hashes(dict):
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """The least and the greatest value under each permutation, alternating."""
+    """The least value under each permutation, then the greatest under each: a band has values of different permutations only, as the
+    two of one permutation agree together more often than not in small sets."""
     low, high = np.full(PERMUTATIONS, np.uint64(2**64 - 1)), np.zeros(PERMUTATIONS, "u8")
     for i in range(0, len(s), BLOCK):
         x = s[i : i + BLOCK, None] * _MUL + _ADD
@@ -79,7 +80,7 @@ def signature(s: np.ndarray) -> np.ndarray:
         x *= _FOLD
         np.minimum(low, x.min(0), out=low)
         np.maximum(high, x.max(0), out=high)
-    return np.stack([low, high], 1).reshape(-1)
+    return np.concatenate([low, high])
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:

@@ -21,7 +21,9 @@ WINDOW = 5
 THRESHOLDS = 24
 #: A rule stays if on the rows held back so large a share of what it rejects is bad, and on all rows it rejects so many bad ones.
 MIN_PRECISION, MIN_BAD = 0.97, 5
-MAX_RULES, MAX_CONDITIONS = 8, 4
+MAX_CONDITIONS = 4
+#: First conditions that are tried for a rule, the best first, before covering ends.
+SEEDS = 3
 
 def share(part: str, whole: str) -> Column:
     return F.try_divide(F.col(part).cast("double"), F.col(whole).cast("double"))
@@ -147,35 +149,63 @@ def spread(rows: DataFrame, thresholds: dict[str, list[float]]) -> dict[Conditio
     return out
 
 
-def learn(rows: DataFrame, max_rules: int = MAX_RULES, min_precision: float = MIN_PRECISION, min_bad: int = MIN_BAD) -> list[Rule]:
-    """The decision list for rows of statistics with `bad` (boolean) and `hold` (boolean: held back for pruning)."""
-    cuts = [(i + 0.5) / THRESHOLDS for i in range(THRESHOLDS)]
-    quantiles = rows.agg(*[F.percentile_approx(feature(n), cuts, 1000).alias(n) for n in RATIOS], *[F.percentile_approx(F.when(F.col("bad"), feature(n)), cuts, 1000).alias(f"bad_{n}") for n in RATIOS]).first()
-    if quantiles is None or quantiles["n_words"] is None:
-        return []
-    thresholds = {n: sorted({float(f"{t:.4g}") for t in (*quantiles[n], *(quantiles[f"bad_{n}"] or ()))}) for n in RATIOS}
+def quantiles(rows: DataFrame) -> dict[str, list[float]]:
+    """Thresholds of each statistic: quantiles of its values among all rows and among the bad ones.
+
+    Values are counted by their first three digits, of which a decade has 900, so what the driver gets does not grow with the rows, and the
+    same rows always give the same thresholds.
+    """
+    digits = lambda n: F.format_string("%.2e", feature(n)).cast("double")
+    values = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), digits(n).alias("value")) for n in RATIOS]))
+    got = rows.select("bad", values.alias("v")).groupBy("v.name", "v.value").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).collect()
+    out: dict[str, list[float]] = {}
+    for name in RATIOS:
+        own = sorted((r["value"], r["n"], r["bad"]) for r in got if r["name"] == name)
+        cuts = set()
+        for k in (1, 2):
+            total, seen, i = sum(r[k] for r in own), 0, 0
+            for r in own:
+                seen += r[k]
+                while i < THRESHOLDS and seen and seen >= (i + 0.5) / THRESHOLDS * total:
+                    cuts.add(r[0])
+                    i += 1
+        out[name] = sorted(cuts)
+    return out
+
+
+def learn(rows: DataFrame, min_precision: float = MIN_PRECISION, min_bad: int = MIN_BAD) -> list[Rule]:
+    """The decision list for rows of statistics with `bad` (boolean) and `hold` (boolean: held back for pruning). Covering ends when no
+    further rule passes on the rows held back, whatever the number of rules."""
+    thresholds = quantiles(rows)
     rules: list[Rule] = []
-    for _ in range(max_rules):
+    while any(thresholds.values()):
         left = rows.filter(~holds_any(rules))
-        rule = grow(left.filter(~F.col("hold")), thresholds)
-        if not rule:
-            break
-        rule = prune(left.filter(F.col("hold")), rule)
-        (bad, good), (all_bad, _) = counts(left.filter(F.col("hold")), [rule])[0], counts(left, [rule])[0]
-        if all_bad < min_bad or bad < min_precision * (bad + good) or not bad:
-            break
-        rules.append(rule)
+        found, tried = None, set()
+        for _ in range(SEEDS):
+            rule = grow(left.filter(~F.col("hold")), thresholds, tried)
+            if not rule:
+                break
+            tried.add(rule[0])
+            rule = prune(left.filter(F.col("hold")), rule)
+            got = left.groupBy("hold").agg(F.count_if(holds(rule) & F.col("bad")).alias("bad"), F.count_if(holds(rule) & ~F.col("bad")).alias("good")).collect()
+            bad, good = next(((r["bad"], r["good"]) for r in got if r["hold"]), (0, 0))
+            if sum(r["bad"] for r in got) >= min_bad and bad and bad >= min_precision * (bad + good):
+                found = rule
+                break
+        if found is None:
+            return rules
+        rules.append(found)
     return rules
 
 
-def grow(rows: DataFrame, thresholds: dict[str, list[float]]) -> Rule:
-    """Adds the condition of most gain until no good row is covered."""
+def grow(rows: DataFrame, thresholds: dict[str, list[float]], without: set[Condition] = frozenset()) -> Rule:
+    """Adds the condition of most gain until no good row is covered; the first is none of those given."""
     rule: Rule = ()
     bad, good = counts(rows, [rule])[0]
     while good and bad and len(rule) < MAX_CONDITIONS:
         before = log2(bad / (bad + good))
         found = spread(rows.filter(holds(rule)), thresholds)
-        gains = {c: p * (log2(p / (p + n)) - before) for c, (p, n) in found.items() if p}
+        gains = {c: p * (log2(p / (p + n)) - before) for c, (p, n) in found.items() if p and (rule or c not in without)}
         best = max(gains, key=gains.get, default=None)
         if best is None or gains[best] <= 1e-9:
             break
@@ -222,12 +252,13 @@ def labelled(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Dat
 def judged(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[Rule]]:
     """(row, statistics, base_failed, kept) for each row of docs, and the rules.
 
-    The statistics of the labelled rows are written once and read at each step of the learning. A null or empty text has
+    The learning looks at the texts of labelled rows only; their statistics are written once and read at each of its steps. A null or empty text has
     no words and fails the base test. Repeated rows are judged alike; labels that repeat count once, the lower quality; labels
     without a row, and rows without a label, do not matter to the learning. Without labels the list is empty, and then the
     base test decides alone. An empty table gives no rows.
     """
-    slim = statistics(docs.select(id_col, text_col), text_col)
+    known = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias(id_col)).distinct()
+    slim = statistics(docs.select(id_col, text_col).join(known, id_col, "left_semi"), text_col)
     rules = learn(scratch.write(labelled(slim, labels, id_col), "labelled"))
     stats = statistics(docs, text_col)
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules) & (F.col("seq") >= 0)).drop("seq"), rules

@@ -561,5 +561,24 @@ def test_stages_against_brute_force(spark, rows, scratch):
         s = base_statistics(r[1])
         want[r[0]] += not (s[0] < 10 or 100 * s[4] > 20 * s[0])
     assert kept == +want
-    near = Counter(r.doc_id for r in corpus_pipeline.near_dedup(spark, d, folder).collect())
-    assert near == Counter({d_: n for (d_, _, _, k), n in components(rows, 5).items() if k for _ in range(1)} | {None: 2})
+    near = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, d, folder).collect()]
+    stays = {d_ for d_, _, _, k in components(rows, 5) if k and d_ is not None}
+    want = {i: min((t for j, t in ((r[0], r[1]) for r in rows) if j == i), key=lambda t: (t is None, (t or "").encode())) for i in stays}
+    assert Counter(near) == Counter(want.items()) + Counter((None, r[1]) for r in rows if r[0] is None)
+    again = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x zz"), (2, "x"), (3, None), (3, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, again, folder).collect()) == [(1, "x"), (3, None)]
+
+    mixed = Counter((r.doc_id, r.text) for r in corpus_pipeline.mix(spark, d, folder).collect())
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(words(r[1]))
+    rate = {r.row.source: r.rate for r in mixing.copies(d, scratch).select("row", "rate").collect()}
+    want = Counter()
+    for r in rows:
+        key = f"mix:{'' if r[0] is None else r[0]}:{hashlib.md5((r[1] or '').encode()).hexdigest()}"
+        drawn = int(hashlib.md5(key.encode()).hexdigest()[:13], 16) / 2**52
+        want[r[0], r[1]] += math.floor(rate[r[3]]) + (drawn < rate[r[3]] - math.floor(rate[r[3]]))
+    assert mixed == +want
+
+    coded = Counter((r.doc_id, tuple(r.ids), r.n_tokens) for r in corpus_pipeline.encode(spark, d, folder).collect())
+    assert coded == Counter((r[0], tuple(WHOLE.encode_ordinary(r[1] or "")), len(WHOLE.encode_ordinary(r[1] or ""))) for r in rows)
