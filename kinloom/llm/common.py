@@ -8,16 +8,14 @@ from pyspark.sql import functions as F
 from kinloom.functions.scratch import Workspace as Scratch
 from kinloom.functions.scratch import delete as drop
 
-__all__ = ["RUN_BYTES", "SPACES", "WORD", "Scratch", "documents", "drop", "input_bytes", "run_count", "words"]
+__all__ = ["RUN_BYTES", "SPACES", "WORD", "Scratch", "documents", "drop", "run_count", "text_bytes", "words"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The six characters themselves, for translate().
 SPACES = " \t\n\x0b\x0c\r"
-#: A run of documents is about so many bytes of its files.
-RUN_BYTES = 6_000_000
-#: Statistics beyond this are Spark's "unknown".
-UNKNOWN_BYTES = 1 << 60
+#: A run of documents is about so many bytes of text.
+RUN_BYTES = 10_000_000
 
 
 def words(text: Column) -> Column:
@@ -25,18 +23,14 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def input_bytes(df: DataFrame, text: str) -> int:
-    """Bytes of the input as its files have it; where Spark does not know that, the bytes of the text."""
-    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if known < UNKNOWN_BYTES:
-        return known
-    return int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+def text_bytes(df: DataFrame, text: str) -> int:
+    """Bytes of all texts: counted, so that the same rows give the same whatever plan or files they come from."""
+    return int(df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)
 
 
-def run_count(df: DataFrame, text: str) -> int:
-    """How many runs the documents are dealt into: by size, and no fewer than the shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-input_bytes(df, text) // RUN_BYTES))
+def run_count(size: int, least: int = 12) -> int:
+    """How many runs texts of so many bytes are dealt into."""
+    return max(least, -(-size // RUN_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import public_tokenizers
 import tiktoken
@@ -269,24 +270,54 @@ def removed(rows, size=20):
     return out
 
 
-def test_substrings(spark, docs, rows, empty):
-    got = Counter(tuple(r) for r in substring.deduplicated(docs).collect())
+def test_substrings(spark, docs, rows, scratch, empty):
+    got = Counter(tuple(r) for r in substring.deduplicated(docs, scratch).collect())
     assert got == removed(rows)
-    assert substring.deduplicated(empty).count() == 0
+    assert Counter(tuple(r) for r in substring.deduplicated(docs, Scratch(spark, "one"), batches=1).collect()) == got
+    assert substring.deduplicated(empty, Scratch(spark, "none")).count() == 0
 
 
 def test_substring_index(spark, docs, rows):
-    index = substring.FingerprintIndex(spark, Scratch(spark, "index").root)
+    """Batch after batch, with merging of generations and opening of the index again between them."""
+    folder = Scratch(spark, "index").root
     ids = sorted(r[0] for r in rows if r[0] is not None)
     parts = [[r for r in rows if r[0] is not None and a <= r[0] < b] for a, b in zip([0, 15, 30, 45, 50, 60], [15, 30, 45, 50, 60, ids[-1] + 1], strict=True)]
     got, before = Counter(), []
     for part in parts:
-        new = spark.createDataFrame(part, SCHEMA)
-        old = spark.createDataFrame(before, SCHEMA)
-        got += Counter(tuple(r) for r in index.add(new, old).collect())
+        index = substring.FingerprintIndex(spark, folder)
+        got += Counter(tuple(r) for r in index.add(spark.createDataFrame(part, SCHEMA), spark.createDataFrame(before, SCHEMA)).collect())
         before = before + part
+        assert len(index.generations()) < substring.FANOUT
     assert got == removed([r for r in rows if r[0] is not None])
-    assert len(index.generations()) < substring.FANOUT
+    with pytest.raises(ValueError, match="windows of 20"):
+        substring.FingerprintIndex(spark, folder, size=30)
+
+
+def test_an_increment_reads_what_it_meets(spark):
+    """Old documents are read again only if the batch has a passage that was theirs alone, and only once: a passage that the index knows as shared is verified by
+    what is stored."""
+    rnd = random.Random(6)
+    text = lambda n: " ".join(f"u{rnd.randrange(10**6)}" for _ in range(n))
+    licence, alone = text(60), text(60)
+    first = [(i, f"{text(80)} {licence if i % 2 else ''} {text(30)}") for i in range(100)] + [(100, f"{text(50)} {alone}")]
+    second = [(200 + i, f"{text(80)} {licence} {text(30)}") for i in range(20)] + [(220, f"{alone} {text(50)}")]
+    third = [(300, f"{alone} {text(40)}"), (301, f"{text(40)} {licence}"), (302, text(100))]
+    index = substring.FingerprintIndex(spark, Scratch(spark, "increments").root)
+    got, before, read = Counter(), [], []
+    for part in (first, second, third):
+        d = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+        got += Counter(tuple(r) for r in index.add(d(part), d(before) if before else None).collect())
+        before = before + part
+        read.append({r.doc_id for r in index.part("promoted", index.generations()[-1]).collect()})
+    assert got == removed(before)
+    assert read[0] == set() and 100 in read[1] and read[2] <= {200 + i for i in range(21)} and 100 not in read[2] and len(read[1]) < 60
+
+
+def test_blobs_follow_the_entries():
+    """The number of buckets follows the text, not the runs."""
+    assert [max(4, (-(-t // substring.BUCKET_BYTES) - 1).bit_length()) for t in (0, 10**9, 64 * 10**9)] == [4, 4, 10]
+    run = substring.Run(pd.DataFrame({"run": [0], "doc_id": [1], "text": [" ".join(map(str, range(5000)))]}))
+    assert len(substring.blobs("entries", 0, 4, *run.entries())) == 16
 
 
 def test_packing():
