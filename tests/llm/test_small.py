@@ -553,6 +553,70 @@ def test_scores_are_probabilities():
     assert p.sum() < 1 and p[-1] > p[every.index(b"\x80q")]
 
 
+def test_scores_do_not_depend_on_partitions(spark, docs, scratch):
+    got = []
+    for parts in (4, 7, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got.append(sorted(map(repr, scoring.scored(docs.repartition(parts), Scratch(spark, "parts")).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got[0] == got[1] == got[2]
+
+
+def test_words_before_by_brute_force(spark, scratch):
+    """The score of each text from its words' spelling and brute-force counts of what follows the two words before."""
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.choice("ab cd ef gh".split()) for _ in range(rnd.randrange(0, 30))) for _ in range(120)] + ["ab cd ef gh ab ab cd"] * 40
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in scoring.scored(d, scratch).collect()}
+    found = spark.read.parquet(scratch.path("vocabulary"))
+    model = scoring.learned(found.filter("bucket >= 0"), scoring.LANE_BITS)
+    shares = scoring.context_shares(found.filter("bucket < 0"))
+    spelling = {}
+    for r in found.filter("bucket >= 0").collect():
+        units, counts = scoring.bucket_words(bytes(r.words), bytes(r.counts))
+        spelling |= dict(zip(units, model.scores(units, counts), strict=True))
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    after = {}
+    for i, t in enumerate(texts):
+        ws = [None, None, *t.split(), "\n"]
+        if not held(i):
+            for k in range(2, len(ws)):
+                after.setdefault((ws[k - 2], ws[k - 1]), Counter())[ws[k]] += 1
+    checked = 0
+    for i, t in enumerate(texts):
+        kind, tokens = scoring.parsed(t)
+        if any(kind + w not in spelling for w in tokens):
+            continue
+        ws, want = [None, None, *t.split(), "\n"], -math.log10(scoring.KINDS)
+        for k, unit in enumerate(tokens, 2):
+            c = Counter(after.get((ws[k - 2], ws[k - 1]), {}))
+            if not held(i):
+                c[ws[k]] -= 1
+            n, kinds = sum(c.values()), sum(v > 0 for v in c.values())
+            code = lambda v: v if v <= 31 else 31 + math.floor(8 * math.log2(v / 31))
+            full, per = n + (not held(i)), c[ws[k]] + (not held(i))
+            n = n if full <= 31 else 31 * 2 ** ((code(full) + 1 - 31) / 8)
+            follows = c[ws[k]] if per <= 31 else 31 * 2 ** ((code(per) - 31) / 8)
+            share = shares[scoring.context_gate(np.array([n]), np.array([kinds]))[0]] if n else 0.0
+            want += math.log10((1 - share) * 10 ** spelling[kind + unit] + (share * follows / n if n else 0))
+        assert math.isclose(got[i].score, want, rel_tol=1e-9), i
+        checked += 1
+    assert checked > 100
+    assert all(got[i].score > got[i].spelled_score for i in range(120, 160))
+
+
+def test_order_matters(spark, scratch):
+    rnd = random.Random(11)
+    phrase = [f"p{rnd.randrange(10**5)}" for _ in range(40)]
+    mixed = phrase[:]
+    rnd.shuffle(mixed)
+    rows = [(i, " ".join(phrase)) for i in range(20)] + [(100 + i, " ".join(mixed)) for i in range(0)]
+    held = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    other = next(i for i in range(held + 1, 3000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    got = {r.doc_id: r.score for r in scoring.scored(spark.createDataFrame([*rows, (held, " ".join(phrase)), (other, " ".join(mixed))], "doc_id long, text string"), scratch).collect()}
+    assert got[held] > got[other] / 3
+
+
 def test_held_out_text_is_predicted(spark, scratch):
     rnd = random.Random(4)
     stems = ["".join(rnd.choice("aeioumnrst") for _ in range(5)) for _ in range(50)]
