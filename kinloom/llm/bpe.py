@@ -125,11 +125,11 @@ class Encoder:
 _made: dict[tuple, Encoder] = {}
 
 
-def encoder(rank_file: bytes, pattern: str) -> Encoder:
+def encoder(rank_file: bytes, pattern: str, leaf_chars: int = LEAF_CHARS) -> Encoder:
     """One for each worker process."""
-    key = (hash(rank_file), pattern)
+    key = (hash(rank_file), pattern, leaf_chars)
     if key not in _made:
-        _made[key] = Encoder(rank_file, pattern)
+        _made[key] = Encoder(rank_file, pattern, leaf_chars)
     return _made[key]
 
 

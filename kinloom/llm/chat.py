@@ -150,7 +150,8 @@ def linked(messages: DataFrame, scratch: Scratch, conv_col: str = "conv_id", tur
     part = F.xxhash64("text")
     base = messages.select(F.struct("*").alias("row"), F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     known = base.filter(F.col("conv").isNotNull() & F.col("turn").isNotNull() & F.col("text").isNotNull()).select("conv", "turn", "text", part.alias("part"))
-    quoting = known.filter(F.col("text").rlike(QUOTE)).select("conv").distinct()
+    # written, so that its size is known before the texts are dealt: where few quote, most texts stay where they are
+    quoting = scratch.write(known.filter(F.col("text").rlike(QUOTE)).select("conv").distinct(), "quoting")
     some = scratch.write(with_segments(known.join(quoting, "conv", "left_semi").distinct()).drop("lines", "levels", "text"), "segments")
     quoted = passages(some)
     found = scratch.write(origins(quoted, written(some, quoted)), "passages")

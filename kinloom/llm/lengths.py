@@ -14,6 +14,8 @@ from .common import Scratch, documents
 
 #: Lengths are summed in blocks of so many, so that no task ever orders all lengths.
 BLOCK = 1_024
+#: Texts of up to so many characters are encoded at once; only their lengths matter here.
+LEAF_CHARS = 16_384
 
 
 def length_histogram(docs: DataFrame, rank_file: bytes, pattern: str, text_col: str = "text") -> DataFrame:
@@ -24,7 +26,7 @@ def length_histogram(docs: DataFrame, rank_file: bytes, pattern: str, text_col:
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen = encoder(rank_file, pattern), Counter()
+        enc, seen = encoder(rank_file, pattern, LEAF_CHARS), Counter()
         for batch in batches:
             seen.update(len(enc.encode(t.as_py() or "")) for t in batch.column(0))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["n_tokens", "n_docs"])
