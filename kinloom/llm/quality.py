@@ -19,7 +19,7 @@ from .common import WORD, Scratch, documents, words
 WINDOW = 5
 #: Thresholds tried for a statistic: quantiles of its values among the labelled rows.
 THRESHOLDS = 24
-#: A rule stays if on the rows held back so large a share of what it rejects is bad, and on all rows it rejects so many bad ones.
+#: A rule stays if on the rows held back so large a share of what it rejects is bad, and it rejects so many bad ones there.
 MIN_PRECISION, MIN_BAD = 0.97, 5
 MAX_CONDITIONS = 4
 #: First conditions that are tried for a rule, the best first, before covering ends.
@@ -189,7 +189,7 @@ def learn(rows: DataFrame, min_precision: float = MIN_PRECISION, min_bad: int =
             rule = prune(left.filter(F.col("hold")), rule)
             got = left.groupBy("hold").agg(F.count_if(holds(rule) & F.col("bad")).alias("bad"), F.count_if(holds(rule) & ~F.col("bad")).alias("good")).collect()
             bad, good = next(((r["bad"], r["good"]) for r in got if r["hold"]), (0, 0))
-            if sum(r["bad"] for r in got) >= min_bad and bad and bad >= min_precision * (bad + good):
+            if bad >= min_bad and bad >= min_precision * (bad + good):
                 found = rule
                 break
         if found is None:
