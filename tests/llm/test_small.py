@@ -539,6 +539,15 @@ def test_scores(spark, docs, rows, scratch, empty):
     assert scoring.scored(empty, scratch).count() == 0
 
 
+def test_words_hash_alike_wherever_they_stand():
+    words = [b"a", b"ab", b"\n", b"a", b"x" * 100_000, b"abcd", b"abcde", "é".encode()] + [b"%d" % i for i in range(60_000)] + [b"a", b"abcd"]
+    hashes, buckets = scoring.word_hashes(words), scoring.buckets_of(words, 10)
+    of = dict(zip(words, hashes.tolist(), strict=True))
+    assert [of[w] for w in words] == hashes.tolist() and len(set(of.values())) == len(of)
+    assert buckets[0] == buckets[3] == buckets[-2] and buckets[5] == buckets[6] == buckets[-1] and 0 <= buckets.min() <= buckets.max() < 1024
+    assert len(scoring.word_hashes([])) == len(scoring.buckets_of([], 10)) == 0
+
+
 def test_scores_are_probabilities():
     """All words of one byte and what they go on with share what the model gives to a first byte: sums stay at most 1, and a bit's two sides add up to 1."""
     words_ = [b"\x80" + w for w in (b"the", b"then", b"they", b"a", b"\n")]
