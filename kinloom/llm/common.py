@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinloom.functions.scratch import Workspace as Scratch
 from kinloom.functions.scratch import delete as drop
 
-__all__ = ["RUN_BYTES", "SPACES", "WORD", "Scratch", "documents", "drop", "run_count", "text_bytes", "words"]
+__all__ = ["RUN_BYTES", "SPACES", "WORD", "Scratch", "documents", "drop", "finite_components", "run_count", "text_bytes", "words"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,3 +35,8 @@ def run_count(size: int, least: int = 12) -> int:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def finite_components(v: Column) -> Column:
+    """Whether a vector of doubles is there, is not empty, and has finite components only."""
+    return F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
