@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch
 
-#: Quote marks at the start of a line, with the spaces between them.
-MARKS = r"^(?:[\x20\x09]*>)+[\x20\x09]?"
+#: Quote marks at the start of a line, with the spaces between them. One class, as repeated groups are matched by recursion, which long lines would exhaust.
+MARKS = r"^[\x20\x09>]*>[\x20\x09]?"
 #: A text with a quoted line.
 QUOTE = r"(?:^|[\r\n])[\x20\x09]*>"
 #: Turns of a conversation that are ordered together.

@@ -21,7 +21,8 @@ HINT = "[0-9@=:]|AKIA|ASIA"
 
 SECRET = r"(?i:(?<![a-z0-9_])(?:password|passwd|pwd|secret|token|api[_-]?key)) ?[=:] ?[\"']?[A-Za-z0-9+/_-]{8,}"
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: A domain has at most 127 labels. A group that repeats without a bound is matched by recursion, which a long text would exhaust.
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}"
 #: Length of an IBAN by country.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
@@ -61,6 +62,8 @@ UNSEPARATED = r"(?<![\p{L}0-9_.,/+-])[2-9][0-9]{2}[2-9][0-9]{6}(?![\p{L}0-9_/-])
 FRENCH = r"(?<![0-9.-])0[1-9](?:[ .-]?[0-9]{2}){4}(?![0-9-])(?!\.[0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
+#: Put around candidates, so that one pass finds them and what is between them; texts that have it are read twice.
+MARK = "\x01"
 CANDIDATE = "|".join((SECRET, ACCESS_KEY, MAIL, IBAN, DATE, NAMED_DATE, ADDRESS, PHONE, INTERNATIONAL, UNSEPARATED, FRENCH, SOCIAL, CARD))
 
 
@@ -224,24 +227,31 @@ def address(key: str, m: Column) -> Column:
 
 
 def phone(key: str, m: Column) -> Column:
-    """Ten digits; numbers whose area and exchange start with 2 to 9 stay such numbers."""
+    """Ten digits, in three sets that each keep to themselves, so no two numbers meet: area and exchange start with 2 to 9; only the area does; the area does not."""
     d = F.substring(digits(m), -10, 10)
-    area, exchange, line = (F.substring(d, i, n).cast("long") for i, n in ((1, 3), (4, 3), (7, 4)))
-    usual = (area >= 200) & (exchange >= 200)
-    moved = feistel(key, "phone", area - 200, (exchange - 200) * 10_000 + line, 800, 8_000_000)
-    strict = joined(moved, lambda s: F.concat((s["a"] + 200).cast("string"), (F.floor(s["b"] / 10_000) + 200).cast("string"), F.lpad(F.pmod(s["b"], F.lit(10_000)).cast("string"), 4, "0")))
-    new = F.when(usual, strict).otherwise(permuted_digits(key, "other_phone", d))
+    area, rest = F.substring(d, 1, 3).cast("long"), F.substring(d, 4, 7).cast("long")
+    high, usual = area >= 200, rest >= 2_000_000
+    kind_least, areas = F.when(high, 200).otherwise(0).cast("long"), F.when(high, 800).otherwise(200).cast("long")
+    rest_least = F.when(high & usual, 2_000_000).otherwise(0).cast("long")
+    rests = F.when(~high, 10_000_000).when(usual, 8_000_000).otherwise(2_000_000).cast("long")
+    moved = feistel(key, "phone", area - kind_least, rest - rest_least, areas, rests)
+    new = joined(moved, lambda s: F.concat(F.lpad((s["a"] + kind_least).cast("string"), 3, "0"), F.lpad((s["b"] + rest_least).cast("string"), 7, "0")))
     return filled(m, F.when(F.length(digits(m)) > 10, F.concat(F.lit("1"), new)).otherwise(new))
 
 
+def french(key: str, d: Column) -> Column:
+    moved = feistel(key, "french", F.substring(d, 2, 1).cast("long") - 1, F.substring(d, 3, 8).cast("long"), 9, 100_000_000)
+    return joined(moved, lambda s: F.concat(F.lit("0"), (s["a"] + 1).cast("string"), F.lpad(s["b"].cast("string"), 8, "0")))
+
+
 def other_phone(key: str, m: Column) -> Column:
-    """International numbers keep their country's code, French ones their 0; +1 is moved as without separators."""
+    """International numbers keep their country's code, French ones their 0 and a digit that is none after it; +1 is moved as without separators."""
     d = F.regexp_replace(digits(m), "^00", "")
     code = F.regexp_extract(d, f"^(?:{COUNTRY})", 0)
     rest = F.substring(d, F.length(code) + 1, F.length(d))
     prefix = F.regexp_extract(digits(m), "^00", 0)
     return (
-        F.when(m.rlike(f"^(?:{FRENCH})$"), filled(m, F.concat(F.lit("0"), permuted_digits(key, "french", F.substring(digits(m), 2, 9)))))
+        F.when(m.rlike(f"^(?:{FRENCH})$"), filled(m, french(key, digits(m))))
         .when(m.rlike(f"^(?:{UNSEPARATED})$"), phone(key, m))
         .when((code == "1") & (F.length(d) == 11), filled(m, F.concat(prefix, digits(phone(key, F.concat(F.lit("+"), d))))))
         .otherwise(filled(m, F.concat(prefix, code, permuted_digits(key, "international", rest))))
@@ -338,10 +348,13 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
     """
     text = F.col("text")
     base = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    base = base.withColumn("candidates", F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))))
-    some = F.size("candidates") > 0
-    base = base.withColumn("parts", F.when(some, F.transform("candidates", lambda m: pseudonym(key, m))))
-    gaps = F.split(text, CANDIDATE, -1)
+    marked = F.split(F.regexp_replace(text, CANDIDATE, f"{MARK}$0{MARK}"), MARK, -1)
+    by_turns = F.flatten(F.zip_with(F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda g, m: F.array(g, F.coalesce(m, F.lit("")))))
+    base = base.withColumn("pieces", F.when(text.rlike(HINT), F.when(text.contains(MARK), by_turns).otherwise(marked)))
+    some = F.exists(F.transform("pieces", lambda m, i: (i % 2 == 1) & (m != "")), lambda x: x)
+    base = base.withColumn("some", F.coalesce(some, F.lit(False)))
+    base = base.withColumn("parts", F.when(F.col("some"), F.transform(F.filter("pieces", lambda m, i: i % 2 == 1), lambda m: pseudonym(key, m))))
+    gaps, some = F.filter("pieces", lambda m, i: i % 2 == 0), F.col("some")
     new = F.array_join(F.zip_with(gaps, F.col("parts"), lambda g, p: F.concat(g, F.coalesce(p["out"], F.lit("")))), "")
     found = F.transform(F.filter("parts", lambda p: p["kind"].isNotNull()), lambda p: F.struct(p["kind"].alias("kind"), p["out"].alias("pseudonym")))
     return base.select("row", F.when(some, new).otherwise(text).alias("text"), F.coalesce(F.when(some, found), F.array().cast("array<struct<kind:string,pseudonym:string>>")).alias("found"))
