@@ -85,14 +85,48 @@ def mirrored_blocks(blocks: DataFrame) -> DataFrame:
     return b.unionByName(turned)
 
 
-def in_blocks(edges: DataFrame, blocks: DataFrame, bin_size: int = 100_000) -> DataFrame:
+#: Levels of the grid go up by so many powers of two; a level's cells have sides of 2^level.
+LEVEL_STEP = 2
+
+
+def _level(low: str, high: str, least: int) -> Column:
+    """The least level, from `least` on, whose cells are no shorter than the interval, which then touches two of them at most."""
+    powers = F.ceil(F.log2(F.col(high) - F.col(low) + 1) / LEVEL_STEP) * LEVEL_STEP
+    return F.greatest(powers, F.lit(least)).cast("int")
+
+
+def block_grid(blocks: DataFrame) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Blocks (chr1, s1, e1, chr2, s2, e2) listed by the cells of a grid over both intervals, each at the level of its own sides; and the levels in use.
+
+    Half of the blocks are on the lowest level of a side, which follows from the median length; longer ones are on coarser levels, so no block has more than four
+    cells, however long it is. Levels are a few numbers: at most (64 / LEVEL_STEP)^2 pairs.
+    """
+    b = blocks.select("chr1", "chr2", *[F.col(c).cast("long").alias(c) for c in ("s1", "e1", "s2", "e2")]).filter("s1 <= e1 AND s2 <= e2").distinct()
+    half = b.agg(*[F.percentile_approx(F.col(f"e{i}") - F.col(f"s{i}") + 1, 0.5).alias(f"m{i}") for i in (1, 2)]).first()
+    least = [-(-(int(m or 1) - 1).bit_length() // LEVEL_STEP) * LEVEL_STEP for m in half]
+    leveled = b.withColumn("l1", _level("s1", "e1", least[0])).withColumn("l2", _level("s2", "e2", least[1]))
+    cells = leveled
+    for i in (1, 2):
+        cells = cells.withColumn(f"c{i}", F.explode(F.expr(f"sequence(shiftright(s{i}, l{i}), shiftright(e{i}, l{i}))")))
+    return cells, sorted((r.l1, r.l2) for r in leveled.select("l1", "l2").distinct().collect())
+
+
+def in_blocks(edges: DataFrame, blocks: DataFrame) -> DataFrame:
     """Edges (chr1, mid1, chr2, mid2) for which some block holds both midpoints.
 
-    A block is listed under each bin of its first interval, so edges meet the blocks of their own bin only: an equality join on
-    (chr1, chr2, bin), and never all edges with all blocks of a pair of chromosomes.
+    A pair of midpoints is one point, looked up once however many edges have it; on each level in use it lies in one cell, and meets the blocks listed
+    there by equality. So what is compared grows with edges and blocks, not with the blocks of a pair of chromosomes. Edges without a midpoint are in no block.
     """
-    binned = blocks.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s1") / bin_size), F.floor(F.col("e1") / bin_size))))
-    b = binned.select(*[F.col(c).alias(f"b_{c}") for c in ("chr1", "s1", "e1", "chr2", "s2", "e2", "bin")])
-    e = edges.withColumn("bin", F.floor(F.col("mid1") / bin_size))
-    on = (e["chr1"] == b["b_chr1"]) & (e["chr2"] == b["b_chr2"]) & (e["bin"] == b["b_bin"]) & e["mid1"].between(b["b_s1"], b["b_e1"]) & e["mid2"].between(b["b_s2"], b["b_e2"])
-    return e.join(b, on, "left_semi").drop("bin")
+    grid, levels = block_grid(blocks)
+    if not levels:
+        return edges.limit(0)
+    point = ["chr1", "mid1", "chr2", "mid2"]
+    points = edges.select(*point).distinct()
+    at = points.withColumn("l", F.explode(F.array(*[F.struct(F.lit(a).alias("l1"), F.lit(b).alias("l2")) for a, b in levels]))).select(*point, "l.*")
+    at = at.withColumn("c1", F.expr("shiftright(cast(mid1 as long), l1)")).withColumn("c2", F.expr("shiftright(cast(mid2 as long), l2)"))
+    keys = ["chr1", "chr2", "l1", "l2", "c1", "c2"]
+    x, y = at.alias("x"), grid.alias("y")
+    on = F.col("x.mid1").between(F.col("y.s1"), F.col("y.e1")) & F.col("x.mid2").between(F.col("y.s2"), F.col("y.e2"))
+    for k in keys:
+        on = on & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+    return edges.join(x.join(y, on, "left_semi").select(*point).distinct(), point, "left_semi")
