@@ -1,7 +1,7 @@
 """Indexes from folders of input files: genomes, reference genes with their hits, expression.
 
-An index is a folder of Parquet tables, sorted inside files by what they are looked up by. Existing tables are an error unless force
-is given; statistics of species that are not built again stay.
+An index is a snapshot of Parquet tables, dealt and sorted by what they are looked up by, which counts from the moment its manifest is there: a build that fails leaves
+what was. An existing index is an error unless force is given; statistics of species that are not built again stay.
 """
 
 from __future__ import annotations
@@ -11,43 +11,63 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.functions import text
+from kinloom.functions import ids, snapshot, text
 from kinloom.functions.scratch import Workspace, listed
-from kinloom.operators import coords, dedup, expression, keyword, members, sinks
+from kinloom.functions.snapshot import Snapshot
+from kinloom.operators import coords, dedup, expression, keyword, lookup, members, prefixes, sinks
 from kinloom.operators.pick import pick
 from kinloom.sources import annotations, genomes, layout
 
 #: Columns of a reference gene that are searched, in their order. Fixed value.
 SEARCHED = ("symbols", "full_name", "description", "synonyms", "short", "curator", "computed")
 
+#: Genes of a bucket of the tables that are joined by gene.
+BUCKET_ROWS = 1_000_000
 
-def genome_index(spark: SparkSession, folder: str, out: str, force: bool = False) -> DataFrame | None:
-    """genes, gene_coords, clusters, sequences and their map, structures of one species; its statistics as one row. None without clusters or coordinates."""
+
+def genome_index(spark: SparkSession, folder: str, out: str, force: bool = False, species: str | None = None) -> DataFrame | None:
+    """One species (the folder's name, if none is given) as a snapshot; its statistics as one row. None without clusters or coordinates.
+
+    genes, with ids in lower case as a key and Bloom filters on both, trigrams of the ids, gene_coords, clusters, sequences and their map, structures; and genes, places
+    and sequences in buckets of what they are joined by, as Spark uses buckets only where they are of all keys of a join. A gene has the accession of the last file of coordinates that has it, clusters have their
+    species' prefix, and a cluster counts its members as they are listed.
+    """
+    species = (species or folder.rstrip("/").rsplit("/", 1)[-1]).strip().lower()
     inside = {n: p for n, p, is_folder in listed(spark, folder)}
     name, beds = layout.cluster_file(list(inside)), layout.files(spark, inside.get("bed", f"{folder}/bed"), genomes.BED)
     if name is None or not beds:
         return None
     work = Workspace(spark, "build")
-    places = coords.placed(genomes.bed(spark, beds), [F.col("src")])
-    places = work.write(coords.chrom_index(places).select("gene_id", "accession", "chr", "begin_pos", "end_pos", "strand", "subgenome", "chrom_index"), "places")
-    rows = genomes.cluster_members(spark, inside[name])
-    located = work.write(members.located(rows, places), "located")
-    genes = work.write(members.genes(located, [F.col("src"), F.col("pos"), F.col("accession")]).select("gene_id", "pangene", "accession"), "genes")
-    sinks.table(places, f"{out}/gene_coords", force, order=("accession", "chr", "chrom_index"))
-    sinks.table(genes, f"{out}/genes", force, order=("pangene", "accession", "gene_id"))
-    sinks.table(members.cluster_sizes(located), f"{out}/clusters", force, order=("pangene",))
-    for kind, clean in (("prot", text.protein), ("cds", text.coding)):
-        found = layout.files(spark, inside.get(kind, f"{folder}/{kind}"), genomes.FASTA)
-        if found:
-            records = genomes.resolved(genomes.fasta(spark, found), genes).withColumn("seq", clean(F.col("seq")))
-            records = pick(records.select(F.col("gene_id").alias("id"), "seq", "src"), ["id"], [F.col("src")], last=True)
-            uniq, mapping = dedup.distinct_sequences(records, [F.col("id")])
-            sinks.table(uniq, f"{out}/{kind}_sequences", force, order=("uniq_id",))
-            sinks.table(mapping, f"{out}/{kind}_map", force, order=("id",))
-    q = {k: layout.files(spark, inside.get("porter6", f"{folder}/porter6"), (f".{k}.csv", f".{k}.csv.gz")) for k in ("q3", "q8")}
-    if q["q3"] and q["q8"]:
-        sinks.table(genomes.structures(spark, q["q3"], q["q8"]), f"{out}/structures", force, order=("gene_id",))
-    return members.statistics(genes)
+    with Snapshot(spark, out, force) as snap:
+        rows = genomes.bed(spark, beds).filter("gene_id <> ''")
+        owners = work.write(coords.owners(rows, [F.col("src")]), "owners")
+        places = coords.chrom_index(coords.placed(rows, [F.col("src")]))
+        places = snap.write(places.select("gene_id", "accession", "chr", "begin_pos", "end_pos", "strand", "subgenome", "chrom_index"), "gene_coords", order=("accession", "chr", "chrom_index"), dealt=True, bloom=("gene_id",))
+        listed_members = genomes.cluster_members(spark, inside[name]).withColumn("pangene", ids.cluster_id(F.lit(species), F.col("pangene"))).filter("pangene <> ''")
+        located = work.write(members.located(listed_members, owners), "located")
+        genes = members.genes(located, [F.col("src"), F.col("pos"), F.col("accession")]).select("gene_id", "pangene", "accession")
+        genes = snap.write(lookup.keyed(genes), "genes", order=("pangene", "accession", "gene_id"), dealt=True, bloom=("gene_id", "gene_key"))
+        snap.write(members.cluster_sizes(located), "clusters", order=("pangene",), dealt=True)
+        posts = snap.write(lookup.postings(genes), "trigrams", order=("term", "gene_id"), dealt=True)
+        snap.write(lookup.frequencies(posts), "trigram_counts", order=("term",), dealt=True)
+        buckets = max(1, -(-genes.count() // BUCKET_ROWS))
+        plain = genes.select("gene_id", "pangene", "accession")
+        for name, df, keys in (("genes_by_place", plain, ("gene_id", "accession")), ("coords_by_place", places, ("gene_id", "accession")), ("genes_by_id", plain, ("gene_id",))):
+            snap.write_bucketed(df, name, keys, buckets)
+        for kind, clean in (("prot", text.protein), ("cds", text.coding)):
+            found = layout.files(spark, inside.get(kind, f"{folder}/{kind}"), genomes.FASTA)
+            if found:
+                records = genomes.resolved(genomes.fasta(spark, found), genes).withColumn("seq", clean(F.col("seq")))
+                records = pick(records.select(F.col("gene_id").alias("id"), "seq", "src"), ["id"], [F.col("src")], last=True)
+                records = work.write(records, f"{kind}_records")
+                uniq, mapping = dedup.distinct_sequences(records, [F.col("id")])
+                uniq = snap.write(uniq, f"{kind}_sequences", order=("uniq_id",), dealt=True, bloom=("uniq_id",))
+                mapping = snap.write(mapping, f"{kind}_map", order=("id",), dealt=True, bloom=("id",))
+                snap.write_bucketed(dedup.stored(mapping, uniq).select(F.col("id").alias("gene_id"), "seq"), f"{kind}_by_id", ("gene_id",), buckets)
+        q = {k: layout.files(spark, inside.get("porter6", f"{folder}/porter6"), (f".{k}.csv", f".{k}.csv.gz")) for k in ("q3", "q8")}
+        if q["q3"] and q["q8"]:
+            snap.write(genomes.structures(spark, q["q3"], q["q8"]), "structures", order=("gene_id",), dealt=True, bloom=("gene_id",))
+        return spark.createDataFrame(members.statistics(genes).collect(), "accessions long, pan_genes long, genes long")
 
 
 def genome_indexes(spark: SparkSession, root: str, out: str, force: bool = False, only: list[str] | None = None) -> DataFrame:
@@ -55,15 +75,15 @@ def genome_indexes(spark: SparkSession, root: str, out: str, force: bool = False
     chosen = layout.requested(layout.species_folders(spark, root), only)
     rows = []
     for species, folder in chosen.items():
-        found = genome_index(spark, folder, f"{out}/{species}", force)
+        found = genome_index(spark, folder, f"{out}/{species}", force, species)
         if found is not None:
             rows.append((species, *found.first()))
     new = spark.createDataFrame(rows, "species string, accessions long, pan_genes long, genes long")
-    had = [p for n, p, _ in listed(spark, out) if n == "stats"]
-    kept = spark.createDataFrame(spark.read.parquet(had[0]).collect(), new.schema) if had else new.limit(0)
-    merged = sinks.merged_statistics(kept, new)
-    sinks.table(merged, f"{out}/stats", force=True)
-    return spark.read.parquet(f"{out}/stats")
+    where = f"{out}/stats"
+    kept = snapshot.read(spark, where, "stats") if snapshot.tables(spark, where) else new.limit(0)
+    with Snapshot(spark, where, force=True) as snap:
+        snap.write(sinks.merged_statistics(kept, new), "stats")
+    return snapshot.read(spark, where, "stats")
 
 
 def reference_genes(descriptions: DataFrame, aliases: DataFrame, rice: DataFrame, rice_symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,52 +135,64 @@ def keyword_index(spark: SparkSession, files: dict[str, str], hits_root: str, ge
     work = Workspace(spark, "keywords")
     symbols = annotations.rice_symbols(spark, files["rice_symbols"]) if "rice_symbols" in files else spark.createDataFrame([], "locus string, symbol string")
     refs, names = reference_genes(annotations.descriptions(spark, files["descriptions"]), annotations.aliases(spark, files["aliases"]), annotations.rice(spark, files["rice"]), symbols)
-    refs = work.write(refs, "refs")
-    sinks.table(refs, f"{out}/refs", force, order=("ref_id",))
-    sinks.table(names, f"{out}/aliases", force, order=("alias_norm",))
-    keyword.stored_postings(keyword.postings(refs, "ref_id", *map(F.col, SEARCHED)), f"{out}/postings", force)
-    every = None
-    for data_set, g in sorted(genes.items()):
-        part = g.select("gene_id", "accession", "pangene", F.lit(data_set).alias("dataset_id"))
-        every = part if every is None else every.unionByName(part)
-    owners = pick(every.select("accession", "dataset_id").distinct(), ["accession"], [F.col("dataset_id")])
-    found = [p for f in folders for p in layout.files(spark, f, (".tsv", ".tsv.gz"))]
-    rows = work.write(annotations.best_hits(spark, found).join(owners, "accession"), "hits")
-    kept = work.write(rows.join(every, ["dataset_id", "accession", "gene_id"]), "kept")
-    last = pick(kept.withColumn("line", F.monotonically_increasing_id()), ["dataset_id", "gene_id", "species", "ref_id"], [F.col("accession"), F.col("line")], last=True).drop("line")
-    sinks.table(last, f"{out}/hits", force, by=("dataset_id",), order=("species", "ref_id"))
-    sums = {f"{k}_sha1": "".join(sinks.checksums(spark, p).values()) for k, p in files.items()}
-    sinks.metadata(spark, f"{out}/meta", {"schema_version": sinks.SCHEMA_VERSION, "refs_count": refs.count(), "hits_files": len(found), "hits_total": last.count(), "hits_unmatched": rows.count() - kept.count(), **sums}, force)
-    return spark.read.parquet(f"{out}/meta")
+    with Snapshot(spark, out, force) as snap:
+        refs = snap.write(refs, "refs", order=("ref_id",), dealt=True, bloom=("ref_id",))
+        snap.write(names, "aliases", order=("alias_norm",), dealt=True, bloom=("alias_norm",))
+        posts = snap.write(keyword.postings(refs, "ref_id", *map(F.col, SEARCHED)), "postings", order=("term",), dealt=True)
+        whole = snap.write(keyword.corpus_numbers(posts, "ref_id"), "numbers")
+        prefixes.write(snap, posts, "ref_id", whole)
+        every = None
+        for data_set, g in sorted(genes.items()):
+            part = g.select("gene_id", "accession", "pangene", F.lit(data_set).alias("dataset_id"))
+            every = part if every is None else every.unionByName(part)
+        owners = pick(every.select("accession", "dataset_id").distinct(), ["accession"], [F.col("dataset_id")])
+        found = [p for f in folders for p in layout.files(spark, f, (".tsv", ".tsv.gz"))]
+        rows = work.write(annotations.best_hits(spark, found).join(owners, "accession"), "hits")
+        kept = work.write(rows.join(every, ["dataset_id", "accession", "gene_id"]), "kept")
+        last = pick(kept, ["dataset_id", "gene_id", "species", "ref_id"], [F.col("src"), F.col("accession")], last=True).drop("src")
+        last = snap.write(last, "hits", by=("dataset_id",), order=("species", "ref_id"), bloom=("gene_id",))
+        sums = {f"{k}_sha1": "".join(sinks.checksums(spark, p).values()) for k, p in files.items()}
+        meta = {"schema_version": sinks.SCHEMA_VERSION, "refs_count": refs.count(), "hits_files": len(found), "hits_total": last.count(), "hits_unmatched": rows.count() - kept.count(), **sums}
+        snap.write(spark.createDataFrame([(k, str(v)) for k, v in sorted(meta.items())], "k string, v string"), "meta")
+    return snapshot.read(spark, out, "meta")
 
 
 def expression_index(spark: SparkSession, root: str, out: str, force: bool = False) -> DataFrame:
-    """samples, values, records and experiments of each data set of root; returns (dataset_id, genome, label, samples). A file dataset.json overrides genome and label."""
-    rows = []
-    for data_set, folder in layout.data_sets(spark, root).items():
-        given = next((json.loads("\n".join(r.value for r in spark.read.text(p).collect())) for n, p, _ in listed(spark, folder) if n == "dataset.json"), {})
-        if not isinstance(given, dict):
-            raise ValueError(f"{folder}/dataset.json: not an object")
-        meta = annotations.samples(spark, layout.table_file(spark, folder, layout.SAMPLES))
-        for c in ("experiment_acc", "organ", "group", "genome", "short_title", "title"):
-            meta = meta if c in meta.columns else meta.withColumn(c, F.lit(""))
-        n = meta.count()
-        if not n:
-            raise ValueError(f"{folder}: no samples")
-        common = expression.majority_genome(meta.filter("trim(genome) <> ''").withColumn("dataset_id", F.lit(data_set))).first()
-        genome = given.get("genome") or (common.genome if common else "")
-        values = annotations.matrix(spark, layout.table_file(spark, folder, layout.VALUES), [r.sample_acc for r in meta.select("sample_acc").collect()])
-        joined = values.join(meta, "sample_acc").select("gene", "organ", F.col("experiment_acc").alias("experiment"), F.col("group").alias("grp"), "sample_idx", "value", "genome")
-        sinks.table(meta, f"{out}/{data_set}/samples", force, order=("sample_idx",))
-        sinks.table(joined, f"{out}/{data_set}/values", force, order=("gene", "sample_idx"))
-        records = layout.table_file(spark, folder, layout.RECORDS)
-        if records:
-            r = annotations.records(spark, records)
-            for c in ("category", "comparison", "short_title", "title"):
-                r = r if c in r.columns else r.withColumn(c, F.lit(""))
-            r = r.withColumnRenamed("gene_id", "gene").withColumnRenamed("experiment_acc", "experiment")
-            sinks.table(r, f"{out}/{data_set}/records", force, order=("gene", "line"))
-            sinks.table(expression.experiment_titles(r).select("experiment", "short_title", "title"), f"{out}/{data_set}/experiments", force)
-        rows.append((data_set, genome, given.get("label") or data_set, n))
-    sinks.table(spark.createDataFrame(rows, "dataset_id string, genome string, label string, samples long"), f"{out}/datasets", force)
-    return spark.read.parquet(f"{out}/datasets")
+    """samples, values, records and experiments of all data sets of root, each table in a folder a data set; returns (dataset_id, genome, label, samples). A file
+    dataset.json overrides genome and label. Samples are kept once; values are one row a gene: its stored numbers in order of the samples."""
+    rows, tables = [], {"samples": [], "values": [], "records": [], "experiments": []}
+    own = lambda df, data_set: df.withColumn("dataset_id", F.lit(data_set))
+    with Snapshot(spark, out, force) as snap:
+        for data_set, folder in layout.data_sets(spark, root).items():
+            given = next((json.loads("\n".join(r.value for r in spark.read.text(p).collect())) for n, p, _ in listed(spark, folder) if n == "dataset.json"), {})
+            if not isinstance(given, dict):
+                raise ValueError(f"{folder}/dataset.json: not an object")
+            meta = annotations.samples(spark, layout.table_file(spark, folder, layout.SAMPLES))
+            for c in ("experiment_acc", "organ", "group", "genome", "short_title", "title"):
+                meta = meta if c in meta.columns else meta.withColumn(c, F.lit(""))
+            n = meta.count()
+            if not n:
+                raise ValueError(f"{folder}: no samples")
+            common = expression.majority_genome(meta.filter("trim(genome) <> ''").withColumn("dataset_id", F.lit(data_set))).first()
+            genome = given.get("genome") or (common.genome if common else "")
+            values = annotations.matrix(spark, layout.table_file(spark, folder, layout.VALUES), [r.sample_acc for r in meta.select("sample_acc").collect()])
+            tables["samples"].append(own(meta.select("sample_idx", "sample_acc", F.col("experiment_acc").alias("experiment"), "organ", F.col("group").alias("grp"), "genome", "short_title", "title"), data_set))
+            tables["values"].append(own(expression.stored_arrays(expression.arrays(values, meta)), data_set))
+            records = layout.table_file(spark, folder, layout.RECORDS)
+            if records:
+                r = annotations.records(spark, records)
+                for c in ("category", "comparison", "short_title", "title"):
+                    r = r if c in r.columns else r.withColumn(c, F.lit(""))
+                r = r.withColumnRenamed("gene_id", "gene").withColumnRenamed("experiment_acc", "experiment")
+                tables["records"].append(own(r, data_set))
+                tables["experiments"].append(own(expression.experiment_titles(r).select("experiment", "short_title", "title"), data_set))
+            rows.append((data_set, genome, given.get("label") or data_set, n))
+        orders = {"samples": ("sample_idx",), "values": ("gene",), "records": ("gene", "line"), "experiments": ("experiment",)}
+        for name, parts in tables.items():
+            if parts:
+                whole = parts[0]
+                for p in parts[1:]:
+                    whole = whole.unionByName(p, allowMissingColumns=True)
+                snap.write(whole, name, by=("dataset_id",), order=orders[name], dealt=True, bloom=("gene",) if "gene" in whole.columns else ())
+        snap.write(spark.createDataFrame(rows, "dataset_id string, genome string, label string, samples long"), "datasets")
+    return snapshot.read(spark, out, "datasets")

@@ -1,6 +1,7 @@
 """What a user asks of the indexes that build makes: one method for each kind of request, DataFrames in and out.
 
-Limits of a request are checked before a plan is made. Lookups are filters on what the tables are sorted by, so they reach few row groups.
+Limits of a request are checked before a plan is made. Lookups are filters on stored columns that the tables are sorted by or have Bloom filters on, so they read
+few row groups; parts of identifiers go through trigrams, words through lists of prefixes with bounds. What joins all genes is stored in buckets of the gene.
 """
 
 from __future__ import annotations
@@ -10,9 +11,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.functions import guards, ids, numbers, text
+from kinloom.functions import guards, ids, snapshot, text
 from kinloom.functions.scratch import listed
-from kinloom.operators import alignment, coords, dedup, expression, keyword, members, similarity, sinks
+from kinloom.operators import alignment, coords, dedup, expression, keyword, lookup, members, prefixes, similarity, sinks
 from kinloom.operators.pick import prioritised_lookup
 from kinloom.sources import annotations
 
@@ -39,15 +40,31 @@ class Engine:
                 return v
         raise KeyError(f"no index of {name}")
 
+    def _folder(self, variant: str) -> str:
+        return f"{self.root}/genomes/{self.resolve(variant)}"
+
     def table(self, variant: str, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/genomes/{self.resolve(variant)}/{name}")
+        return snapshot.read(self.spark, self._folder(variant), name)
+
+    def bucketed(self, variant: str, name: str) -> DataFrame:
+        """genes_by_place and coords_by_place, in buckets of gene and accession; genes_by_id, prot_by_id and cds_by_id, of the gene: joins by these shuffle nothing."""
+        return snapshot.bucketed(self.spark, self._folder(variant), name)
 
     def has(self, variant: str, name: str) -> bool:
-        return any(n == name for n, _, _ in listed(self.spark, f"{self.root}/genomes/{self.resolve(variant)}"))
+        return name in snapshot.tables(self.spark, self._folder(variant))
+
+    def species_of(self, variant: str) -> str:
+        """The species that a variant belongs to."""
+        name = self.resolve(variant)
+        return next((s for s, e in self.catalogue.items() if name in e["variants"]), name)
+
+    def cluster(self, name: str, variant: str) -> str:
+        """The stored id of a cluster that a user names, with or without its prefix."""
+        return self.spark.range(1).select(ids.asked_cluster_id(F.lit(self.species_of(variant)), F.lit(name)).alias("c")).first().c
 
     def stats(self, variant: str) -> DataFrame:
         """Accessions, clusters and genes as they are shown, with thousands commas."""
-        rows = self.spark.read.parquet(f"{self.root}/genomes/stats").filter(F.col("species") == variant.strip().lower())
+        rows = snapshot.read(self.spark, f"{self.root}/genomes/stats", "stats").filter(F.col("species") == variant.strip().lower())
         return rows.select("species", *[F.format_number(c, 0).alias(c) for c in ("accessions", "pan_genes", "genes")])
 
     # genes and clusters
@@ -55,21 +72,30 @@ class Engine:
     def search(self, query: str, variant: str | None = None) -> DataFrame:
         """Genes by id; without a variant the prefix of the id tells the species."""
         q = self.spark.range(1).select(text.cleaned_query(F.lit(query)).alias("q"), members.route(F.lit(query.strip())).alias("species")).first()
-        genes = self.table(variant or q.species or self.installed[0], "genes")
-        return members.search(genes, q.q, FOUND) if q.q else genes.limit(0)
+        name = variant or q.species or self.installed[0]
+        genes = self.table(name, "genes")
+        return lookup.search(genes, self.table(name, "trigrams"), self.table(name, "trigram_counts"), q.q, FOUND) if q.q else genes.limit(0)
 
     def suggest(self, part: str, variant: str) -> DataFrame:
         sizes = self.table(variant, "clusters")
-        found = members.suggestions(self.table(variant, "genes"), part.strip(), SUGGESTED)
+        found = lookup.suggestions(self.table(variant, "genes"), self.table(variant, "trigrams"), self.table(variant, "trigram_counts"), part.strip(), SUGGESTED)
         return members.with_size(found, sizes.select("pangene", "gene_count")).orderBy("gene_id")
 
     def pangene(self, cluster: str, variant: str) -> DataFrame:
         """Members with their coordinates, by accession and id."""
-        genes = self.table(variant, "genes").filter(F.col("pangene") == cluster)
-        return members.with_places(genes, self.table(variant, "gene_coords")).orderBy("accession", "gene_id")
+        genes = self.table(variant, "genes").filter(F.col("pangene") == self.cluster(cluster, variant)).drop("gene_key")
+        return members.with_places(genes, self.bucketed(variant, "coords_by_place")).orderBy("accession", "gene_id")
+
+    def genes_with_places(self, variant: str) -> DataFrame:
+        """All genes with their clusters and coordinates, bucket by bucket."""
+        return members.with_places(self.bucketed(variant, "genes_by_place"), self.bucketed(variant, "coords_by_place"))
+
+    def genes_with_sequences(self, variant: str, kind: str = "prot") -> DataFrame:
+        """All genes that have a sequence, with it, bucket by bucket."""
+        return self.bucketed(variant, "genes_by_id").join(self.bucketed(variant, f"{kind}_by_id"), "gene_id")
 
     def is_large(self, cluster: str, variant: str) -> bool:
-        row = self.table(variant, "clusters").filter(F.col("pangene") == cluster).first()
+        row = self.table(variant, "clusters").filter(F.col("pangene") == self.cluster(cluster, variant)).first()
         return bool(row) and guards.is_large(row.gene_count)
 
     def subgenomes(self, cluster: str, variant: str) -> DataFrame:
@@ -77,14 +103,15 @@ class Engine:
 
     def picker(self, clusters: list[str], current: str, variant: str) -> DataFrame:
         """Clusters with their dominant subgenome, the current one first."""
-        genes = self.table(variant, "genes").filter(F.col("pangene").isin(*guards.listed_ids(clusters)))
-        counts = members.subgenome_counts(members.with_places(genes, self.table(variant, "gene_coords")))
-        return counts.withColumn("is_current", F.col("pangene") == current).orderBy(F.desc("is_current"), "pangene")
+        genes = self.table(variant, "genes").filter(lookup.among("pangene", [self.cluster(c, variant) for c in guards.listed_ids(clusters)]))
+        counts = members.subgenome_counts(members.with_places(genes, self.bucketed(variant, "coords_by_place")))
+        return counts.withColumn("is_current", F.col("pangene") == self.cluster(current, variant)).orderBy(F.desc("is_current"), "pangene")
 
     def sequences(self, genes: list[str], variant: str, kind: str = "prot") -> DataFrame:
         """Stored sequences of the genes asked, by id or its variants, in the order asked."""
         asked = self.spark.createDataFrame(list(enumerate(guards.listed_ids(genes))), "pos int, asked string")
-        found = prioritised_lookup(asked, self.table(variant, f"{kind}_map"), ids.id_variants(F.col("asked")), F.col("id"))
+        variants = ids.id_variants(F.col("asked"))
+        found = prioritised_lookup(asked, lookup.rows_of(self.table(variant, f"{kind}_map"), asked, variants, "id"), variants, F.col("id"))
         return dedup.stored(found.filter("uniq_id IS NOT NULL").select("id", "uniq_id", "pos", "asked"), self.table(variant, f"{kind}_sequences")).join(asked, F.col("id").isNotNull() & (F.col("id") == F.col("asked")), "left").select("id", "seq")
 
     def neighborhood(self, focals: list[tuple[str, str]], five: int, three: int, variant: str) -> DataFrame:
@@ -99,21 +126,21 @@ class Engine:
     # exports
 
     def gene_list(self, cluster: str, variant: str) -> DataFrame:
-        return members.gene_list(self.table(variant, "genes").filter(F.col("pangene") == cluster), self.table(variant, "gene_coords"))
+        return members.gene_list(self.table(variant, "genes").filter(F.col("pangene") == self.cluster(cluster, variant)), self.bucketed(variant, "coords_by_place"))
 
     def download(self, cluster: str, variant: str, kind: str, path: str, force: bool = False) -> None:
         """gene_list, prot or cds of a cluster as a file."""
         if kind == "gene_list":
             sinks.lines(self.gene_list(cluster, variant).withColumnRenamed("line", "value"), path, force)
             return
-        own = self.table(variant, "genes").filter(F.col("pangene") == cluster).select(F.col("gene_id").alias("id"))
+        own = self.table(variant, "genes").filter(F.col("pangene") == self.cluster(cluster, variant)).select(F.col("gene_id").alias("id"))
         mapping = self.table(variant, f"{kind}_map").join(own, "id", "left_semi")
         sinks.fasta(dedup.stored(mapping, self.table(variant, f"{kind}_sequences")).orderBy("id"), path, "id", "seq", force=force)
 
     # alignments that the caller brings
 
     def _aligned(self, sequences: dict[str, str]) -> DataFrame:
-        return self.spark.createDataFrame([("a", g, s) for g, s in sequences.items()], "grp string, gene_id string, seq string")
+        return self.spark.createDataFrame([("a", g, s, k) for k, (g, s) in enumerate(sequences.items())], "grp string, gene_id string, seq string, ord int")
 
     def alignment_statistics(self, sequences: dict[str, str]) -> DataFrame:
         guards.aligned(list(sequences))
@@ -141,7 +168,7 @@ class Engine:
     # keywords
 
     def keyword_table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/keywords/{name}")
+        return snapshot.read(self.spark, f"{self.root}/keywords", name)
 
     @cached_property
     def metadata(self) -> dict[str, str]:
@@ -159,8 +186,7 @@ class Engine:
         """Cards of the reference genes that the query finds and that have hits: names first, then texts by rank; chosen ones beyond the limit."""
         found = self.spark.range(1).select(text.tokens(F.lit(query)).alias("tokens"), text.alias_terms(F.lit(query)).alias("terms")).first()
         aliases = self.keyword_table("aliases").filter(F.col("alias_norm").isin(*found.terms)).select("ref_id").distinct()
-        posts = self.keyword_table("postings")
-        by_text = keyword.retrieved(posts, "ref_id", found.tokens, keyword.candidate_cap(REFS)) if found.tokens else aliases.limit(0).withColumn("score", F.lit(0.0))
+        by_text = prefixes.best(self.spark, f"{self.root}/keywords", "ref_id", found.tokens, keyword.candidate_cap(REFS)) if found.tokens else aliases.limit(0).withColumn("score", F.lit(0.0))
         selected = self.keyword_table("refs").filter(F.upper("ref_id").isin(*[c.strip().upper() for c in chosen])).select("ref_id") if chosen else None
         matched = keyword.matched_refs(aliases, by_text, self._hits(data_set), REFS, selected)
         cards = keyword.cards(self.keyword_table("refs"), found.tokens)
@@ -187,23 +213,20 @@ class Engine:
 
     def expression_of(self, gene: str, genome: str | None = None) -> tuple[str | None, DataFrame | None]:
         """(status, statistics by experiment and group) of a gene, from the data set that answers for it: ok, no_data or not_found."""
-        sets = self.spark.read.parquet(f"{self.root}/expression/datasets")
-        gene = gene.strip()
-        own = []
-        for r in sorted(sets.collect(), key=lambda r: r.dataset_id):
-            values = self.spark.read.parquet(f"{self.root}/expression/{r.dataset_id}/values").filter(F.col("gene") == gene)
-            if not values.isEmpty():
-                sampled = genome is not None and not self.spark.read.parquet(f"{self.root}/expression/{r.dataset_id}/samples").filter(F.trim("genome") == genome.strip()).isEmpty()
-                own.append((0 if genome and r.genome == genome.strip() else 1 if sampled else 2, r.dataset_id, values))
-        if not own:
+        where = f"{self.root}/expression"
+        values = snapshot.read(self.spark, where, "values").filter(F.col("gene") == gene.strip())
+        sets, samples = snapshot.read(self.spark, where, "datasets"), snapshot.read(self.spark, where, "samples")
+        named = samples.select("dataset_id", F.trim("genome").alias("genome"))
+        owner = expression.owner(sets.select("dataset_id", "genome"), named, values.select("gene", "dataset_id"), genome.strip() if genome and genome.strip() else "\x00").first()  # no genome is named so
+        if owner is None:
             return "not_found", None
-        _, _, values = min(own, key=lambda o: o[:2])
-        stored = values.withColumn("value", numbers.decoded(numbers.encoded(F.col("value"))))
-        stats = expression.tissue_stats(stored).orderBy("organ", "experiment", "grp")
+        own = lambda df: df.filter(F.col("dataset_id") == owner.dataset_id)
+        rows = expression.read_arrays(own(values), own(samples), ("dataset_id",))
+        stats = expression.tissue_stats(rows).orderBy("organ", "experiment", "grp")
         return ("no_data" if stats.isEmpty() else "ok"), stats
 
     def differential(self, gene: str, data_set: str) -> DataFrame:
-        where = f"{self.root}/expression/{data_set}"
-        rows = self.spark.read.parquet(f"{where}/records").filter(F.col("gene") == gene.strip()).drop("title", "short_title")
-        titles = self.spark.read.parquet(f"{where}/experiments").select("experiment", F.coalesce(F.nullif("short_title", F.lit("")), F.nullif("title", F.lit(""))).alias("title"))
+        own = lambda name: snapshot.read(self.spark, f"{self.root}/expression", name).filter(F.col("dataset_id") == data_set).drop("dataset_id")
+        rows = own("records").filter(F.col("gene") == gene.strip()).drop("title", "short_title")
+        titles = own("experiments").select("experiment", F.coalesce(F.nullif("short_title", F.lit("")), F.nullif("title", F.lit(""))).alias("title"))
         return expression.differential(rows, titles).orderBy("category", "experiment", "comparison")

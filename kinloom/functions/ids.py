@@ -29,13 +29,22 @@ def normalised_id(c: Column) -> Column:
 
 
 def cluster_id(species: Column, c: Column) -> Column:
-    """The cluster id with its species' prefix; ids that have it already, in any case, stay."""
+    """The cluster id with its species' prefix; ids that have it already, in any case, and blank ones stay. Oat's lose an underscore after `pan`."""
+    c = F.trim(c)
     out = c
     for name, prefix in CLUSTER_PREFIXES.items():
-        out = F.when((species == name) & ~F.lower(c).startswith(prefix.lower()), F.concat(F.lit(prefix), c)).otherwise(out)
+        plain = F.regexp_replace(c, "(?i)^pan_", "pan") if name == "oat" else c
+        out = F.when((F.lower(F.trim(species)) == name) & (c != "") & ~F.lower(c).startswith(prefix.lower()), F.concat(F.lit(prefix), plain)).otherwise(out)
     return out
 
 
+def asked_cluster_id(species: Column, c: Column) -> Column:
+    """The stored id of a cluster that a user names: one that starts with `pan` loses an underscore after it and gets the species' prefix; others stay."""
+    c = F.trim(c)
+    bare = F.when(F.lower(F.trim(species)).isin(*CLUSTER_PREFIXES), F.regexp_replace(c, "(?i)^pan_", "pan")).otherwise(c)
+    return F.when(F.lower(c).startswith("pan"), cluster_id(species, bare)).otherwise(c)
+
+
 def species_tab(species: Column) -> Column:
     """The place of a species among the tabs: those with a prefix in their order, then all others (by name, among themselves)."""
     out = F.lit(len(CLUSTER_PREFIXES))

@@ -185,6 +185,6 @@ def templated(template: str, values: dict[str, Column]) -> Column:
 
 
 def palette_slot(key: Column, size: int = 77) -> Column:
-    """A fixed colour slot of a key: the first two bytes of its md5 modulo the palette; -1 for a blank key or a dash."""
-    blank = (F.trim(F.coalesce(key, F.lit(""))) == "") | (key == "—")
-    return F.when(blank, -1).otherwise(F.conv(F.substring(F.md5(key.cast("binary")), 1, 4), 16, 10).cast("int") % size)
+    """A fixed colour slot of a trimmed key: the first two bytes of its md5 modulo the palette; -1 for a blank key or a dash."""
+    blank = (F.trim(F.coalesce(key, F.lit(""))) == "") | (F.trim(key) == "—")
+    return F.when(blank, -1).otherwise(F.conv(F.substring(F.md5(F.trim(key).cast("binary")), 1, 4), 16, 10).cast("int") % size)

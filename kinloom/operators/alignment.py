@@ -17,10 +17,11 @@ GENETIC_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG
 
 
 def long_form(rows: DataFrame) -> DataFrame:
-    """Long form of (grp, gene_id, seq), every sequence as long as its group's longest; ord is the rank by id."""
+    """Long form of (grp, gene_id, seq), every sequence as long as its group's longest. ord is the place of a sequence in its alignment, as rows give it; without it, the id."""
+    rows = rows if "ord" in rows.columns else rows.withColumn("ord", F.col("gene_id"))
     length = rows.groupBy("grp").agg(F.max(F.length("seq")).alias("n"))
     full = rows.join(length, "grp").withColumn("seq", F.rpad("seq", F.col("n"), F.lit("-")))
-    return full.select("grp", "gene_id", F.posexplode(F.split("seq", "")).alias("col", "aa")).withColumn("col", F.col("col") + 1)
+    return full.select("grp", "gene_id", "ord", F.posexplode(F.split("seq", "")).alias("col", "aa")).withColumn("col", F.col("col") + 1)
 
 
 def sane(rows: DataFrame) -> DataFrame:
@@ -29,11 +30,11 @@ def sane(rows: DataFrame) -> DataFrame:
 
 
 def residue_counts(aln: DataFrame) -> DataFrame:
-    return aln.filter("aa <> '-'").groupBy("grp", "col", "aa").agg(F.count("*").alias("n"), F.min("gene_id").alias("first"))
+    return aln.filter("aa <> '-'").groupBy("grp", "col", "aa").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
 
 
 def columns(aln: DataFrame) -> DataFrame:
-    """Consensus and conservation of each column: the most frequent residue, of equals that of the first sequence; a gap and 0 for a column of gaps."""
+    """Consensus and conservation of each column: the most frequent residue, of equals that of the first sequence by ord; a gap and 0 for a column of gaps."""
     counts = residue_counts(aln)
     total = counts.groupBy("grp", "col").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     top = pick(counts, ["grp", "col"], [-F.col("n"), F.col("first")]).select("grp", "col", "aa", "n")

@@ -9,6 +9,11 @@ from kinloom.functions import ids
 from kinloom.operators.pick import pick
 
 
+def owners(coords: DataFrame, order: list[Column]) -> DataFrame:
+    """(gene_id, accession): one accession a gene, that of its last row in the order of the source, whichever others have coordinates of it too."""
+    return pick(coords.select("gene_id", "accession", *[o.alias(f"_o{i}") for i, o in enumerate(order)]), ["gene_id"], [F.col(f"_o{i}") for i in range(len(order))], last=True).select("gene_id", "accession")
+
+
 def placed(coords: DataFrame, order: list[Column]) -> DataFrame:
     """One row for each (gene, accession), the last in the order of the source, with chromosome and subgenome in one spelling."""
     last = pick(coords, ["gene_id", "accession"], order, last=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinloom.functions import numbers
 from kinloom.operators.pick import pick
 
 
@@ -23,6 +24,17 @@ def arrays(rows: DataFrame, samples: DataFrame) -> DataFrame:
     return indexed.groupBy("gene").agg(F.transform(pairs, lambda x: x["value"]).alias("values"))
 
 
+def stored_arrays(values: DataFrame) -> DataFrame:
+    """(gene, codes): arrays as they are stored, whole numbers in tenths, with a number of their own for what is missing."""
+    return values.select("gene", F.transform("values", numbers.encoded).alias("codes"))
+
+
+def read_arrays(stored: DataFrame, samples: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(gene, sample_idx, value, ... of samples): the stored values of a gene with the samples of their positions; keys are further columns of both."""
+    one = stored.select(*keys, "gene", F.posexplode(F.transform("codes", numbers.decoded)).alias("sample_idx", "value"))
+    return one.join(samples, [*keys, "sample_idx"])
+
+
 def by_position(values: DataFrame, samples: DataFrame) -> DataFrame:
     """Each value of an array with the sample of its position."""
     return values.select("gene", F.posexplode("values").alias("sample_idx", "value")).join(samples, "sample_idx")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from kinloom.operators.pick import pick
 
 
-def located(members: DataFrame, coords: DataFrame) -> DataFrame:
-    """Members with the accession of their coordinates; those without coordinates go."""
-    return members.join(coords.select("gene_id", "accession").distinct(), "gene_id")
+def located(members: DataFrame, owners: DataFrame) -> DataFrame:
+    """Members, as often as the source lists them, with the accession (gene_id, accession) of their gene; those of genes without one go."""
+    return members.join(owners, "gene_id")
 
 
 def genes(members: DataFrame, order: list[Column]) -> DataFrame:

@@ -90,11 +90,11 @@ def s28_packed_genes(i):
 SPECIES_SQL = "CASE p_partkey % 4 WHEN 0 THEN 'wheat' WHEN 1 THEN 'barley' WHEN 2 THEN 'oat' ELSE 'rye' END"
 
 
-@query(f"SELECT p_partkey, CASE s WHEN 'wheat' THEN CASE WHEN p_size % 2 = 0 THEN 'Traes_' ELSE 'TRAES_' END WHEN 'barley' THEN 'HORVU_' WHEN 'oat' THEN 'Avena_' ELSE '' END || 'pan' || p_name AS cluster, CASE s WHEN 'wheat' THEN 0 WHEN 'barley' THEN 1 WHEN 'oat' THEN 2 ELSE 3 END AS tab FROM (SELECT *, {SPECIES_SQL} AS s FROM part)")
+@query(f"SELECT p_partkey, CASE s WHEN 'wheat' THEN CASE WHEN p_size % 2 = 0 THEN 'Traes_' ELSE 'TRAES_' END WHEN 'barley' THEN 'HORVU_' WHEN 'oat' THEN 'Avena_' ELSE '' END || CASE WHEN p_size % 3 = 0 AND s <> 'oat' THEN 'pan_' ELSE 'pan' END || p_name AS cluster, CASE s WHEN 'wheat' THEN 0 WHEN 'barley' THEN 1 WHEN 'oat' THEN 2 ELSE 3 END AS tab FROM (SELECT *, {SPECIES_SQL} AS s FROM part)")
 def p29_t10_cluster_names(i):
     s = F.col("s")
     had = F.when((s == "wheat") & (F.col("p_size") % 2 == 1), "TRAES_").otherwise("")
-    return i.part.selectExpr("*", f"{SPECIES_SQL} AS s").select("p_partkey", ids.cluster_id(s, F.concat(had, F.lit("pan"), "p_name")).alias("cluster"), ids.species_tab(s).alias("tab"))
+    return i.part.selectExpr("*", f"{SPECIES_SQL} AS s").select("p_partkey", ids.cluster_id(s, F.concat(had, F.when(F.col("p_size") % 3 == 0, "pan_").otherwise("pan"), "p_name")).alias("cluster"), ids.species_tab(s).alias("tab"))
 
 
 @query("SELECT p_partkey, replace(p_name, '*', '') AS protein, rtrim(upper(p_name || '**'), '*') AS coding FROM part")

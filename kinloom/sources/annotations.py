@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions import ids, text
-from kinloom.sources.lines import delimiter, lines, renamed, required, stem, table
+from kinloom.sources.lines import delimiter, lines, renamed, required, source_order, stem, table
 
 #: Other names of columns in expression files. Fixed values.
 SAMPLE_ALIASES = {"sample_acc": ("sample", "sample_id", "run", "sample_accession"), "experiment_acc": ("experiment", "study", "study_acc"), "organ": ("tissue",), "group": ("sample_group", "condition"), "genome": ("accession", "variety")}
@@ -41,11 +41,12 @@ def rice_symbols(spark: SparkSession, path: str) -> DataFrame:
 
 
 def best_hits(spark: SparkSession, path: str | list[str], species: tuple[str, ...] = ("arabidopsis", "rice")) -> DataFrame:
-    """(gene_id, accession, species, ref_id, evalue, pident): a row for each species that a line names; the accession is the file's name."""
+    """(gene_id, accession, species, ref_id, evalue, pident, src): a row for each species that a line names; the accession is the file's name. src orders the rows by
+    file and place, and stays with its row through joins."""
     t = required(table(spark, path), ("gene_id", *species), "hits")
     side = lambda s: F.struct(F.lit(s).alias("species"), ids.locus(text.present(F.col(s))).alias("ref_id"), *[(text.number(F.col(f"{s}_{k}")) if f"{s}_{k}" in t.columns else F.lit(None).cast("double")).alias(k) for k in ("evalue", "pident")])
-    rows = t.select(ids.canonical_id(F.col("gene_id")).alias("gene_id"), stem(F.col("_metadata.file_name"), (".tsv.gz", ".tsv")).alias("accession"), F.explode(F.array(*map(side, species))).alias("h"))
-    return rows.select("gene_id", "accession", "h.*").filter("ref_id <> '' AND gene_id <> ''")
+    rows = t.select(ids.canonical_id(F.col("gene_id")).alias("gene_id"), stem(F.col("_metadata.file_name"), (".tsv.gz", ".tsv")).alias("accession"), source_order().alias("src"), F.explode(F.array(*map(side, species))).alias("h"))
+    return rows.select("gene_id", "accession", "h.*", "src").filter("ref_id <> '' AND gene_id <> ''")
 
 
 def samples(spark: SparkSession, path: str) -> DataFrame:

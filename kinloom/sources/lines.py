@@ -13,8 +13,12 @@ def lines(spark: SparkSession, path: str | list[str], sep: str | None = None) ->
     """
     reader = spark.read.option("lineSep", sep) if sep else spark.read
     rows = reader.text(path)
-    src = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return rows.select(F.regexp_replace("value", r"\r$", "").alias("line"), F.col("_metadata.file_name").alias("file"), src.alias("src"))
+    return rows.select(F.regexp_replace("value", r"\r$", "").alias("line"), F.col("_metadata.file_name").alias("file"), source_order().alias("src"))
+
+
+def source_order() -> Column:
+    """Orders rows by file, place of the split and row; for columns of a read itself, before anything is shuffled."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
 def content(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kinloom import build
 from kinloom.engine import Engine
-from kinloom.functions import guards
+from kinloom.functions import guards, snapshot
 from kinloom.functions.scratch import listed
 from kinloom.operators import graph
 from kinloom.sources import annotations, genomes, layout
@@ -44,7 +44,7 @@ def root(spark, tmp_path_factory):
     out = f"{base}/out"
     stats = build.genome_indexes(spark, f"{base}/input", f"{out}/genomes")
     assert [tuple(r) for r in stats.collect()] == [("oat", 2, 2, 3)]
-    meta = build.keyword_index(spark, {k: f"{search}/{f}.tsv" for k, f in (("descriptions", "desc"), ("aliases", "alias"), ("rice", "rice"))}, str(search), {"oat": spark.read.parquet(f"{out}/genomes/oat/genes")}, f"{out}/keywords")
+    meta = build.keyword_index(spark, {k: f"{search}/{f}.tsv" for k, f in (("descriptions", "desc"), ("aliases", "alias"), ("rice", "rice"))}, str(search), {"oat": snapshot.read(spark, f"{out}/genomes/oat", "genes")}, f"{out}/keywords")
     got = {r.k: r.v for r in meta.collect()}
     assert got["refs_count"] == "3" and got["hits_files"] == "2" and got["hits_total"] == "4" and got["hits_unmatched"] == "1" and len(got["rice_sha1"]) == 40
     sets = build.expression_index(spark, f"{base}/expression_input", f"{out}/expression")
@@ -66,14 +66,14 @@ def test_an_index_is_not_overwritten_unasked(spark, root):
 
 
 def test_clusters(engine):
-    assert [(r.gene_id, r.pangene, r.accession) for r in engine.search("G1", "oat").collect()] == [("g1.1", "p1", "acc1")]
+    assert [(r.gene_id, r.pangene, r.accession) for r in engine.search("G1", "oat").collect()] == [("g1.1", "Avena_p1", "acc1")]
     assert engine.search("", "oat").count() == 0 and [r.gene_id for r in engine.suggest("g1.", "oat").collect()] == ["g1.1"] and engine.suggest("g1", "oat").count() == 0
-    assert [(r.gene_id, r.begin_pos) for r in engine.pangene("p1", "oat").collect()] == [("g1.1", 10), ("g2", 5)]
-    assert engine.stats("oat").first().genes == "3" and not engine.is_large("p1", "oat")
-    assert {r.bucket: r.genes for r in engine.subgenomes("p1", "oat").collect()} == {"A": "g1.1|g2"}
-    assert [(r.pangene, r.dominant) for r in engine.picker(["p1", "p2"], "p2", "oat").collect()] == [("p2", "A"), ("p1", "A")]
+    assert [(r.gene_id, r.begin_pos) for r in engine.pangene("Avena_p1", "oat").collect()] == [("g1.1", 10), ("g2", 5)]
+    assert engine.stats("oat").first().genes == "3" and not engine.is_large("Avena_p1", "oat")
+    assert {r.bucket: r.genes for r in engine.subgenomes("Avena_p1", "oat").collect()} == {"A": "g1.1|g2"}
+    assert [(r.pangene, r.dominant) for r in engine.picker(["Avena_p1", "Avena_p2"], "Avena_p2", "oat").collect()] == [("Avena_p2", "A"), ("Avena_p1", "A")]
     slots = engine.neighborhood([("g3", "acc1")], 1, 2, "oat").collect()
-    assert [r.gene_id for r in slots] == [None, "g1.1", "g3", "g4"] and [r.pangene for r in slots] == [None, "p1", "p2", None]
+    assert [r.gene_id for r in slots] == [None, "g1.1", "g3", "g4"] and [r.pangene for r in slots] == [None, "Avena_p1", "Avena_p2", None]
     with pytest.raises(ValueError):
         engine.neighborhood([("g", "a")] * 151, 1, 1, "oat")
     with pytest.raises(KeyError):
@@ -86,9 +86,9 @@ def test_sequences_and_rates(engine, tmp_path):
     assert rates["g3"] == (None, 1, 0) and rates["g2"][1:] == (1, 0) and rates["zz"][0] == "no_cds"
     with pytest.raises(ValueError):
         engine.kaks({"a": "M"}, "b", "oat")
-    engine.download("p1", "oat", "prot", f"{tmp_path}/p.fa")
+    engine.download("Avena_p1", "oat", "prot", f"{tmp_path}/p.fa")
     assert engine.spark.read.text(f"{tmp_path}/p.fa").count() == 4
-    engine.download("p1", "oat", "gene_list", f"{tmp_path}/p.tsv")
+    engine.download("Avena_p1", "oat", "gene_list", f"{tmp_path}/p.tsv")
     assert sorted(r.value for r in engine.spark.read.text(f"{tmp_path}/p.tsv").collect()) == ["g1.1\tacc1\t1A\t10\t20", "g2\tacc2\t1A\t5\t9"]
     assert [r["rank"] for r in engine.track_order({"a": "MKVLAAD", "b": "MKVLAAE", "c": "QQQQQQQ"}).collect()] == [0, 1, 2]
     assert [r.consensus for r in engine.alignment_statistics({"a": "MK", "b": "MQ"}).collect()] == ["M", "K"] and engine.variants({"a": "MK", "b": "MQ"}).count() == 1
@@ -101,7 +101,7 @@ def test_keywords(engine):
     assert engine.references("only", "oat").count() == 0
     assert [(r.ref_id, r.selected) for r in engine.references("nac1", "oat", ["os01g0100200"]).collect()] == [("AT1G01010", False), ("Os01g0100200", True)]
     groups = engine.keyword_groups(["at1g01010"], "oat", "oat").collect()
-    assert [(r.pangene, r.matched_genes, r.min_evalue_label, r.max_pident_label, r.by_genome, r.density_pct) for r in groups] == [("p1", 2, "1.00e-30", "80.0%", "acc1:1|acc2:1", 100.0), ("p2", 1, "1.00e-09", "70.0%", "acc1:1", 50.0)]
+    assert [(r.pangene, r.matched_genes, r.min_evalue_label, r.max_pident_label, r.by_genome, r.density_pct) for r in groups] == [("Avena_p1", 2, "1.00e-30", "80.0%", "acc1:1|acc2:1", 100.0), ("Avena_p2", 1, "1.00e-09", "70.0%", "acc1:1", 50.0)]
     assert engine.keyword_groups(["Os01g0100200"], "oat").count() == 0 and engine.keyword_groups([], "oat").count() == 0
     best = {r.gene_id: (r.arabidopsis_ref, r.rice_description) for r in engine.best_annotations(["g1.1", "g9"], "oat").collect()}
     assert best == {"g1.1": ("AT1G01010", "kinase"), "g9": (None, None)}
