@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinloom.functions import ids
@@ -13,12 +13,30 @@ from kinloom.operators.pick import pick, ranked
 def components(edges: DataFrame, workspace: Workspace, name: str = "edges") -> DataFrame:
     """(node, component) for each node of edges (a, b): the least node that can be reached.
 
-    Large and small stars in turn: first every node ties its larger neighbours to its least one, then its smaller ones and itself. The
-    rounds are logarithmic in number. Each is written to the shared folder; a count and a checksum, which stop changing when
-    all edges are stars, are all that the driver sees.
+    Nodes with one neighbour only are set aside first and follow their neighbour at the end; what is left, the core, is often small. There large and small stars take turns:
+    first every node ties its larger neighbours to its least one, then its smaller ones and itself. The rounds are logarithmic in number. Each is written
+    to the shared folder, and counted with a checksum while it is written; these stop changing when all edges are stars, and are all that the driver sees.
     """
-    now = workspace.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    seen, k = _state(now), 0
+    whole = workspace.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-all")
+    ends = whole.unionByName(whole.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("near"))
+    leaves = workspace.write(ends.filter("n = 1").select(F.col("a").alias("leaf"), "near"), f"{name}-leaves")
+    mark = lambda c: leaves.select(F.col("leaf").alias(c))
+    core = _core_components(whole.join(mark("a"), "a", "left_anti").join(mark("b"), "b", "left_anti").select("a", "b"), workspace, name)
+    core = workspace.write(core, f"{name}-core")
+    led = leaves.join(core.select(F.col("node").alias("near"), "component"), "near", "left").select("leaf", "near", F.coalesce("component", F.least("leaf", "near")).alias("pair"), F.coalesce("component", "near").alias("label"))
+    # a component of two nodes is a pair of leaves, each the other's neighbour; any other has its label in the core or in the middle of its star
+    apart = led.join(leaves.select(F.col("leaf").alias("near"), F.lit(True).alias("two")), "near", "left").select("leaf", "near", F.when(F.col("two"), F.col("pair")).otherwise(F.col("label")).alias("label"), F.coalesce("two", F.lit(False)).alias("two"))
+    apart = workspace.write(apart, f"{name}-apart")
+    least = apart.groupBy("label").agg(F.min("leaf").alias("least"))
+    middles = apart.filter(~F.col("two") & (F.col("label") == F.col("near"))).select(F.col("near").alias("node"), "label").distinct()
+    known = core.select("node", F.col("component").alias("label"))
+    nodes = known.unionByName(middles.join(known.select("node"), "node", "left_anti")).unionByName(apart.select(F.col("leaf").alias("node"), "label"))
+    return nodes.join(least, "label", "left").select("node", F.coalesce(F.least("least", "label"), "label").alias("component"))
+
+
+def _core_components(edges: DataFrame, workspace: Workspace, name: str) -> DataFrame:
+    now, seen = _counted(edges, workspace, f"{name}-0")
+    k = 0
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -26,18 +44,21 @@ def components(edges: DataFrame, workspace: Workspace, name: str = "edges") -> D
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         ties = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b"))))
         k += 1
-        now, before = workspace.write(large.join(low, "a").select(ties.alias("e")).select("e.*").filter("a <> b").distinct(), f"{name}-{k}"), seen
+        before = seen
+        now, seen = _counted(large.join(low, "a").select(ties.alias("e")).select("e.*").filter("a <> b").distinct(), workspace, f"{name}-{k}")
         workspace.drop(f"{name}-large-{k - 1}")
         workspace.drop(f"{name}-{k - 1}")
-        seen = _state(now)
         if seen == before:
             break
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _counted(edges: DataFrame, workspace: Workspace, name: str) -> tuple[DataFrame, tuple]:
+    """Edges written, with their number and a checksum, observed on the way."""
+    seen = Observation()
+    observed = edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+    return workspace.write(observed, name), (seen.get["n"], seen.get["sum"])
 
 
 def with_singletons(found: DataFrame, universe: DataFrame) -> DataFrame:
@@ -136,3 +157,21 @@ def unordered_pairs(names: DataFrame, col: str) -> DataFrame:
 def last_of_edges(edges: DataFrame, order: list[Column]) -> DataFrame:
     """One edge for each two ends whatever their order, the last of the source."""
     return pick(edges.withColumn("p", F.least("a", "b")).withColumn("q", F.greatest("a", "b")), ["p", "q"], order, last=True).drop("p", "q")
+
+
+def grown(labels: DataFrame, edges: DataFrame, workspace: Workspace, name: str = "grown") -> DataFrame:
+    """Components (node, component) after new edges (a, b), from those before.
+
+    New edges are led to the components of their ends, which contracts all that was known: components are found among those few labels, and
+    old nodes follow their label. Rounds are as many as the new edges' own chains need, however large the old graph.
+    """
+    of = labels.select("node", "component")
+    a = edges.filter("a <> b").join(of.select(F.col("node").alias("a"), F.col("component").alias("p")), "a", "left")
+    both = a.join(of.select(F.col("node").alias("b"), F.col("component").alias("q")), "b", "left")
+    both = workspace.write(both.select("a", "b", F.coalesce("p", "a").alias("p"), F.coalesce("q", "b").alias("q")), f"{name}-ends")
+    moved = components(both.select(F.col("p").alias("a"), F.col("q").alias("b")), workspace, f"{name}-labels")
+    moved = workspace.write(moved, f"{name}-moved")
+    new = both.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("p").alias("component")), F.struct(F.col("b").alias("node"), F.col("q").alias("component")))).alias("n")).select("n.*").distinct()
+    every = of.unionByName(new.join(of.select("node"), "node", "left_anti"))
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return every.join(to, "component", "left").select("node", F.coalesce("least", "component").alias("component"))

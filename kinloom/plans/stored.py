@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from kinloom.functions import ids, numbers, snapshot
 from kinloom.functions.scratch import Workspace
 from kinloom.functions.snapshot import Snapshot
-from kinloom.operators import dedup, expression, keyword, lookup, members, prefixes
+from kinloom.operators import chains, dedup, expression, graph, keyword, lookup, members, prefixes
 from kinloom.operators.pick import prioritised_lookup
 from kinloom.plans.clusters import GENES, PLACED, genes, placed
 from kinloom.plans.expressions import STATS
-from kinloom.plans.graphs import KEYED
+from kinloom.plans.graphs import KEYED, REACH
 from kinloom.plans.keywords import BM25
 from kinloom.plans.registry import query
 
@@ -118,3 +118,25 @@ def p26_j28_e02_stored_arrays(i):
     read = built(i, "arrays", values=(stored, {"order": ("gene",), "dealt": True, "bloom": ("gene",)}), samples=(samples, {"order": ("sample_idx",), "dealt": True}))
     one = read("values").select("gene", F.explode(F.arrays_zip("codes", "samples")).alias("x")).select("gene", numbers.decoded(F.col("x.codes")).alias("value"), F.col("x.samples").alias("sample_idx"))
     return expression.tissue_stats(one.join(read("samples"), "sample_idx"))
+
+
+@query(f"WITH RECURSIVE {REACH} SELECT node, component FROM comp", "edge")
+def h06_u09_grown_components(i):
+    """Components of nine tenths of the edges, stored, and then the rest."""
+    work, late = Workspace(i.spark, "grown"), F.pmod(F.xxhash64("a", "b"), F.lit(10)) == 0
+    old = work.write(graph.components(i.edge.filter(~late), work, "old"), "old")
+    return graph.grown(old, i.edge.filter(late), work)
+
+
+@query()
+def h15_collinear_chains(i):
+    """Lines as anchors: orders in order of their keys along one chromosome of some 4,000 genes, parts near that place along the other."""
+    at, k = "l_orderkey div 8", "l_linenumber"
+    a = i.lineitem.selectExpr(f"concat({at} div 4000, '-', l_orderkey % 4) pair", f"l_orderkey * 8 + {k} id", f"{at} % 4000 x", f"{at} % 4000 + l_orderkey % 9 - 4 + {k} y", f"cast({k} + 2 as double) w").dropDuplicates(["pair", "id"])
+    return chains.chain_ends(chains.chained(a, Workspace(i.spark, "chains"), reach=10), score=20.0, anchors=4)
+
+
+@query()
+def h15_flow_clusters(i):
+    edges = i.lineitem.groupBy(F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("P"), (F.col("l_orderkey").cast("long") / 8 + F.when(F.col("l_partkey") % 25 == 0, 1).otherwise(0)).cast("long").cast("string")).alias("b")).agg(F.sum("l_quantity").alias("w"))
+    return chains.flow_clusters(edges, Workspace(i.spark, "flow"))
