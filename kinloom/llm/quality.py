@@ -252,15 +252,13 @@ def labelled(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Dat
 def judged(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[Rule]]:
     """(row, statistics, base_failed, kept) for each row of docs, and the rules.
 
-    The learning looks at the texts of labelled rows only; their statistics are written once and read at each of its steps. A null or empty text has
+    Texts are read once: rows are written with their statistics, and the learning joins the labels to the statistics alone, so no text is shuffled. A null or empty text has
     no words and fails the base test. Repeated rows are judged alike; labels that repeat count once, the lower quality; labels
     without a row, and rows without a label, do not matter to the learning. Without labels the list is empty, and then the
     base test decides alone. An empty table gives no rows.
     """
-    known = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias(id_col)).distinct()
-    slim = statistics(docs.select(id_col, text_col).join(known, id_col, "left_semi"), text_col)
-    rules = learn(scratch.write(labelled(slim, labels, id_col), "labelled"))
-    stats = statistics(docs, text_col)
+    stats = scratch.write(statistics(docs, text_col), "statistics")
+    rules = learn(scratch.write(labelled(stats, labels, id_col), "labelled"))
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules) & (F.col("seq") >= 0)).drop("seq"), rules
 
 
