@@ -10,8 +10,9 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from kinloom.functions import buckets as buckets_
 from kinloom.functions.scratch import delete, listed
 
 #: Where manifests are, under an index.
@@ -87,12 +88,7 @@ class Snapshot:
 
     def write_bucketed(self, df: DataFrame, name: str, keys: tuple[str, ...], buckets: int, options: dict[str, str] | None = None) -> None:
         """Parquet in buckets of the keys, sorted by them, one file a bucket: tables that are bucketed alike join and group by the keys without a shuffle."""
-        out = df.repartition(buckets, *[F.col(k) for k in keys]).write.mode("errorifexists").option("compression", "zstd").option("path", self.path(name))
-        for k, v in (options or {}).items():
-            out = out.option(k, v)
-        temporary = f"kinloom_{uuid.uuid4().hex}"
-        out.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(temporary)
-        self.spark.sql(f"DROP TABLE {temporary}")  # external: its files stay
+        buckets_.write(df, self.path(name), keys, buckets, options)
         self.tables[name] = {"path": f"{self.folder}/{name}", "schema": df.schema.jsonValue(), "keys": list(keys), "buckets": buckets}
 
     def publish(self) -> None:
@@ -113,14 +109,7 @@ def bucketed(spark: SparkSession, root: str, name: str) -> DataFrame:
     entry = (manifest(spark, root) or {"tables": {}})["tables"].get(name)
     if entry is None or "buckets" not in entry:
         raise KeyError(f"no bucketed table {name} in {root}")
-    from pyspark.sql.types import StructType
-
-    where = f"{root}/{entry['path']}"
-    view = f"kinloom_{uuid.uuid5(uuid.NAMESPACE_URL, where).hex}"
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in StructType.fromJson(entry["schema"]).fields)
-    keys = ", ".join(f"`{k}`" for k in entry["keys"])
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {view} ({columns}) USING parquet OPTIONS (path '{where}') CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {entry['buckets']} BUCKETS")
-    return spark.table(view)
+    return buckets_.read(spark, f"{root}/{entry['path']}", StructType.fromJson(entry["schema"]), tuple(entry["keys"]), entry["buckets"])
 
 
 def expire(spark: SparkSession, root: str, keep: int = 1) -> int:
