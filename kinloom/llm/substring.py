@@ -8,12 +8,14 @@ window that is the first of its kind under a shared anchor. A batch of new docum
 1. Merge-join: in each bucket of anchors the batch's sorted runs are merged with all generations. An anchor that another run, another
    document or an earlier batch has is shared, and its windows are candidates.
 2. An anchor that was one old document's own until now is promoted: that document is read again, once, and its windows under
-   the anchor join the candidates. No other old text is ever read; cost follows the batch and what it newly meets.
+   the anchor join the candidates. History is scanned for these documents, as what is read there
+   are their ids and no more than their texts; without it a batch would miss copies, so it must be given.
 3. Verification: candidates send two fingerprints, of 64 and 32 bits, each of its own hashes of all their words. In each bucket they are merged
    with the fingerprints of all generations: what history has, or an earlier document of the batch, is a copy.
 4. Each run removes what is covered by copies, whether found there or inside the run; new anchors and fingerprints are written as a generation.
 
-Generations are merged when there are FANOUT of them. Two windows count as equal if both fingerprints are: of W windows some W * W / 2^97 pairs
+A batch's texts are dealt to their runs once, as a table in buckets of the run, and read from there by the three passes over them. Generations are merged before a batch
+when there are FANOUT of them. Two windows count as equal if both fingerprints are: of W windows some W * W / 2^97 pairs
 are taken for equal that are not, which is 1e-9 at 10^10 windows and below 0.01 at 100 TB.
 
 Buckets hold some BUCKET_BYTES of text each, so a run writes a blob for every bucket of the corpus, however many there are; a run keeps one entry for
@@ -23,6 +25,7 @@ equal windows however often they occur in it, so a passage that a third of all d
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from itertools import chain, compress
 
@@ -32,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinloom.functions import buckets
 from kinloom.functions.scratch import listed
 
 from . import packing
@@ -39,7 +43,7 @@ from .common import Scratch, documents, drop, run_count, text_bytes
 
 WINDOW, GRAM = 20, 6
 #: Generations that an index keeps before it merges them, and batches that a whole table is added in.
-FANOUT, BATCHES = 4, 3
+FANOUT, BATCHES = 2, 3
 #: Text of a bucket.
 BUCKET_BYTES = 64_000_000
 NO_ID = np.iinfo("i8").max
@@ -326,10 +330,16 @@ class FingerprintIndex:
 
     def add(self, new: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", runs: int | None = None) -> DataFrame:
         """(doc_id, n_words, n_removed, kept_sha256) for each row of new, as a table in the folder; history holds the documents of earlier calls."""
+        if self._names and history is None:
+            raise ValueError("the index has documents: give the history, or copies of what only one of them has are missed")
+        if len(self._names) >= FANOUT:
+            self.compact()
         size, gram, bits = self.size, self.gram, self.bits
         if runs is None:
             runs = run_count(text_bytes(new, text_col))
-        rows = keyed(new, runs, id_col, text_col)
+        dealt, where, n = keyed(new, runs, id_col, text_col), f"{self.folder}/rows-{uuid.uuid4().hex}", 2 * runs
+        buckets.write(dealt, where, ("run",), n)
+        rows = buckets.read(self.spark, where, dealt.schema, ("run",), n)
 
         def entries(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             return made(blobs("entries", key[0], bits, *Run(pdf, size, gram).entries()))
@@ -347,7 +357,7 @@ class FingerprintIndex:
             return made([under, *blobs("windows", key[0], bits, first[send], second[send], run.ids[run.doc[send]])])
 
         sent = rows.groupBy("run").cogroup(anchors.filter("kind = 'shared'").groupBy("run")).applyInPandas(windows, ROWS)
-        if self._names and history is not None:
+        if self._names:
             promoted = anchors.filter("kind = 'promoted'").select("doc_id", "keys").withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("long"))
             old = keyed(history.filter(F.col(id_col).isNotNull()), runs, id_col, text_col).join(promoted.select("doc_id").distinct(), "doc_id", "left_semi").select("run", "doc_id", "text")
 
@@ -377,8 +387,8 @@ class FingerprintIndex:
         name = f"generation-{self._next}"
         done.unionByName(anchors.filter("kind IN ('anchors', 'promoted')")).write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(f"{self.folder}/{name}")
         self._commit([*self._names, name])
-        if len(self._names) >= FANOUT:
-            self.compact()
+        buckets.forget(self.spark, where)
+        drop(self.spark, where)
         return self.part("result", name).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
     def compact(self) -> None:
@@ -411,7 +421,7 @@ def deduplicated(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
         part = docs if low is None else docs.filter((id_ > low) | id_.isNull())
         part = part if high is None else part.filter(id_ <= high)
         got = index.add(part, before, id_col, text_col, run_count(total // (len(edges) + 1)))
-        before = docs.filter(id_ <= high) if high is not None else None
+        before = docs.filter(id_ <= high) if high is not None else None  # nothing comes after the last
         out = got if out is None else out.unionByName(got)
     return out
 

@@ -273,6 +273,10 @@ def removed(rows, size=20):
 def test_substrings(spark, docs, rows, scratch, empty):
     got = Counter(tuple(r) for r in substring.deduplicated(docs, scratch).collect())
     assert got == removed(rows)
+    index = substring.FingerprintIndex(spark, scratch.path("index"))
+    assert index.generations() == ["generation-2", "generation-3"]  # three batches, and the first two merged before the third
+    with pytest.raises(ValueError, match="history"):
+        index.add(docs)
     assert Counter(tuple(r) for r in substring.deduplicated(docs, Scratch(spark, "one"), batches=1).collect()) == got
     assert substring.deduplicated(empty, Scratch(spark, "none")).count() == 0
 
@@ -287,7 +291,7 @@ def test_substring_index(spark, docs, rows):
         index = substring.FingerprintIndex(spark, folder)
         got += Counter(tuple(r) for r in index.add(spark.createDataFrame(part, SCHEMA), spark.createDataFrame(before, SCHEMA)).collect())
         before = before + part
-        assert len(index.generations()) < substring.FANOUT
+        assert len(index.generations()) <= substring.FANOUT
     assert got == removed([r for r in rows if r[0] is not None])
     with pytest.raises(ValueError, match="windows of 20"):
         substring.FingerprintIndex(spark, folder, size=30)
