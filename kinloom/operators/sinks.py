@@ -11,6 +11,8 @@ from kinloom.operators.pick import ranked
 
 #: Layout of an index; a reader refuses older ones. Fixed value.
 SCHEMA_VERSION = 3
+#: Bytes that one value cannot hold.
+LARGEST_FILE = 2**31 - 1_024
 
 
 def table(df: DataFrame, path: str, force: bool = False, by: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> None:
@@ -51,9 +53,12 @@ def merged_statistics(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def checksums(spark: SparkSession, path: str) -> dict[str, str]:
-    """The sha1 of each file of a folder or of a file, by name; files are hashed where they are read."""
-    rows = spark.read.format("binaryFile").load(path).filter("length > 0")
-    return {r["name"]: r["sha1"] for r in rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha1("content").alias("sha1")).orderBy("name").collect()}
+    """The sha1 of each file of a folder, however deep, or of a file, by path; files are hashed where they are read, each as one value, so one of 2 GB or more is an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0")
+    large = files.filter(F.col("length") >= LARGEST_FILE).select("path").first()
+    if large:
+        raise ValueError(f"{large.path}: too large for a checksum")
+    return {r.path: r.sha1 for r in files.select("path", F.sha1("content").alias("sha1")).orderBy("path").collect()}
 
 
 def metadata(spark: SparkSession, path: str, values: dict[str, object], force: bool = False) -> None:

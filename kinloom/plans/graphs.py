@@ -122,20 +122,20 @@ def g09_u09_last_edge_wins(i):
     return graph.last_of_edges(e, [F.col("src"), F.col("x"), F.col("a"), F.col("b")]).select("a", "b", "x")
 
 
-@query("SELECT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_quantity < 3 UNION SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_quantity < 2")
+@query("SELECT l_orderkey % 5000 AS a, l_partkey % 40 AS b FROM lineitem UNION SELECT l_orderkey % 5000, l_suppkey % 40 FROM lineitem")
 def u01_distinct_union(i):
-    x = i.lineitem.filter("l_quantity < 3").selectExpr("l_orderkey a", "l_partkey b")
-    return x.union(i.lineitem.filter("l_quantity < 2").selectExpr("l_orderkey a", "l_suppkey b")).distinct()
+    x = i.lineitem.selectExpr("l_orderkey % 5000 a", "l_partkey % 40 b")
+    return x.union(i.lineitem.selectExpr("l_orderkey % 5000 a", "l_suppkey % 40 b")).distinct()
 
 
-@query("SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_quantity < 2 INTERSECT SELECT p_partkey FROM part WHERE p_size < 20")
+@query("SELECT l_orderkey AS id FROM lineitem INTERSECT SELECT p_partkey FROM part")
 def u06_shared_ids(i):
-    return i.lineitem.filter("l_quantity < 2").selectExpr("l_partkey id").intersect(i.part.filter("p_size < 20").selectExpr("p_partkey id"))
+    return i.lineitem.selectExpr("l_orderkey id").intersect(i.part.selectExpr("p_partkey id"))
 
 
-@query("WITH x AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_quantity < 2), y AS (SELECT DISTINCT p_partkey AS id FROM part WHERE p_size < 20) SELECT (SELECT count(*) FROM x WHERE id IN (SELECT id FROM y))::BIGINT AS shared, (SELECT count(*) FROM x WHERE id NOT IN (SELECT id FROM y))::BIGINT AS only_a, (SELECT count(*) FROM y WHERE id NOT IN (SELECT id FROM x))::BIGINT AS only_b")
+@query("WITH x AS (SELECT DISTINCT l_orderkey AS id FROM lineitem), y AS (SELECT DISTINCT p_partkey AS id FROM part) SELECT (SELECT count(*) FROM x WHERE id IN (SELECT id FROM y))::BIGINT AS shared, (SELECT count(*) FROM x WHERE id NOT IN (SELECT id FROM y))::BIGINT AS only_a, (SELECT count(*) FROM y WHERE id NOT IN (SELECT id FROM x))::BIGINT AS only_b")
 def j26_id_overlap(i):
-    return dedup.id_overlap(i.lineitem.filter("l_quantity < 2").selectExpr("l_partkey id"), i.part.filter("p_size < 20").selectExpr("p_partkey id"), "id")
+    return dedup.id_overlap(i.lineitem.selectExpr("l_orderkey id"), i.part.selectExpr("p_partkey id"), "id")
 
 
 @query("SELECT coalesce(x.k, y.k) AS k, coalesce(x.q3, '') AS q3, coalesce(y.q8, '') AS q8 FROM (SELECT p_partkey AS k, p_name AS q3 FROM part WHERE p_size > 10) x FULL JOIN (SELECT p_partkey AS k, p_brand AS q8 FROM part WHERE p_size < 40) y ON x.k = y.k")

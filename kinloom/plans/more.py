@@ -48,9 +48,10 @@ def j27_postings_with_references(i):
     return posts.join(i.ref.select("ref_id", "species"), "ref_id").groupBy("ref_id", "species").agg(F.count("*").alias("terms"))
 
 
-@query("SELECT p_name AS gene FROM part WHERE p_size < 5 UNION SELECT p_brand FROM part WHERE p_size > 45 ORDER BY 1")
+@query("SELECT 'g' || CAST(p_partkey AS STRING) AS gene FROM part UNION SELECT 'g' || CAST(l_partkey + 50 AS STRING) FROM lineitem ORDER BY 1")
 def j30_reference_gene_union(i):
-    return i.part.filter("p_size < 5").select(F.col("p_name").alias("gene")).union(i.part.filter("p_size > 45").select("p_brand")).distinct().orderBy("gene")
+    gene = lambda c: F.concat(F.lit("g"), c.cast("string")).alias("gene")
+    return i.part.select(gene(F.col("p_partkey"))).union(i.lineitem.select(gene(F.col("l_partkey") + 50))).distinct().orderBy("gene")
 
 
 @query("WITH v AS (SELECT key, max(l_suppkey) AS acc FROM (SELECT 'LI' || CAST(l_orderkey AS STRING) AS key, l_suppkey FROM lineitem UNION ALL SELECT 'LI' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING), l_suppkey FROM lineitem) GROUP BY key) SELECT key, acc FROM v")
@@ -174,12 +175,12 @@ def e04_response_summary(i):
     return expression.summary(i.expr.select("gene").distinct(), expression.tissue_stats(i.expr)).filter("status = 'ok'")
 
 
-@query("SELECT k, v FROM (SELECT 'genes' AS k, CAST(count(*) AS STRING) AS v FROM part UNION ALL SELECT 'schema_version', '3' UNION ALL SELECT 'source_sha1', sha1(string_agg(CAST(p_partkey AS STRING), chr(10) ORDER BY p_partkey) || chr(10)) FROM part)")
+@query("WITH f AS (SELECT p_partkey % 4 AS k, sha1(string_agg(CAST(p_partkey AS STRING), chr(10) ORDER BY p_partkey) || chr(10)) AS s FROM part GROUP BY 1) SELECT k, v FROM (SELECT 'genes' AS k, CAST(count(*) AS STRING) AS v FROM part UNION ALL SELECT 'schema_version', '3' UNION ALL SELECT 'source_sha1', string_agg(s, '' ORDER BY k) FROM f)")
 def x10_index_metadata(i):
-    """Checksum of a source file, counts and version, written beside the index and read again; another run over the same files gives the same."""
+    """Checksums of source files in order of their paths, counts and version, written beside the index and read again; another run over the same files gives the same."""
     work = Workspace(i.spark, "meta")
-    rows = i.part.select("p_partkey").coalesce(1).sortWithinPartitions("p_partkey").select(F.col("p_partkey").cast("string").alias("value"))
-    sinks.lines(rows, work.path("source"))
+    rows = i.part.select((F.col("p_partkey") % 4).alias("k"), "p_partkey").repartition("k").sortWithinPartitions("k", "p_partkey")
+    rows.select("k", F.col("p_partkey").cast("string").alias("value")).write.partitionBy("k").text(work.path("source"))
     sums = sinks.checksums(i.spark, work.path("source"))
     sinks.metadata(i.spark, work.path("meta"), {"schema_version": sinks.SCHEMA_VERSION, "genes": i.part.count(), "source_sha1": "".join(sums.values())})
     return i.spark.read.parquet(work.path("meta"))
