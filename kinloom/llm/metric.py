@@ -3,8 +3,8 @@
 Two vectors of one label are linked if their cosine reaches COSINE, that is if their unit vectors are no further apart than r = sqrt(2 - 2 COSINE). Equal
 vectors of a label form a class, which one vector stands for. Pivots, far apart in a bounded sample, partition the classes: each is native
 to the cell of its nearest pivot. Cells keep, for each pivot, how near and how far their natives are. By the triangle inequality a vector has no partner in a
-cell if for some pivot it lies more than r outside that range; to all other cells of a smaller number it goes as a guest. So every
-pair within r meets once, in the cell of the smaller number, and cells join independently: natives with natives, and with guests.
+cell if for some pivot it lies more than r outside that range, nor if the plane halfway between its own pivot and the cell's is more than r away (a partner lies
+beyond it); to all other cells of a smaller number it goes as a guest. So every pair within r meets once, in the cell of the smaller number, and cells join independently: natives with natives, and with guests.
 
 A cell with many rows is cut into chunks, and pairs of chunks are tasks of their own. Inside a task pairs are counted, not listed: what leaves
 it is the number of links of each vector and a spanning forest, from which components are found.
@@ -26,7 +26,7 @@ from .common import Scratch, finite_components
 
 COSINE = 0.98
 #: Pivots at least and at most, classes a pivot, and the rows from which pivots are taken (those of the least hashes).
-FEW, MANY, PER_PIVOT, SAMPLE = 8, 256, 1_000, 2_048
+FEW, MANY, PER_PIVOT, SAMPLE = 8, 256, 4_000, 2_048
 #: Rows of a chunk, room for rounding in distances, and cosines so near the limit are computed again in order of the components.
 CHUNK, ROOM, CLOSE = 1_024, 1e-6, 1e-9
 PLACED = "rep long, label long, weight long, dim int, v array<double>, cell int, far array<double>"
@@ -108,9 +108,9 @@ def rings(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
-def copies(rows: DataFrame, low: np.ndarray, high: np.ndarray, r: float) -> DataFrame:
+def copies(rows: DataFrame, low: np.ndarray, high: np.ndarray, pivots: np.ndarray, r: float) -> DataFrame:
     """Each class in its own cell, and as a guest in those of smaller numbers that can hold partners."""
-    room = r + ROOM
+    room, between = r + ROOM, distances(pivots, pivots)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def put(batch: pa.RecordBatch, at: np.ndarray, to: np.ndarray, native: bool) -> pa.RecordBatch:
@@ -122,6 +122,8 @@ def copies(rows: DataFrame, low: np.ndarray, high: np.ndarray, r: float) -> Data
             yield put(batch, np.arange(len(cell)), cell, True)
             for j in range(int(cell.max(initial=0))):
                 at = np.flatnonzero(cell > j)
+                own = cell[at]
+                at = at[far[at, j] ** 2 - far[at, own] ** 2 <= 2 * room * between[own, j] + ROOM]
                 at = at[((far[at] >= low[j] - room) & (far[at] <= high[j] + room)).all(1)]
                 if len(at):
                     yield put(batch, at, np.full(len(at), j), False)
@@ -209,7 +211,7 @@ def linked(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE, id_col:
     chosen = far_apart(sample, pivots or min(MANY, max(FEW, classes.count() // PER_PIVOT)))
     rows = scratch.write(placed(classes, chosen), "placed")
     low, high = rings(rows, len(chosen))
-    all_ = scratch.write(copies(rows, low, high, math.sqrt(2 - 2 * cosine)), "copies")
+    all_ = scratch.write(copies(rows, low, high, chosen, math.sqrt(2 - 2 * cosine)), "copies")
     found = tiles(all_, chunk).groupBy("label", "dim", "cell", "lo", "hi").applyInArrow(lambda t: meet(t, cosine), "rep long, links long, root long")
     found = scratch.write(found, "links")
     reached = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch, "vectors")
