@@ -40,13 +40,12 @@ def _core_components(edges: DataFrame, workspace: Workspace, name: str) -> DataF
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = workspace.write(both.join(least, "a").filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"{name}-large-{k}")
+        large = both.join(least, "a").filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()  # used twice, shuffled once
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         ties = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b"))))
         k += 1
         before = seen
         now, seen = _counted(large.join(low, "a").select(ties.alias("e")).select("e.*").filter("a <> b").distinct(), workspace, f"{name}-{k}")
-        workspace.drop(f"{name}-large-{k - 1}")
         workspace.drop(f"{name}-{k - 1}")
         if seen == before:
             break
