@@ -211,22 +211,47 @@ class Engine:
 
     # expression
 
-    def expression_of(self, gene: str, genome: str | None = None) -> tuple[str | None, DataFrame | None]:
+    def _expression(self, name: str, data_set: str | None = None) -> DataFrame:
+        table = snapshot.read(self.spark, f"{self.root}/expression", name)
+        return table if data_set is None else table.filter(F.col("dataset_id") == data_set)
+
+    def data_set_of(self, gene: str, genome: str | None = None):
+        """(dataset_id, genome) of the data set that answers for a gene: one of the genome, else one with a sample of it, else the first; None if no set has it."""
+        values, sets = self._expression("values").filter(F.col("gene") == gene.strip()), self._expression("datasets").select("dataset_id", "genome")
+        named = self._expression("samples").select("dataset_id", F.trim("genome").alias("genome"))
+        wanted = genome.strip() if genome and genome.strip() else "\x00"  # no genome is named so
+        owner = expression.owner(sets, named, values.select("gene", "dataset_id"), wanted)
+        return owner.join(sets, "dataset_id").select("dataset_id", "genome").first()
+
+    def expression_of(self, gene: str, genome: str | None = None) -> tuple[str, DataFrame | None]:
         """(status, statistics by experiment and group) of a gene, from the data set that answers for it: ok, no_data or not_found."""
-        where = f"{self.root}/expression"
-        values = snapshot.read(self.spark, where, "values").filter(F.col("gene") == gene.strip())
-        sets, samples = snapshot.read(self.spark, where, "datasets"), snapshot.read(self.spark, where, "samples")
-        named = samples.select("dataset_id", F.trim("genome").alias("genome"))
-        owner = expression.owner(sets.select("dataset_id", "genome"), named, values.select("gene", "dataset_id"), genome.strip() if genome and genome.strip() else "\x00").first()  # no genome is named so
+        owner = self.data_set_of(gene, genome)
         if owner is None:
             return "not_found", None
-        own = lambda df: df.filter(F.col("dataset_id") == owner.dataset_id)
-        rows = expression.read_arrays(own(values), own(samples), ("dataset_id",))
+        values = self._expression("values", owner.dataset_id).filter(F.col("gene") == gene.strip())
+        rows = expression.read_arrays(values, self._expression("samples", owner.dataset_id), ("dataset_id",))
         stats = expression.tissue_stats(rows).orderBy("organ", "experiment", "grp")
         return ("no_data" if stats.isEmpty() else "ok"), stats
 
+    def response(self, gene: str, genome: str | None = None) -> dict:
+        """All that is known of a gene's expression: status, data_set, genome, tissue (statistics), differential (records with their experiment's title and index), and the
+        data set's categories of records, with those of which the gene has none (without). What is not there is None or empty."""
+        out: dict = {"gene": gene.strip(), "status": "not_found", "data_set": None, "genome": None, "tissue": None, "differential": None, "categories": [], "without": []}
+        owner = self.data_set_of(gene, genome) if gene.strip() else None
+        if owner is None:
+            return out
+        out["status"], out["tissue"] = self.expression_of(gene, genome)
+        out |= {"data_set": owner.dataset_id, "genome": owner.genome or None}
+        if "records" in snapshot.tables(self.spark, f"{self.root}/expression"):
+            records = self._expression("records", owner.dataset_id).filter(F.coalesce("category", F.lit("")) != "")
+            out["differential"] = self.differential(gene, owner.dataset_id)
+            out["categories"] = sorted(r.category for r in records.select("category").distinct().collect())
+            has = {r.category for r in records.filter(F.col("gene") == gene.strip()).select("category").distinct().collect()}
+            out["without"] = [c for c in out["categories"] if c not in has]
+        return out
+
     def differential(self, gene: str, data_set: str) -> DataFrame:
-        own = lambda name: snapshot.read(self.spark, f"{self.root}/expression", name).filter(F.col("dataset_id") == data_set).drop("dataset_id")
+        own = lambda name: self._expression(name, data_set).drop("dataset_id")
         rows = own("records").filter(F.col("gene") == gene.strip()).drop("title", "short_title")
         titles = own("experiments").select("experiment", F.coalesce(F.nullif("short_title", F.lit("")), F.nullif("title", F.lit(""))).alias("title"))
         return expression.differential(rows, titles).orderBy("category", "experiment", "comparison")

@@ -112,6 +112,11 @@ def test_expression(engine):
     assert status == "ok" and [(r.organ, r.experiment, r.grp, r.n, r["mean"]) for r in stats.collect()] == [("leaf", "e", "t", 2, 3.0), ("seed", "f", "u", 1, 1.3)]
     assert engine.expression_of("g2")[0] == "no_data" and engine.expression_of("none")[0] == "not_found"
     assert [(r.experiment, r.title, r.experiment_index) for r in engine.differential("g1.1", "set1").collect()] == [("e", "e", 0)]
+    r = engine.response(" g1.1 ", "acc1")
+    assert (r["status"], r["data_set"], r["genome"], r["categories"], r["without"]) == ("ok", "set1", "acc1", ["c"], []) and r["tissue"].count() == 2 and r["differential"].count() == 1
+    r = engine.response("g2")
+    assert (r["status"], r["categories"], r["without"]) == ("no_data", ["c"], ["c"]) and r["differential"].count() == 0
+    assert engine.response("none")["status"] == engine.response(" ")["status"] == "not_found"
 
 
 def test_layouts(spark, tmp_path):
