@@ -19,8 +19,6 @@ from kinloom.sources.lines import content, fields, lines, whitespace_fields
 
 #: Suffixes of a pair's files. Fixed values.
 EDGES, INFO, ANCHORS, BLOCKS = ".RBH", (".collinearity_info", ".colinearity_info"), ".anchors", ".block_pos"
-#: Where a pair's anchors are, under its folder. Fixed value.
-ANCHOR_FOLDER = "genetribe_output"
 #: What a pair's collinearity comes from, in order of preference.
 SOURCES = ("info", "anchors", "blocks")
 
@@ -36,8 +34,7 @@ def pair_files(spark: SparkSession, root: str) -> dict[str, list[str]]:
             if edges:
                 out["edges"] += edges
                 out["info"] += [p for s in INFO for p in named(s)][:1]
-                if any(n == ANCHOR_FOLDER and d for n, _, d in inside):
-                    out["anchors"] += [p for n, p, d in listed(spark, f"{folder}/{ANCHOR_FOLDER}") if not d and n.endswith(ANCHORS)][:1]
+                out["anchors"] += [p for _, sub, d in inside if d for n, p, deep in listed(spark, sub) if not deep and n.endswith(ANCHORS)][:1]
                 out["blocks"] += named(BLOCKS)
     if not out["edges"]:
         raise ValueError(f"no {EDGES} files in the folders of {root}")
@@ -45,8 +42,8 @@ def pair_files(spark: SparkSession, root: str) -> dict[str, list[str]]:
 
 
 def pair_of(path: Column) -> Column:
-    """The folder of a pair, from the path of one of its files."""
-    return F.regexp_extract(F.regexp_replace(path, f"/{ANCHOR_FOLDER}/[^/]*$", "/x"), r"([^/]*)/[^/]*$", 1)
+    """The folder of a pair, from the path of one of its files; anchors are in a folder inside it."""
+    return F.when(F.endswith(path, F.lit(ANCHORS)), F.regexp_extract(path, "([^/]*)/[^/]*/[^/]*$", 1)).otherwise(F.regexp_extract(path, "([^/]*)/[^/]*$", 1))
 
 
 def chromosome_key(c: Column) -> Column:

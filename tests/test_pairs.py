@@ -21,9 +21,9 @@ def analysis(tmp_path):
     write(work / "A_x_B" / "x.collinearity_info", "1\t2\t3\t4\t5\tb1,a1;a2 , b2;a3,b2\n")
     write(work / "A_x_B" / "x.block_pos", "1A\t1\t9999\t1A\t1\t9999\n")  # the info file goes before
     write(work / "A_x_C" / "x.RBH", "a1\tc1\na2\tc2\na3\tc3\n")
-    write(work / "A_x_C" / "genetribe_output" / "x.anchors", "###\nc2\ta2\t7\nzz\tyy\n")
+    write(work / "A_x_C" / "output" / "x.anchors", "###\nc2\ta2\t7\nzz\tyy\n")
     write(work / "B_x_C" / "x.RBH", "b1\tc1\nc2\tb2\nb3\tc3\n")
-    write(work / "B_x_C" / "genetribe_output" / "x.anchors", "zz\tyy\n")  # none of the edges: blocks count
+    write(work / "B_x_C" / "output" / "x.anchors", "zz\tyy\n")  # none of the edges: blocks count
     write(work / "B_x_C" / "x.block_pos", "chr1B\t25\t5\tchr1D\t0\t50\n1A\t31\t39\t1A\t31\t39\nbad\t1\t2\t1A\t1\t2\n2B 1 x 2B 1 2\n")
     return tmp_path
 
