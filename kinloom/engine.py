@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from kinloom.functions import guards, ids, snapshot, text
 from kinloom.functions.scratch import listed
 from kinloom.operators import alignment, coords, dedup, expression, keyword, lookup, members, prefixes, similarity, sinks
-from kinloom.operators.pick import prioritised_lookup
+from kinloom.operators.pick import pick, prioritised_lookup
 from kinloom.sources import annotations
+from kinloom.sources.lines import table
 
 #: How many genes a search and a suggestion list show, and reference genes and clusters a keyword search. Fixed values.
 FOUND, SUGGESTED, REFS, GROUPS = 200, 15, 25, 100
@@ -114,6 +115,49 @@ class Engine:
         found = prioritised_lookup(asked, lookup.rows_of(self.table(variant, f"{kind}_map"), asked, variants, "id"), variants, F.col("id"))
         return dedup.stored(found.filter("uniq_id IS NOT NULL").select("id", "uniq_id", "pos", "asked"), self.table(variant, f"{kind}_sequences")).join(asked, F.col("id").isNotNull() & (F.col("id") == F.col("asked")), "left").select("id", "seq")
 
+    def cluster_sequences(self, clusters: list[str], variant: str, kind: str = "prot") -> tuple[DataFrame, list[str]]:
+        """(pangene, id, seq) of all members of several clusters, and which of these have none. Clusters are taken in order of their ids; an id that several
+        have keeps the last one's. No clusters, or fewer than two sequences, are an error."""
+        asked = sorted({self.cluster(c, variant) for c in guards.listed_ids(clusters)})
+        if not asked:
+            raise ValueError("no clusters")
+        own = self.table(variant, "genes").filter(lookup.among("pangene", asked)).select("pangene", F.col("gene_id").alias("id"))
+        mapping = pick(self.table(variant, f"{kind}_map").join(own, "id"), ["id"], [F.col("pangene")], last=True)
+        rows = mapping.join(self.table(variant, f"{kind}_sequences"), "uniq_id").select("pangene", "id", "seq").orderBy("pangene", "id")
+        counts = {r.pangene: r.n for r in own.join(mapping.select("id"), "id").groupBy("pangene").agg(F.count("*").alias("n")).collect()}
+        if rows.limit(2).count() < 2:
+            raise ValueError("fewer than two sequences")
+        return rows, [c for c in asked if c not in counts]
+
+    def _listed(self, name: str, variant: str, columns: tuple[str, ...], need: str) -> DataFrame:
+        """Rows of a small table beside the indexes that are of the variant's species or of none; blank where a column or the file is missing."""
+        path = f"{self.root}/{name}"
+        none = self.spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
+        if not any(n == name and not folder for n, _, folder in listed(self.spark, self.root)):
+            return none
+        rows = table(self.spark, path, ",")
+        value = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) if c in rows.columns else F.lit("")
+        rows = rows.select(*[(F.lower(value(c)) if c == "genome" else value(c)).alias(c) for c in columns])
+        return annotations.scoped(rows.filter(F.col(need) != ""), self.species_of(variant))
+
+    def accession_table(self, variant: str) -> DataFrame:
+        """(genome, accession, source, version, link) from genomes.csv."""
+        return self._listed("genomes.csv", variant, ("genome", "accession", "source", "version", "link"), "accession")
+
+    def links(self, genes: list[str], variant: str) -> DataFrame:
+        """(gene_id, database, type, accession, url) from links.csv: addresses with the gene and its place filled in. A row with an accession is for its genes only; one that
+        needs a place is left out for genes without one."""
+        rows = self._listed("links.csv", variant, ("genome", "database", "type", "accession", "url"), "url").collect()  # a species' list of sites
+        among = lookup.among("gene_id", guards.listed_ids(genes))
+        placed = members.with_places(self.table(variant, "genes").filter(among).select("gene_id", "accession"), self.table(variant, "gene_coords").filter(among))
+        values = {"gene_id": F.col("gene_id"), "chr": F.col("chr"), "start": F.col("begin_pos"), "end": F.col("end_pos")}
+        one = lambda r: F.when(
+            (F.lit(r.accession == "") | (F.lower("accession") == r.accession.lower())) & (F.col("begin_pos").isNotNull() | F.lit(not any(f"{{{v}}}" in r.url for v in ("chr", "start", "end")))),
+            F.struct(*[F.lit(r[c]).alias(c) for c in ("database", "type", "accession")], text.templated(r.url, values).alias("url")),
+        )
+        found = F.array(*map(one, rows)) if rows else F.array().cast("array<struct<database:string,type:string,accession:string,url:string>>")
+        return placed.select("gene_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("l")).select("gene_id", "l.*").orderBy("gene_id", "database", "type", "url")
+
     def neighborhood(self, focals: list[tuple[str, str]], five: int, three: int, variant: str) -> DataFrame:
         """Slots around (gene, accession), each with the cluster of its gene."""
         guards.tracks(len(focals))

@@ -60,28 +60,32 @@ def unordered(side: tuple[str, ...] = SIDE) -> tuple[Column, Column]:
     return F.least(x, y), F.greatest(x, y)
 
 
-def matches(spark: SparkSession, analysis: str, merge: bool = False) -> DataFrame:
-    """(comparison, chr1, gene_id1, ..., end_pos2): pairs of members of one cluster whose chromosomes may match, once for each two genes whatever their order.
+def matched(members: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(comparison, low, high, chr1, gene_id1, ..., end_pos2): pairs of members of one cluster on allowed chromosomes, once for each two genes (low, high).
 
-    The gene with the smaller packed name is first. With merge the rows of matches that the folder has already stay, unless the same two genes are found anew. The
-    pairs of a cluster meet by (cluster, chromosome), so that only those that may match are made. No cluster files at all is an error.
+    The gene with the smaller packed name is first. The pairs of a cluster meet by (cluster, chromosome), so that only those that may match are made.
     """
-    paths = files_of(spark, f"{analysis}/work/03_mmseqs", CLUSTERS)
-    if not paths:
-        raise FileNotFoundError(f"no {CLUSTERS} files in {analysis}/work/03_mmseqs")
-    members = packed_members(spark, paths)
     side = lambda i: [F.col(c).alias(f"{c}{i}") for c in SIDE]
-    x = members.join(allowed_chromosomes(spark, analysis).select(F.col("chr_a").alias("key"), F.col("chr_b").alias("wanted")), "key").select("comparison", "rep", F.col("wanted").alias("key"), F.col("member").alias("a"), *side(1))
+    x = members.join(allowed.select(F.col("chr_a").alias("key"), F.col("chr_b").alias("wanted")), "key").select("comparison", "rep", F.col("wanted").alias("key"), F.col("member").alias("a"), *side(1))
     y = members.select("comparison", "rep", "key", F.col("member").alias("b"), *side(2))
     low, high = unordered()
     found = x.join(y, ["comparison", "rep", "key"]).filter("a < b").select("comparison", *COLUMNS, "a", "b").withColumns({"low": low, "high": high})
-    new = pick(found, ["comparison", "low", "high"], [F.col("a"), F.col("b")], last=True).select("comparison", "low", "high", *COLUMNS)
-    if merge:
-        old = files_of(spark, f"{analysis}/work/04_dag", MATCHES)
-        if old:
-            rows = stored_matches(spark, old).withColumns({"low": low, "high": high})
-            kept = pick(rows, ["comparison", "low", "high"], [F.col("src")], last=True).drop("src").join(new.select("comparison", "low", "high"), ["comparison", "low", "high"], "left_anti")
-            new = new.unionByName(kept.select(new.columns))
+    return pick(found, ["comparison", "low", "high"], [F.col("a"), F.col("b")], last=True).select("comparison", "low", "high", *COLUMNS)
+
+
+def matches(spark: SparkSession, analysis: str, merge: bool = False) -> DataFrame:
+    """(comparison, chr1, gene_id1, ..., end_pos2) of a folder's cluster files. With merge the rows of matches that the folder has already stay, unless the same two
+    genes are found anew. No cluster files at all is an error."""
+    paths = files_of(spark, f"{analysis}/work/03_mmseqs", CLUSTERS)
+    if not paths:
+        raise FileNotFoundError(f"no {CLUSTERS} files in {analysis}/work/03_mmseqs")
+    new = matched(packed_members(spark, paths), allowed_chromosomes(spark, analysis))
+    old = files_of(spark, f"{analysis}/work/04_dag", MATCHES) if merge else []
+    if old:
+        low, high = unordered()
+        rows = stored_matches(spark, old).withColumns({"low": low, "high": high})
+        kept = pick(rows, ["comparison", "low", "high"], [F.col("src")], last=True).drop("src").join(new.select("comparison", "low", "high"), ["comparison", "low", "high"], "left_anti")
+        new = new.unionByName(kept.select(new.columns))
     return new.drop("low", "high")
 
 

@@ -12,7 +12,7 @@ from kinloom.plans.views import Inputs, sql
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 #: Modules that register queries.
-_MODULES = ("clusters", "places", "keywords", "expressions", "alignments", "graphs", "scalars", "files", "more", "live", "stored")
+_MODULES = ("clusters", "places", "keywords", "expressions", "alignments", "graphs", "scalars", "files", "more", "live", "stored", "folders")
 
 
 def query(body: str | None = None, *views: str):

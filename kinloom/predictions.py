@@ -17,14 +17,14 @@ from kinloom.sources.lines import required, source_order, stem
 FASTA, PREDICTED = (".fa", ".faa", ".fasta", ".FA", ".FAA", ".FASTA"), "*_predictions_merged.csv"
 
 
-def unique_sequences(spark: SparkSession, folder: str, out: str, chunk: int = 100_000, force: bool = False) -> DataFrame:
-    """A snapshot of the distinct sequences of all files of a folder; returns the mapping (orig_idx, source_file, header_id, uniq_id, seq_hash).
+def unique_sequences(spark: SparkSession, folder: str | list[str], out: str, chunk: int = 100_000, force: bool = False) -> DataFrame:
+    """A snapshot of the distinct sequences of all files of a folder, or of the files listed; returns the mapping (orig_idx, source_file, header_id, uniq_id, seq_hash).
 
     Sequences count as equal in upper case without blanks; empty ones are left out and not numbered. Rows are numbered from 1 over all files, by name and place. The tables
     are mapping and sequences (uniq_id, seq, first_idx); unique and map are the same as text, chunks the sequences in files of at most `chunk` records. Only
     (place, name, hash) is sorted over everything; sequences move once, by their hash. No files are an error.
     """
-    paths = [p for n, p, d in listed(spark, folder) if not d and n.endswith(FASTA)]
+    paths = [p for n, p, d in listed(spark, folder) if not d and n.endswith(FASTA)] if isinstance(folder, str) else folder
     if not paths:
         raise FileNotFoundError(f"no sequence files in {folder}")
     work = Workspace(spark, "unique")

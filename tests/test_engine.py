@@ -94,6 +94,25 @@ def test_sequences_and_rates(engine, tmp_path):
     assert [r.consensus for r in engine.alignment_statistics({"a": "MK", "b": "MQ"}).collect()] == ["M", "K"] and engine.variants({"a": "MK", "b": "MQ"}).count() == 1
 
 
+def test_sequences_of_clusters(engine):
+    rows, without = engine.cluster_sequences(["Avena_p2", " p1 ", "Avena_p1", "Avena_none"], "oat")
+    assert [(r.pangene, r.id, r.seq) for r in rows.collect()] == [("Avena_p1", "g1.1", "MKV"), ("Avena_p1", "g2", "MK"), ("Avena_p2", "g3", "MKV")] and without == ["Avena_none", "p1"]
+    assert {r.id: r.seq for r in engine.cluster_sequences(["Avena_p1"], "oat", "cds")[0].collect()} == {"g1.1": "ATGAAAGTT", "g2": "ATGAAG"}
+    for bad in ([], ["Avena_none"], ["Avena_p2"]):
+        with pytest.raises(ValueError):
+            engine.cluster_sequences(bad, "oat")
+
+
+def test_small_tables_beside_the_indexes(engine, root):
+    assert engine.links(["g2"], "oat").count() == engine.accession_table("oat").count() == 0
+    write(root / "out" / "links.csv", "genome,database,type,accession,url\nOat,DB,gene,,https://x.org/{gene_id}\n,Map,place,ACC1,https://y.org/{chr}:{start}-{end}?g={gene_id}\nrye,Z,gene,,https://z.org\noat,Blank,gene,,\n")
+    assert [tuple(r) for r in engine.links(["g2", "g1.1", "none"], "oat").collect()] == [
+        ("g1.1", "DB", "gene", "", "https://x.org/g1.1"), ("g1.1", "Map", "place", "ACC1", "https://y.org/1A:10-20?g=g1.1"), ("g2", "DB", "gene", "", "https://x.org/g2"),
+    ]
+    write(root / "out" / "genomes.csv", "accession,source,link\nacc1,here , https://h\n,no,\nacc2,,\n")
+    assert [tuple(r) for r in engine.accession_table("oat").orderBy("accession").collect()] == [("", "acc1", "here", "", "https://h"), ("", "acc2", "", "", "")]
+
+
 def test_keywords(engine):
     assert [(r.ref_id, r.kind, r.names) for r in engine.references("nac1", "oat").collect()] == [("AT1G01010", "alias", "NAC1|No apical meristém|other")]
     text = engine.references("meristem trans", "oat").first()
