@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Letters of a k-mer and classes of its checksum. Fixed values.
 K, CLASSES = 5, 4_096
+#: Sequences that one task orders, at most.
+LARGEST_GROUP = 2_000
 
 
 def kmer_classes(seq: Column, k: int = K) -> Column:
@@ -65,9 +67,11 @@ def average_linkage(d: np.ndarray) -> list[int]:
 def track_order(rows: DataFrame) -> DataFrame:
     """(grp, gene_id, rank): sequences of a group in the order of average linkage of their distances, from 0.
 
-    One task orders one group, which its caller bounds (some 150 tracks).
+    One task orders one group. A view has some 150 tracks; a group of more than LARGEST_GROUP is an error, found before any task has it whole.
     """
-    sets = rows.select("grp", "gene_id", kmer_classes(F.col("seq")).alias("k"))
+    n = F.count("*").over(Window.partitionBy("grp"))  # dealt as the ordering is: no shuffle of its own
+    sets = rows.select("grp", "gene_id", kmer_classes(F.col("seq")).alias("k"), n.alias("n"))
+    sets = sets.select("grp", "gene_id", F.when(F.col("n") <= LARGEST_GROUP, F.col("k")).otherwise(F.raise_error(F.format_string("%d sequences are too many to order", "n"))).alias("k"))
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("gene_id").reset_index(drop=True)

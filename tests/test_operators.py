@@ -120,6 +120,32 @@ def test_kmers_and_order(spark):
     assert sorted(r.gene_id for r in got) == [f"g{i}" for i in range(9)] and sorted(r["rank"] for r in got) == list(range(9))
 
 
+def test_track_order_against_brute_force(spark, monkeypatch):
+    """Average linkage from the definition: means over all pairs of leaves, in exact fractions, the first of equal pairs in order of creation."""
+    from fractions import Fraction
+
+    rnd = random.Random(3)
+    rows = [(f"p{g}", f"g{i:02d}", "".join(rnd.choice("MKV") for _ in range(rnd.randrange(0, 12)))) for g in range(12) for i in range(rnd.randrange(1, 12))]
+    df = spark.createDataFrame(rows, "grp string, gene_id string, seq string")
+    bags = {(r.grp, r.gene_id): set(r.k) for r in df.select("grp", "gene_id", similarity.kmer_classes(F.col("seq")).alias("k")).collect()}
+    want = {}
+    for grp in {r[0] for r in rows}:
+        far = lambda a, b, grp=grp: 1 - Fraction(len(bags[grp, a] & bags[grp, b]), len(bags[grp, a] | bags[grp, b])) if bags[grp, a] | bags[grp, b] else Fraction(0)
+        alive = [[g] for p, g in sorted(bags) if p == grp]
+        while len(alive) > 1:
+            mean = {(i, j): sum(far(a, b) for a in alive[i] for b in alive[j]) / (len(alive[i]) * len(alive[j])) for i in range(len(alive)) for j in range(i + 1, len(alive))}
+            i, j = min(mean, key=lambda k: (mean[k], k))
+            alive = [c for k, c in enumerate(alive) if k not in (i, j)] + [alive[i] + alive[j]]
+        want |= {(grp, g): k for k, g in enumerate(alive[0])}
+    order = similarity.track_order(df)
+    assert {(r.grp, r.gene_id): r["rank"] for r in order.collect()} == want
+    plan = order._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(similarity, "LARGEST_GROUP", 5)
+    with pytest.raises(Exception, match="too many to order"):
+        similarity.track_order(df).collect()
+
+
 def test_trees(spark):
     t = spark.createDataFrame([("t", "((a:1,'b c':2)x:1,d:5);")], "tree string, newick string")
     assert [(r.leaf, r.depth) for r in similarity.leaf_order(t).orderBy("rank").collect()] == [("a", 2.0), ("b c", 3.0), ("d", 5.0)]
