@@ -1,6 +1,9 @@
 """Columns of alignments: consensus, conservation, variants, and codon substitution rates.
 
 Alignments are in long form: (grp, gene_id, ord, col, aa), columns from 1. A shorter sequence is filled with gaps.
+
+Spark judges a table by the bytes of the files that it comes from, and long form is many times larger; so joins that meet it say that they are by shuffle, as nothing that
+grows with the input may be broadcast.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinloom.operators.pick import pick
+from kinloom.functions.spread import spread
 
 #: Standard genetic code, codons in order of TCAG at each place. Fixed value.
 GENETIC_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -20,7 +23,8 @@ def long_form(rows: DataFrame) -> DataFrame:
     """Long form of (grp, gene_id, seq), every sequence as long as its group's longest. ord is the place of a sequence in its alignment, as rows give it; without it, the id."""
     rows = rows if "ord" in rows.columns else rows.withColumn("ord", F.col("gene_id"))
     length = rows.groupBy("grp").agg(F.max(F.length("seq")).alias("n"))
-    full = rows.join(length, "grp").withColumn("seq", F.rpad("seq", F.col("n"), F.lit("-")))
+    full = rows.join(length.hint("merge"), "grp").withColumn("seq", F.rpad("seq", F.col("n"), F.lit("-")))
+    full = spread(full.select("grp", "gene_id", "ord", "seq"), "grp", "gene_id", of=rows)
     return full.select("grp", "gene_id", "ord", F.posexplode(F.split("seq", "")).alias("col", "aa")).withColumn("col", F.col("col") + 1)
 
 
@@ -30,17 +34,15 @@ def sane(rows: DataFrame) -> DataFrame:
 
 
 def residue_counts(aln: DataFrame) -> DataFrame:
-    return aln.filter("aa <> '-'").groupBy("grp", "col", "aa").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    return aln.groupBy("grp", "col", "aa").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
 
 
 def columns(aln: DataFrame) -> DataFrame:
     """Consensus and conservation of each column: the most frequent residue, of equals that of the first sequence by ord; a gap and 0 for a column of gaps."""
-    counts = residue_counts(aln)
-    total = counts.groupBy("grp", "col").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    top = pick(counts, ["grp", "col"], [-F.col("n"), F.col("first")]).select("grp", "col", "aa", "n")
-    every = aln.select("grp", "col").distinct()
-    out = every.join(top.join(total, ["grp", "col"]), ["grp", "col"], "left")
-    return out.select("grp", "col", F.coalesce("aa", F.lit("-")).alias("consensus"), F.coalesce(F.round(F.col("n") / F.col("total"), 6), F.lit(0.0)).alias("conservation"))
+    residue = F.col("aa") != "-"
+    top = F.min(F.when(residue, F.struct((-F.col("n")).alias("o"), "first", "aa")))
+    out = residue_counts(aln).groupBy("grp", "col").agg(top.alias("top"), F.sum(F.when(residue, F.col("n"))).alias("total"))
+    return out.select("grp", "col", F.coalesce("top.aa", F.lit("-")).alias("consensus"), F.coalesce(F.round(-F.col("top.o") / F.col("total"), 6), F.lit(0.0)).alias("conservation"))
 
 
 def consensus(aln: DataFrame) -> DataFrame:
@@ -51,21 +53,21 @@ def consensus(aln: DataFrame) -> DataFrame:
 def variant_columns(aln: DataFrame) -> DataFrame:
     """Columns in which some sequence differs from the first by id: how many do, their share, and how many residues there are."""
     first = aln.groupBy("grp").agg(F.min("gene_id").alias("gene_id"))
-    ref = aln.join(first, ["grp", "gene_id"]).select("grp", "col", F.col("aa").alias("ref"))
-    cells = aln.join(ref, ["grp", "col"])
+    ref = aln.join(first.hint("merge"), ["grp", "gene_id"]).select("grp", "col", F.col("aa").alias("ref"))
+    cells = aln.join(ref.hint("merge"), ["grp", "col"])
     out = cells.groupBy("grp", "col", "ref").agg(F.count_if(F.col("aa") != F.col("ref")).alias("differ"), F.count("*").alias("n"), F.count_distinct("aa").alias("residues"))
     return out.filter("differ > 0").select("grp", "col", "ref", "differ", F.round(F.col("differ") / F.col("n"), 6).alias("frequency"), "residues")
 
 
 def variant_matrix(aln: DataFrame) -> DataFrame:
     """A line for each sequence: its residues in the variant columns."""
-    cells = aln.join(variant_columns(aln).select("grp", "col"), ["grp", "col"])
+    cells = aln.join(variant_columns(aln).select("grp", "col").hint("merge"), ["grp", "col"])
     return cells.groupBy("grp", "gene_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "aa"))), lambda x: x["aa"]), "\t").alias("line"))
 
 
 def cell_classes(aln: DataFrame) -> DataFrame:
     """How many cells of each sequence are gaps, match the consensus, or differ."""
-    cells = aln.join(columns(aln).select("grp", "col", "consensus"), ["grp", "col"])
+    cells = aln.join(columns(aln).select("grp", "col", "consensus").hint("merge"), ["grp", "col"])
     gap = F.col("aa") == "-"
     return cells.groupBy("grp", "gene_id").agg(F.count_if(gap).alias("gap"), F.count_if(~gap & (F.col("aa") == F.col("consensus"))).alias("match"), F.count_if(~gap & (F.col("aa") != F.col("consensus"))).alias("diff"))
 
@@ -89,16 +91,16 @@ def codons(aln: DataFrame, cds: DataFrame) -> DataFrame:
     order = Window.partitionBy("grp", "gene_id").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
     ranked = aln.withColumn("k", F.sum((F.col("aa") != "-").cast("int")).over(order))
     need = aln.groupBy("grp", "gene_id").agg(F.count_if(F.col("aa") != "-").alias("need"))
-    fit = clean.join(need, "gene_id").filter((F.col("need") > 0) & (F.length("cds") >= 3 * F.col("need"))).select("grp", "gene_id", "cds")
+    fit = clean.join(need.hint("merge"), "gene_id").filter((F.col("need") > 0) & (F.length("cds") >= 3 * F.col("need"))).select("grp", "gene_id", "cds")
     codon = F.when(F.col("aa") == "-", "---").otherwise(F.substring("cds", 3 * F.col("k") - 2, F.lit(3)))
-    return ranked.join(fit, ["grp", "gene_id"]).select("grp", "gene_id", "col", codon.alias("codon"))
+    return ranked.join(fit.hint("merge"), ["grp", "gene_id"]).select("grp", "gene_id", "col", codon.alias("codon"))
 
 
 def codon_errors(aln: DataFrame, cds: DataFrame) -> DataFrame:
     need = aln.groupBy("grp", "gene_id").agg(F.count_if(F.col("aa") != "-").alias("need"))
     n = F.length(F.regexp_replace(F.upper("cds"), "[^ATCG]", ""))
     error = F.when(F.col("cds").isNull() | (F.col("cds") == ""), "no_cds").when((F.col("need") == 0) | (n < 3 * F.col("need")), "cds_length_mismatch")
-    return need.join(cds, "gene_id", "left").select("grp", "gene_id", error.alias("error"))
+    return need.join(cds.hint("merge"), "gene_id", "left").select("grp", "gene_id", error.alias("error"))
 
 
 def substitutions(coded: DataFrame, table: DataFrame, references: DataFrame | None = None) -> DataFrame:
@@ -110,9 +112,9 @@ def substitutions(coded: DataFrame, table: DataFrame, references: DataFrame | No
     """
     first = coded.groupBy("grp").agg(F.min("gene_id").alias("gene_id")) if references is None else references.select("grp", "gene_id")
     side = lambda df, n: df.join(F.broadcast(table.select(F.col("codon"), F.col("aa").alias(f"aa{n}"), F.col("syn").alias(f"syn{n}"))), "codon", "left").withColumnRenamed("codon", f"codon{n}")
-    ref = side(coded.join(first, ["grp", "gene_id"]).select("grp", "col", "codon"), 1)
-    rest = side(coded.join(first, ["grp", "gene_id"], "left_anti"), 2)
-    both = rest.join(ref, ["grp", "col"])
+    ref = side(coded.join(first.hint("merge"), ["grp", "gene_id"]).select("grp", "col", "codon"), 1)
+    rest = side(coded.join(first.hint("merge"), ["grp", "gene_id"], "left_anti"), 2)
+    both = rest.join(ref.hint("merge"), ["grp", "col"])
     ok = F.col("aa1").isNotNull() & F.col("aa2").isNotNull()
     s = F.when(ok, (F.col("syn1") + F.col("syn2")) / 2).otherwise(0.0)
     differ = ok & (F.col("codon1") != F.col("codon2"))

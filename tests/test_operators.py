@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import ids, numbers, text
 from kinloom.functions.scratch import Workspace
+from kinloom.functions.spread import spread
 from kinloom.operators import alignment, coords, expression, graph, keyword, members, similarity, sinks
 from kinloom.operators.pick import pick, prioritised_lookup, ranked
+from kinloom.plans import registry
 from kinloom.sources import annotations, genomes
 
 
@@ -267,3 +269,19 @@ def test_retrieval_needs_every_token(spark):
     posts = keyword.postings(refs, "ref_id", F.col("x"), F.col("y"))
     assert [r.ref_id for r in keyword.retrieved(posts, "ref_id", ["widg", "RED"], 9).collect()] == ["a", "b"]
     assert keyword.candidate_cap(25) == 100 and keyword.candidate_cap(3) == 50
+
+
+@pytest.mark.parametrize(("name", "fixed"), [("k04_variant_matrix", 0), ("m06_m07_variant_columns", 0), ("t09_variants_by_diversity", 0), ("m01_consensus", 0), ("m10_cell_classes", 0), ("m04_substitutions", 2), ("m05_pairwise_rates", 2), ("w05_m08_sliding_ratio", 2)])
+def test_cells_of_alignments_are_not_broadcast(spark, tmp_path, name, fixed):
+    """Nor anything else of them, but the table of codons on both sides; and there are more tasks than files."""
+    spark.range(1000).selectExpr("id p_partkey", "concat('red ', id % 7, ' ring') p_name").repartition(1).write.parquet(str(tmp_path / "part.parquet"))
+    plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == fixed
+    assert "SinglePartition" not in plan
+
+
+def test_rows_are_spread_by_their_number(spark):
+    few, many = spark.range(10).coalesce(1), spark.range(95).coalesce(1)
+    assert spread(few, "id", rows=10).rdd.getNumPartitions() == 1
+    assert spread(many, "id", rows=10).rdd.getNumPartitions() == 10
+    assert spread(many, "id", of=few, rows=5).rdd.getNumPartitions() == 2
