@@ -15,8 +15,8 @@ from kinloom.functions import snapshot
 from kinloom.functions.snapshot import Snapshot
 from kinloom.operators.keyword import B, K1, retrieved
 
-#: Shortest and longest prefix with a list; texts of a block; blocks of the first reading; blocks that are named to the scan one by one.
-SHORTEST, LONGEST, BLOCK, FIRST, NAMED = 2, 16, 128, 8, 512
+#: Shortest and longest prefix with a list; texts of a block; blocks of the first reading; blocks that are named to the scan one by one; blocks that a task lists.
+SHORTEST, LONGEST, BLOCK, FIRST, NAMED, DEALT = 2, 16, 128, 8, 512, 8
 #: Scores are rounded to six decimals, so a bound may lie so much lower.
 ROOM = 2e-6
 #: Small pages and row groups: a block of one list is a row.
@@ -32,13 +32,17 @@ def lists(posts: DataFrame, key: str, whole: DataFrame, blocks: int) -> DataFram
     """(token, block, n, top, keys, tfs, lengths): the texts with a term that starts with the token, by block.
 
     whole is one row with the mean length. A text is in a block by the hash of its key, so a block has no more than some BLOCK texts of any list.
+    Postings are dealt by block, DEALT blocks a task, before they are listed under each prefix, and everything up to the lists is summed where it is: what moves is
+    each posting once, not once for each prefix.
     """
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    dealt = posts.filter(F.length("term") >= SHORTEST).select(block.alias("block"), "term", key, "length", "tf").repartition(-(-blocks // DEALT), "block")
     cut = F.sequence(F.lit(SHORTEST), F.least(F.length("term"), F.lit(LONGEST)))
     token = F.transform(cut, lambda n: F.substring("term", F.lit(1), n))
-    one = posts.filter(F.length("term") >= SHORTEST).select(F.explode(token).alias("token"), key, "length", "tf").groupBy("token", key, "length").agg(F.sum("tf").alias("tf"))
+    one = dealt.select("block", F.explode(token).alias("token"), key, "length", "tf").groupBy("block", "token", key, "length").agg(F.sum("tf").alias("tf"))
     rated = one.crossJoin(F.broadcast(whole.select("mean"))).withColumn("share", share(F.col("tf"), F.col("length"), F.col("mean")))
     texts = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col("tf").cast("int").alias("tf"), F.col("length").cast("int").alias("length"))))
-    per = rated.groupBy("token", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block")).agg(F.count("*").alias("n"), F.max("share").alias("top"), texts.alias("texts"))
+    per = rated.groupBy("token", "block").agg(F.count("*").alias("n"), F.max("share").alias("top"), texts.alias("texts"))
     return per.select("token", "block", "n", "top", F.col("texts.key").alias("keys"), F.col("texts.tf").alias("tfs"), F.col("texts.length").alias("lengths"))
 
 

@@ -99,7 +99,7 @@ def j06_j07_bucketed_sequences(i):
 def x03_t02_bounded_retrieval(i):
     root = Workspace(i.spark, "prefixes").path("index")
     with Snapshot(i.spark, root) as snap:
-        posts = snap.write(keyword.postings(i.documents, "doc_id", F.col("text")), "postings", order=("term",), dealt=True)
+        posts = snap.write(keyword.postings(i.documents, "doc_id", F.col("text")), "postings", order=("term",))
         prefixes.write(snap, posts, "doc_id", snap.write(keyword.corpus_numbers(posts, "doc_id"), "numbers"))
     return prefixes.best(i.spark, root, "doc_id", ["th", "er"], keyword.candidate_cap(25))
 

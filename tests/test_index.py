@@ -213,3 +213,15 @@ def test_edges_in_blocks_by_brute_force(spark):
     assert sorted(r.k for r in coords.in_blocks(e, b).collect()) == want and 50 < len(want) < 800
     grid, levels = coords.block_grid(b)
     assert grid.count() <= 4 * len(set(blocks)) and len(levels) < 16 and coords.in_blocks(e, b.limit(0)).count() == 0
+
+
+def test_postings_move_once_for_all_their_prefixes(spark):
+    """Lists are made where a block's postings are: nothing is dealt after terms are cut into prefixes."""
+    posts = spark.range(2000).selectExpr("concat('abcdefgh', id % 9) term", "id % 300 doc", "7L length", "1L tf").distinct()
+    found = prefixes.lists(posts, "doc", spark.createDataFrame([(300, 7.0)], "n long, mean double"), 3)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    steps = found._jdf.queryExecution().executedPlan().toString()
+    above = steps[: steps.index("Generate explode")]
+    assert "Generate" in plan and "Exchange hashpartitioning" not in above
+    got = {(r.token, r.block): r.n for r in found.collect()}
+    assert sum(n for (t, _), n in got.items() if t == "ab") == 300
