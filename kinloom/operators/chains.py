@@ -12,6 +12,8 @@ from kinloom.operators.graph import components
 
 #: Ranks of a block of chaining, and rounds before it gives up.
 SIDE, ROUNDS = 4_096, 256
+#: Entries of a component, in both directions, that a task clusters; it is given so many, of one component or several.
+WHOLE = 50_000
 CHAIN = "pair string, id long, x long, y long, w double, score double, chain long, ord long"
 
 
@@ -76,7 +78,7 @@ def chain_ends(found: DataFrame, score: float = 0.0, anchors: int = 1) -> DataFr
     return best.select("pair", "chain", F.col("b.id").alias("end"), F.col("b.score").alias("score"), F.col("b.ord").alias("n")).filter((F.col("score") >= score) & (F.col("n") >= anchors))
 
 
-def flow_clusters(edges: DataFrame, workspace: Workspace, inflation: float = 2.0, keep: int = 32, least: float = 1e-4, digits: int = 6, rounds: int = 60) -> DataFrame:
+def flow_clusters(edges: DataFrame, workspace: Workspace, inflation: float = 2.0, keep: int = 32, least: float = 1e-4, digits: int = 6, rounds: int = 60, whole: int = WHOLE) -> DataFrame:
     """(node, cluster): Markov clustering of edges (a, b, w), which count in both directions; cluster is its least node.
 
     Columns of the matrix are where a walk from a node goes. Each round squares the matrix (a join of entries on the node in between, summed), raises entries to
@@ -84,10 +86,29 @@ def flow_clusters(edges: DataFrame, workspace: Workspace, inflation: float = 2.0
     So no column has more than `keep` entries, and a round multiplies no more than `keep` for each entry. It ends when no entry changes in `digits` places; what still moves then
     after `rounds` is taken as it is. Clusters are the components of the entries that are left. Each node has a loop as heavy as its heaviest edge. Edges
     without an end or with a weight that is not above 0 do not count, nor do those from a node to itself; of repeated edges the weights are summed.
+
+    A walk stays in its component, so components of at most `whole` entries are clustered many at a time inside tasks, and no product of theirs moves. Larger ones, if
+    there are any, take the rounds together.
     """
     e = edges.select("a", "b", F.col("w").cast("double").alias("w")).filter("a <> b AND w > 0")
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
     both = workspace.write(both, "flow-edges")
+    parts = components(both.select("a", "b"), workspace, "flow-parts").select(F.col("node").alias("a"), "component")
+    both = workspace.write(both.join(parts.hint("merge"), "a"), "flow-of")
+    large = workspace.write(both.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > whole).select("component"), "flow-large")
+    kind = both.schema["a"].dataType.simpleString()
+
+    def solve(table: pa.Table) -> pa.Table:
+        return flow_inside(table, inflation, keep, least, digits, rounds)
+
+    deal = F.pmod(F.xxhash64("component"), F.lit(max(1, -(-both.count() // max(1, whole)))))
+    out = both.join(large, "component", "left_anti").select(deal.alias("deal"), "a", "b", "w").groupBy("deal").applyInArrow(solve, f"node {kind}, cluster {kind}")
+    if large.isEmpty():
+        return out
+    return out.unionByName(_flow_rounds(both.join(large, "component", "left_semi").select("a", "b", "w"), workspace, inflation, keep, least, digits, rounds))
+
+
+def _flow_rounds(both: DataFrame, workspace: Workspace, inflation: float, keep: int, least: float, digits: int, rounds: int) -> DataFrame:
     loops = both.groupBy("a").agg(F.max("w").alias("w")).select("a", F.col("a").alias("b"), "w")
     m = workspace.write(_columns(both.unionByName(loops).select(F.col("b").alias("row"), F.col("a").alias("col"), F.col("w").alias("v")), 1.0, keep, 0.0, digits), "flow-0")
     seen = None
@@ -105,6 +126,46 @@ def flow_clusters(edges: DataFrame, workspace: Workspace, inflation: float = 2.0
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
 
 
+def flow_inside(table: pa.Table, inflation: float, keep: int, least: float, digits: int, rounds: int) -> pa.Table:
+    """(node, cluster) of whole components (a, b, w), edges in both directions: the rounds on arrays, in order of column and row."""
+    names, a = np.unique(np.array(table.column("a").to_pylist(), object), return_inverse=True)
+    b, w, n = np.searchsorted(names, np.array(table.column("b").to_pylist(), object)), table.column("w").to_numpy(), len(names)
+    loops = np.zeros(n)
+    np.maximum.at(loops, a, w)
+
+    def pruned(row: np.ndarray, col: np.ndarray, v: np.ndarray, power: float, least: float) -> tuple[np.ndarray, ...]:
+        v = v**power
+        v = v / np.bincount(col, v, n)[col]
+        some = np.flatnonzero(v >= least)
+        some = some[np.lexsort((row[some], -v[some], col[some]))]
+        sizes = np.bincount(col[some], minlength=n)
+        some = some[np.arange(len(some)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < keep]
+        row, col, v = row[some], col[some], v[some]
+        v = np.floor(v / np.bincount(col, v, n)[col] * 10.0**digits + 0.5) / 10.0**digits
+        some = np.flatnonzero(v > 0)
+        some = some[np.lexsort((row[some], col[some]))]
+        return row[some], col[some], v[some]
+
+    m = pruned(np.concatenate([b, np.arange(n)]), np.concatenate([a, np.arange(n)]), np.concatenate([w, loops]), 1.0, 0.0)
+    for _ in range(rounds):
+        row, col, v = m
+        sizes = np.bincount(col, minlength=n)
+        k = sizes[row]  # an entry meets the column of the node that it leads to
+        at = np.repeat((np.cumsum(sizes) - sizes)[row], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        key, place = np.unique(np.repeat(col, k) * n + row[at], return_inverse=True)
+        before, m = m, pruned(key % n, key // n, np.bincount(place, v[at] * np.repeat(v, k)), inflation, least)
+        if all(map(np.array_equal, m, before)):
+            break
+    label, before = np.arange(n), None
+    while before is None or not np.array_equal(label, before):
+        before = label.copy()
+        np.minimum.at(label, m[0], before[m[1]])
+        np.minimum.at(label, m[1], before[m[0]])
+        label = label[label]
+    kind = table.schema.field("a").type
+    return pa.table({"node": pa.array(names, kind), "cluster": pa.array(names[label], kind)})
+
+
 def _columns(entries: DataFrame, power: float, keep: int, least: float, digits: int) -> DataFrame:
     """Columns raised, pruned and made to sum to 1. Columns are gathered as their `keep` greatest entries, of which partial results hold no more."""
     whole = entries.groupBy("col").agg(F.sum(F.pow("v", F.lit(power))).alias("total"))

@@ -185,3 +185,16 @@ def test_an_index_in_sqlite_is_imported(spark, database, tmp_path):
     assert {r.gene: r.codes for r in sqlite.expression_arrays(spark, database).collect()} == {"g1": [0, 65_535, 259], "g2": []}
     with pytest.raises(FileExistsError):
         sqlite.import_genomes(spark, database, f"{out}/genomes/oat")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_flow_clusters_inside_tasks_and_by_rounds(spark, seed):
+    """Components of all sizes: the same clusters whether tasks take them whole, all take the rounds, or some do; small ones write no rounds."""
+    rnd = random.Random(seed)
+    edges = [(f"c{c:02d}n{rnd.randrange(4 + c)}", f"c{c:02d}n{rnd.randrange(4 + c)}", rnd.choice([1.0, 2.5, 0.3])) for c in range(12) for _ in range(2 * c + 3)]
+    df = spark.createDataFrame(edges, "a string, b string, w double")
+    run = lambda name, **k: (w := Workspace(spark, name), sorted(map(tuple, chains.flow_clusters(df, w, **k).collect())))
+    inside, got = run("inside")
+    assert got == run("rounds", whole=0)[1] == run("some", whole=30)[1]
+    assert len(got) == len({n for a, b, _ in edges if a != b for n in (a, b)})
+    assert not spark.sparkContext._jvm.java.io.File(inside.path("flow-0")).exists()
