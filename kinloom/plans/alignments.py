@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinloom.functions import text
+from kinloom.functions.spread import spread
 from kinloom.operators import alignment, similarity
 from kinloom.plans.registry import query
 
@@ -119,7 +120,7 @@ def h01_kmer_classes(i):
 
 @query(f"WITH {KMERS} SELECT x.grp, x.gene_id AS a, y.gene_id AS b, round(1 - CASE WHEN len(x.k) = 0 AND len(y.k) = 0 THEN 1.0 ELSE len(list_intersect(x.k, y.k)) / greatest(1, len(x.k) + len(y.k) - len(list_intersect(x.k, y.k))) END, 6) AS distance FROM k x JOIN k y ON x.grp = y.grp AND x.gene_id < y.gene_id", "aln")
 def h02_h03_distances(i):
-    return similarity.distances(i.aln)
+    return similarity.distances(spread(i.aln, "grp", rows=5_000))
 
 
 @query()
