@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import text
 from kinloom.functions.scratch import Workspace
+from kinloom.functions.spread import spread
 from kinloom.operators import keyword
 from kinloom.operators.pick import pick
 from kinloom.plans.clusters import GENES, genes
@@ -94,7 +95,7 @@ REF_TERMS = "rt AS (SELECT ref_id, " + " || ".join(f"list_value({FOLDED.format(c
 
 
 def searched_refs(i):
-    refs = i.ref.withColumn("synonyms", F.concat("ref_id", F.lit(" "), "symbols", F.lit(" Ünïted")))
+    refs = spread(i.ref, "ref_id").withColumn("synonyms", F.concat("ref_id", F.lit(" "), "symbols", F.lit(" Ünïted")))
     return keyword.postings(refs, "ref_id", *map(F.col, SEARCHED))
 
 
