@@ -29,8 +29,8 @@ def long_form(rows: DataFrame) -> DataFrame:
 
 
 def sane(rows: DataFrame) -> DataFrame:
-    """Rows of (gene_id, seq) that a client may send: ids of up to 256 characters, sequences of 1 to 120,000 of the alphabet."""
-    return rows.filter(F.length("gene_id").between(1, 256) & F.length("seq").between(1, 120_000) & F.col("seq").rlike(r"^[A-Z.*-]+$"))
+    """Rows of (gene_id, seq) that a client may send: ids of up to 256 characters, sequences of 1 to 120,000 of the alphabet, whose letters are one byte each."""
+    return rows.filter(F.length("gene_id").between(1, 256) & F.octet_length("seq").between(1, 120_000) & F.col("seq").rlike(r"^[A-Z.*-]+$"))
 
 
 def residue_counts(aln: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import ids, text
 from kinloom.functions.scratch import Workspace
+from kinloom.functions.spread import spread
 from kinloom.operators import alignment, dedup, expression, keyword, similarity, sinks
 from kinloom.operators.pick import pick, prioritised_lookup
 from kinloom.plans.alignments import KMERS, TREES, trees
@@ -69,7 +70,8 @@ def p07_prefix_and_match(i):
 @query("SELECT gene_id, seq FROM (SELECT gene_id, CASE WHEN ascii(right(gene_id, 1)) % 3 = 0 THEN seq || '1' WHEN ascii(right(gene_id, 1)) % 3 = 1 THEN repeat(seq, 20000) ELSE seq END AS seq FROM aln) WHERE length(gene_id) <= 256 AND length(seq) BETWEEN 1 AND 120000 AND regexp_full_match(seq, '[A-Z.*-]+')", "aln")
 def p25_sane_alignments(i):
     last = F.ascii(F.substring("gene_id", -1, 1)) % 3
-    rows = i.aln.withColumn("seq", F.when(last == 0, F.concat("seq", F.lit("1"))).when(last == 1, F.repeat("seq", F.lit(20_000))).otherwise(F.col("seq")))
+    made = F.when(last == 0, F.concat("seq", F.lit("1"))).when(last == 1, F.repeat("seq", F.lit(20_000))).otherwise(F.col("seq"))
+    rows = spread(i.aln, "gene_id").select("gene_id", F.explode(F.array(made)).alias("seq"))  # made once, and not before rows are spread
     return alignment.sane(rows).select("gene_id", "seq")
 
 

@@ -285,3 +285,18 @@ def test_rows_are_spread_by_their_number(spark):
     assert spread(few, "id", rows=10).rdd.getNumPartitions() == 1
     assert spread(many, "id", rows=10).rdd.getNumPartitions() == 10
     assert spread(many, "id", of=few, rows=5).rdd.getNumPartitions() == 2
+
+
+def test_long_sequences_are_made_and_tested_after_rows_are_spread(spark, tmp_path):
+    """The test does not slip below the exchange, where one task would make all texts."""
+    spark.range(40_001).selectExpr("id p_partkey", "'red' p_name").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    plan = registry.queries()["p25_sane_alignments"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange hashpartitioning") :]
+    assert "repeat" in plan and "repeat" not in below and ", 3)" in below.splitlines()[0]
+
+
+@pytest.mark.parametrize("name", ["x02_reference_postings", "h02_h03_distances"])
+def test_rows_are_spread_before_much_is_made_of_each(spark, tmp_path, name):
+    spark.range(40_001).selectExpr("id p_partkey", "'red ring' p_name", "'b' p_brand", "'t' p_type", "1 p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
