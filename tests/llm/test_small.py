@@ -712,3 +712,27 @@ def test_stages_against_brute_force(spark, rows, scratch):
 
     coded = Counter((r.doc_id, tuple(r.ids), r.n_tokens) for r in corpus_pipeline.encode(spark, d, folder).collect())
     assert coded == Counter((r[0], tuple(WHOLE.encode_ordinary(r[1] or "")), len(WHOLE.encode_ordinary(r[1] or ""))) for r in rows)
+
+
+def test_gates_learn_from_every_context(spark, scratch):
+    """Counts of the gates, from all contexts, against brute force: no context is left out."""
+    rnd = random.Random(23)
+    texts = [" ".join(f"w{rnd.randrange(12)}" for _ in range(rnd.randrange(0, 25))) for _ in range(80)]
+    scoring.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), scratch).collect()
+    after = {}
+    for i, t in enumerate(texts):
+        ws = [None, None, *t.split(), "\n"]
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for k in range(2, len(ws)):
+                after.setdefault((ws[k - 2], ws[k - 1]), Counter())[ws[k]] += 1
+    want = np.zeros(2 * scoring.CONTEXT_GATES, "i8")
+    for c in after.values():
+        seen = sum(c.values())
+        for n in c.values():
+            if seen > 1:
+                gate = scoring.context_gate(np.array([seen - 1]), np.array([len(c) - (n == 1)]))[0]
+                want[gate] += n * (n > 1)
+                want[scoring.CONTEXT_GATES + gate] += n
+    rows = spark.read.parquet(scratch.path("vocabulary")).filter("bucket < 0").collect()
+    got = np.sum([packing.unpacked(bytes(r.counts), "<i8") for r in rows], 0)
+    assert got.tolist() == want.tolist() and want.sum() > 0
