@@ -48,7 +48,7 @@ def genome_index(spark: SparkSession, folder: str, out: str, force: bool = False
         genes = members.genes(located, [F.col("src"), F.col("pos"), F.col("accession")]).select("gene_id", "pangene", "accession")
         genes = snap.write(lookup.keyed(genes), "genes", order=("pangene", "accession", "gene_id"), dealt=True, bloom=("gene_id", "gene_key"))
         snap.write(members.cluster_sizes(located), "clusters", order=("pangene",), dealt=True)
-        posts = snap.write(lookup.postings(genes), "trigrams", order=("term", "gene_id"), dealt=True)
+        posts = snap.write(lookup.postings(genes), "trigrams", order=("term",))
         snap.write(lookup.frequencies(posts), "trigram_counts", order=("term",), dealt=True)
         buckets = max(1, -(-genes.count() // BUCKET_ROWS))
         plain = genes.select("gene_id", "pangene", "accession")

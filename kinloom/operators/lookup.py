@@ -8,10 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinloom.functions.spread import spread
+
 #: Spark hands the scan lists of at most so many values as they are; longer ones it would turn into a range.
 VALUES = 10
 #: So many of a query's trigrams, the rarest, are looked up; ids that have them are compared as a whole.
 RAREST = 3
+#: Ids of a task that lists them under their trigrams, some ten rows each.
+IDS = 200_000
 
 
 def keyed(df: DataFrame, id_col: str = "gene_id", key: str = "gene_key") -> DataFrame:
@@ -33,16 +37,19 @@ def rows_of(table: DataFrame, asked: DataFrame, variants: Column, column: str) -
     return table.filter(among(column, keys)) if keys else table.limit(0)
 
 
-def grams(c: Column) -> Column:
-    """The distinct trigrams of a text in lower case; none for a shorter one."""
-    low = F.lower(c)
-    at = F.when(F.length(low) >= 3, F.sequence(F.lit(1), F.length(low) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(low, i, F.lit(3))))
-
-
 def postings(ids: DataFrame, id_col: str = "gene_id") -> DataFrame:
-    """(term, id): each distinct id under its trigrams."""
-    return ids.select(id_col).filter(F.col(id_col).isNotNull()).distinct().select(F.explode(grams(F.col(id_col))).alias("term"), id_col)
+    """(term, id): each distinct id under its trigrams.
+
+    Ids are dealt before they are listed, so that they move and not their trigrams, and sorted by term where they are: a file of an index has a part of the ids, and a
+    lookup reads the pages of its terms in each. Ranges of terms would list all ids twice, as their bounds are taken from a run over the lists.
+    """
+    each = spread(ids.select(id_col).filter(F.col(id_col).isNotNull()), id_col, of=ids, rows=IDS).distinct()
+    # in order of id first: short to sort, and then lists need the order of terms only
+    low = each.sortWithinPartitions(id_col).select(id_col, F.lower(id_col).alias("_low"))
+    at = low.filter(F.length("_low") >= 3).select(id_col, "_low", F.explode(F.sequence(F.lit(1), F.length("_low") - 2)).alias("_at"))
+    term = F.substring("_low", F.col("_at"), F.lit(3))
+    # a trigram that comes again is listed where it stands first
+    return at.select(term.alias("term"), id_col, "_low", "_at").filter(F.expr("locate(term, _low) = _at")).select("term", id_col)
 
 
 def frequencies(posts: DataFrame) -> DataFrame:

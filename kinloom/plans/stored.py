@@ -25,11 +25,16 @@ def built(i, name, **tables):
     return lambda t: snapshot.read(i.spark, root, t)
 
 
-def id_index(i):
-    table = lookup.keyed(genes(i))
-    posts = lookup.postings(table)
-    by = lambda *c: {"order": c, "dealt": True}
-    read = built(i, "ids", genes=(table, {**by("pangene", "accession", "gene_id"), "bloom": ("gene_id", "gene_key")}), trigrams=(posts, by("term", "gene_id")))
+def id_index(i, parts=True):
+    """Genes by key, and trigrams with their frequencies where parts of ids are asked for."""
+    root = Workspace(i.spark, "ids").path("index")
+    with Snapshot(i.spark, root) as snap:
+        table = snap.write(lookup.keyed(genes(i)), "genes", order=("pangene", "accession", "gene_id"), dealt=True, bloom=("gene_id", "gene_key"))
+        if parts:
+            snap.write(lookup.postings(table), "trigrams", order=("term",))
+    read = lambda t: snapshot.read(i.spark, root, t)
+    if not parts:
+        return read("genes")
     return read("genes"), read("trigrams"), lookup.frequencies(read("trigrams"))
 
 
@@ -64,7 +69,7 @@ SELECT f.asked, h.gene_id, h.pangene FROM few f LEFT JOIN h ON f.asked = h.asked
 def j04_j05_stored_lookup(i):
     asked = i.spark.createDataFrame([(a,) for a in ASKED_FEW], "asked string")
     variants = ids.id_variants(F.col("asked"))
-    table = id_index(i)[0].select("gene_id", "pangene")
+    table = id_index(i, parts=False).select("gene_id", "pangene")
     return prioritised_lookup(asked, lookup.rows_of(table, asked, variants, "gene_id"), variants, F.col("gene_id"))
 
 

@@ -174,7 +174,7 @@ def import_genomes(spark: SparkSession, path: str, out: str, force: bool = False
     table = lambda name, **options: read(spark, path, name, partitions, **options)
     with Snapshot(spark, out, force) as snap:
         genes = snap.write(lookup.keyed(table("genes").select("gene_id", "pangene", "accession")), "genes", order=("pangene", "accession", "gene_id"), dealt=True, bloom=("gene_id", "gene_key"))
-        posts = snap.write(lookup.postings(genes), "trigrams", order=("term", "gene_id"), dealt=True)
+        posts = snap.write(lookup.postings(genes), "trigrams", order=("term",))
         snap.write(lookup.frequencies(posts), "trigram_counts", order=("term",), dealt=True)
         places = table("gene_coords").withColumnsRenamed({"start": "begin_pos", "end": "end_pos"}).withColumn("chrom_index", F.col("chrom_index").cast("int"))
         places = snap.write(places, "gene_coords", order=("accession", "chr", "chrom_index"), dealt=True, bloom=("gene_id",))

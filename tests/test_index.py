@@ -225,3 +225,24 @@ def test_postings_move_once_for_all_their_prefixes(spark):
     assert "Generate" in plan and "Exchange hashpartitioning" not in above
     got = {(r.token, r.block): r.n for r in found.collect()}
     assert sum(n for (t, _), n in got.items() if t == "ab") == 300
+
+
+def test_trigrams_are_listed_where_their_ids_are(spark, tmp_path, monkeypatch):
+    """An id's trigrams are in one file, each once, in order of term: ids were dealt, not their lists."""
+    from kinloom.functions import snapshot
+    from kinloom.operators import lookup
+
+    monkeypatch.setattr(lookup, "IDS", 40)
+    ids_ = [f"LI{n}.{n % 7}" for n in range(90, 290)] + ["aaaaAAAA", "xY", "", "é1é1é1", "LI100.2", "LI100.2", None]
+    with snapshot.Snapshot(spark, f"{tmp_path}/index") as snap:
+        posts = snap.write(lookup.postings(spark.createDataFrame([(x,) for x in ids_], "gene_id string")), "trigrams", order=("term",))
+    rows = posts.selectExpr("term", "gene_id", "input_file_name() AS file", "monotonically_increasing_id() AS at").collect()
+    want = {(x.lower()[k : k + 3], x) for x in ids_ if x for k in range(len(x) - 2)}
+    assert len(rows) == len(want) and {(r.term, r.gene_id) for r in rows} == want
+    files = {}
+    for r in rows:
+        files.setdefault(r.gene_id, set()).add(r.file)
+    assert all(len(f) == 1 for f in files.values()) and len({r.file for r in rows}) > 1
+    for f in {r.file for r in rows}:
+        terms = [r.term for r in sorted(rows, key=lambda r: r.at) if r.file == f]
+        assert terms == sorted(terms)
