@@ -20,13 +20,19 @@ def indexed(i):
     return coords.chrom_index(placed(i))
 
 
-def strips(i):
-    """Neighbourhoods of the first gene of each cluster."""
-    lead = genes(i).groupBy("pangene").agg(F.min("gene_id").alias("gene_id")).select("gene_id")
-    at = indexed(i)
+def strips(i, held=None):
+    """Neighbourhoods of the first gene of each cluster. Places are ranked once and written, as focal genes, their places and their neighbours are all looked up there."""
+    lead = (genes(i) if held is None else held).groupBy("pangene").agg(F.min("gene_id").alias("gene_id")).select("gene_id")
+    at = Workspace(i.spark, "places").write(indexed(i), "indexed")
     return coords.neighbourhoods(at, at.join(lead, "gene_id", "left_semi").select("gene_id", "accession"), 3, 1)
 
 
+def written_genes(i):
+    """A workspace, and the genes in it, for what asks for them more than once."""
+    work = Workspace(i.spark, "strips")
+    return work, work.write(genes(i), "genes")
+
+
 @query(f"WITH {INDEXED} SELECT gene_id, accession, chr, chrom_index FROM indexed", "coord")
 def w01_w04_chrom_index(i):
     return indexed(i).select("gene_id", "accession", "chr", "chrom_index")
@@ -49,15 +55,17 @@ def a16_strip_legend(i):
 
 @query(f"WITH {SLOTS}, n AS (SELECT count(*) AS strips FROM (SELECT DISTINCT focal, accession FROM strips)), f AS (SELECT g.pangene, count(DISTINCT s.focal || ' ' || s.accession)::BIGINT AS present, bool_or(s.is_focal) AS has_focal FROM strips s JOIN genes g ON s.gene_id = g.gene_id GROUP BY 1) SELECT pangene, present, has_focal FROM f, n WHERE has_focal OR present >= 0.02 * strips", "coord", "member")
 def w09_presence(i):
-    return coords.presence(strips(i), genes(i), 0.02)
+    work, held = written_genes(i)
+    return coords.presence(work.write(strips(i, held), "strips"), held, 0.02)
 
 
 @query(f"""WITH {SLOTS}, t AS (SELECT focal, accession, CAST(rank() OVER (ORDER BY focal, accession) AS INT) AS track FROM (SELECT DISTINCT focal, accession FROM strips)), o AS (SELECT DISTINCT t.track, g.pangene, s.gene_id FROM strips s JOIN genes g ON s.gene_id = g.gene_id JOIN t ON t.focal = s.focal AND t.accession = s.accession)
 SELECT a.track, a.pangene, a.gene_id, b.gene_id AS gene_below FROM o a JOIN o b ON b.track = a.track + 1 AND a.pangene = b.pangene""", "coord", "member")
 def w10_track_links(i):
-    s = strips(i)
-    tracks = ranked(s.select("focal", "accession").distinct(), ["focal", "accession"], Workspace(i.spark, "tracks"), "tracks").select("focal", "accession", F.col("rank").cast("int").alias("track"))
-    return coords.track_links(s, genes(i), tracks)
+    work, held = written_genes(i)
+    s = work.write(strips(i, held), "strips")
+    tracks = ranked(s.select("focal", "accession").distinct(), ["focal", "accession"], work, "tracks").select("focal", "accession", F.col("rank").cast("int").alias("track"))
+    return coords.track_links(s, held, tracks)
 
 
 @query(f"WITH {PLACED}, g AS (SELECT *, lag(end_pos) OVER (PARTITION BY accession, chr ORDER BY begin_pos, end_pos, gene_id) AS before FROM placed) SELECT gene_id, accession, CASE WHEN begin_pos > before THEN begin_pos - before END AS gap FROM g", "coord")

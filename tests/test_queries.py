@@ -40,3 +40,12 @@ def test_same_rows_as_sql(spark, duck, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert got == sorted((tuple(plain(r[k]) for k in at) for r in cur.fetchall()), key=repr)
+
+
+def test_strips_rank_places_once(spark):
+    """Places are ranked before strips are looked up in them, not again in each of the three joins."""
+    from kinloom.plans import places
+    from kinloom.plans.views import Inputs
+
+    plan = places.strips(Inputs(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
