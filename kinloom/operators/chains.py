@@ -12,9 +12,11 @@ from kinloom.operators.graph import components
 
 #: Ranks of a block of chaining, and rounds before it gives up.
 SIDE, ROUNDS = 4_096, 256
+#: Anchors of a task, in whole blocks, and anchors that it compares at once with what may come before them.
+TASK, PAIRS = 250_000, 1_000_000
 #: Entries of a component, in both directions, that a task clusters; it is given so many, of one component or several.
 WHOLE = 50_000
-CHAIN = "pair string, id long, x long, y long, w double, score double, chain long, ord long"
+CHAIN = "pair string, id long, x long, y long, w double, score double, chain long, ord long, moved boolean"
 
 
 def chained(anchors: DataFrame, workspace: Workspace, reach: int = 10, gap: float = 1.0, least: float = 0.0, side: int = SIDE) -> DataFrame:
@@ -25,51 +27,91 @@ def chained(anchors: DataFrame, workspace: Workspace, reach: int = 10, gap: floa
     where that leaves more than `least`; of equal predecessors that of the smaller id counts. `chain` is the id of the chain's first anchor, ord the place in it, from 1.
     Rows without a pair, id, rank or weight take no part. For chains that run backwards give y with its sign changed.
 
-    No pair of chromosomes is brought together. Ranks x are cut into blocks of `side`; a task solves a block and sees, of the block before, the last `reach` ranks with the
-    scores of the round before. Rounds go on until no score changes: a block is right once those before it are, so a pair of chromosomes of n ranks takes n / side
-    rounds at most, however many anchors and pairs there are, and one that fits a block takes one and a check.
+    No pair of chromosomes is brought together. Ranks x are cut into blocks of `side`; blocks are solved many at a time inside tasks, and see, of the block before, the last
+    `reach` ranks with the scores of the round before. The next round takes only those blocks that saw a rank whose score has changed since, so a pair of chromosomes of n
+    ranks takes n / side rounds at most, however many anchors and pairs there are, and one that fits a block takes one.
     """
     side = max(side, reach)
     cols = [F.col("pair").cast("string").alias("pair"), *[F.col(c).cast("long").alias(c) for c in ("id", "x", "y")], F.col("w").cast("double").alias("w")]
     a = anchors.select(*cols).filter("pair IS NOT NULL AND id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL")
-    state = workspace.write(a.select("*", F.col("w").alias("score"), F.col("id").alias("chain"), F.lit(1).cast("long").alias("ord")), "chains-0")
-    block, seen = lambda c: F.floor(c / side), None
+    held = Observation()
+    state = workspace.write(a.observe(held, F.count("*").alias("n")), "chains-0").select("*", F.col("w").alias("score"), F.col("id").alias("chain"), F.lit(1).cast("long").alias("ord"))
+    tasks = max(1, -(-held.get["n"] // TASK))
+    block = lambda c: F.floor(c / side)
+    due: DataFrame | None = None
 
     def solve(table: pa.Table) -> pa.Table:
-        return best_in_block(table, reach, gap, least)
+        return best_in_blocks(table, side, reach, gap, least)
 
     for k in range(1, ROUNDS + 1):
-        dealt = state.select("*", F.explode(F.array_distinct(F.array(block(F.col("x")), block(F.col("x") + reach)))).alias("block")).withColumn("mine", F.col("block") == block(F.col("x")))
-        sums, before = Observation(), seen
-        found = dealt.groupBy("pair", "block").applyInArrow(solve, CHAIN).observe(sums, F.sum(F.xxhash64("pair", "id", "score", "chain", "ord").cast("decimal(38,0)")).alias("sum"))
-        state, seen = workspace.write(found, f"chains-{k}"), (sums.get["sum"],)
-        workspace.drop(f"chains-{k - 1}")
-        if seen == before:
+        dealt = state.drop("moved").select("*", F.explode(F.array_distinct(F.array(block(F.col("x")), block(F.col("x") + reach)))).alias("block")).withColumn("mine", F.col("block") == block(F.col("x")))
+        dealt = dealt if due is None else dealt.join(due, ["pair", "block"], "left_semi")
+        found = dealt.groupBy(F.pmod(F.xxhash64("pair", "block"), F.lit(tasks)).alias("deal")).applyInArrow(solve, CHAIN)
+        if due is not None:
+            rest = state.withColumn("block", block(F.col("x"))).join(due, ["pair", "block"], "left_anti")
+            found = found.unionByName(rest.drop("block").withColumn("moved", F.lit(False)))
+        border, left = F.col("moved") & (block(F.col("x")) != block(F.col("x") + reach)), Observation()
+        state = workspace.write(found.observe(left, F.count_if(border).alias("n")), f"chains-{k}")
+        if not left.get["n"]:
+            workspace.drop(f"chains-{k - 1}")
             return state.select("pair", "id", "score", "chain", "ord")
+        due = workspace.write(state.filter(border).select("pair", block(F.col("x") + reach).alias("block")).distinct(), f"chains-due-{k}")
+        workspace.drop(f"chains-{k - 1}")
     raise RuntimeError(f"chains did not settle in {ROUNDS} rounds: give larger blocks")
 
 
-def best_in_block(table: pa.Table, reach: int, gap: float, least: float) -> pa.Table:
-    """The anchors that are the block's own with their best scores; the others have theirs already."""
+def best_in_blocks(table: pa.Table, side: int, reach: int, gap: float, least: float) -> pa.Table:
+    """The anchors that are their block's own with their best scores, and whether these moved; the others have theirs already.
+
+    All blocks go on together, a rank at a time: those of one rank do not follow each other.
+    """
     col = lambda c: table.column(c).to_numpy()
-    order = np.lexsort((col("id"), col("y"), col("x")))
-    x, y, w, ids, mine = (col(c)[order] for c in ("x", "y", "w", "id", "mine"))
+    names = table.column("pair").combine_chunks().dictionary_encode()
+    pair = names.indices.to_numpy()
+    order = np.lexsort((col("id"), col("y"), col("x"), col("block"), pair))
+    pair, block, x, y, w, ids, mine = (c[order] for c in (pair, *map(col, ("block", "x", "y", "w", "id", "mine"))))
     score, chain, place = (col(c)[order].copy() for c in ("score", "chain", "ord"))
-    first, stop = np.searchsorted(x, x - reach), np.searchsorted(x, x)
-    for i in np.flatnonzero(mine):
-        before = slice(first[i], stop[i])
-        dy = y[i] - y[before]
-        at = np.flatnonzero((dy > 0) & (dy <= reach)) + first[i]
-        score[i], chain[i], place[i] = w[i], ids[i], 1
-        if len(at):
-            gain = score[at] - gap * (np.maximum(x[i] - x[at], y[i] - y[at]) - 1)
-            top = gain.max()
-            if top > least:
-                p = at[gain == top][np.argmin(ids[at[gain == top]])]
-                score[i], chain[i], place[i] = w[i] + top, chain[p], place[p] + 1
-    keep = np.flatnonzero(mine)
-    out = {"pair": pa.array([table.column("pair")[0].as_py()] * len(keep), pa.string()), "id": ids[keep], "x": x[keep], "y": y[keep], "w": w[keep], "score": score[keep], "chain": chain[keep], "ord": place[keep].astype("i8")}
-    return pa.table(out, schema=pa.schema([("pair", pa.string()), *[(c, pa.int64()) for c in ("id", "x", "y")], *[(c, pa.float64()) for c in ("w", "score")], *[(c, pa.int64()) for c in ("chain", "ord")]]))
+    old = score.copy(), chain.copy(), place.copy()
+    new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (block[1:] != block[:-1])])[: len(x)]
+    rank = x - block * side + reach  # not below 0, as no guest is further away
+    at = (np.cumsum(new) - 1) * (side + reach) + rank
+    # what may come before an anchor lies side by side: its block's ranks from `reach` before it up to it
+    first, stop = np.searchsorted(at, at - np.minimum(rank, reach)), np.searchsorted(at, at)
+    own = np.flatnonzero(mine)
+    own = own[np.argsort(rank[own], kind="stable")]
+    starts = np.flatnonzero(np.diff(rank[own], prepend=-1))
+    for s, e in zip(starts.tolist(), np.append(starts, len(own))[1:].tolist(), strict=True):
+        while s < e:
+            held = np.cumsum(stop[own[s:e]] - first[own[s:e]])
+            cut = s + max(1, int(np.searchsorted(held, PAIRS, "right")))
+            _follow(own[s:cut], first, stop, x, y, w, ids, score, chain, place, reach, gap, least)
+            s = cut
+    moved = (score != old[0]) | (chain != old[1]) | (place != old[2])
+    out = {"pair": names.dictionary.take(pa.array(pair[mine])), **dict(zip(("id", "x", "y", "w", "score", "chain", "ord", "moved"), (c[mine] for c in (ids, x, y, w, score, chain, place, moved)), strict=True))}
+    return pa.table(out, schema=pa.schema([("pair", pa.string()), *[(c, pa.int64()) for c in ("id", "x", "y")], *[(c, pa.float64()) for c in ("w", "score")], *[(c, pa.int64()) for c in ("chain", "ord")], ("moved", pa.bool_())]))
+
+
+def _follow(i, first, stop, x, y, w, ids, score, chain, place, reach: int, gap: float, least: float) -> None:
+    """Gives anchors i their best predecessors, whose scores are known."""
+    n = stop[i] - first[i]
+    of = np.repeat(np.arange(len(i)), n)
+    before = np.arange(len(of)) - (n.cumsum() - n - first[i])[of]
+    dy = y[i][of] - y[before]
+    fits = ((dy > 0) & (dy <= reach)).nonzero()[0]
+    score[i], chain[i], place[i] = w[i], ids[i], 1
+    if not len(fits):
+        return
+    of, before, dy = of[fits], before[fits], dy[fits]
+    gain = score[before] - gap * (np.maximum(x[i][of] - x[before], dy) - 1)
+    new = of[1:] != of[:-1]
+    top = np.maximum.reduceat(gain, np.concatenate([[0], new.nonzero()[0] + 1]))
+    best = ((gain == top[np.concatenate([[0], new.cumsum()])]) & (gain > least)).nonzero()[0]
+    if not len(best):
+        return
+    best = best[np.lexsort((ids[before[best]], of[best]))]
+    best = best[np.concatenate([[True], of[best][1:] != of[best][:-1]])]
+    to, by = i[of[best]], before[best]
+    score[to], chain[to], place[to] = w[to] + gain[best], chain[by], place[by] + 1
 
 
 def chain_ends(found: DataFrame, score: float = 0.0, anchors: int = 1) -> DataFrame:

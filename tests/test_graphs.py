@@ -6,11 +6,12 @@ import struct
 import zlib
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kinloom.engine import Engine
-from kinloom.functions.scratch import Workspace
+from kinloom.functions.scratch import Workspace, listed
 from kinloom.operators import chains, graph
 from kinloom.sources import sqlite
 
@@ -81,6 +82,37 @@ def test_chains(spark, work, side, reach, gap):
     assert {(r.pair, r.chain, r.end, r.score, r.n) for r in ends} == {(p, c, -b[1], b[0], b[2]) for (p, c), b in best.items() if b[0] >= 6 and b[2] >= 3}
 
 
+def test_chains_take_only_blocks_whose_past_moved(spark, tmp_path):
+    """Pairs inside a block take one round; of the others only the blocks after a rank that moved are solved again, and of equals the smaller id still counts."""
+    apart = [("short", i, i, i, 2.0) for i in range(1, 30)]
+    once = Workspace(spark, "once")
+    df = lambda rows: spark.createDataFrame(rows, "pair string, id long, x long, y long, w double")
+    got = {(r.pair, r.id): (r.score, r.chain, r.ord) for r in chains.chained(df(apart), once, side=40).collect()}
+    assert got == chains_by_hand(apart, 10, 1.0, 0.0)
+    assert sorted(n for n, _, _ in listed(spark, once.root)) == ["chains-1"]
+    rnd = random.Random(3)
+    rows = [*apart, *[("long", i, i, i, 2.0) for i in range(1, 170)], *[("long", 1_000 + i, rnd.randrange(170), rnd.randrange(170), 2.0) for i in range(150)]]
+    rows += [("tied", i, x, y, 1.0) for i, (x, y) in enumerate([(1, 2), (2, 1), (1, 1), (3, 3), (4, 4), (4, 4)], 7)]
+    work = Workspace(spark, "some")
+    got = {(r.pair, r.id): (r.score, r.chain, r.ord) for r in chains.chained(df(rows), work, side=40).collect()}
+    assert got == chains_by_hand(rows, 10, 1.0, 0.0)
+    due = spark.read.parquet(work.path("chains-due-1")).collect()
+    assert {r.pair for r in due} == {"long"} and 0 not in {r.block for r in due}
+
+
+def test_blocks_together_within_bounds(monkeypatch):
+    """Anchors of many blocks in one call, compared a few at a time: the same as one block at a time."""
+    rnd, cols = random.Random(5), ("pair", "id", "x", "y", "w", "score", "chain", "ord", "block", "mine")
+    rows = [(p, i, x := rnd.randrange(b * 20, b * 20 + 20), x + rnd.randrange(-2, 3), 2.0, 2.0, i, 1, b, True) for p in "ab" for b in (-1, 0, 3) for i in range(b * 100, b * 100 + 60)]
+    table = lambda rows: pa.table(dict(zip(cols, map(list, zip(*rows, strict=True)), strict=True)))
+    want = [r for p in "ab" for b in (-1, 0, 3) for r in chains.best_in_blocks(table([r for r in rows if r[0] == p and r[8] == b]), 20, 5, 1.0, 0.0).to_pylist()]
+    monkeypatch.setattr(chains, "PAIRS", 7)
+    rnd.shuffle(rows)
+    got = chains.best_in_blocks(table(rows), 20, 5, 1.0, 0.0).to_pylist()
+    key = lambda r: (r["pair"], r["id"])
+    assert sorted(got, key=key) == sorted(want, key=key) and any(r["ord"] > 3 for r in got)
+
+
 def flow_by_hand(edges, inflation, keep, least, digits=6):
     m = defaultdict(float)
     for a, b, w in edges:
