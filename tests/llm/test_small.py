@@ -736,3 +736,28 @@ def test_gates_learn_from_every_context(spark, scratch):
     rows = spark.read.parquet(scratch.path("vocabulary")).filter("bucket < 0").collect()
     got = np.sum([packing.unpacked(bytes(r.counts), "<i8") for r in rows], 0)
     assert got.tolist() == want.tolist() and want.sum() > 0
+
+
+def test_order_of_keys_that_share_high_bits():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 3_000):
+        for keys in (rng.integers(0, 2**63, n, dtype="u8"), rng.integers(0, 40, n, dtype="u8"), rng.integers(0, 9, n, dtype="u8") << np.uint64(40) | rng.integers(0, 3, n, dtype="u8")):
+            assert (packing.order_of(keys) == np.argsort(keys, kind="stable")).all()
+
+
+def test_beginnings_are_counted_from_bytes():
+    """Bits after long beginnings against a plain count of (kind, beginning, level, first bits), with bytes sorted and not their bits."""
+    words = [k + w for k in (b"\x80", b"\x81") for w in (b"abcd", b"abcde", b"abcdef", b"abcdz", b"abcda", b"ab", b"zzzzzzz", b"\xffabcd\xfe")]
+    counts = np.arange(len(words)) % 5
+    parts = [(bits := scoring.Bits(words[s:e]), bits.weights(counts[s:e])) for s, e in ((0, 7), (7, len(words)))]
+    assert len(parts[0][0].own[0]) * 8 == parts[0][0].far.sum()  # a key a byte, not a bit
+    found = scoring.Beginnings(parts)
+    want = Counter()
+    steps = lambda u: [(u[0], u[1 : 1 + i], lv, (u + b" ")[1 + i] >> (8 - lv), (u + b" ")[1 + i] >> (7 - lv) & 1) for i in range(scoring.HEAD, len(u)) for lv in range(8)]
+    for u, c in zip(words, counts.tolist(), strict=True):
+        for step in steps(u):
+            want[step] += c
+    for (s, e), (bits, _) in zip(((0, 7), (7, len(words))), parts, strict=True):
+        zeros, ones = found.counts(bits)
+        got = sorted(zip(zeros.tolist(), ones.tolist(), bits.bit[bits.far].tolist(), strict=True))
+        assert got == sorted((want[*x[:4], 0], want[*x[:4], 1], bool(x[4])) for x in {(*y, (u + b" ")[1 + len(y[1])]) for u in words[s:e] for y in steps(u)})
