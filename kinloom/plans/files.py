@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinloom.functions.scratch import Workspace
+from kinloom.functions.spread import spread
 from kinloom.operators import graph, sinks
 from kinloom.operators.pick import pick
 from kinloom.plans.clusters import GENES, PLACED, genes, placed
@@ -118,7 +119,8 @@ def k01_table_round_trip(i):
 def k08_chunked_records(i):
     """Records of all files, those of the largest chunk, and whether no star is left."""
     where = Workspace(i.spark, "files").path("chunks")
-    sinks.chunked_fasta(i.part.select(F.col("p_partkey").cast("string").alias("n"), F.concat("p_name", F.lit("*")).alias("s")), where, "n", "s", 100)
-    records = genomes.fasta(i.spark, where).withColumn("chunk", F.regexp_extract("src.file", "batch=([^/]*)/", 1))
+    rows = i.part.select(F.col("p_partkey").cast("string").alias("n"), F.concat("p_name", F.lit("*")).alias("s"))
+    sinks.chunked_fasta(spread(rows), where, "n", "s", 100)
+    records = genomes.fasta(i.spark, where).withColumn("chunk", F.col("src.file"))
     per = records.groupBy("chunk").agg(F.count("*").alias("n"), F.count_if(F.contains("seq", F.lit("*"))).alias("stars"))
     return per.agg(F.sum("n").alias("records"), F.max("n").alias("largest"), (F.sum("stars") == 0).alias("plain"))

@@ -300,3 +300,14 @@ def test_rows_are_spread_before_much_is_made_of_each(spark, tmp_path, name):
     spark.range(40_001).selectExpr("id p_partkey", "'red ring' p_name", "'b' p_brand", "'t' p_type", "1 p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_chunks_are_files_of_one_folder(spark, tmp_path):
+    """No folder for a chunk, no file over its size, every record once and without stars."""
+    df = spark.range(0, 25, 1, 2).selectExpr("concat('g', id) n", "'MK*' s")
+    sinks.chunked_fasta(df, str(tmp_path / "c"), "n", "s", 5)
+    files = [f for f in (tmp_path / "c").iterdir() if f.name.startswith("part-")]
+    assert all(f.is_file() for f in files) and [f for f in (tmp_path / "c").iterdir() if f.is_dir()] == []
+    heads = [[x for x in f.read_text().splitlines() if x.startswith(">")] for f in files]
+    assert max(map(len, heads)) == 5 and sorted(sum(heads, [])) == sorted(f">g{i}" for i in range(25))
+    assert not any("*" in f.read_text() for f in files)
