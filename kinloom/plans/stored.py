@@ -73,22 +73,24 @@ def j04_j05_stored_lookup(i):
     return prioritised_lookup(asked, lookup.rows_of(table, asked, variants, "gene_id"), variants, F.col("gene_id"))
 
 
-#: Buckets of the tables that are joined by gene, at this size.
-BUCKETS = 8
+#: Buckets of the tables that are joined by gene are no fewer than this, and hold some so many rows each: a bucket is sorted in one task.
+BUCKETS, BUCKET_ROWS = 8, 500_000
 
 
-def bucketed(i, keys, **tables):
+def bucketed(i, keys, rows: int, **tables):
+    """Tables of at most so many rows in buckets of the keys."""
+    n = max(BUCKETS, -(-rows // BUCKET_ROWS))
     root = Workspace(i.spark, "buckets").path("index")
     with Snapshot(i.spark, root) as snap:
         for t, df in tables.items():
-            snap.write_bucketed(df, t, keys, BUCKETS)
+            snap.write_bucketed(df, t, keys, n)
     return lambda t: snapshot.bucketed(i.spark, root, t)
 
 
 @query(f"WITH {GENES}, {PLACED}, held AS (SELECT gene_id, pangene, 'acc' || CAST(CAST(substr(accession, 4) AS INT) % 10 AS STRING) AS accession FROM genes) SELECT g.gene_id, g.pangene, g.accession, p.chr, p.begin_pos, p.end_pos FROM held g LEFT JOIN placed p ON g.gene_id = p.gene_id AND g.accession = p.accession", "member", "coord")
 def j02_bucketed_places(i):
     g = genes(i).withColumn("accession", F.concat(F.lit("acc"), (F.substring("accession", 4, 10).cast("int") % 10).cast("string")))
-    table = bucketed(i, ("gene_id", "accession"), genes=g, places=placed(i))
+    table = bucketed(i, ("gene_id", "accession"), i.lineitem.count(), genes=g, places=placed(i))
     return members.with_places(table("genes"), table("places")).select("gene_id", "pangene", "accession", "chr", "begin_pos", "end_pos")
 
 
@@ -96,7 +98,7 @@ def j02_bucketed_places(i):
 def j06_j07_bucketed_sequences(i):
     uniq, mapping = dedup.distinct_sequences(i.doc, [F.col("id")])
     g = i.doc.select(F.col("id").alias("gene_id"), F.concat(F.lit("p"), (F.col("id") % 7).cast("string")).alias("pangene"))
-    table = bucketed(i, ("gene_id",), genes=g, sequences=dedup.stored(mapping, uniq).select(F.col("id").alias("gene_id"), "seq"))
+    table = bucketed(i, ("gene_id",), i.documents.count(), genes=g, sequences=dedup.stored(mapping, uniq).select(F.col("id").alias("gene_id"), "seq"))
     return table("genes").join(table("sequences"), "gene_id")
 
 

@@ -12,7 +12,7 @@ from kinloom.functions.scratch import Workspace
 from kinloom.functions.spread import spread
 from kinloom.operators import alignment, coords, expression, graph, keyword, members, similarity, sinks
 from kinloom.operators.pick import pick, prioritised_lookup, ranked
-from kinloom.plans import registry
+from kinloom.plans import registry, stored, views
 from kinloom.sources import annotations, genomes
 
 
@@ -311,3 +311,18 @@ def test_chunks_are_files_of_one_folder(spark, tmp_path):
     heads = [[x for x in f.read_text().splitlines() if x.startswith(">")] for f in files]
     assert max(map(len, heads)) == 5 and sorted(sum(heads, [])) == sorted(f">g{i}" for i in range(25))
     assert not any("*" in f.read_text() for f in files)
+
+
+def test_buckets_grow_with_rows(spark, monkeypatch):
+    df = spark.range(40).selectExpr("concat('g', id) gene_id", "id v")
+
+    def plan() -> str:
+        table = stored.bucketed(views.Inputs(spark, ""), ("gene_id",), 40, a=df, b=df.selectExpr("gene_id", "v + 1 w"))
+        both = table("a").join(table("b").hint("merge"), "gene_id")
+        assert both.count() == 40
+        return both._jdf.queryExecution().toString()
+
+    monkeypatch.setattr(stored, "BUCKET_ROWS", 4)
+    assert "10 out of 10" in plan()
+    monkeypatch.setattr(stored, "BUCKET_ROWS", 1_000)
+    assert f"{stored.BUCKETS} out of {stored.BUCKETS}" in plan()
