@@ -26,7 +26,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, sliced
 
 #: Texts of up to so many characters, and pieces of up to so many bytes, are leaves; most documents have several.
 LEAF_CHARS, LEAF_BYTES = 1_024, 256
@@ -133,6 +133,24 @@ def encoder(rank_file: bytes, pattern: str, leaf_chars: int = LEAF_CHARS) -> Enc
     return _made[key]
 
 
+def coded(batches: Iterator[pa.RecordBatch], enc: Encoder, id_col: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """What comes of batches (id, text), in short ones: a text's ids take more than the text."""
+    for batch in sliced(batches):
+        n, hashes, plain, kept = [], [], [], []
+        for text in batch.column(1):
+            ids = enc.encode(text.as_py() or "")
+            n.append(len(ids))
+            hashes.append(hashlib.sha256(ids.tobytes()).hexdigest())
+            plain.append(hashlib.sha256(enc.decode(ids)).hexdigest())
+            if with_ids:
+                kept.append(ids.astype("i4"))
+        out = [batch.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(plain, pa.string())]
+        names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            out, names = [*out, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
+        yield pa.RecordBatch.from_arrays(out, names=names)
+
+
 def round_trip(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encodes and decodes each whole text, without a shuffle.
 
@@ -144,21 +162,7 @@ def round_trip(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "d
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(rank_file, pattern)
-        for batch in batches:
-            n, coded, plain, kept = [], [], [], []
-            for text in batch.column(1):
-                ids = enc.encode(text.as_py() or "")
-                n.append(len(ids))
-                coded.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                plain.append(hashlib.sha256(enc.decode(ids)).hexdigest())
-                if with_ids:
-                    kept.append(ids.astype("i4"))
-            out = [batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                out, names = [*out, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(out, names=names)
+        return coded(batches, encoder(rank_file, pattern), id_col, with_ids)
 
     return docs.select(id_col, text_col).mapInArrow(work, schema)
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from kinloom.operators.graph import components
 
 from . import packing
-from .common import Scratch, documents
+from .common import Scratch, documents, sliced
 
 PERMUTATIONS, ROWS, BANDS = 128, 6, 42
 #: Of the 256 bits of two sketches so many differ at most: at similarity 0.8 the mean is 25.6 and 55 lies six deviations off.
@@ -104,7 +104,7 @@ def signed(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
-        for batch in batches:
+        for batch in sliced(batches):
             n, d, sk, bands = [], [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), k, cache)
@@ -167,7 +167,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: st
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingles(t.as_py(), k, cache).view("i8") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 

@@ -761,3 +761,14 @@ def test_beginnings_are_counted_from_bytes():
         zeros, ones = found.counts(bits)
         got = sorted(zip(zeros.tolist(), ones.tolist(), bits.bit[bits.far].tolist(), strict=True))
         assert got == sorted((want[*x[:4], 0], want[*x[:4], 1], bool(x[4])) for x in {(*y, (u + b" ")[1 + len(y[1])]) for u in words[s:e] for y in steps(u)})
+
+
+def test_bpe_and_sets_of_shingles_come_in_short_batches():
+    import pyarrow as pa
+
+    from kinloom.llm import common
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([f"text {i}" * 9 for i in range(1000)])], names=["doc_id", "text"])
+    out = list(bpe.coded(iter([batch]), ENCODER, "doc_id", True))
+    assert max(b.num_rows for b in out) <= common.SLICE_ROWS and [i for b in out for i in b["doc_id"].to_pylist()] == list(range(1000))
+    assert [b.num_rows for b in common.sliced(iter([batch, batch.slice(0, 0), batch.slice(0, 3)]), 600)] == [600, 400, 3]
