@@ -27,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from itertools import chain, compress
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -51,6 +51,11 @@ NO_ID = np.iinfo("i8").max
 SHARED = -1
 #: Odd multipliers of the two fingerprints and of the groups; fixed, so that runs made at different times agree.
 _BASES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+#: Words of more bytes are hashed one by one. The first bytes of eight, so many of them.
+LONG = 256
+_LOW = np.array([(1 << (8 * i)) - 1 for i in range(9)], "u8")
+#: How words are hashed; an index that was made otherwise cannot be read.
+HASHES = 2
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 COLUMNS = {"kind": "string", "bucket": "int", "run": "long", "n": "long", "keys": "binary", "others": "binary", "ids": "binary", "bits": "binary", "doc_id": "long", "n_words": "long", "n_removed": "long", "kept_sha256": "string"}
 ROWS = ", ".join(f"{c} {t}" for c, t in COLUMNS.items())
@@ -70,19 +75,30 @@ def made(rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame({c: column(c, t) for c, t in COLUMNS.items()})
 
 
-class _Words(dict):
-    """A number for each word of a run, and the words' 128-bit hashes in order of number."""
-
-    def __init__(self):
-        self.digests: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = len(self.digests)
-        self.digests.append(xxhash.xxh3_128_digest(word))
-        return out
-
-    def hashes(self) -> np.ndarray:
-        return np.frombuffer(b"".join(self.digests), "<u8").reshape(-1, 2)
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of bytes start, and where they end; the last byte is a space."""
+    word = ~((data - np.uint8(9) < 5) | (data == 32))
+    edges = np.flatnonzero(np.diff(word.view("i1"), prepend=np.int8(0)))
+    return edges[0::2], edges[1::2]
+
+
+def word_hashes(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each word, which take eight bytes of all words at a time; for words of up to eight bytes both are one-to-one among those of one length.
+    Eight bytes follow the last word. A word of more than LONG bytes is hashed by itself."""
+    size = ends - starts
+    one, two = (packing.mixed(size.astype("u8") ^ b) for b in _BASES[:2])
+    eight = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
+    x = eight[starts] & _LOW[np.minimum(size, 8)]
+    one, two = packing.mixed(one ^ x), packing.mixed((two ^ x) * _BASES[2])
+    rest, done = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(rest):
+        x = eight[starts[rest] + done] & _LOW[np.minimum(size[rest] - done, 8)]
+        one[rest], two[rest] = packing.mixed(one[rest] ^ x), packing.mixed((two[rest] ^ x) * _BASES[2])
+        done += 8
+        rest = rest[size[rest] > done]
+    for i in np.flatnonzero(size > LONG).tolist():
+        one[i], two[i] = np.frombuffer(xxhash.xxh3_128_digest(buffer[starts[i] : ends[i]]), "<u8")
+    return one, two
 
 
 def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +122,7 @@ def rolled(h: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
 
 
 class Run:
-    """The documents of a run in order of id and text, their words, and the windows that lie in one document."""
+    """The documents of a run in order of id and text, hashes of their words, and the windows that lie in one document."""
 
     def __init__(self, rows: pd.DataFrame, size: int = WINDOW, gram: int = GRAM):
         run = int(rows["run"].iloc[0]) if len(rows) else 0
@@ -116,14 +132,14 @@ class Run:
         data = [t.encode() if isinstance(t, str) else b"" for t in rows["text"]]
         order = sorted(range(len(data)), key=lambda i: (self.ids[i], data[i]))
         self.ids, self.real = self.ids[order], self.real[order]
-        self.words = [data[i].split() for i in order]
-        self.counts = np.fromiter(map(len, self.words), "i8", len(self.words))
-        ends = np.cumsum(self.counts)
-        known = _Words()
-        at = np.fromiter(map(known.__getitem__, chain.from_iterable(self.words)), "i4", int(ends[-1]) if len(ends) else 0)
-        h, self.other = (np.ascontiguousarray(x) for x in known.hashes()[at].T)
+        self.data = [data[i] for i in order]
+        buffer = b" ".join([*self.data, bytes(8)])
+        starts, ends = word_places(np.frombuffer(buffer, "u1")[:-8])
+        after = np.cumsum(np.fromiter(map(len, self.data), "i8", len(self.data)) + 1)
+        self.counts = np.diff(np.searchsorted(starts, after), prepend=0)
+        h, self.other = word_hashes(buffer, starts, ends)
         n = max(0, len(h) - size + 1)
-        doc = np.repeat(np.arange(len(self.words)), self.counts)
+        doc = np.repeat(np.arange(len(self.data)), self.counts)
         self.starts = np.flatnonzero(doc[:n] == doc[size - 1 : size - 1 + n]) if n else np.zeros(0, "i8")
         self.doc = doc[self.starts]
         self.size, self.h = size, h
@@ -134,15 +150,18 @@ class Run:
         if span > width:
             least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
         self.anchor = packing.mixed(least[self.starts] ^ _BASES[0])
+        # neighbours mostly have the same anchor: where another one, or another document, begins
+        self.heads = np.flatnonzero(np.concatenate([[True], (self.anchor[1:] != self.anchor[:-1]) | (self.doc[1:] != self.doc[:-1])])) if len(self.anchor) else np.zeros(0, "i8")
 
     def entries(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted anchors, and of each the document that has it, or SHARED if several have or it has no id."""
-        order = np.argsort(self.anchor)
-        keys = self.anchor[order]
+        anchor, doc = self.anchor[self.heads], self.doc[self.heads]
+        order = np.argsort(anchor)
+        keys = anchor[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, "i8")
         if not len(starts):
             return np.zeros(0, "u8"), np.zeros(0, "i8")
-        low, high = (f.reduceat(self.doc[order], starts) for f in (np.minimum, np.maximum))
+        low, high = (f.reduceat(doc[order], starts) for f in (np.minimum, np.maximum))
         return keys[starts], np.where((low == high) & self.real[low], self.ids[low], SHARED)
 
     def firsts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -165,7 +184,8 @@ class Run:
     def candidates(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """firsts(), of which only those under one of the sorted anchors are candidates."""
         firsts, copies, first, second = self.firsts()
-        return firsts[among(self.anchor[firsts], keys)], copies, first, second
+        under = np.repeat(among(self.anchor[self.heads], keys), np.diff(self.heads, append=len(self.anchor)))
+        return firsts[under[firsts]], copies, first, second
 
     def results(self, copies: np.ndarray) -> list[dict]:
         """Counts and hash of what each document keeps, if the given windows are copies."""
@@ -177,8 +197,8 @@ class Run:
         sums = np.concatenate([[0], np.cumsum(keep)])
         kept = sums[ends] - sums[ends - self.counts]
         out = []
-        for words, end, n, k, i, real in zip(self.words, ends.tolist(), self.counts.tolist(), kept.tolist(), self.ids.tolist(), self.real.tolist(), strict=True):
-            left = words if k == n else compress(words, keep[end - n : end]) if k else ()
+        for text, end, n, k, i, real in zip(self.data, ends.tolist(), self.counts.tolist(), kept.tolist(), self.ids.tolist(), self.real.tolist(), strict=True):
+            left = text.split() if k == n else compress(text.split(), keep[end - n : end]) if k else ()
             out.append({"kind": "result", "doc_id": i if real else None, "n_words": n, "n_removed": n - k, "kept_sha256": hashlib.sha256(b" ".join(left)).hexdigest()})
         return out
 
@@ -306,6 +326,8 @@ class FingerprintIndex:
             rows = {r.k: r.v for r in spark.read.parquet(last).collect()}
             if (rows["size"], rows["gram"]) != (str(size), str(gram)):
                 raise ValueError(f"the index has windows of {rows['size']} words and groups of {rows['gram']}")
+            if rows.get("hashes") != str(HASHES):
+                raise ValueError("the index was made with other hashes of words")
             self.bits, self._next, self._names = int(rows["bits"]), int(rows["next"]), [n for n in rows["generations"].split(",") if n]
 
     def generations(self) -> list[str]:
@@ -314,7 +336,7 @@ class FingerprintIndex:
     def _commit(self, names: list[str]) -> None:
         """The manifest is written after what it names: a batch counts as a whole or not at all."""
         self._next, self._names = self._next + 1, names
-        rows = {"size": self.size, "gram": self.gram, "bits": self.bits, "next": self._next, "generations": ",".join(names)}
+        rows = {"size": self.size, "gram": self.gram, "hashes": HASHES, "bits": self.bits, "next": self._next, "generations": ",".join(names)}
         self.spark.createDataFrame([(k, str(v)) for k, v in rows.items()], "k string, v string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest-{self._next}")
 
     def part(self, kind: str, *names: str) -> DataFrame:

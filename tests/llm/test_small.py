@@ -772,3 +772,27 @@ def test_bpe_and_sets_of_shingles_come_in_short_batches():
     out = list(bpe.coded(iter([batch]), ENCODER, "doc_id", True))
     assert max(b.num_rows for b in out) <= common.SLICE_ROWS and [i for b in out for i in b["doc_id"].to_pylist()] == list(range(1000))
     assert [b.num_rows for b in common.sliced(iter([batch, batch.slice(0, 0), batch.slice(0, 3)]), 600)] == [600, 400, 3]
+
+
+def test_words_are_found_and_hashed_without_an_object_each():
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abé日 \t\n\x0b\x0c\r\x1c\x00") for _ in range(rnd.randrange(60))) for _ in range(300)]
+    texts += ["", " ", "x" * 7, "x" * 8, "x" * 9, "x" * 16, "x" * 256, "x" * 257, "x" * 5000 + "y", "x" * 5000 + "z", "a\x00", "a", "\x00a", "a b", "ab "]
+    rows = pd.DataFrame({"run": 0, "doc_id": range(len(texts)), "text": texts})
+    run = substring.Run(rows)
+    words = [w for t in texts for w in t.encode().split()]
+    assert run.counts.tolist() == [len(t.encode().split()) for t in texts] and len(run.h) == len(words) == len(run.other)
+    for hashes in (run.h, run.other):
+        assert len(set(hashes.tolist())) == len(set(words)) == len(set(zip(words, hashes.tolist())))
+    empty = substring.Run(rows.iloc[:0])
+    assert len(empty.entries()[0]) == 0 and empty.results(np.zeros(0, "i8")) == []
+    again = substring.Run(rows.iloc[::-1])
+    assert (again.h == run.h).all() and (again.other == run.other).all()
+
+
+def test_an_index_of_other_word_hashes_is_refused(spark, monkeypatch):
+    folder = Scratch(spark, "hashes").root
+    substring.FingerprintIndex(spark, folder).add(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
+    monkeypatch.setattr(substring, "HASHES", 3)
+    with pytest.raises(ValueError, match="other hashes"):
+        substring.FingerprintIndex(spark, folder)
