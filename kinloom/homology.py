@@ -44,9 +44,10 @@ def packed_members(spark: SparkSession, paths: list[str], sample: int = 50) -> D
     f = F.col("f")
     rows = lines(spark, paths).filter(F.trim("line") != "").select(fields(F.col("line")).alias("f"), stem(F.col("file"), (CLUSTERS,)).alias("comparison"), "src").filter(F.size(f) >= 2)
     # the first lines of a file are in its first split, and a ranking that is cut keeps no more of it
-    start = rows.filter("src.block = 0").withColumn("k", F.row_number().over(Window.partitionBy("comparison").orderBy("src"))).filter(F.col("k") <= sample)
-    whole = start.groupBy("comparison").agg(F.bool_and(F.contains(f[0], F.lit("__")) & F.contains(f[1], F.lit("__"))).alias("packed")).filter("packed").select("comparison")
-    out = rows.join(whole, "comparison", "left_semi").select("comparison", f[0].alias("rep"), F.explode(F.array(f[0], f[1])).alias("member")).distinct()
+    start = rows.filter("src.block = 0").select("comparison", "src", (F.contains(f[0], F.lit("__")) & F.contains(f[1], F.lit("__"))).alias("named")).withColumn("k", F.row_number().over(Window.partitionBy("comparison").orderBy("src"))).filter(F.col("k") <= sample)
+    whole = start.groupBy("comparison").agg(F.bool_and("named").alias("packed")).filter("packed").select("comparison")
+    # one row a file: a shuffle by file would put a whole file in one task
+    out = rows.join(F.broadcast(whole), "comparison", "left_semi").select("comparison", f[0].alias("rep"), F.explode(F.array(f[0], f[1])).alias("member")).distinct()
     p = F.split(F.trim("member"), "__")
     bad = F.raise_error(F.concat(F.lit("not packed with its place: "), F.col("member")))
     out = out.withColumn("p", F.when(F.size(p) >= 4, p).otherwise(bad))
@@ -63,10 +64,11 @@ def unordered(side: tuple[str, ...] = SIDE) -> tuple[Column, Column]:
 def matched(members: DataFrame, allowed: DataFrame) -> DataFrame:
     """(comparison, low, high, chr1, gene_id1, ..., end_pos2): pairs of members of one cluster on allowed chromosomes, once for each two genes (low, high).
 
-    The gene with the smaller packed name is first. The pairs of a cluster meet by (cluster, chromosome), so that only those that may match are made.
+    The gene with the smaller packed name is first. The pairs of a cluster meet by (cluster, chromosome), so that only those that may match are made. allowed has some rows a
+    chromosome, however many genes there are, and is broadcast: a shuffle by chromosome would put all genes of one in one task.
     """
     side = lambda i: [F.col(c).alias(f"{c}{i}") for c in SIDE]
-    x = members.join(allowed.select(F.col("chr_a").alias("key"), F.col("chr_b").alias("wanted")), "key").select("comparison", "rep", F.col("wanted").alias("key"), F.col("member").alias("a"), *side(1))
+    x = members.join(F.broadcast(allowed.select(F.col("chr_a").alias("key"), F.col("chr_b").alias("wanted"))), "key").select("comparison", "rep", F.col("wanted").alias("key"), F.col("member").alias("a"), *side(1))
     y = members.select("comparison", "rep", "key", F.col("member").alias("b"), *side(2))
     low, high = unordered()
     found = x.join(y, ["comparison", "rep", "key"]).filter("a < b").select("comparison", *COLUMNS, "a", "b").withColumns({"low": low, "high": high})

@@ -131,3 +131,19 @@ def test_predictions_of_folders(spark, tmp_path):
         predictions.predictions(spark, f"{tmp_path}/bad")
     with pytest.raises(FileNotFoundError):
         predictions.unique_sequences(spark, f"{tmp_path}/none", f"{tmp_path}/no")
+
+
+def test_genes_are_not_dealt_by_chromosome_or_file_alone(spark, tmp_path, request):
+    import re
+
+    from kinloom import homology
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where Spark does not know that a side is small
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    path = tmp_path / "x_cluster.tsv"
+    path.write_text("".join(f"1A__g{i}__1__2__+\t1B__h{i}__1__2__+\n" for i in range(9)))
+    allowed = spark.createDataFrame([("1a", "1b"), ("1b", "1a")], "chr_a string, chr_b string")
+    found = homology.matched(homology.packed_members(spark, [str(path)]), allowed)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(key#\d+, \d+\)", plan) and plan.count("BroadcastHashJoin") >= 2
+    assert sorted((r.gene_id1, r.gene_id2) for r in found.collect()) == [(f"g{i}", f"h{i}") for i in range(9)]
