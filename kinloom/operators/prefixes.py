@@ -8,6 +8,11 @@ the worst score of the first places is no less than any bound left.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +22,8 @@ from kinloom.operators.keyword import B, K1, retrieved
 
 #: Shortest and longest prefix with a list; texts of a block; blocks of the first reading; blocks that are named to the scan one by one; blocks that a task lists.
 SHORTEST, LONGEST, BLOCK, FIRST, NAMED, DEALT = 2, 16, 128, 8, 512, 8
+#: Postings that are listed at once, and tokens that are handed on at once.
+RUN, TOKENS = 500_000, 4_096
 #: Scores are rounded to six decimals, so a bound may lie so much lower.
 ROOM = 2e-6
 #: Small pages and row groups: a block of one list is a row.
@@ -32,24 +39,109 @@ def lists(posts: DataFrame, key: str, whole: DataFrame, blocks: int) -> DataFram
     """(token, block, n, top, keys, tfs, lengths): the texts with a term that starts with the token, by block.
 
     whole is one row with the mean length. A text is in a block by the hash of its key, so a block has no more than some BLOCK texts of any list.
-    Postings are dealt by block, DEALT blocks a task, before they are listed under each prefix, and everything up to the lists is summed where it is: what moves is
-    each posting once, not once for each prefix.
+    Postings are dealt by block, DEALT neighbours a task, and a task's lists are made whole there, in order of token and block: what moves is each posting once, not once
+    for each prefix, and lists are neither dealt nor sorted again. A task's file has few blocks, so a scan that names blocks leaves out the files without them.
     """
     block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    dealt = posts.filter(F.length("term") >= SHORTEST).select(block.alias("block"), "term", key, "length", "tf").repartition(-(-blocks // DEALT), "block")
-    cut = F.sequence(F.lit(SHORTEST), F.least(F.length("term"), F.lit(LONGEST)))
-    token = F.transform(cut, lambda n: F.substring("term", F.lit(1), n))
-    one = dealt.select("block", F.explode(token).alias("token"), key, "length", "tf").groupBy("block", "token", key, "length").agg(F.sum("tf").alias("tf"))
-    rated = one.crossJoin(F.broadcast(whole.select("mean"))).withColumn("share", share(F.col("tf"), F.col("length"), F.col("mean")))
-    texts = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col("tf").cast("int").alias("tf"), F.col("length").cast("int").alias("length"))))
-    per = rated.groupBy("token", "block").agg(F.count("*").alias("n"), F.max("share").alias("top"), texts.alias("texts"))
-    return per.select("token", "block", "n", "top", F.col("texts.key").alias("keys"), F.col("texts.tf").alias("tfs"), F.col("texts.length").alias("lengths"))
+    dealt = posts.filter(F.length("term") >= SHORTEST).select(block.alias("block"), "term", F.col(key).alias("key"), F.col("length").cast("int").alias("length"), F.col("tf").cast("long").alias("tf"))
+    of, kind = whole.first().mean or 1.0, dealt.schema["key"].dataType.simpleString()
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (b for run in _runs(batches) for b in _listed(run, of))
+
+    found = dealt.repartitionById(-(-blocks // DEALT), F.expr(f"block div {DEALT}").cast("int")).mapInArrow(made, f"token string, lists array<struct<block: int, n: bigint, top: double, keys: array<{kind}>, tfs: array<int>, lengths: array<int>>>")
+    return found.select("token", F.explode("lists").alias("l")).select("token", "l.block", "l.n", "l.top", "l.keys", "l.tfs", "l.lengths")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """A task's postings in runs of whole blocks, of some RUN postings each, so that lists of a run fit into memory."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    every = pa.Table.from_batches(held)
+    if every.num_rows <= RUN:
+        yield every
+        return
+    block = every["block"].to_numpy()
+    number, n = np.unique(block, return_counts=True)
+    run = ((np.cumsum(n) - n) // RUN)[np.searchsorted(number, block)]
+    for r in np.unique(run):
+        yield every.filter(pa.array(run == r))
+
+
+def _ranked(values: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """The place of each value among the distinct ones in order, and these."""
+    coded = values.combine_chunks().dictionary_encode(null_encoding="encode")
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[coded.indices.to_numpy()], coded.dictionary.take(pa.array(order))
+
+
+def _listed(run: pa.Table, mean: float) -> Iterator[pa.RecordBatch]:
+    """(token, lists) of whole blocks, tokens in order, and blocks in order for each.
+
+    Terms are sorted, so those that start alike are neighbours: a token is named by the first of its terms and its number of letters, and these in order are the tokens in order.
+    """
+    term, terms = _ranked(run["term"])
+    who, keys = _ranked(run["key"])
+    n = len(terms)
+    letters = np.array(terms.to_pylist(), f"U{LONGEST}").view(np.uint32).reshape(n, LONGEST)
+    has = letters[:, SHORTEST - 1 :] != 0
+    begins = has.copy()
+    begins[1:] &= np.logical_or.accumulate(letters[1:] != letters[:-1], axis=1)[:, SHORTEST - 1 :]
+    token = np.cumsum(begins.ravel()).reshape(begins.shape) - 1
+    token = np.maximum.accumulate(np.where(begins, token, -1), axis=0)
+    first, cut = np.nonzero(begins)
+    # Texts: a key may come with several lengths, which are several texts. In order of block and key.
+    block, length, tf = run["block"].to_numpy(), run["length"].to_numpy(), run["tf"].to_numpy()
+    order = np.lexsort((length, who, block))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(block[order]) != 0) | (np.diff(who[order]) != 0) | (np.diff(length[order]) != 0)
+    text = np.empty(len(order), np.int64)
+    text[order] = np.cumsum(new) - 1
+    texts = order[new]
+    # A row for each posting and prefix; rows of one token and text are one.
+    at, times = [], []
+    for k in range(has.shape[1]):
+        some = np.flatnonzero(has[term, k])
+        at.append(token[term[some], k] * len(texts) + text[some])
+        times.append(tf[some])
+    at, times = np.concatenate(at), np.concatenate(times)
+    order = np.argsort(at)
+    at, times = at[order], times[order]
+    start = np.flatnonzero(np.diff(at, prepend=-1))
+    times = np.add.reduceat(times, start)
+    token, text = np.divmod(at[start], len(texts))
+    rows = texts[text]
+    # Lists: rows of one token and block; and the lists of a token.
+    long = length[rows]
+    top = times / (times + K1 * (1 - B + B * long / mean))
+    cell = np.flatnonzero((np.diff(token, prepend=-1) != 0) | (np.diff(block[rows], prepend=-1) != 0))
+    ends = np.append(cell, len(rows))
+    head = np.append(np.flatnonzero(np.diff(token[cell], prepend=-1)), len(cell))
+    top, size, of = np.maximum.reduceat(top, cell), np.diff(ends), block[rows[cell]]
+    who, times = who[rows], times.astype(np.int32)
+    for low in range(0, len(first), TOKENS):
+        high = min(low + TOKENS, len(first))
+        c0, c1 = head[low], head[high]
+        r0, r1 = ends[c0], ends[c1]
+        names = letters[first[low:high]]
+        names[np.arange(LONGEST) >= cut[low:high, None] + SHORTEST] = 0
+        inner = pa.array(ends[c0 : c1 + 1] - r0, pa.int32())
+        fields = {
+            "block": pa.array(of[c0:c1], pa.int32()), "n": pa.array(size[c0:c1], pa.int64()), "top": pa.array(top[c0:c1]),
+            "keys": pa.ListArray.from_arrays(inner, keys.take(pa.array(who[r0:r1]))),
+            "tfs": pa.ListArray.from_arrays(inner, pa.array(times[r0:r1])), "lengths": pa.ListArray.from_arrays(inner, pa.array(long[r0:r1], pa.int32())),
+        }
+        cells = pa.StructArray.from_arrays(list(fields.values()), list(fields))
+        yield pa.RecordBatch.from_arrays([pa.array(names.view(f"U{LONGEST}").ravel().tolist(), pa.string()), pa.ListArray.from_arrays(pa.array(head[low : high + 1] - c0, pa.int32()), cells)], ["token", "lists"])
 
 
 def write(snap: Snapshot, posts: DataFrame, key: str, whole: DataFrame) -> None:
-    """The lists as a table `prefixes` of an index."""
+    """The lists as a table `prefixes` of an index: each file has the lists of some blocks, in order of token."""
     blocks = max(1, -(-int(whole.first().n) // BLOCK))
-    snap.write(lists(posts, key, whole, blocks), "prefixes", order=("token", "block"), dealt=True, options=STORAGE)
+    snap.write(lists(posts, key, whole, blocks), "prefixes", options=STORAGE)
 
 
 def bounds(table: DataFrame, tokens: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,6 +228,50 @@ def test_postings_move_once_for_all_their_prefixes(spark):
     assert sum(n for (t, _), n in got.items() if t == "ab") == 300
 
 
+def test_lists_are_made_where_their_blocks_are_by_brute_force(spark, tmp_path):
+    """A file has the lists of a few neighbouring blocks, in order of token: lists are made once, and neither dealt nor sorted after. A key with two lengths is two texts."""
+    rnd = random.Random(12)
+    words = ["kin", "kinase", "kinesin", "k", "ki", "abcdefghijklmnop", "abcdefghijklmnopq", "abcdefghijklmnoxyz", "é1", "𝒳𝒴z", "𝒳𝒴w", "12", "123"] + [f"{chr(97 + x % 26)}{x}" for x in range(150)]
+    texts = [(f"d{x % 2_600}" if x % 97 else None, " ".join(rnd.choices(words, k=rnd.randrange(0, 25)))) for x in range(2_700)]
+    posts = keyword.postings(spark.createDataFrame(texts, "doc string, text string"), "doc", F.col("text")).localCheckpoint()
+    root = f"{tmp_path}/lists"
+    with Snapshot(spark, root) as snap:
+        prefixes.write(snap, posts, "doc", snap.write(keyword.corpus_numbers(posts, "doc"), "numbers"))
+    numbers, table = snapshot.read(spark, root, "numbers").first(), snapshot.read(spark, root, "prefixes")
+    want = {}
+    for p in posts.collect():
+        for n in range(2, min(16, len(p.term)) + 1):
+            at = p.term[:n], p.doc, p.length
+            want[at] = want.get(at, 0) + p.tf
+    rows = table.collect()
+    assert {(r.token, k, n): tf for r in rows for k, tf, n in zip(r.keys, r.tfs, r.lengths, strict=True)} == want and sum(r.n for r in rows) == len(want)
+    assert all(r.n == len(r.keys) and r.top == pytest.approx(max(f / (f + 1.2 * (0.25 + 0.75 * n / numbers.mean)) for f, n in zip(r.tfs, r.lengths, strict=True)), abs=1e-12) for r in rows)
+    assert len({(r.token, r.block) for r in rows}) == len(rows)
+    files = [[(r.token, r.block) for r in spark.read.parquet(f).coalesce(1).collect()] for f in table.inputFiles()]
+    assert len(files) == 3 and all(f == sorted(f) and len({b // prefixes.DEALT for _, b in f}) == 1 for f in files)
+
+
+def test_lists_are_made_in_runs_of_whole_blocks(monkeypatch):
+    """However small the runs, and the batches of tokens."""
+    rnd = random.Random(13)
+    rows = [(rnd.randrange(5), "".join(rnd.choices("ab", k=rnd.randrange(2, 20))), rnd.randrange(40), 9, rnd.randrange(1, 4)) for _ in range(600)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("block", "term", "key", "length", "tf"), r, strict=True)) for r in rows], pa.schema([("block", pa.int32()), ("term", pa.string()), ("key", pa.int64()), ("length", pa.int32()), ("tf", pa.int64())]))
+
+    def found():
+        runs = [[r for b in prefixes._listed(t, 9.0) for r in b.to_pylist()] for t in prefixes._runs(iter([batch.slice(0, 250), batch.slice(250), batch.slice(0, 0)]))]
+        assert all([r["token"] for r in run] == sorted(r["token"] for r in run) for run in runs)
+        lists = [(r["token"], x["block"], x["n"], tuple(x["keys"]), tuple(x["tfs"]), tuple(x["lengths"]), x["top"]) for run in runs for r in run for x in r["lists"]]
+        return len(runs), sorted(lists)
+
+    one, whole = found()
+    monkeypatch.setattr(prefixes, "RUN", 100)
+    monkeypatch.setattr(prefixes, "TOKENS", 3)
+    some, parts = found()
+    assert one == 1 and some > 2 and parts == whole
+    assert sum(sum(x[4]) for x in whole) == sum(tf * (min(16, len(t)) - 1) for _, t, _, _, tf in rows)
+    assert list(prefixes._runs(iter([]))) == []
+
+
 def test_trigrams_are_listed_where_their_ids_are(spark, tmp_path, monkeypatch):
     """An id's trigrams are in one file, each once, in order of term: ids were dealt, not their lists."""
     from kinloom.functions import snapshot
